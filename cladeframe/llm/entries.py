@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontamination import op9_decontamination
 from .exact_dedup import OP8_SQL, op8_exact_dedup
+from .packing import op3_best_fit_packing
 from .simhash_dedup import op1_simhash_dedup
 from .warc import OP2_SQL, op2_warc
 
@@ -15,7 +17,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash_dedup": op1_simhash_dedup,
         "op2_warc": op2_warc,
+        "op3_best_fit_packing": op3_best_fit_packing,
         "op8_exact_dedup": op8_exact_dedup,
+        "op9_decontamination": op9_decontamination,
     }
 
 
