@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import op9_decontamination
 from .exact_dedup import OP8_SQL, op8_exact_dedup
+from .language_id import op7_language_id
 from .packing import op3_best_fit_packing
+from .quality import op10_quality
 from .simhash_dedup import op1_simhash_dedup
 from .warc import OP2_SQL, op2_warc
 
@@ -18,8 +20,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_simhash_dedup": op1_simhash_dedup,
         "op2_warc": op2_warc,
         "op3_best_fit_packing": op3_best_fit_packing,
+        "op7_language_id": op7_language_id,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_decontamination": op9_decontamination,
+        "op10_quality": op10_quality,
     }
 
 
