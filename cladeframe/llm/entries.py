@@ -10,6 +10,7 @@ from .decontamination import op9_decontamination
 from .exact_dedup import OP8_SQL, op8_exact_dedup
 from .language_id import op7_language_id
 from .packing import op3_best_fit_packing
+from .ppm import op4_ppm_scores
 from .quality import op10_quality
 from .simhash_dedup import op1_simhash_dedup
 from .warc import OP2_SQL, op2_warc
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_simhash_dedup": op1_simhash_dedup,
         "op2_warc": op2_warc,
         "op3_best_fit_packing": op3_best_fit_packing,
+        "op4_ppm_scores": op4_ppm_scores,
         "op7_language_id": op7_language_id,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_decontamination": op9_decontamination,
