@@ -13,6 +13,7 @@ from .packing import op3_best_fit_packing
 from .ppm import op4_ppm_scores
 from .quality import op10_quality
 from .simhash_dedup import op1_simhash_dedup
+from .suffix_dedup import op5_suffix_dedup
 from .warc import OP2_SQL, op2_warc
 
 
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_warc": op2_warc,
         "op3_best_fit_packing": op3_best_fit_packing,
         "op4_ppm_scores": op4_ppm_scores,
+        "op5_suffix_dedup": op5_suffix_dedup,
         "op7_language_id": op7_language_id,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_decontamination": op9_decontamination,
