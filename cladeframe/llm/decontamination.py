@@ -86,7 +86,10 @@ class _Index:
             fps.append(_window_simhashes(s, len(s))[0])
             self.items.append((item, len(words), own, Counter(s.tolist())))
         self.grams = {k: np.unique(np.concatenate(v)) for k, v in grams.items()}
-        self.has = {k: np.isin(np.arange(65536), (v >> np.uint64(48)).astype(np.int64)) for k, v in self.grams.items()}
+        self.has = {}
+        for own, v in self.grams.items():  # by the top bits: most shingles need no search
+            self.has[own] = np.zeros(1 << 20, bool)
+            self.has[own][(v >> np.uint64(44)).astype(np.int64)] = True
         within = np.bitwise_count(np.arange(256)[:, None] ^ np.arange(256)) <= radius // BLOCKS
         self.sizes = {}
         for key, which in sizes.items():
@@ -101,20 +104,19 @@ class _Index:
         grams: dict[int, np.ndarray] = {}
         for k, known in self.grams.items():
             s = _shingled(h, k)
-            at = np.flatnonzero(self.has[k][(s >> np.uint64(48)).astype(np.int64)])
+            at = np.flatnonzero(self.has[k][(s >> np.uint64(44)).astype(np.int64)])
+            at = at[known[np.minimum(np.searchsorted(known, s[at]), len(known) - 1)] == s[at]]
             if len(at):
-                at = at[np.isin(s[at], known)]
-            if len(at):
-                hits[k], grams[k] = at, s
+                hit = np.zeros(len(s) + 1, np.int64)
+                hit[at + 1] = 1
+                hits[k], grams[k] = np.cumsum(hit), s
         best: dict[int, tuple[float, int, int]] = {}
         for (k, n), (which, own, blocks) in self.sizes.items() if hits else ():
             if k not in hits:
                 continue
             s, wide = grams[k], min(n - k + 1, len(grams[k]))
-            starts = np.zeros(len(s) - wide + 1, np.int32)  # windows that hold a hit
-            for a in hits[k].tolist():
-                starts[max(0, a - wide + 1) : a + 1] = 1
-            runs = np.flatnonzero(np.diff(np.concatenate([[0], starts, [0]])))
+            starts = hits[k][wide:] - hits[k][:-wide] >= least * wide
+            runs = np.flatnonzero(np.diff(np.concatenate([[False], starts, [False]]).astype(np.int8)))
             for first, last in zip(runs[::2].tolist(), runs[1::2].tolist()):
                 fp = _window_simhashes(s[first : last + wide - 1], wide)
                 parts = fp.view(np.uint8).reshape(-1, 8)
@@ -148,8 +150,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     the item's number of words is compared: its SimHash is looked up in a multi-index of eight
     8-bit blocks, in which two fingerprints within ``radius`` agree up to ``radius // 8`` bits in
     some block, so none within the radius is missed; then the weighted Jaccard similarity of
-    their shingles (weight: occurrences) decides. Only windows that share a shingle with some item
-    are fingerprinted, for no other can be similar. At a similarity of 0.8 the expected distance is
+    their shingles (weight: occurrences) decides. Only windows of which the share ``least_similarity``
+    of shingles occurs in the benchmark are fingerprinted, for no other can be as similar. At a similarity of 0.8 the expected distance is
     10 bits, the default radius lies over five standard deviations above.
 
     A row per document row and item, with the best window (the first on ties). Items of fewer words
