@@ -143,6 +143,29 @@ def _found(batches: Iterator[pa.RecordBatch], sent: Broadcast, k: int, radius: i
         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(i, pa.int64())), pa.array(item, item_type), pa.array(sim, pa.float64()), pa.array(far, pa.int32()), pa.array(at, pa.int64()), pa.array(width, pa.int64())], ["doc_id", "item_id", "similarity", "distance", "start_word", "n_words"])
 
 
+def _item_blocks(benchmark: DataFrame, item_col: str, item_text_col: str, items_per_block: int) -> Iterator[Broadcast]:
+    items = benchmark.select(F.col(item_col).alias("item_id"), utf8(item_text_col).alias("text")).distinct()
+    blocks = max(1, math.ceil(items.count() / items_per_block))
+    for block in range(blocks):
+        part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
+        yield benchmark.sparkSession.sparkContext.broadcast([(r[0], bytes(r[1])) for r in part.collect()])
+
+
+def _clean(batches: Iterator[pa.RecordBatch], sent: Broadcast, k: int, radius: int, least: float) -> Iterator[pa.RecordBatch]:
+    index = _Index(sent.value, k, radius)
+    for batch in batches:
+        texts = batch.column(batch.num_columns - 1).to_pylist()
+        ok = [next(index.matches(t, least), None) is None for t in texts]
+        yield batch.select(batch.schema.names[:-1]).filter(pa.array(ok, pa.bool_()))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", words_per_shingle: int = 5, least_similarity: float = 0.8, radius: int = 26, items_per_block: int = 8192) -> DataFrame:
+    """The rows of ``docs``, with all their columns, in which `contaminated` finds no item."""
+    for sent in _item_blocks(benchmark, item_col, item_text_col, items_per_block):
+        docs = docs.select("*", utf8(text_col).alias("__bytes")).mapInArrow(partial(_clean, sent=sent, k=words_per_shingle, radius=radius, least=least_similarity), docs.schema)
+    return docs
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", words_per_shingle: int = 5, least_similarity: float = 0.8, radius: int = 26, items_per_block: int = 8192) -> DataFrame:
     """Documents that hold a benchmark item: ``doc_id, item_id, similarity, distance, start_word, n_words``.
 
@@ -161,16 +184,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     The items are taken in blocks of at most about ``items_per_block``, by a hash of id and text, and
     each block is sent to all tasks, so what is broadcast is bounded; documents do not move.
     """
-    spark = docs.sparkSession
-    items = benchmark.select(F.col(item_col).alias("item_id"), utf8(item_text_col).alias("text")).distinct()
-    n = items.count()
-    blocks = max(1, math.ceil(n / items_per_block))
     source = docs.select(F.col(id_col).alias("doc_id"), utf8(text_col).alias("text"))
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("item_id", benchmark.schema[item_col].dataType), T.StructField("similarity", T.DoubleType()), T.StructField("distance", T.IntegerType()), T.StructField("start_word", T.LongType()), T.StructField("n_words", T.LongType())])
     item_type = to_arrow_type(benchmark.schema[item_col].dataType)
     out = None
-    for block in range(blocks):
-        sent = spark.sparkContext.broadcast([(r[0], bytes(r[1])) for r in items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()])
+    for sent in _item_blocks(benchmark, item_col, item_text_col, items_per_block):
         part = source.mapInArrow(partial(_found, sent=sent, k=words_per_shingle, radius=radius, least=least_similarity, item_type=item_type), schema)
         out = part if out is None else out.unionByName(part)
     return out

@@ -227,6 +227,26 @@ def identify(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id
     return rows.mapInArrow(partial(_identified, sent=sent), schema)
 
 
+def _accepted(batches: Iterator[pa.RecordBatch], sent: Broadcast) -> Iterator[pa.RecordBatch]:
+    model: LanguageModel = sent.value
+
+    def lettered() -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(batch.columns[:-1], batch.schema.names[:-1]), batch.column(batch.num_columns - 1)], ["row", "text"])
+
+    for batch, entropy, n in _scores(lettered(), sent):
+        ok = (n > 0) & (entropy.min(axis=1) <= model.limit(entropy.argmin(axis=1), np.maximum(n, 1)))
+        yield pa.RecordBatch.from_struct_array(batch.column(0).filter(pa.array(ok)))
+
+
+def accepted(docs: DataFrame, model: LanguageModel | None, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that `identify` doesn't reject; none without a model."""
+    if model is None:
+        return docs.limit(0)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    return docs.select("*", F.col(text_col).cast("string").alias("__text")).mapInArrow(partial(_accepted, sent=sent), docs.schema)
+
+
 def held_out(modulus: int, rest: int):
     """Whether crc32 of doc_id as text leaves ``rest`` (a null id counts as empty text)."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % modulus == rest
