@@ -17,6 +17,27 @@ VIEWS = {
                row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate) - 1 AS pos
         FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {supplier} ON l_suppkey = s_suppkey
              JOIN {nation} ON s_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey""",
+    "v_nodes": """
+        SELECT tree_id, sample_id, lo, hi, depth, parent_lo, is_leaf, label, dist FROM (
+            SELECT tree_id, sample_id, 0 AS lo, max(pos) + CAST(floor(max(pos) / 2.0) AS BIGINT) + 1 + 1 AS hi, 0 AS depth, CAST(NULL AS BIGINT) AS parent_lo, FALSE AS is_leaf, CAST(NULL AS STRING) AS label, 0.0 AS dist
+            FROM {v_leaves} GROUP BY tree_id, sample_id
+            UNION ALL
+            SELECT tree_id, sample_id, 1 + CAST(floor(pos / 2.0) AS BIGINT) * 3, 1 + CAST(floor(pos / 2.0) AS BIGINT) * 3 + count(*), 1, 0, FALSE, NULL, 1.0
+            FROM {v_leaves} GROUP BY tree_id, sample_id, CAST(floor(pos / 2.0) AS BIGINT)
+            UNION ALL
+            SELECT tree_id, sample_id, 2 + CAST(floor(pos / 2.0) AS BIGINT) * 3 + pos % 2, 2 + CAST(floor(pos / 2.0) AS BIGINT) * 3 + pos % 2, 2, 1 + CAST(floor(pos / 2.0) AS BIGINT) * 3, TRUE, species, dist
+            FROM {v_leaves}) n""",
+    "v_newick": """
+        SELECT tree_id, sample_id, concat('(', string_agg(pair, ',' ORDER BY k), ');') AS newick FROM (
+            SELECT tree_id, sample_id, CAST(floor(pos / 2.0) AS BIGINT) AS k, concat('(', string_agg(concat(species, ':', CAST(CAST(dist AS INT) AS STRING)), ',' ORDER BY pos), '):1') AS pair
+            FROM {v_leaves} GROUP BY tree_id, sample_id, CAST(floor(pos / 2.0) AS BIGINT)) p
+        GROUP BY tree_id, sample_id""",
+    "v_truth_events": """
+        SELECT c_custkey AS event_ix, c_custkey % 21 AS sample_id, CASE WHEN c_acctbal < 0 THEN 'auto' ELSE 'allo' END AS event_type, n_name AS target, r_name AS target_clade, c_mktsegment = 'BUILDING' AS whole_clade, (c_nationkey + 1) % 25 AS partner_key
+        FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey""",
+    "v_edge_scores": """
+        SELECT d.source AS sample_id, d.doc_id AS edge_ix, d.lang AS config, least(d.n_chars / 5000.0, 1.0) AS prob, l.quality AS target
+        FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id""",
     "v_comparisons": """
         SELECT network, config, method, replicate, metric, CASE WHEN m > 150 THEN NULL ELSE m END AS value,
                CASE WHEN m > 150 THEN 'FAILED' ELSE 'SUCCESS' END AS status
@@ -50,7 +71,7 @@ class Views:
             if name in TABLES:
                 self._known[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
             elif name in VIEWS:
-                self._known[name] = self.spark.sql(VIEWS[name], **{x: getattr(self, x) for x in set(re.findall(r"\{(\w+)\}", VIEWS[name]))})
+                self._known[name] = self.spark.sql(re.sub(r"string_agg\((.*?) ORDER BY (\w+)\)", r"string_agg(\1) WITHIN GROUP (ORDER BY \2)", VIEWS[name]), **{x: getattr(self, x) for x in set(re.findall(r"\{(\w+)\}", VIEWS[name]))})
             else:
                 raise AttributeError(name)
         return self._known[name]
