@@ -27,6 +27,9 @@ VIEWS = {
             UNION ALL
             SELECT tree_id, sample_id, 2 + CAST(floor(pos / 2.0) AS BIGINT) * 3 + pos % 2, 2 + CAST(floor(pos / 2.0) AS BIGINT) * 3 + pos % 2, 2, 1 + CAST(floor(pos / 2.0) AS BIGINT) * 3, TRUE, species, dist
             FROM {v_leaves}) n""",
+    "v_mul": "SELECT tree_id, pos, clade AS species, CAST(floor(pos / 2.0) AS BIGINT) AS k, 2 + CAST(floor(pos / 2.0) AS BIGINT) * 3 + pos % 2 AS lo FROM {v_leaves}",
+    "v_truth_copies": "SELECT tree_id, clade AS species, count(*) AS n FROM {v_leaves} GROUP BY tree_id, clade",
+    "v_inferred_copies": "SELECT tree_id, clade AS species, count(*) AS n FROM {v_leaves} WHERE dist > 10 GROUP BY tree_id, clade",
     "v_newick": """
         SELECT tree_id, sample_id, concat('(', string_agg(pair, ',' ORDER BY k), ');') AS newick FROM (
             SELECT tree_id, sample_id, CAST(floor(pos / 2.0) AS BIGINT) AS k, concat('(', string_agg(concat(species, ':', CAST(CAST(dist AS INT) AS STRING)), ',' ORDER BY pos), '):1') AS pair
