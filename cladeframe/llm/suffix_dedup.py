@@ -147,9 +147,9 @@ def repeated_windows(texts: list[bytes], windows: list[int], length: int) -> lis
     first = np.concatenate([[0], np.cumsum(sizes + len(pad))[:-1]])
     up = np.zeros(len(data), bool)  # type B
     differs = np.flatnonzero(data[:-1] != data[1:])
-    i = np.minimum(np.searchsorted(differs, np.arange(len(data))), max(0, len(differs) - 1))
-    if len(differs):
-        up = data[differs[i]] < data[np.minimum(differs[i] + 1, len(data) - 1)]
+    if len(differs):  # a byte is as the last one of its run of equal bytes
+        rises = data[differs] < data[differs + 1]
+        up[: differs[-1] + 1] = np.repeat(rises, np.diff(differs, prepend=-1))
     windows = np.array(windows)
     stops = np.flatnonzero(up)  # the next type B suffix, or the end
     last = first + windows - 1
@@ -252,7 +252,7 @@ def _removed(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string()), pa.array(where, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, anchor: int = 64, hot: int = 20_000, part_bytes: int = 8 << 20) -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, anchor: int = 64, hot: int = 5000, part_bytes: int = 2 << 20) -> DataFrame:
     """Finds every byte covered by a string of ``length`` bytes that starts at another place of any text, too.
 
     Returns one row per input row: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans``, with
