@@ -21,7 +21,7 @@ from .language_id import held_out
 START, END = b"\n", b"\x0b"
 #: Bytes that can follow: all but the white space, the space between words, and the end.
 ALPHABET = 256 - 6 + 2
-SLICE_BYTES = 32 << 20
+SLICE_BYTES = 16 << 20
 GRAMS, WORDS = 0, 1
 
 
@@ -185,6 +185,36 @@ def _answered(group: pa.Table, order: int, sent: Broadcast) -> pa.Table:
     return pa.table({"slice": pa.array(s, pa.int64()), "kind": pa.array(kind, pa.int32()), "keys": pa.array(keys, pa.binary()), "values": pa.array(values, pa.binary())})
 
 
+class _Lookup:
+    """Places of codes in an array by open addressing: one or two probes instead of a binary search."""
+
+    def __init__(self, codes: np.ndarray):
+        self.codes, bits = codes, max(4, len(codes).bit_length() + 1)
+        self.shift, self.last = np.uint64(64 - bits), np.int64((1 << bits) - 1)
+        self.places = np.full(1 << bits, -1, np.int32)
+        rest = np.arange(len(codes), dtype=np.int32)
+        slot = self._slot(codes)
+        while len(rest):
+            free = self.places[slot] < 0
+            self.places[slot[free]] = rest[free]
+            lost = self.places[slot] != rest
+            rest, slot = rest[lost], (slot[lost] + 1) & self.last
+
+    def _slot(self, codes: np.ndarray) -> np.ndarray:
+        return ((codes * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def __call__(self, codes: np.ndarray) -> np.ndarray:
+        """All codes must be there."""
+        slot = self._slot(codes)
+        found = self.places[slot]
+        rest = np.flatnonzero(self.codes[found] != codes)
+        while len(rest):
+            slot[rest] = (slot[rest] + 1) & self.last
+            found[rest] = self.places[slot[rest]]
+            rest = rest[self.codes[found[rest]] != codes[rest]]
+        return found
+
+
 def _scored(docs: pa.Table, answers: pa.Table, order: int, total: int, distinct: int) -> pa.Table:
     codes, logps, known = [np.zeros(0, np.uint64)], [np.zeros(0)], {}
     for kind, keys, values in zip(*(answers.column(c).to_pylist() for c in ("kind", "keys", "values"))):
@@ -194,11 +224,10 @@ def _scored(docs: pa.Table, answers: pa.Table, order: int, total: int, distinct:
         else:
             known.update(zip(keys.split(START), np.frombuffer(values, np.float64).tolist()))
     code = np.concatenate(codes)
-    sort = np.argsort(code)
-    code, logp = code[sort], np.concatenate(logps)[sort]
+    logp, place = np.concatenate(logps), _Lookup(code)
     score, base, n_tokens, n_known = [], [], [], []
     for _, _, words, own, doc in _streams(docs.column("text").to_pylist(), order):
-        score.append(np.bincount(doc, logp[np.searchsorted(code, own)], len(words)))
+        score.append(np.bincount(doc, logp[place(own)], len(words)))
         n = np.array([len(w) + 1 for w in words])
         c = np.fromiter((known[w] for ws in words for w in (*ws, b"")), np.float64, n.sum())
         of = np.repeat(np.arange(len(words)), n)
@@ -221,7 +250,7 @@ def ppm_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col:
     training row all bytes are equally likely. A null ``train`` counts as false; repeated rows count
     and are scored each; other columns are not read.
 
-    No model is gathered in one place. Documents are dealt by a hash to slices of some 32 MB; each
+    No model is gathered in one place. Documents are dealt by a hash to slices of some 16 MB; each
     slice sends its distinct n-grams and words, with their counts, to buckets: n-grams by the last two
     bytes of their context, so a bucket holds whole branches of the trie, words by a hash. A bucket
     adds up the slices' counts, computes the probabilities, and answers each slice with those it
