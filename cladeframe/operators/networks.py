@@ -140,3 +140,49 @@ def leaf_set_distance(matches: DataFrame, left: DataFrame, right: DataFrame) ->
     both = count(left, "l").join(count(right, "r"), "tree_id", "full").join(per, "tree_id", "left").na.fill(0)
     most = F.greatest("l", "r")
     return both.select("tree_id", ((F.col("dist") + most - F.col("m")) / most).alias("dist"), ((F.col("fp") + most - F.col("l")) / most).alias("fp"), ((F.col("fn") + most - F.col("r")) / most).alias("fn"))
+
+
+def network_edges(nodes: DataFrame, max_height: int) -> DataFrame:
+    """Distinct edges of the folded networks, ``tree_id, parent, child``: every node stands for the first of its like."""
+    codes = canonical_codes(nodes, max_height)
+    first = codes.groupBy("tree_id", "code").agg(F.min("lo").alias("node"))
+    named = codes.join(first, ["tree_id", "code"]).select("tree_id", "lo", "parent_lo", "node")
+    up = named.select("tree_id", F.col("lo").alias("parent_lo"), F.col("node").alias("parent"))
+    return named.join(up, ["tree_id", "parent_lo"]).select("tree_id", "parent", F.col("node").alias("child")).distinct()
+
+
+def mu_vectors(nodes: DataFrame, max_height: int) -> DataFrame:
+    """Path-count vector of every network node: ``tree_id, node, in_degree, vector`` (sorted ``species:paths``).
+
+    Nodes with one way in and one way out are passed over first, by joining their ends; then counts
+    flow from the leaves up, one round per height: the vector of a node adds up its children's.
+    """
+    edges = cut(network_edges(nodes, max_height), "edges")
+    for _ in range(max_height):
+        degree = edges.groupBy(F.col("child").alias("node"), "tree_id").agg(F.count("*").alias("ins")).join(edges.groupBy(F.col("parent").alias("node"), "tree_id").agg(F.count("*").alias("outs")), ["tree_id", "node"])
+        idle = degree.filter("ins = 1 and outs = 1").select("tree_id", "node")
+        top = idle.join(edges.select("tree_id", F.col("parent"), F.col("child").alias("node")), ["tree_id", "node"])
+        top = top.join(idle.select("tree_id", F.col("node").alias("parent")), ["tree_id", "parent"], "left_anti")
+        low = edges.select("tree_id", F.col("parent").alias("node"), "child")
+        bridges = top.join(low, ["tree_id", "node"])
+        gone = bridges.select("tree_id", "node")
+        kept = edges.join(gone.withColumnRenamed("node", "parent"), ["tree_id", "parent"], "left_anti").join(gone.withColumnRenamed("node", "child"), ["tree_id", "child"], "left_anti")
+        edges = cut(kept.select("tree_id", "parent", "child").unionByName(bridges.select("tree_id", "parent", "child")).distinct(), "edges")
+    names = canonical_codes(nodes, max_height).join(nodes.filter("is_leaf").select("tree_id", "lo", "label"), ["tree_id", "lo"])
+    done = names.groupBy("tree_id", "code").agg(F.min("lo").alias("node"), F.min("label").alias("species")).select("tree_id", "node", "species", F.lit(1).cast("long").alias("paths"))
+    for _ in range(max_height):
+        flowed = edges.join(done.select("tree_id", F.col("node").alias("child"), "species", "paths"), ["tree_id", "child"]).groupBy("tree_id", F.col("parent").alias("node"), "species").agg(F.sum("paths").alias("paths"))
+        leaf = done.join(edges.select("tree_id", F.col("parent").alias("node")).distinct(), ["tree_id", "node"], "left_anti")
+        done = cut(leaf.unionByName(flowed), "paths")
+    ins = edges.groupBy("tree_id", F.col("child").alias("node")).agg(F.count("*").alias("in_degree"))
+    vectors = done.groupBy("tree_id", "node").agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "species", F.col("paths").cast("string")))), ",").alias("vector"))
+    return vectors.join(ins, ["tree_id", "node"], "left").select("tree_id", "node", F.coalesce("in_degree", F.lit(0)).alias("in_degree"), "vector")
+
+
+def mu_distance(truth: DataFrame, inferred: DataFrame) -> DataFrame:
+    """Share of vectors (with in-degree) of either network of a pair whose value the other lacks: ``tree_id, distance``."""
+    key = ["tree_id", "in_degree", "vector"]
+    alone = lambda a, b: a.join(b.select(key).distinct(), key, "left_anti").groupBy("tree_id").agg(F.count("*").alias("alone"))
+    both = truth.select(key).unionByName(inferred.select(key)).groupBy("tree_id").agg(F.count("*").alias("total"))
+    off = alone(truth, inferred).unionByName(alone(inferred, truth)).groupBy("tree_id").agg(F.sum("alone").alias("alone"))
+    return both.join(off, "tree_id", "left").select("tree_id", (F.coalesce("alone", F.lit(0)) / F.col("total")).alias("distance"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-TOKEN = r"[()]|:[^(),:;]+|[^(),:;\s][^(),:;]*"
+TOKEN = r"[(),]|:[^(),:;]+|[^(),:;\s][^(),:;]*"
 
 
 def parse_newick(corpus: DataFrame) -> DataFrame:
@@ -25,14 +25,14 @@ def parse_newick(corpus: DataFrame) -> DataFrame:
     open_, close = F.col("token") == "(", F.col("token") == ")"
     tokens = tokens.withColumns({"before": F.lag("token").over(by), "next": F.lead("token").over(by), "next2": F.lead("token", 2).over(by), "opened": F.sum(F.when(open_, 1).when(close, -1).otherwise(0)).over(by)})
     length = lambda c: F.col(c).startswith(":")
-    leaf = ~open_ & ~close & ~length("token") & (F.col("before").isNull() | (F.col("before") != ")"))
+    leaf = ~F.col("token").isin("(", ")", ",") & ~length("token") & (F.col("before").isNull() | (F.col("before") != ")"))
     tokens = tokens.withColumn("leaf", leaf).withColumn("level", F.when(open_, F.col("opened") - 1).otherwise(F.col("opened")))
     started = F.sum((open_ | F.col("leaf")).cast("long")).over(by)
     tokens = tokens.withColumn("lo", started - 1)
     level = W.partitionBy("tree_id", "level").orderBy("at")
     brackets = tokens.filter(open_ | close)
     number = lambda c: F.substring(c, 2, 40).cast("double")
-    name = F.when(~length("next") & ~F.col("next").isin("(", ")"), F.col("next"))
+    name = F.when(~length("next") & ~F.col("next").isin("(", ")", ","), F.col("next"))
     dist = F.when(length("next"), number("next")).when(name.isNotNull() & length("next2"), number("next2"))
     ends = brackets.withColumns({"label": name, "dist": dist})
     inner = ends.withColumns({"hi": F.lead("lo").over(level), "label": F.lead("label").over(level), "dist": F.lead("dist").over(level)}).filter(open_)
@@ -184,3 +184,45 @@ def prune(nodes: DataFrame, kept: DataFrame) -> DataFrame:
     own = left.select("tree_id", F.col("leaf").alias("lo"), F.col("leaf").alias("first"), F.col("leaf").alias("last"), F.lit(1).cast("long").alias("n"))
     held = inner.unionByName(own).join(nodes.select("tree_id", "lo", "label", "dist"), ["tree_id", "lo"])
     return held.groupBy("tree_id", "first", "last", "n").agg(F.min("lo").alias("lo"), F.max_by("label", "lo").alias("label"), F.sum("dist").alias("dist"))
+
+
+def bipartitions(nodes: DataFrame) -> DataFrame:
+    """Unrooted splits of trees with one leaf per species: ``tree_id, side`` (the smaller side, then the one that sorts first)."""
+    single = leaves(nodes).groupBy("tree_id").agg(F.sort_array(F.collect_list("species")).alias("all"), F.count_distinct("species").alias("kinds")).filter(F.size("all") == F.col("kinds"))
+    sets = species_sets(nodes).filter("parent_lo is not null").join(single, "tree_id")
+    rest = F.array_except("all", "set")
+    side = F.when(F.size("set") < F.size(rest), F.col("set")).when(F.size("set") > F.size(rest), rest).otherwise(F.least(F.col("set"), rest))
+    return sets.filter((F.size("set") > 1) & (F.size(rest) > 1)).select("tree_id", F.array_join(side, ",").alias("side")).distinct()
+
+
+def robinson_foulds(trees: DataFrame, reference: DataFrame) -> DataFrame:
+    """Splits that only one of a tree and its reference has, and that number over all splits of both.
+
+    Both are ``key, tree_id, side`` and ``key, side``: trees meet the reference of their key.
+    """
+    own = trees.groupBy("key", "tree_id").agg(F.count("*").alias("n"))
+    other = reference.groupBy("key").agg(F.count("*").alias("m"))
+    shared = trees.join(reference, ["key", "side"]).groupBy("tree_id").agg(F.count("*").alias("shared"))
+    d = F.col("n") + F.col("m") - 2 * F.coalesce("shared", F.lit(0))
+    return own.join(other, "key").join(shared, "tree_id", "left").select("tree_id", d.alias("rf"), (d / (F.col("n") + F.col("m"))).alias("normalised"))
+
+
+def concordance(nodes: DataFrame, clades: DataFrame) -> DataFrame:
+    """Share of informative trees in which a clade of a species tree is found as a clade or as the rest of one.
+
+    ``clades`` is ``clade, species``. A tree is informative if two or more of the clade's species and
+    one other are in it. Clades are broadcast; trees are matched by hashed species sets.
+    """
+    own = leaves(nodes).groupBy("tree_id").agg(F.sort_array(F.collect_set("species")).alias("all"))
+    wanted = clades.groupBy("clade").agg(F.sort_array(F.collect_set("species")).alias("want"))
+    asked = own.crossJoin(F.broadcast(wanted)).select("tree_id", "clade", F.array_intersect("all", "want").alias("inside"), F.array_except("all", "want").alias("outside")).filter((F.size("inside") > 1) & (F.size("outside") > 0))
+    key = lambda c: F.xxhash64(F.array_join(c, ","))
+    have = species_sets(nodes).select("tree_id", key("set").alias("key")).distinct()
+    tries = asked.select("tree_id", "clade", F.explode(F.array(key("inside"), key("outside"))).alias("key"))
+    met = tries.join(have, ["tree_id", "key"], "left_semi").select("tree_id", "clade").distinct().groupBy("clade").agg(F.count("*").alias("met"))
+    return asked.groupBy("clade").agg(F.count("*").alias("informative")).join(met, "clade", "left").select("clade", "informative", (F.coalesce("met", F.lit(0)) / F.col("informative")).alias("concordance"))
+
+
+def diverse_leaves(nodes: DataFrame) -> DataFrame:
+    """The one leaf of each species farthest from the root of its tree (the first on ties)."""
+    return tip_distances(nodes).groupBy("tree_id", "species").agg(F.min_by("leaf", F.struct(-F.col("distance"), "leaf")).alias("leaf"))

@@ -118,3 +118,17 @@ def _(v):
 def _(v):
     both = N.ploidy_difference(v.v_truth_copies, v.v_inferred_copies).join(N.polyploid_jaccard(v.v_truth_copies, v.v_inferred_copies).withColumnRenamed("dist", "other"), "tree_id")
     return N.identical(both, ["dist", "other"])
+
+
+@query("n6_mu_vectors")
+def _(v):
+    return N.mu_vectors(mul_nodes(v), 2)
+
+
+@query("n8_mu_distance")
+def _(v):
+    """Each tree against the one with its pairs formed from the odd leaves last."""
+    nodes = mul_nodes(v)
+    other = v.v_mul.select("tree_id", "lo", F.col("species").alias("clade"))
+    shifted = v.v_nodes.join(other.withColumn("lo", F.col("lo") - 3).filter("lo >= 2"), ["tree_id", "lo"], "left").withColumn("label", F.coalesce("clade", F.when(F.col("is_leaf"), F.lit("none")))).drop("clade")
+    return rounded(N.mu_distance(N.mu_vectors(nodes, 2), N.mu_vectors(shifted, 2)))

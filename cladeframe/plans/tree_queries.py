@@ -221,3 +221,28 @@ for _rule, _value, _sql in (("constant", 3, "3"), ("percentile", 0.9, "quantile_
     @query(f"f17_filter_{_rule}", f"SELECT c.sample_id, multiset, support, {r('threshold', 'threshold')} FROM ({CLUSTERS}) c JOIN (SELECT sample_id, CAST({_sql} AS DOUBLE) AS threshold FROM ({CLUSTERS}) d GROUP BY sample_id) t ON c.sample_id = t.sample_id WHERE support >= threshold")
     def _(v, rule=_rule, value=_value):
         return rounded(flat(X.filter_clusters(clusters(v), rule, value)))
+
+
+SIDES = f"WITH w AS (SELECT tree_id, count(*) AS n, count(DISTINCT species) AS kinds, list_sort(list(species)) AS whole FROM v_leaves GROUP BY tree_id), s AS (SELECT tree_id, {PAIR} AS k, list_sort(list(species)) AS own FROM v_leaves GROUP BY tree_id, {PAIR}), x AS (SELECT s.tree_id, own, list_sort(list_filter(whole, lambda e: NOT list_contains(own, e))) AS rest FROM s JOIN w ON s.tree_id = w.tree_id WHERE n = kinds) SELECT DISTINCT tree_id, array_to_string(CASE WHEN len(own) < len(rest) THEN own WHEN len(own) > len(rest) THEN rest ELSE least(own, rest) END, ',') AS side FROM x WHERE len(own) > 1 AND len(rest) > 1"
+
+
+@query("t8_bipartitions", SIDES)
+def _(v):
+    return T.bipartitions(v.v_nodes)
+
+
+@query("t8_robinson_foulds", f"WITH b AS (SELECT tree_id % 40 AS key, q.* FROM ({SIDES}) q), ref AS (SELECT key, min(tree_id) AS t FROM b GROUP BY key), r AS (SELECT b.key, b.side FROM b JOIN ref ON b.key = ref.key AND b.tree_id = ref.t), n AS (SELECT key, tree_id, count(*) AS n FROM b GROUP BY ALL), m AS (SELECT key, count(*) AS m FROM r GROUP BY key), s AS (SELECT b.tree_id, count(*) AS shared FROM b JOIN r ON b.key = r.key AND b.side = r.side GROUP BY b.tree_id) SELECT n.tree_id, n + m - 2 * coalesce(shared, 0) AS rf, {r('(n + m - 2 * coalesce(shared, 0)) / (n + m)', 'normalised')} FROM n JOIN m ON n.key = m.key LEFT JOIN s ON s.tree_id = n.tree_id")
+def _(v):
+    own = T.bipartitions(v.v_nodes).withColumn("key", F.col("tree_id") % 40)
+    first = own.groupBy("key").agg(F.min("tree_id").alias("tree_id"))
+    return rounded(T.robinson_foulds(own, own.join(first, ["key", "tree_id"]).select("key", "side")))
+
+
+@query("t3_concordance", f"WITH c AS ({CLADES}), a AS (SELECT DISTINCT tree_id, species FROM v_leaves), i AS (SELECT a.tree_id, k.clade, count(CASE WHEN c.clade = k.clade THEN 1 END) AS inside, count(CASE WHEN c.clade <> k.clade THEN 1 END) AS outside, string_agg(CASE WHEN c.clade = k.clade THEN a.species END, ',' ORDER BY a.species) AS want, string_agg(CASE WHEN c.clade <> k.clade THEN a.species END, ',' ORDER BY a.species) AS rest FROM a JOIN c ON a.species = c.species CROSS JOIN (SELECT DISTINCT clade FROM c) k GROUP BY a.tree_id, k.clade), g AS (SELECT * FROM i WHERE inside > 1 AND outside > 0), h AS (SELECT tree_id, string_agg(DISTINCT species, ',' ORDER BY species) AS key FROM v_leaves GROUP BY tree_id, {PAIR} UNION SELECT tree_id, species FROM v_leaves UNION SELECT tree_id, string_agg(DISTINCT species, ',' ORDER BY species) FROM v_leaves GROUP BY tree_id) SELECT g.clade, count(*) AS informative, round(count(CASE WHEN EXISTS (SELECT 1 FROM h WHERE h.tree_id = g.tree_id AND (h.key = g.want OR h.key = g.rest)) THEN 1 END) / count(*), 6) AS concordance FROM g GROUP BY g.clade")
+def _(v):
+    return rounded(T.concordance(v.v_nodes, clades(v)))
+
+
+@query("t10_diverse_leaves", "SELECT tree_id, species, 2 + CAST(floor(pos / 2.0) AS BIGINT) * 3 + pos % 2 AS leaf FROM (SELECT *, row_number() OVER (PARTITION BY tree_id, species ORDER BY dist DESC, pos) AS k FROM v_leaves) q WHERE k = 1")
+def _(v):
+    return T.diverse_leaves(v.v_nodes)

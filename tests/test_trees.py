@@ -122,3 +122,21 @@ def test_names(spark):
     row = spark.createDataFrame([(1.0, 2.0, 0.5, 4.0)], "a double, b double, alpha double, big double")
     assert row.select(P.substitution_model(row, ["a"], ["b"])).first()[0] == "GTR{1.0000}+F{2.0000}+G4{0.5000}"
     assert row.select(P.substitution_model(row, ["a"], ["b"], "big")).first()[0] == "GTR{1.0000}+F{2.0000}"
+
+
+def test_mu_vectors_and_distance(spark, nodes):
+    """The allo network: D has two parents, so the root reaches it twice; the auto one suppresses its doubled clade."""
+    mu = N.mu_vectors(nodes, 4)
+    allo = sorted((r.in_degree, r.vector) for r in mu.filter("tree_id = 2").collect())
+    assert (0, "A:1,B:1,C:1,D:2,E:1") in allo and (2, "D:1") in allo and len(allo) == 10
+    assert {r.distance for r in N.mu_distance(mu, mu).collect()} == {0.0}
+    one, two = mu.filter("tree_id = 1").withColumn("tree_id", F.lit(9)), mu.filter("tree_id = 2").withColumn("tree_id", F.lit(9))
+    d = N.mu_distance(one, two).first().distance
+    assert 0 < d < 1 and d == N.mu_distance(two, one).first().distance
+
+
+def test_robinson_foulds(spark):
+    a = T.parse_newick(spark.createDataFrame([(1, "((a,b),((c,d),e));"), (2, "((b,a),(e,(d,c)));"), (3, "((a,c),((b,d),e));"), (4, "((a,a),b);")], "tree_id long, newick string"))
+    own = T.bipartitions(a).withColumn("key", F.lit(1))
+    got = {r.tree_id: (r.rf, r.normalised) for r in T.robinson_foulds(own, own.filter("tree_id = 1").select("key", "side")).collect()}
+    assert got == {1: (0, 0.0), 2: (0, 0.0), 3: (4, 1.0)}
