@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontamination import op9_decontamination
 from .exact_dedup import OP8_SQL, op8_exact_dedup
 from .language_id import op7_language_id
+from .line_dedup import op6_line_dedup
 from .packing import op3_best_fit_packing
 from .ppm import op4_ppm_scores
 from .quality import op10_quality
@@ -24,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_best_fit_packing": op3_best_fit_packing,
         "op4_ppm_scores": op4_ppm_scores,
         "op5_suffix_dedup": op5_suffix_dedup,
+        "op6_line_dedup": op6_line_dedup,
         "op7_language_id": op7_language_id,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_decontamination": op9_decontamination,
