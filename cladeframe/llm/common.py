@@ -38,5 +38,14 @@ def utf8(column: str | Column) -> Column:
     return F.coalesce(column.cast("string"), F.lit("")).cast("binary")
 
 
+def bounded_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """Lowers the session's Arrow batches to ``rows`` rows at most: texts may be long, and a Python worker holds a batch at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(df.sparkSession.conf.get(key))
+    if now <= 0 or now > rows:
+        df.sparkSession.conf.set(key, rows)
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
