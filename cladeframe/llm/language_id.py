@@ -165,19 +165,20 @@ def _calibration(batches: Iterator[pa.RecordBatch], sent: Broadcast) -> Iterator
         yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(n), pa.array(entropy[np.arange(len(own)), own])], ["lang", "n", "entropy"])
 
 
-def fit(training: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 3000, order: int = 4, reject_quantile: float = 0.999) -> LanguageModel | None:
+def fit(training: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 3000, order: int = 4, reject_quantile: float = 0.999, max_langs: int = 4096) -> LanguageModel | None:
     """Character models of all non-null languages in ``training``; None where there is none.
 
     The fit is on a bounded sample: the documents whose id hashes lowest, ``docs_per_lang`` of each
-    language in expectation; so the model's size is bounded by that parameter, not by the table.
+    language in expectation; so the model's size is bounded by that parameter, not by the table. The ``max_langs`` most
+    frequent languages are learned; their counts are broadcast.
     N-grams are counted in Spark and only counts of distinct ones reach the driver. Rejection is
     calibrated on the sample: by how much, at the ``reject_quantile``, a text's cross-entropy in its
     own language exceeds the mean, overall and in units of 1 / sqrt(characters).
     """
     rows = training.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).filter("lang is not null")
-    counts = rows.groupBy("lang").agg(F.count("*").alias("all"))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("all")).orderBy(F.desc("all"), "lang").limit(max_langs)
     draw = F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(7)), F.lit(1 << 40)) / (1 << 40)
-    sample = cut(rows.join(counts, "lang").filter(draw * F.col("all") < docs_per_lang).select("lang", "text"), "sample")
+    sample = cut(rows.join(F.broadcast(counts), "lang").filter(draw * F.col("all") < docs_per_lang).select("lang", "text"), "sample")
     grams = sample.mapInArrow(partial(_grams, order=order), "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     if grams.empty:
         return None
