@@ -141,3 +141,15 @@ def filter_clusters(clusters: DataFrame, rule: str, value: float) -> DataFrame:
 def polyploid_multiset(representative: DataFrame) -> DataFrame:
     """Each species repeated as often as it has copies."""
     return representative.select("sample_id", F.explode(F.array_repeat("species", F.col("copies").cast("int"))).alias("species"))
+
+
+def propagate(members: DataFrame, values: DataFrame) -> DataFrame:
+    """Mean of the leaf values below every inner node: ``members`` is ``tree_id, lo, species``, ``values`` ``species, value``."""
+    return members.join(F.broadcast(values), "species").groupBy("tree_id", "lo").agg(F.avg("value").alias("value"))
+
+
+def partner_ranks(matrix: DataFrame, truth: DataFrame, k: int = 3) -> DataFrame:
+    """How often a species' true partner is among its first 1 to k candidates by share (ties by name): ``sample_id, n, top1 .. topk``."""
+    rank = F.row_number().over(W.partitionBy("sample_id", "species").orderBy(F.desc("share"), "partner"))
+    met = truth.join(matrix.withColumn("rank", rank), ["sample_id", "species", "partner"], "left")
+    return met.groupBy("sample_id").agg(F.count("*").alias("n"), *(F.avg(F.coalesce(F.col("rank") <= i, F.lit(False)).cast("double")).alias(f"top{i}") for i in range(1, k + 1)))

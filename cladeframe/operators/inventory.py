@@ -57,3 +57,9 @@ def latest_jobs(durations: DataFrame) -> DataFrame:
 def runtime_summary(durations: DataFrame) -> DataFrame:
     s = F.col("seconds")
     return latest_jobs(durations).groupBy("method").agg(F.count("*").alias("n"), F.avg(s).alias("mean"), F.median(s).alias("median"), F.stddev_samp(s).alias("std"), F.min(s).alias("min"), F.max(s).alias("max"))
+
+
+def changed_pairs(pairs: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Pairs of texts whose hashes are not both as in the manifest: ``key, truth_hash, inferred_hash``."""
+    hashed = pairs.select("key", F.sha2("truth", 256).alias("truth_hash"), F.sha2("inferred", 256).alias("inferred_hash"))
+    return hashed.join(manifest, ["key", "truth_hash", "inferred_hash"], "left_anti")

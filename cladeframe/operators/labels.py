@@ -211,3 +211,20 @@ def permutation_importance(rows: DataFrame, features: Sequence[int], seed: int =
         out = out.unionByName(f1(mixed, str(i)))
     base = F.max(F.when(F.col("feature") == "none", F.col("f1"))).over(W.partitionBy(F.lit(1)))
     return out.withColumn("drop", base - F.col("f1")).filter("feature <> 'none'")
+
+
+def detection_by_outcome(scores: DataFrame) -> DataFrame:
+    """Quartiles of a species' best score, and the share of 0.5 or more, by whether it was caught, missed or is diploid.
+
+    ``scores`` is ``sample_id, species, prob, polyploid, predicted``.
+    """
+    best = scores.groupBy("sample_id", "species").agg(F.max("prob").alias("prob"), F.max("polyploid").alias("polyploid"), F.max("predicted").alias("predicted"))
+    outcome = F.when(~F.col("polyploid"), "diploid").when(F.col("predicted"), "caught").otherwise("missed")
+    return best.groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"), *(F.percentile("prob", q).alias(name) for name, q in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))), F.avg((F.col("prob") >= 0.5).cast("double")).alias("sure"))
+
+
+def partner_errors(predictions: DataFrame) -> DataFrame:
+    """Wrong partners by kind: self, reciprocal, near (same clade) or far, per sample: ``sample_id, edge, partner, predicted, clade, predicted_clade``."""
+    back = predictions.select("sample_id", F.col("edge").alias("predicted"), F.col("predicted").alias("returned"))
+    kind = F.when(F.col("predicted") == F.col("edge"), "self").when(F.col("returned") == F.col("edge"), "reciprocal").when(F.col("clade") == F.col("predicted_clade"), "near").otherwise("far")
+    return predictions.filter("predicted <> partner").join(back, ["sample_id", "predicted"], "left").groupBy("sample_id", kind.alias("kind")).agg(F.count("*").alias("n"))

@@ -286,3 +286,22 @@ def describe_scores(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
+
+
+def conditions_table(df: DataFrame, conditions: Sequence[str]) -> DataFrame:
+    """A row per network with a column per condition, then rows MEAN and STD (sample) over the networks: ``network, condition, value``."""
+    wide = df.groupBy(F.col("network").cast("string").alias("network")).pivot("condition", list(conditions)).agg(F.avg("value"))
+    rows = [wide.agg(*(f(c).alias(c) for c in conditions)).select(F.lit(name).alias("network"), *conditions) for name, f in (("MEAN", F.avg), ("STD", F.stddev_samp))]
+    return union_all([wide, *rows])
+
+
+def retention_study(copies: DataFrame, removal: DataFrame) -> DataFrame:
+    """Of polyploids, per network and for all: replicates, distinct species, mean copies, share left with one, and realised retention.
+
+    ``copies`` is ``network, replicate, species, n, genes`` (in how many genes a species has n copies);
+    ``removal`` is ``network, replicate, eligible, reduced``.
+    """
+    weight = F.col("genes")
+    per = copies.rollup("network").agg(F.count_distinct("replicate").alias("replicates"), F.count_distinct("species").alias("polyploids"), (F.sum(F.col("n") * weight) / F.sum(weight)).alias("mean_copies"), (F.sum(F.when(F.col("n") == 1, weight).otherwise(0)) / F.sum(weight)).alias("single"))
+    kept = removal.rollup("network").agg((1 - F.sum("reduced") / F.sum("eligible")).alias("retention"))
+    return per.join(kept, per.network.eqNullSafe(kept.network), "left").select(per.network, "replicates", "polyploids", "mean_copies", "single", "retention")

@@ -297,3 +297,69 @@ def _(v):
     species = v.nation.select(F.col("n_name").alias("species")).union(v.spark.createDataFrame([("NATION",)], "species string"))
     return P.gene_species(genes, species)
 
+
+
+@query("c8_changed_pairs", "SELECT o_orderkey AS key, sha256(o_orderstatus) AS truth_hash, sha256(o_orderpriority) AS inferred_hash FROM orders WHERE o_orderkey % 4 = 0 OR o_orderkey % 9 = 0")
+def _(v):
+    from ..operators import inventory as I
+
+    pairs = v.orders.select(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("truth"), F.col("o_orderpriority").alias("inferred"))
+    stored = pairs.filter("key % 4 <> 0").select("key", F.sha2("truth", 256).alias("truth_hash"), F.sha2(F.when(F.col("key") % 9 == 0, "old").otherwise(F.col("inferred")), 256).alias("inferred_hash"))
+    return I.changed_pairs(pairs, stored)
+
+
+METHODS = ("click", "error", "purchase", "signup", "view")
+
+
+@query("r36_conditions_table", f"WITH w AS (SELECT CAST(network AS VARCHAR) AS network, {', '.join(f'''avg(CASE WHEN method = '{m}' THEN value END) AS {m}''' for m in METHODS)} FROM v_comparisons GROUP BY network), u AS (SELECT * FROM w UNION ALL SELECT 'MEAN', {', '.join(f'avg({m})' for m in METHODS)} FROM w UNION ALL SELECT 'STD', {', '.join(f'stddev_samp({m})' for m in METHODS)} FROM w) SELECT network, {', '.join(r(m, m) for m in METHODS)} FROM u")
+def _(v):
+    return rounded(S.conditions_table(v.v_comparisons.select("network", F.col("method").alias("condition"), "value"), METHODS))
+
+
+DOUBLED = "SELECT tree_id % 21 AS network, tree_id % 5 AS replicate, species, n FROM v_truth_copies WHERE n > 1"
+
+
+@query("r34_retention_study", f"WITH c AS (SELECT network, replicate, species, n, count(*) AS genes FROM ({DOUBLED}) d GROUP BY ALL), m AS (SELECT network, count(*) AS eligible, count(CASE WHEN n = 2 THEN 1 END) AS reduced FROM ({DOUBLED}) d GROUP BY ROLLUP (network)) SELECT p.*, {r('1 - reduced / eligible', 'retention')} FROM (SELECT network, count(DISTINCT replicate) AS replicates, count(DISTINCT species) AS polyploids, {r('sum(n * genes) / sum(genes)', 'mean_copies')}, {r('sum(CASE WHEN n = 1 THEN genes ELSE 0 END) / sum(genes)', 'single')} FROM c GROUP BY ROLLUP (network)) p JOIN m ON p.network IS NOT DISTINCT FROM m.network")
+def _(v):
+    rows = v.v_truth_copies.filter("n > 1").select((F.col("tree_id") % 21).alias("network"), (F.col("tree_id") % 5).alias("replicate"), "species", "n")
+    copies = rows.groupBy("network", "replicate", "species", "n").agg(F.count("*").alias("genes"))
+    removal = rows.groupBy("network", "replicate").agg(F.count("*").alias("eligible"), F.count(F.when(F.col("n") == 2, 1)).alias("reduced"))
+    return rounded(S.retention_study(copies, removal))
+
+
+@query("f14_propagate", "SELECT tree_id, lo, round(avg(n_nationkey), 6) AS value FROM (SELECT DISTINCT n.tree_id, n.lo, l.label AS species FROM v_nodes n JOIN v_nodes l ON n.tree_id = l.tree_id AND l.is_leaf AND l.lo BETWEEN n.lo AND n.hi WHERE NOT n.is_leaf) m JOIN nation ON n_name = species GROUP BY tree_id, lo")
+def _(v):
+    from ..operators import features as X
+    from ..operators import trees as T
+
+    return rounded(X.propagate(T.clade_members(v.v_nodes), v.nation.select(F.col("n_name").alias("species"), F.col("n_nationkey").cast("double").alias("value"))))
+
+
+PARTNERS = "SELECT sample_id, a.n_name AS species, b.n_name AS partner FROM (SELECT DISTINCT sample_id, species FROM v_leaves) l JOIN nation a ON a.n_name = l.species JOIN nation b ON b.n_nationkey = (a.n_nationkey + 1) % 25"
+
+
+@query("l12_partner_ranks", f"WITH m AS (SELECT sample_id, species, partner, count(*) / max(trees) AS share FROM (SELECT DISTINCT a.sample_id, a.tree_id, a.species, b.species AS partner FROM v_leaves a JOIN v_leaves b ON a.tree_id = b.tree_id AND CAST(floor(a.pos / 2.0) AS BIGINT) = CAST(floor(b.pos / 2.0) AS BIGINT) AND a.species <> b.species) s JOIN (SELECT sample_id, count(DISTINCT tree_id) AS trees FROM v_leaves GROUP BY sample_id) t USING (sample_id) GROUP BY sample_id, species, partner), k AS (SELECT *, row_number() OVER (PARTITION BY sample_id, species ORDER BY share DESC, partner) AS rk FROM m) SELECT p.sample_id, count(*) AS n, {', '.join(r(f'avg(CASE WHEN rk <= {i} THEN 1.0 ELSE 0.0 END)', f'top{i}') for i in (1, 2, 3))} FROM ({PARTNERS}) p LEFT JOIN k ON k.sample_id = p.sample_id AND k.species = p.species AND k.partner = p.partner GROUP BY p.sample_id")
+def _(v):
+    from ..operators import features as X
+    from .tree_queries import leaves
+
+    own = leaves(v)
+    a = v.nation.select(F.col("n_name").alias("species"), ((F.col("n_nationkey") + 1) % 25).alias("key"))
+    b = v.nation.select(F.col("n_name").alias("partner"), F.col("n_nationkey").alias("key"))
+    truth = own.select("sample_id", "species").distinct().join(F.broadcast(a.join(b, "key").drop("key")), "species")
+    return rounded(X.partner_ranks(X.coclustering(own), truth))
+
+
+@query("l16_detection_by_outcome", f"SELECT CASE WHEN target = 0 THEN 'diploid' WHEN prob >= 0.3 THEN 'caught' ELSE 'missed' END AS outcome, count(*) AS n, {r('quantile_cont(prob, 0.25)', 'q1')}, {r('quantile_cont(prob, 0.5)', 'median')}, {r('quantile_cont(prob, 0.75)', 'q3')}, {r('avg(CASE WHEN prob >= 0.5 THEN 1.0 ELSE 0.0 END)', 'sure')} FROM (SELECT sample_id, edge_ix % 50 AS species, max(CAST(prob AS DOUBLE)) AS prob, max(target) AS target FROM v_edge_scores GROUP BY ALL) q GROUP BY 1")
+def _(v):
+    scores = v.v_edge_scores.select("sample_id", (F.col("edge_ix") % 50).alias("species"), F.col("prob").cast("double").alias("prob"), (F.col("target") == 1).alias("polyploid"), (F.col("prob") >= 0.3).alias("predicted"))
+    return rounded(L.detection_by_outcome(scores))
+
+
+PREDICTED = "SELECT sample_id, event_ix AS edge, CAST(partner_key AS BIGINT) AS partner, event_ix + event_ix % 3 * 21 - 21 * CAST(event_ix % 2 = 0 AS INT) AS predicted, event_ix % 2 AS clade, event_ix % 5 % 2 AS predicted_clade FROM v_truth_events"
+
+
+@query("m7_partner_errors", f"WITH p AS ({PREDICTED}) SELECT p.sample_id, CASE WHEN p.predicted = p.edge THEN 'self' WHEN b.predicted = p.edge THEN 'reciprocal' WHEN p.clade = p.predicted_clade THEN 'near' ELSE 'far' END AS kind, count(*) AS n FROM p LEFT JOIN p b ON b.sample_id = p.sample_id AND b.edge = p.predicted WHERE p.predicted <> p.partner GROUP BY ALL")
+def _(v):
+    e = F.col("event_ix")
+    return L.partner_errors(v.v_truth_events.select("sample_id", e.alias("edge"), F.col("partner_key").cast("long").alias("partner"), (e + e % 3 * 21 - 21 * (e % 2 == 0).cast("int")).alias("predicted"), (e % 2).alias("clade"), (e % 5 % 2).alias("predicted_clade")))
