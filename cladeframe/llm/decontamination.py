@@ -16,11 +16,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import table, utf8
+from .common import bounded_batches, table, utf8
 
 BLOCKS = 8
 #: Words whose hashes a worker keeps before it starts anew.
-CACHED_WORDS = 500_000
+CACHED_WORDS = 300_000
 
 
 def _words(data: bytes) -> list[bytes]:
@@ -162,7 +162,7 @@ def _clean(batches: Iterator[pa.RecordBatch], sent: Broadcast, k: int, radius: i
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", words_per_shingle: int = 5, least_similarity: float = 0.8, radius: int = 26, items_per_block: int = 8192) -> DataFrame:
     """The rows of ``docs``, with all their columns, in which `contaminated` finds no item."""
     for sent in _item_blocks(benchmark, item_col, item_text_col, items_per_block):
-        docs = docs.select("*", utf8(text_col).alias("__bytes")).mapInArrow(partial(_clean, sent=sent, k=words_per_shingle, radius=radius, least=least_similarity), docs.schema)
+        docs = bounded_batches(docs).select("*", utf8(text_col).alias("__bytes")).mapInArrow(partial(_clean, sent=sent, k=words_per_shingle, radius=radius, least=least_similarity), docs.schema)
     return docs
 
 
@@ -184,7 +184,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     The items are taken in blocks of at most about ``items_per_block``, by a hash of id and text, and
     each block is sent to all tasks, so what is broadcast is bounded; documents do not move.
     """
-    source = docs.select(F.col(id_col).alias("doc_id"), utf8(text_col).alias("text"))
+    source = bounded_batches(docs).select(F.col(id_col).alias("doc_id"), utf8(text_col).alias("text"))
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("item_id", benchmark.schema[item_col].dataType), T.StructField("similarity", T.DoubleType()), T.StructField("distance", T.IntegerType()), T.StructField("start_word", T.LongType()), T.StructField("n_words", T.LongType())])
     item_type = to_arrow_type(benchmark.schema[item_col].dataType)
     out = None

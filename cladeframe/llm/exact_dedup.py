@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, table, utf8
+from .common import bounded_batches, cut, table, utf8
 
 SPACE = re.compile(rb"[\x20\x09-\x0D]+")
 _GEAR = np.random.default_rng(8).integers(0, 2**32, 256, dtype=np.uint32)
@@ -85,7 +85,7 @@ def chunk_recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     key = 0
     while True:
-        pairs = docs.select(utf8(text_col).alias("text")).mapInArrow(partial(_occurrences, size=digest_bytes, key=key), "digest binary, chunk binary").distinct()
+        pairs = bounded_batches(docs).select(utf8(text_col).alias("text")).mapInArrow(partial(_occurrences, size=digest_bytes, key=key), "digest binary, chunk binary").distinct()
         if pairs.groupBy("digest").count().filter("count > 1").isEmpty():
             break
         key, digest_bytes = key + 1, min(64, 2 * digest_bytes)

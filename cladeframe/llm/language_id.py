@@ -16,11 +16,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, table
+from .common import bounded_batches, cut, table
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Words whose scores a worker keeps before it starts anew.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 250_000
 
 
 def _codes(chars: np.ndarray, k: int) -> np.ndarray:
@@ -139,10 +139,10 @@ def _scores(batches: Iterator[pa.RecordBatch], sent: Broadcast) -> Iterator[tupl
     model: LanguageModel = sent.value
     index: dict[str, int] = {}
     known, size = np.zeros((0, len(model.langs)), np.float32), np.zeros(0, np.int64)
-    for batch in batches:
-        texts = [WORD.findall((t or "").lower()) for t in batch.column(1).to_pylist()]
-        for first in range(0, len(texts), 1000):
-            part = texts[first : first + 1000]
+    for whole in batches:
+        for first in range(0, whole.num_rows, 500):
+            batch = whole.slice(first, 500)
+            part = [WORD.findall((t or "").lower()) for t in batch.column(1).to_pylist()]
             new = list({w for words in part for w in words if w not in index})
             if len(index) + len(new) > CACHED_WORDS:
                 index, known, size = {}, known[:0], size[:0]
@@ -156,7 +156,7 @@ def _scores(batches: Iterator[pa.RecordBatch], sent: Broadcast) -> Iterator[tupl
             doc = np.repeat(np.arange(len(part)), lengths)
             n = np.bincount(doc, size[at], len(part))
             bits = np.column_stack([np.bincount(doc, known[at, i], len(part)) for i in range(len(model.langs))])
-            yield batch.slice(first, len(part)), -bits / np.maximum(n, 1)[:, None], n
+            yield batch, -bits / np.maximum(n, 1)[:, None], n
 
 
 def _calibration(batches: Iterator[pa.RecordBatch], sent: Broadcast) -> Iterator[pa.RecordBatch]:
@@ -175,7 +175,7 @@ def fit(training: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     calibrated on the sample: by how much, at the ``reject_quantile``, a text's cross-entropy in its
     own language exceeds the mean, overall and in units of 1 / sqrt(characters).
     """
-    rows = training.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).filter("lang is not null")
+    rows = bounded_batches(training).select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).filter("lang is not null")
     counts = rows.groupBy("lang").agg(F.count("*").alias("all")).orderBy(F.desc("all"), "lang").limit(max_langs)
     draw = F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(7)), F.lit(1 << 40)) / (1 << 40)
     sample = cut(rows.join(F.broadcast(counts), "lang").filter(draw * F.col("all") < docs_per_lang).select("lang", "text"), "sample")
@@ -220,7 +220,7 @@ def identify(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id
     evidence, halved where the text is rejected: its cross-entropy is over the calibrated limit. A
     null text and one without a letter is ``und`` with score 0, rejected. Without a model all are.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = bounded_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     if model is None:
         return rows.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("cross_entropy"), F.lit(True).alias("rejected"))
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("cross_entropy", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
@@ -245,7 +245,7 @@ def accepted(docs: DataFrame, model: LanguageModel | None, text_col: str = "text
     if model is None:
         return docs.limit(0)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.select("*", F.col(text_col).cast("string").alias("__text")).mapInArrow(partial(_accepted, sent=sent), docs.schema)
+    return bounded_batches(docs).select("*", F.col(text_col).cast("string").alias("__text")).mapInArrow(partial(_accepted, sent=sent), docs.schema)
 
 
 def held_out(modulus: int, rest: int):

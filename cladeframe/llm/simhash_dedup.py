@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, table, utf8
+from .common import bounded_batches, cut, table, utf8
 from .components import connected_components
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -46,7 +46,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], k: int, seed: int) -> Itera
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 3, seed: int = 42) -> DataFrame:
     """``doc_id, fp``: the SimHash of each document as a signed long with the same bits; null text counts as empty."""
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("fp", T.LongType())])
-    return docs.select(F.col(id_col).alias("doc_id"), utf8(text_col).alias("text")).mapInArrow(partial(_fingerprints, k=words_per_shingle, seed=seed), schema)
+    return bounded_batches(docs).select(F.col(id_col).alias("doc_id"), utf8(text_col).alias("text")).mapInArrow(partial(_fingerprints, k=words_per_shingle, seed=seed), schema)
 
 
 @lru_cache
