@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import os
+import re
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache, partial
@@ -13,40 +15,88 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, table
+from .common import bounded_batches, cut, table
 
-#: Words that a worker keeps encoded before it starts anew.
-CACHED_WORDS = 400_000
+#: Parts of texts, and plain words, that a worker keeps encoded in the newer of two generations; the older one goes when it is full.
+CACHED_PARTS, CACHED_WORDS = 250_000, 450_000
+#: Letters that lower-case one by one and make one word for the tokenizer, then marks that make the next.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-įı-ſ]+)([!-&(-/:-@\[-^`{-~]*)")
+#: Characters whose lower case may depend on more than themselves, or that may join others.
+JOINING = re.compile(r"[İ\u0250-\U0010FFFF]")
 
 
-@lru_cache(1)
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
+class _Encoder:
+    """The ids of texts as little-endian 32-bit integers.
 
-    found = Tokenizer.from_file(path)
-    found.encode_special_tokens = True
-    return found, {}
+    The tokenizer splits at white space before it does anything that looks further, so the ids of a
+    text are those of its space-separated parts, one after the other, and each distinct part is
+    encoded once. A plain word with marks behind it is in turn the ids of the word in lower case,
+    which the tokenizer takes as well, and those of the marks; new plain words are encoded together, told apart by their end tokens.
+    """
 
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker on each core
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.parts: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {"": b""}
+        self.older_parts: dict[str, bytes] = {}
+        self.older_words: dict[str, bytes] = {}
+
+    def _apart(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _together(self, words: list[str]) -> list[bytes]:
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+        if len(ends) != len(words) or ends[-1] != len(ids):
+            return self._apart(words)
+        raw = ids.tobytes()
+        return [raw[4 * a : 4 * b] for a, b in zip([0, *ends], ends)]
+
+    def _learn(self, parts: list[str]) -> None:
+        plain, odd = [], []
+        for w in parts:
+            m = PLAIN.fullmatch(w)
+            plain.append((w, m[1].lower(), m[2])) if m else odd.append(w)
+        if len(self.words) > CACHED_WORDS:
+            self.words, self.older_words = {"": b""}, self.words
+        new = {x for _, x, _ in plain}.difference(self.words)
+        again = new.intersection(self.older_words)
+        self.words.update((x, self.older_words[x]) for x in again)
+        new = list(new - again)
+        for at in range(0, len(new), 5000):
+            self.words.update(zip(new[at : at + 5000], self._together(new[at : at + 5000])))
+        marks = list({y for _, _, y in plain}.difference(self.words))
+        self.words.update(zip(marks, self._apart(marks)))
+        self.parts.update((w, self.words[x] + self.words[y]) for w, x, y in plain)
+        self.parts.update(zip(odd, self._apart(odd)))
+
+    def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
+        split = []
+        for t in texts:
+            t = t or ""
+            t = t.lower() if t.isascii() or not JOINING.search(t) else t
+            split.append(t.replace("\n", " ").replace("\t", " ").split(" "))
+        found = set().union(*split)
+        new = found.difference(self.parts)
+        if len(self.parts) + len(new) > CACHED_PARTS:
+            self.parts, self.older_parts, new = {}, self.parts, found
+        again = new.intersection(self.older_parts)
+        self.parts.update((w, self.older_parts[w]) for w in again)
+        self._learn(list(new - again))
+        for p in split:
+            yield b"".join(map(self.parts.__getitem__, p))
 
-def _encoded(texts: list[str | None], path: str) -> Iterator[bytes]:
-    """The ids of each text as little-endian 32-bit integers.
 
-    The tokenizer splits at white space before it does anything that looks further, so the ids of
-    a text are those of its space-separated parts, one after the other, and each distinct part is
-    encoded once.
-    """
-    tokenizer, known = _tokenizer(path)
-    parts = [(t or "").replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-    new = list({w for p in parts for w in p if w not in known})
-    if len(known) + len(new) > CACHED_WORDS:
-        known.clear()
-        new = list({w for p in parts for w in p})
-    for at in range(0, len(new), 20_000):
-        block = new[at : at + 20_000]
-        for w, e in zip(block, tokenizer.encode_batch_fast(block, add_special_tokens=False)):
-            known[w] = np.array(e.ids, "<u4").tobytes()
-    for p in parts:
-        yield b"".join(map(known.__getitem__, p))
+@lru_cache(1)
+def _encoder(path: str) -> _Encoder:
+    return _Encoder(path)
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
@@ -55,7 +105,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id:
         texts = batch.column(1).to_pylist()
         for first in range(0, len(texts), 500):
             doc, piece, start, length, crc, kept = [], [], [], [], [], []
-            for i, ids in enumerate(_encoded(texts[first : first + 500], path), first):
+            for i, ids in enumerate(_encoder(path)(texts[first : first + 500]), first):
                 ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
@@ -77,7 +127,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end
     unsigned 32-bit). A null text counts as empty: one piece that holds the end id.
     """
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())] + [T.StructField("ids", T.BinaryType())] * with_ids)
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(partial(_pieces, path=tokenizer_path, capacity=capacity, end_id=end_id, with_ids=with_ids), schema)
+    return bounded_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(partial(_pieces, path=tokenizer_path, capacity=capacity, end_id=end_id, with_ids=with_ids), schema)
 
 
 def dual_feasible_bound(lengths: np.ndarray, capacity: int) -> int:
