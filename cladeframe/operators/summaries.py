@@ -222,7 +222,7 @@ def method_availability(inventory: DataFrame, comparable: DataFrame) -> DataFram
     total = comparable.agg(F.count("*").alias("total"))
     marked = has.join(F.broadcast(comparable.withColumn("ok", F.lit(1))), "network", "left")
     found = marked.groupBy("method").agg(F.count("*").alias("available"), F.count("ok").alias("comparable"))
-    return found.crossJoin(F.broadcast(total)).select("method", "available", "comparable", (F.col("comparable") / F.col("total")).alias("share"))
+    return found.crossJoin(F.broadcast(total)).select("method", "available", "comparable", (F.col("comparable") / F.nullif(F.col("total"), F.lit(0))).alias("share"))
 
 
 def method_pairs(df: DataFrame, keys: Sequence[str] = ("network", "metric")) -> DataFrame:

@@ -199,7 +199,7 @@ def _(v):
     return rounded(S.average_numeric(v.events.withColumn("sample", F.col("user_id") % 25), "sample", ["value", "event_id"]))
 
 
-@query("r24_method_availability", "SELECT method, count(*) AS available, count(CASE WHEN num_species >= 4 THEN 1 END) AS comparable, round(count(CASE WHEN num_species >= 4 THEN 1 END) / (SELECT count(*) FROM v_network_stats WHERE num_species >= 4), 6) AS share FROM (SELECT DISTINCT method, network FROM v_inventory WHERE inferred_exists) i LEFT JOIN v_network_stats USING (network) GROUP BY method")
+@query("r24_method_availability", "SELECT method, count(*) AS available, count(CASE WHEN num_species >= 4 THEN 1 END) AS comparable, round(count(CASE WHEN num_species >= 4 THEN 1 END) / nullif((SELECT count(*) FROM v_network_stats WHERE num_species >= 4), 0), 6) AS share FROM (SELECT DISTINCT method, network FROM v_inventory WHERE inferred_exists) i LEFT JOIN v_network_stats USING (network) GROUP BY method")
 def _(v):
     return rounded(S.method_availability(v.v_inventory, v.v_network_stats.filter("num_species >= 4").select("network")))
 
