@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 
 def event_problems(events: DataFrame) -> DataFrame:
     """Events with what is wrong with them, or null: empty target, allo without partner, unknown type."""
@@ -183,34 +185,41 @@ def edge_classifiers(rows: DataFrame, seed: int = 1) -> DataFrame:
     return threshold_sweep(out, [0.5], ["model"]).select("model", "precision", "recall", "f1")
 
 
-def permutation_importance(rows: DataFrame, features: Sequence[int], seed: int = 1) -> DataFrame:
-    """How much F1 falls when one feature is shuffled over all rows: ``feature, f1, drop``.
+def permutation_importance(rows: DataFrame, features: Sequence[int] | None = None, repeats: int = 5, seed: int = 1) -> DataFrame:
+    """How much F1 falls when one feature is shuffled over all rows, averaged over repeats: ``feature, f1, drop``.
 
-    Two different hash orders of the rows, joined on their ranks, give each row the value of another.
-    Ranks come from a range partition and an offset per partition, so no task sorts all rows.
+    All features of the vector, or those named. Each repeat holds two hash orders of the rows, joined on
+    their ranks, that give each row the values of another; as in the reference a repeat's order serves
+    every feature. Ranks come from a range partition and an offset per partition, so no task sorts all
+    rows. The model is linear, so a shuffled feature moves the row's margin by its coefficient.
     """
-    keyed = rows.select("key", "features", F.col("label").cast("double").alias("label"))
-    vectors = keyed.select(array_to_vector("features").alias("features"), "label")
-    model = LogisticRegression(regParam=0.01).fit(vectors)
-
-    def f1(df: DataFrame, name: str) -> DataFrame:
-        scored = model.transform(df.select(array_to_vector("features").alias("features"), "label")).select(vector_to_array("probability")[1].alias("prob"), F.col("label").cast("int").alias("target"))
-        return threshold_sweep(scored, [0.5]).select(F.lit(name).alias("feature"), "f1")
-
-    def ranked(column, name: str, salt: int) -> DataFrame:
-        dealt = keyed.select(column.alias(name), F.xxhash64("key", F.lit(salt)).alias("h")).repartitionByRange("h").withColumn("p", F.spark_partition_id())
-        counts = dealt.groupBy("p").count()
-        before = counts.select("p", (F.sum("count").over(W.orderBy("p").rowsBetween(W.unboundedPreceding, 0)) - F.col("count")).alias("before"))
-        return dealt.withColumn("k", F.row_number().over(W.partitionBy("p").orderBy("h"))).join(F.broadcast(before), "p").select(name, (F.col("k") + F.col("before")).alias("rank"))
-
-    own = ranked(F.struct("features", "label"), "row", seed)
-    out = f1(keyed, "none")
-    for i in features:
-        other = ranked(F.col("features")[i], "value", seed + 1 + i)
-        mixed = own.join(other, "rank").select(F.transform("row.features", lambda x, j: F.when(j == i, F.col("value")).otherwise(x)).alias("features"), "row.label")
-        out = out.unionByName(f1(mixed, str(i)))
-    base = F.max(F.when(F.col("feature") == "none", F.col("f1"))).over(W.partitionBy(F.lit(1)))
-    return out.withColumn("drop", base - F.col("f1")).filter("feature <> 'none'")
+    keyed = rows.select("key", F.col("features").cast("array<double>").alias("features"), F.col("label").cast("double").alias("label"))
+    model = LogisticRegression(regParam=0.01).fit(keyed.select(array_to_vector("features").alias("features"), "label"))
+    weights = F.array(*(F.lit(float(w)) for w in model.coefficients))
+    margin = F.aggregate(F.zip_with("features", weights, lambda x, w: x * w), F.lit(float(model.intercept)), lambda a, b: a + b)
+    keyed = keyed.select("key", "features", margin.alias("margin"), F.col("label").cast("int").alias("target"))
+
+    def prob(m):
+        return (1 / (1 + F.exp(-m))).alias("prob")
+
+    def ranked(columns: list[str], salt: int) -> DataFrame:
+        dealt = keyed.select(F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("repeat"), "key", *columns).withColumn("h", F.xxhash64("key", "repeat", F.lit(salt)))
+        dealt = cut(dealt.repartitionByRange("repeat", "h").withColumn("p", F.spark_partition_id()), "dealt")
+        counts = dealt.groupBy("repeat", "p").count()
+        before = counts.select("repeat", "p", (F.sum("count").over(W.partitionBy("repeat").orderBy("p").rowsBetween(W.unboundedPreceding, 0)) - F.col("count")).alias("before"))
+        own = F.row_number().over(W.partitionBy("repeat", "p").orderBy("h", "key"))
+        return dealt.withColumn("k", own).join(F.broadcast(before), ["repeat", "p"]).select("repeat", *columns, (F.col("k") + F.col("before")).alias("rank"))
+
+    other = ranked(["features"], seed + 1).withColumnRenamed("features", "others")
+    mixed = ranked(["features", "margin", "target"], seed).join(other, ["repeat", "rank"])
+    moved = F.zip_with(F.zip_with("others", "features", lambda o, x: o - x), weights, lambda d, w: d * w)
+    long = mixed.select("repeat", "margin", "target", F.posexplode(moved).alias("feature", "move"))
+    if features is not None:
+        long = long.filter(F.col("feature").isin(list(features)))
+    scored = long.select(F.col("feature").cast("string").alias("feature"), "repeat", prob(F.col("margin") + F.col("move")), "target")
+    each = threshold_sweep(scored, [0.5], ["feature", "repeat"]).groupBy("feature").agg(F.avg("f1").alias("f1"))
+    base = threshold_sweep(keyed.select(prob(F.col("margin")), "target"), [0.5]).select(F.col("f1").alias("base"))
+    return each.crossJoin(F.broadcast(base)).select("feature", "f1", (F.col("base") - F.col("f1")).alias("drop"))
 
 
 def detection_by_outcome(scores: DataFrame) -> DataFrame:

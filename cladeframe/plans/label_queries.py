@@ -131,7 +131,7 @@ def _(v):
 
 @query("m4_permutation_importance")
 def _(v):
-    return L.permutation_importance(embedded(v), range(4))
+    return L.permutation_importance(embedded(v))
 
 
 LINES = "SELECT lang AS dataset, doc_id AS gene, length(text) AS length, length(text) - length(replace(text, chr(10), '')) + 1 AS sequences, (length(text) - length(replace(replace(text, ' ', ''), '-', ''))) / greatest(length(text), 1) AS gaps FROM documents"
