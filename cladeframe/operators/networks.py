@@ -7,10 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .lineage import cut
-from .trees import canonical_codes, leaves, with_height
+from .trees import canonical_codes, leaves, levels, with_height
 
 
-def fold(nodes: DataFrame, max_height: int) -> DataFrame:
+def fold(nodes: DataFrame, max_height: int | None = None) -> DataFrame:
     """Reticulations of each tree: groups of two or more like subtrees, found from the root down.
 
     At each height live nodes with one canonical code are a group; its first copy stays and the
@@ -19,6 +19,7 @@ def fold(nodes: DataFrame, max_height: int) -> DataFrame:
     the group counts as one allopolyploid group. Every third round is written out, so the plan
     doesn't grow with the height.
     """
+    max_height = levels(nodes, max_height)
     live = with_height(nodes).join(canonical_codes(nodes, max_height).select("tree_id", "lo", "code"), ["tree_id", "lo"])
     live = cut(live.select("tree_id", "lo", "hi", "parent_lo", "height", "code"), "live")
     found = None
@@ -50,7 +51,7 @@ def reticulation_leaves(nodes: DataFrame, reticulations: DataFrame) -> DataFrame
     return reticulations.select("tree_id", "ret_id", "last").join(leaves(nodes), "tree_id").filter("leaf between ret_id and last").select("tree_id", "ret_id", "species").distinct()
 
 
-def duplicated_siblings(nodes: DataFrame, max_height: int) -> DataFrame:
+def duplicated_siblings(nodes: DataFrame, max_height: int | None = None) -> DataFrame:
     """Per tree: groups of like sibling clades that lie in no other such group, and the copies beyond the first."""
     codes = canonical_codes(nodes, max_height).filter("parent_lo is not null")
     groups = codes.groupBy("tree_id", "parent_lo", "code").agg(F.count("*").alias("k"), F.collect_list("lo").alias("members")).filter("k > 1")
@@ -112,23 +113,25 @@ def identical(distances: DataFrame, columns: list[str]) -> DataFrame:
     return distances.select("tree_id", same.alias("identical"))
 
 
-def match_reticulations(left: DataFrame, right: DataFrame, rounds: int = 4) -> DataFrame:
+def match_reticulations(left: DataFrame, right: DataFrame) -> DataFrame:
     """One-to-one pairs of reticulations of the same tree by the Jaccard similarity of their leaf sets.
 
     ``left`` and ``right`` are ``tree_id, ret_id, species``. Pairs that share a species are scored from
     counts; in each round the pairs that are each other's best (ties by ids) are matched and both
-    sides leave. Returns ``tree_id, a, b, shared, n_a, n_b``.
+    sides leave, until no pair is left. Returns ``tree_id, a, b, shared, n_a, n_b``.
     """
     size = lambda d, name: d.groupBy("tree_id", "ret_id").agg(F.count("*").alias(f"n_{name}")).withColumnRenamed("ret_id", name)
     shared = left.withColumnRenamed("ret_id", "a").join(right.withColumnRenamed("ret_id", "b"), ["tree_id", "species"]).groupBy("tree_id", "a", "b").agg(F.count("*").alias("shared"))
     pairs = shared.join(size(left, "a"), ["tree_id", "a"]).join(size(right, "b"), ["tree_id", "b"])
     pairs = cut(pairs.withColumn("score", F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))), "pairs")
     out = None
-    for _ in range(rounds):
+    while True:
         best = lambda key: F.row_number().over(W.partitionBy("tree_id", key).orderBy(F.desc("score"), "a", "b"))
         met = cut(pairs.withColumns({"ra": best("a"), "rb": best("b")}).filter("ra = 1 and rb = 1").drop("ra", "rb"), "matched")
         out = met if out is None else out.unionByName(met)
-        pairs = pairs.join(met.select("tree_id", "a"), ["tree_id", "a"], "left_anti").join(met.select("tree_id", "b"), ["tree_id", "b"], "left_anti")
+        pairs = cut(pairs.join(met.select("tree_id", "a"), ["tree_id", "a"], "left_anti").join(met.select("tree_id", "b"), ["tree_id", "b"], "left_anti"), "pairs")
+        if pairs.isEmpty():
+            break
     return out.select("tree_id", "a", "b", "shared", "n_a", "n_b")
 
 
@@ -142,7 +145,7 @@ def leaf_set_distance(matches: DataFrame, left: DataFrame, right: DataFrame) ->
     return both.select("tree_id", ((F.col("dist") + most - F.col("m")) / most).alias("dist"), ((F.col("fp") + most - F.col("l")) / most).alias("fp"), ((F.col("fn") + most - F.col("r")) / most).alias("fn"))
 
 
-def network_edges(nodes: DataFrame, max_height: int) -> DataFrame:
+def network_edges(nodes: DataFrame, max_height: int | None = None) -> DataFrame:
     """Distinct edges of the folded networks, ``tree_id, parent, child``: every node stands for the first of its like."""
     codes = canonical_codes(nodes, max_height)
     first = codes.groupBy("tree_id", "code").agg(F.min("lo").alias("node"))
@@ -151,12 +154,13 @@ def network_edges(nodes: DataFrame, max_height: int) -> DataFrame:
     return named.join(up, ["tree_id", "parent_lo"]).select("tree_id", "parent", F.col("node").alias("child")).distinct()
 
 
-def mu_vectors(nodes: DataFrame, max_height: int) -> DataFrame:
+def mu_vectors(nodes: DataFrame, max_height: int | None = None) -> DataFrame:
     """Path-count vector of every network node: ``tree_id, node, in_degree, vector`` (sorted ``species:paths``).
 
     Nodes with one way in and one way out are passed over first, by joining their ends; then counts
     flow from the leaves up, one round per height: the vector of a node adds up its children's.
     """
+    max_height = levels(nodes, max_height)
     edges = cut(network_edges(nodes, max_height), "edges")
     for _ in range(max_height):
         degree = edges.groupBy(F.col("child").alias("node"), "tree_id").agg(F.count("*").alias("ins")).join(edges.groupBy(F.col("parent").alias("node"), "tree_id").agg(F.count("*").alias("outs")), ["tree_id", "node"])

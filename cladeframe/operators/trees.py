@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 TOKEN = r"[(),]|:[^(),:;]+|[^(),:;\s][^(),:;]*"
 
 
@@ -139,21 +141,36 @@ def consensus_split(splits: DataFrame) -> DataFrame:
     return splits.groupBy("side").agg(F.count("*").alias("trees")).orderBy(F.desc("trees"), "side").limit(1)
 
 
-def canonical_codes(nodes: DataFrame, max_height: int) -> DataFrame:
+def levels(nodes: DataFrame, max_height: int | None = None) -> int:
+    """Levels of inner nodes: ``max_height``, which no node may lie below, or the greatest depth."""
+    deepest = nodes.agg(F.max("depth")).first()[0] or 0
+    if max_height is not None and deepest > max_height:
+        raise ValueError(f"nodes at depth {deepest}, below max_height={max_height}")
+    return deepest if max_height is None else max_height
+
+
+def canonical_codes(nodes: DataFrame, max_height: int | None = None) -> DataFrame:
     """A code per node, equal exactly for subtrees that are alike up to the order of children.
 
     From the leaves up, one aggregate per level of depth: the code of a node hashes its children's
-    sorted codes. ``max_height`` bounds the number of levels.
+    sorted codes. Every third level is written out, so the plan doesn't double with the depth.
     """
-    done = nodes.filter("is_leaf").select("tree_id", "lo", "parent_lo", "depth", F.sha2(F.col("label"), 256).alias("code"))
+    max_height = levels(nodes, max_height)
+    tips = nodes.filter("is_leaf").select("tree_id", "lo", "parent_lo", "depth", F.sha2(F.col("label"), 256).alias("code"))
+    done, level = tips, None
     for depth in range(max_height - 1, -1, -1):
         up = nodes.filter(f"not is_leaf and depth = {depth}").select("tree_id", "lo", "parent_lo", "depth")
-        codes = done.filter(f"depth = {depth + 1}").groupBy("tree_id", F.col("parent_lo").alias("lo")).agg(F.sha2(F.concat_ws(",", F.sort_array(F.collect_list("code"))), 256).alias("code"))
-        done = done.unionByName(up.join(codes, ["tree_id", "lo"]))
+        children = tips.filter(f"depth = {depth + 1}")
+        children = children if level is None else children.unionByName(level)
+        codes = children.groupBy("tree_id", F.col("parent_lo").alias("lo")).agg(F.sha2(F.concat_ws(",", F.sort_array(F.collect_list("code"))), 256).alias("code"))
+        level = up.join(codes, ["tree_id", "lo"])
+        if (max_height - depth) % 3 == 0:
+            level = cut(level, "codes")
+        done = done.unionByName(level)
     return done
 
 
-def collapse_identical(nodes: DataFrame, max_height: int) -> DataFrame:
+def collapse_identical(nodes: DataFrame, max_height: int | None = None) -> DataFrame:
     """Trees alike up to the order of children: the smallest tree_id of each kind and how many there are."""
     roots = canonical_codes(nodes, max_height).filter("parent_lo is null")
     return roots.groupBy("code").agg(F.min("tree_id").alias("tree_id"), F.count("*").alias("n_trees")).drop("code")

@@ -24,7 +24,7 @@ rets AS (SELECT tree_id, 1 + 3 * leader AS ret_id, max(1 + 3 * leader + size) AS
 
 @query("n1_fold", f"WITH {FOLD} SELECT tree_id, ret_id, last, k, d, height, k - d AS auto_events, d - 1 AS allo_events, CASE WHEN d > 1 THEN 1 ELSE 0 END AS allo_group FROM rets")
 def _(v):
-    return N.fold(mul_nodes(v), 2)
+    return N.fold(mul_nodes(v))
 
 
 COUNTS = "SELECT tree_id, species, count(*) AS n FROM v_mul GROUP BY tree_id, species"
@@ -33,13 +33,13 @@ COUNTS = "SELECT tree_id, species, count(*) AS n FROM v_mul GROUP BY tree_id, sp
 @query("n2_network_stats", f"WITH {FOLD}, c AS (SELECT tree_id, count(*) AS num_species, count(CASE WHEN n > 1 THEN 1 END) AS num_polyploids, max(n) AS max_copies FROM ({COUNTS}) q GROUP BY tree_id), e AS (SELECT tree_id, count(*) AS reticulations, CAST(sum(k - d) AS BIGINT) AS auto_events, CAST(sum(d - 1) AS BIGINT) AS allo_events, count(CASE WHEN d > 1 THEN 1 END) AS allo_group FROM rets GROUP BY tree_id) SELECT c.tree_id, num_species, num_polyploids, max_copies, coalesce(reticulations, 0) AS reticulations, coalesce(auto_events, 0) AS auto_events, coalesce(allo_events, 0) AS allo_events, coalesce(allo_group, 0) AS allo_group, coalesce(auto_events + allo_events, 0) AS total_events FROM c LEFT JOIN e ON c.tree_id = e.tree_id")
 def _(v):
     nodes = mul_nodes(v)
-    return N.network_stats(nodes, N.fold(nodes, 2))
+    return N.network_stats(nodes, N.fold(nodes))
 
 
 @query("n3_reticulation_leaves", f"WITH {FOLD} SELECT DISTINCT rets.tree_id, ret_id, species FROM rets JOIN v_mul m ON m.tree_id = rets.tree_id AND m.lo BETWEEN ret_id AND last")
 def _(v):
     nodes = mul_nodes(v)
-    return N.reticulation_leaves(nodes, N.fold(nodes, 2))
+    return N.reticulation_leaves(nodes, N.fold(nodes))
 
 
 @query("n5_leaf_counts", COUNTS)
@@ -49,7 +49,7 @@ def _(v):
 
 @query("n9_duplicated_siblings", f"WITH p AS ({PAIRS}), top AS (SELECT tree_id, code, count(*) AS k FROM p GROUP BY tree_id, code HAVING count(*) > 1), low AS (SELECT p.tree_id, p.k, m.species, count(*) AS n FROM p JOIN v_mul m ON m.tree_id = p.tree_id AND m.k = p.k LEFT JOIN top ON top.tree_id = p.tree_id AND top.code = p.code WHERE top.k IS NULL GROUP BY p.tree_id, p.k, m.species HAVING count(*) > 1), u AS (SELECT tree_id, k FROM top UNION ALL SELECT tree_id, n FROM low) SELECT tree_id, count(*) AS groups, CAST(sum(k - 1) AS BIGINT) AS events FROM u GROUP BY tree_id")
 def _(v):
-    return N.duplicated_siblings(mul_nodes(v), 2)
+    return N.duplicated_siblings(mul_nodes(v))
 
 
 BOTH = "SELECT coalesce(a.tree_id, b.tree_id) AS tree_id, coalesce(a.n, 0) AS t, coalesce(b.n, 0) AS i FROM v_truth_copies a FULL JOIN v_inferred_copies b ON a.tree_id = b.tree_id AND a.species = b.species"
@@ -122,7 +122,7 @@ def _(v):
 
 @query("n6_mu_vectors")
 def _(v):
-    return N.mu_vectors(mul_nodes(v), 2)
+    return N.mu_vectors(mul_nodes(v))
 
 
 @query("n8_mu_distance")
@@ -131,4 +131,4 @@ def _(v):
     nodes = mul_nodes(v)
     other = v.v_mul.select("tree_id", "lo", F.col("species").alias("clade"))
     shifted = v.v_nodes.join(other.withColumn("lo", F.col("lo") - 3).filter("lo >= 2"), ["tree_id", "lo"], "left").withColumn("label", F.coalesce("clade", F.when(F.col("is_leaf"), F.lit("none")))).drop("clade")
-    return rounded(N.mu_distance(N.mu_vectors(nodes, 2), N.mu_vectors(shifted, 2)))
+    return rounded(N.mu_distance(N.mu_vectors(nodes), N.mu_vectors(shifted)))

@@ -98,7 +98,7 @@ def _(v):
 
 @query("t16_collapse_identical", f"WITH p AS (SELECT tree_id, {PAIR} AS k, string_agg(species, '+' ORDER BY species) AS pair FROM v_leaves GROUP BY tree_id, {PAIR}), t AS (SELECT tree_id, string_agg(pair, '/' ORDER BY pair) AS code FROM p GROUP BY tree_id) SELECT min(tree_id) AS tree_id, count(*) AS n_trees FROM t GROUP BY code")
 def _(v):
-    return T.collapse_identical(v.v_nodes, 2)
+    return T.collapse_identical(v.v_nodes)
 
 
 @query("t9_single_species_clades", f"WITH p AS (SELECT tree_id, {PAIR} AS k, count(*) AS n, count(DISTINCT species) AS kinds, min(species) AS species, min(pos) AS pos FROM v_leaves GROUP BY tree_id, {PAIR}), w AS (SELECT tree_id, count(*) AS n, count(DISTINCT species) AS kinds, min(species) AS species FROM v_leaves GROUP BY tree_id) SELECT tree_id, 0 AS lo, species, n AS copies, 2 AS kept FROM w WHERE n >= 2 AND kinds = 1 UNION ALL SELECT p.tree_id, 1 + 3 * k, p.species, p.n, 2 + 3 * k FROM p JOIN w ON p.tree_id = w.tree_id WHERE p.n >= 2 AND p.kinds = 1 AND NOT (w.n >= 2 AND w.kinds = 1)")
