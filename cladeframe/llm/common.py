@@ -47,5 +47,21 @@ def bounded_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
     return df
 
 
+def spread_join(big: DataFrame, small: DataFrame, on: list[str], rows: str, parts: int = 64) -> DataFrame:
+    """The rows of ``big`` joined with ``small``, whose column ``rows`` says how many rows of ``big`` each of its (distinct) keys has.
+
+    Keys with over a thousandth of these rows are fewer than a thousand, so they can be broadcast;
+    their rows are dealt over ``parts`` tasks, the others by key alone. ``small`` is read three times
+    and ``big`` must be read in a fixed order, so both are best written tables or made from them by
+    maps. Columns of ``small`` but ``rows`` are added.
+    """
+    total = small.agg(F.sum(rows)).first()[0] or 0
+    frequent = F.col(rows) > total / 1000
+    heavy = small.filter(frequent).select(*on, F.lit(True).alias("__heavy"))
+    dealt = big.join(F.broadcast(heavy), on, "left").withColumn("__salt", F.when(F.col("__heavy"), F.pmod(F.monotonically_increasing_id(), F.lit(parts))).otherwise(0)).drop("__heavy")
+    every = small.withColumn("__salt", F.explode(F.when(frequent, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0))))).drop(rows)
+    return dealt.join(every, [*on, "__salt"]).drop("__salt")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

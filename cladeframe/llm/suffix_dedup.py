@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, table, utf8
+from .common import bounded_batches, cut, spread_join, table, utf8
 
 _R = 0x9E3779B97F4A7C15 | 1
 _R_INVERSE = pow(_R, -1, 1 << 64)
@@ -35,11 +35,10 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def anchors(texts: list[bytes], length: int, k: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """Runs of windows of ``length`` bytes that have the same anchor, as arrays: text, first window, windows, anchor hash, digest.
+    """Runs of windows of ``length`` bytes that have the same anchor, as arrays: text, first window, windows, anchor hash.
 
     A window's anchor is the k bytes in it with the least hash (the first of equal ones), so equal
-    windows have equal anchors at the same place. The digest is of all bytes that the run's windows
-    cover and of where the anchor lies in them.
+    windows have equal anchors at the same place.
     """
     wide = length - k + 1
     first = 0
@@ -85,26 +84,39 @@ def _anchors(texts: list[bytes], length: int, k: int, wide: int) -> Iterator[tup
     count = np.diff(np.append(starts, len(at)))
     keep = whole[starts]
     starts, count = starts[keep], count[keep]
-    stop = starts + count - 1 + length
-    anchor = at[starts]
-    digest = _mixed((total[stop] - total[starts]) * down[starts] + _mixed(((anchor - starts) << 32 | (stop - starts)).astype(np.uint64)))
-    yield text[starts], starts - (ends - sizes)[text[starts]], count, h[anchor], digest
+    yield text[starts], starts - (ends - sizes)[text[starts]], count, h[at[starts]]
+
+
+def _anchor_hashes(batches: Iterator[pa.RecordBatch], length: int, k: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for _, _, _, h in anchors(batch.column(0).to_pylist(), length, k):
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], ["h"])
+
+
+def _halves(digests: list[bytes]) -> tuple[pa.Array, pa.Array]:
+    both = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+    return pa.array(both[:, 0]), pa.array(both[:, 1])
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int, k: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         key, texts = batch.column(0), batch.column(1).to_pylist()
-        for text, start, count, h, digest in anchors(texts, length, k):
-            yield pa.RecordBatch.from_arrays([key.take(pa.array(text)), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(digest.view(np.int64))], ["key", "start", "n", "h", "digest"])
+        for text, start, count, h in anchors(texts, length, k):
+            stop = (start + count + length - 1).tolist()
+            d1, d2 = _halves([xxhash.xxh3_128_digest(texts[i][a:b]) for i, a, b in zip(text.tolist(), start.tolist(), stop)])
+            yield pa.RecordBatch.from_arrays([key.take(pa.array(text)), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(h.view(np.int64)), d1, d2], ["key", "start", "n", "h", "d1", "d2"])
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """The bytes of the wanted runs of each text."""
     for batch in batches:
-        text, key, wanted = batch.column(0), batch.column(1), batch.column(2)
-        rows = [(i, w["start"], w["n"], w["h"], w["times"], t[w["start"] : w["start"] + w["n"] + length - 1]) for i, (t, ws) in enumerate(zip(text.to_pylist(), wanted.to_pylist())) for w in ws]
-        i, start, n, h, times, data = zip(*rows) if rows else ((),) * 6
-        yield pa.RecordBatch.from_arrays([key.take(pa.array(i, pa.int64())), pa.array(start, pa.int32()), pa.array(n, pa.int32()), pa.array(h, pa.int64()), pa.array(times, pa.int64()), pa.array(data, pa.binary())], ["key", "start", "n", "h", "times", "data"])
+        rows = [(w["h"], w["d1"], w["d2"], w["copy"], w["n"], t[w["start"] : w["start"] + w["n"] + length - 1]) for t, ws in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for w in ws]
+        yield _record(rows, (("h", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("copy", pa.int32()), ("n", pa.int32()), ("data", pa.binary())))
+
+
+def _record(rows: list[tuple], fields: tuple) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else ((),) * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, fields)], [name for name, _ in fields])
 
 
 def _sorted_by_prefix(words: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
@@ -211,20 +223,22 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _by_suffix_array(group: pa.Table, length: int) -> pa.Table:
-    times, key, start = (group.column(c).to_numpy() for c in ("times", "key", "start"))
-    out: list[tuple[int, int, int]] = []
+    h, d1, d2 = (group.column(c).to_numpy() for c in ("h", "d1", "d2"))
+    out: list[tuple[int, int, int, int, int]] = []
     for i, flags in enumerate(repeated_windows(group.column("data").to_pylist(), group.column("n").to_pylist(), length)):
-        if times[i] == 1:
-            out += [(key[i], start[i] + a, m) for a, m in zip(*_runs(flags))]
-    key, start, n = zip(*out) if out else ((),) * 3
-    return pa.table({"key": pa.array(key, pa.int64()), "start": pa.array(start, pa.int32()), "n": pa.array(n, pa.int32())})
+        out += [(h[i], d1[i], d2[i], a, m) for a, m in zip(*_runs(flags))]
+    return pa.Table.from_batches([_record(out, (("h", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("at", pa.int32()), ("n", pa.int32())))])
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Each window of the runs of a batch with its own digest."""
     for batch in batches:
-        for key, start, n, times, data in zip(*(batch.column(c).to_pylist() for c in ("key", "start", "n", "times", "data"))):
-            windows = [data[i : i + length] for i in range(n)]
-            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(w) for w in windows], pa.binary()), pa.array([key] * n, pa.int64()), pa.array(range(start, start + n), pa.int32()), pa.array([times] * n, pa.int64())], ["window", "key", "start", "times"])
+        h, d1, d2, copy, n, data = (batch.column(c) for c in ("h", "d1", "d2", "copy", "n", "data"))
+        count = n.to_numpy()
+        run = pa.array(np.repeat(np.arange(len(count)), count))
+        at = np.concatenate([np.arange(m) for m in count]) if len(count) else np.zeros(0)
+        w1, w2 = _halves([xxhash.xxh3_128_digest(t[i : i + length]) for t, m in zip(data.to_pylist(), count.tolist()) for i in range(m)])
+        yield pa.RecordBatch.from_arrays([w1, w2, h.take(run), d1.take(run), d2.take(run), copy.take(run), pa.array(at.astype(np.int32))], ["w1", "w2", "h", "d1", "d2", "copy", "at"])
 
 
 def _removed(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -232,8 +246,8 @@ def _removed(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
         size, removed, spans, sha, where = [], [], [], [], []
         for text, ranges in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             merged: list[list[int]] = []
-            for r in sorted(ranges or (), key=lambda r: r["start"]):
-                a, b = r["start"], r["start"] + r["n"] - 1 + length
+            for a, n in sorted({(r["start"] + x["at"], x["n"]) for r in ranges or () for x in r["found"]}):
+                b = a + n - 1 + length
                 if merged and a <= merged[-1][1]:
                     merged[-1][1] = max(merged[-1][1], b)
                 else:
@@ -252,7 +266,7 @@ def _removed(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string()), pa.array(where, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, anchor: int = 64, hot: int = 5000, part_bytes: int = 2 << 20) -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, anchor: int = 64, part_bytes: int = 2 << 20) -> DataFrame:
     """Finds every byte covered by a string of ``length`` bytes that starts at another place of any text, too.
 
     Returns one row per input row: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans``, with
@@ -263,40 +277,48 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     1. Windows of ``length`` bytes are grouped into runs by their anchor, the ``anchor`` bytes with
        the least hash in them. Equal windows have equal anchors, so runs whose anchor is met once
        are done: counts by hash, aggregated before they are shuffled, leave few candidates.
-    2. Runs equal as a whole are collapsed into one with a count. If all runs of an anchor are
-       equal, or a run occurs twice, all its windows are repeated.
-    3. Of the other anchors one copy of each distinct run is cut out, and two-stage suffix sorting
-       of all runs of the same anchors with adjacent common prefixes finds the windows that are
-       repeated (see `repeated_windows`). Parts hold about ``part_bytes``.
-    4. An anchor with over ``hot`` distinct runs doesn't go into one part: its windows are counted by
-       a 128-bit hash, aggregated before they are shuffled.
-
-    Texts move twice: to cut runs out and to remove the spans; they are joined by a 64-bit hash of
-    id and text.
+    2. Runs with one anchor and one 128-bit digest are a group. One run of a group of one is cut out
+       of its text, of others a pair. Two-stage suffix sorting of all these of the same anchors with
+       adjacent common prefixes finds the windows that are repeated (see `repeated_windows`), those
+       of a pair included; they hold for every run of the group. Parts hold about ``part_bytes``.
+    3. An anchor with more bytes than a part is split by further bytes: each window becomes a run
+       with its own digest as the anchor. Those met once are done, of others a pair is sorted, too.
+
+    Texts are read again to cut runs out and to remove the spans; they are joined by a 128-bit hash
+    of id and text. Joins on anchors, groups and windows deal frequent keys over many tasks.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), utf8(text_col).alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
-    runs = rows.select("key", "text").mapInArrow(partial(_anchor_rows, length=length, k=anchor), "key long, start int, n int, h long, digest long")
-    twice = runs.groupBy("h").agg(F.count("*").alias("all")).filter(F.col("all") > 1).select("h")
-    met = cut(runs.join(twice, "h"), "runs")
-    distinct = met.groupBy("h", "digest").agg(F.count("*").alias("times"), F.min(F.struct("key", "start", "n")).alias("copy"))
-    kinds = distinct.groupBy("h").agg(F.count("*").alias("kinds"))
-    distinct = cut(distinct.join(kinds, "h"), "distinct")
-    whole = met.join(distinct.filter("times > 1").select("h", "digest"), ["h", "digest"]).select("key", "start", "n")
-    asked = distinct.filter("kinds > 1").groupBy("copy.key").agg(F.collect_list(F.struct("copy.start", "copy.n", "h", "times")).alias("wanted"))
-    texts = rows.select("key", "text").join(asked, "key").dropDuplicates(["key"]).select("text", "key", "wanted")
-    data = cut(texts.mapInArrow(partial(_cut_out, length=length), "key long, start int, n int, h long, times long, data binary"), "cut")
-    hot_anchors = distinct.filter(F.col("kinds") > hot).select("h").distinct()
-    size = data.agg(F.sum(F.octet_length("data"))).first()[0] or 0
-    parts = max(1, math.ceil(size / part_bytes))
-
-    def sorted_part(group: pa.Table) -> pa.Table:
-        return _by_suffix_array(group, length)
-
-    found = whole.unionByName(data.join(hot_anchors, "h", "left_anti").withColumn("part", F.pmod(F.xxhash64("h"), F.lit(parts))).groupBy("part").applyInArrow(sorted_part, "key long, start int, n int"))
-    windows = data.join(hot_anchors, "h", "left_semi").mapInArrow(partial(_window_rows, length=length), "window binary, key long, start int, times long")
-    again = windows.groupBy("window").agg(F.count("*").alias("all")).filter(F.col("all") > 1).select("window")
-    found = found.unionByName(windows.filter("times = 1").join(again, "window").select("key", "start", F.lit(1).alias("n")))
-    ranges = found.groupBy("key").agg(F.collect_list(F.struct("start", "n")).alias("ranges"))
+    rows = bounded_batches(docs).select(F.col(id_col).alias("doc_id"), utf8(text_col).alias("text"))
+    rows = rows.withColumn("key", F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary"), F.lit(b"\0"), "text"))))
+    group, window = ["h", "d1", "d2"], ["w1", "w2"]
+    counts = rows.select("text").mapInArrow(partial(_anchor_hashes, length=length, k=anchor), "h long").groupBy("h").agg(F.count("*").alias("times")).filter("times > 1")
+    runs = rows.select("key", "text").mapInArrow(partial(_anchor_rows, length=length, k=anchor), "key binary, start int, n int, h long, d1 long, d2 long")
+    met = cut(spread_join(runs, cut(counts, "anchors"), ["h"], "times"), "runs")
+    place = F.struct("key", "start", "n")
+    groups = cut(met.groupBy(group).agg(F.count("*").alias("times"), F.min(place).alias("first"), F.max(place).alias("last")), "groups")
+    copies = groups.select(*group, F.posexplode(F.when(F.col("times") > 1, F.array("first", "last")).otherwise(F.array("first"))).alias("copy", "place"))
+    asked = copies.groupBy("place.key").agg(F.collect_list(F.struct("place.start", "place.n", *group, "copy")).alias("wanted"))
+    texts = rows.select("key", "text").join(asked, "key").dropDuplicates(["key"]).select("text", "wanted")
+    data = cut(texts.mapInArrow(partial(_cut_out, length=length), "h long, d1 long, d2 long, copy int, n int, data binary"), "cut")
+    sizes = data.groupBy("h").agg(F.sum(F.octet_length("data")).alias("bytes"), F.count("*").alias("times"))
+    wide = cut(sizes.filter(F.col("bytes") > part_bytes), "wide")
+    split = cut(spread_join(data, wide, ["h"], "times").mapInArrow(partial(_window_rows, length=length), "w1 long, w2 long, h long, d1 long, d2 long, copy int, at int"), "windows")
+    owner = F.struct(*group, "copy", "at")
+    again = cut(split.groupBy(window).agg(F.count("*").alias("times"), F.min(owner).alias("first"), F.max(owner).alias("last")).filter("times > 1"), "again")
+    ends = again.select(*window, F.explode(F.array("first", "last")).alias("own")).select(*window, "own.*")
+    pairs = data.join(ends, [*group, "copy"]).select(F.col("w1").alias("h"), F.col("w1").alias("d1"), F.col("w2").alias("d2"), F.lit(1).alias("n"), F.substring("data", F.col("at") + 1, F.lit(length)).alias("data"))
+    sorted_ = data.join(wide, "h", "left_anti").select(*group, "n", "data").unionByName(pairs)
+    parts = max(1, math.ceil((sizes.agg(F.sum(F.least("bytes", F.lit(part_bytes)))).first()[0] or 0) / part_bytes))
+
+    def sorted_part(part: pa.Table) -> pa.Table:
+        return _by_suffix_array(part, length)
+
+    found = cut(sorted_.withColumn("part", F.pmod(F.xxhash64("h"), F.lit(parts))).groupBy("part").applyInArrow(sorted_part, "h long, d1 long, d2 long, at int, n int"), "found")
+    same = found.filter("h = d1").select(F.col("d1").alias("w1"), F.col("d2").alias("w2")).distinct().join(again.select(*window, "times"), window)
+    split_found = spread_join(split, cut(same, "same"), window, "times").select(*group, "at", F.lit(1).alias("n"))
+    whole = found.filter("h <> d1").unionByName(split_found)
+    found_in = whole.groupBy(group).agg(F.collect_set(F.struct("at", "n")).alias("found")).join(groups.select(*group, "times"), group)
+    spans = spread_join(met, cut(found_in, "spans"), group, "times")
+    ranges = spans.groupBy("key").agg(F.collect_set(F.struct("start", "found")).alias("ranges"))
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))])
     return rows.join(ranges, "key", "left").select("doc_id", "text", "ranges").mapInArrow(partial(_removed, length=length), schema)
 

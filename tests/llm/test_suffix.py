@@ -36,18 +36,26 @@ def fixture(rng, n, alphabet="abcd é\n"):
     return rows
 
 
-@pytest.mark.parametrize("hot,part_bytes", [(20_000, 8 << 20), (3, 3000)])
-def test_against_brute_force(spark, hot, part_bytes):
-    rng = random.Random(hot)
+@pytest.mark.parametrize("part_bytes", [8 << 20, 3000, 200])
+def test_against_brute_force(spark, part_bytes):
+    rng = random.Random(part_bytes)
     rows = [(i, t, 1) for i, t in enumerate(fixture(rng, 120))] + [(3, None, 1), (None, "q" * 50, 2), (700, "long " * 1000, 3)]
     rows.append(rows[9])
     df = spark.createDataFrame(rows, "doc_id long, text string, key int")
-    got = S.repeated_spans(df, length=40, anchor=12, hot=hot, part_bytes=part_bytes).collect()
+    got = S.repeated_spans(df, length=40, anchor=12, part_bytes=part_bytes).collect()
     want = [(i, *w) for (i, _, _), w in zip(rows, brute([(t or "").encode() for _, t, _ in rows], 40))]
     assert sorted(map(repr, want)) == sorted(repr(tuple(r)[:5]) for r in got)
     assert S.repeated_spans(df.limit(0)).count() == 0
 
 
+def test_many_identical_rows(spark):
+    rng = random.Random(4)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(3000))
+    rows = [(1, text)] * 500 + [(2, text[100:200] + "!"), (3, "x" + text[1000:1300] + "y"), (4, text[1500:])]
+    got = S.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).groupBy("doc_id", "n_bytes", "n_removed", "n_spans").count().collect()
+    assert sorted(tuple(r) for r in got) == [(1, 3000, 3000, 1, 500), (2, 101, 0, 0, 1), (3, 302, 300, 1, 1), (4, 1500, 1500, 1, 1)]
+
+
 def test_suffix_array_flags_repeats():
     rng = random.Random(7)
     for trial in range(60):
@@ -69,7 +77,7 @@ def test_every_window_has_one_run_and_equal_windows_equal_anchors(monkeypatch, b
     texts = [(t or "").encode() for t in fixture(rng, 30)] + [b"xy " * 900]
     seen, anchor = Counter(), {}
     for block in S.anchors(texts, 40, 12):
-        for text, start, n, h, _ in zip(*(x.tolist() for x in block)):
+        for text, start, n, h in zip(*(x.tolist() for x in block)):
             for s in range(start, start + n):
                 seen[text, s] += 1
                 assert anchor.setdefault(texts[text][s : s + 40], h) == h
