@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
 import pandas as pd
@@ -18,9 +20,29 @@ from pyspark.sql import types as T
 
 from .common import bounded_batches, cut, table
 
-WORD = re.compile(r"[^\W\d_]+")
-#: Words whose scores a worker keeps before it starts anew.
-CACHED_WORDS = 250_000
+ASCII_WORD = re.compile("[a-z]+")
+#: Scores (words times languages) that a worker keeps before it starts anew, and that it computes at once.
+CACHED_SCORES, SCORES_AT_ONCE = 1_000_000, 4_000_000
+
+
+@lru_cache
+def _word_pattern() -> re.Pattern:
+    """A letter (category L), then letters and marks (M)."""
+
+    def ranges(kinds: str) -> str:
+        has = np.array([unicodedata.category(chr(c))[0] in kinds for c in range(sys.maxunicode + 1)])
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], has, [False]]).astype(np.int8))).reshape(-1, 2)
+        return "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in edges.tolist())
+
+    return re.compile(f"[{ranges('L')}][{ranges('LM')}]*")
+
+
+def words_of(text: str | None) -> list[str]:
+    """The words of a text in lower case, composed (NFC); digits, other numerals and signs are no letters."""
+    text = (text or "").lower()
+    if text.isascii():
+        return ASCII_WORD.findall(text)
+    return _word_pattern().findall(unicodedata.normalize("NFC", text))
 
 
 def _codes(chars: np.ndarray, k: int) -> np.ndarray:
@@ -43,16 +65,40 @@ def _found(table: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return at, table[at] == codes
 
 
+@dataclass
+class _Table:
+    """Sorted hashes, each with the languages that have it and their values: of hash i those from ``first[i]`` on."""
+
+    codes: np.ndarray
+    first: np.ndarray
+    lang: np.ndarray
+    value: np.ndarray
+
+    @staticmethod
+    def of(codes: list[np.ndarray], values: list[np.ndarray]) -> _Table:
+        """From the hashes and values of each language."""
+        every, lang, value = np.concatenate(codes), np.repeat(np.arange(len(codes)), [len(c) for c in codes]).astype(np.int32), np.concatenate(values).astype(np.float32)
+        order = np.argsort(every, kind="stable")
+        own, first = np.unique(every[order], return_index=True)
+        return _Table(own, np.append(first, len(every)), lang[order], value[order])
+
+    def cells(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place in ``codes``, language and value of all that is known of them."""
+        at, known = _found(self.codes, codes)
+        row = np.flatnonzero(known)
+        n = (self.first[1:] - self.first[:-1])[at[row]]
+        cell = np.repeat(self.first[at[row]] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        return np.repeat(row, n), self.lang[cell], self.value[cell]
+
+
 @dataclass
 class LanguageModel:
-    """Sorted hash arrays: per order the n-grams of all languages with a log2 probability in each, and their contexts with back-off weights."""
+    """Sorted hash arrays: per order the n-grams with their log2 probabilities in the languages that have them, and their contexts with back-off weights."""
 
     langs: list[str]
     order: int
-    grams: list[np.ndarray]
-    logp: list[np.ndarray]
-    contexts: list[np.ndarray]
-    backoff: list[np.ndarray]
+    grams: list[_Table]
+    contexts: list[_Table]
     unknown: float
     mean: np.ndarray
     spread: np.ndarray
@@ -69,10 +115,10 @@ class LanguageModel:
         before = np.zeros(len(at), np.uint64)
         for k in range(1, self.order + 1):
             own = _codes(chars, k)
-            i, known = _found(self.contexts[k - 1], before)
-            total += np.where(known[:, None], self.backoff[k - 1][i], 0)
-            i, known = _found(self.grams[k - 1], own[at])
-            total[known] = self.logp[k - 1][i[known]]
+            row, lang, value = self.contexts[k - 1].cells(before)
+            total[row, lang] += value
+            row, lang, value = self.grams[k - 1].cells(own[at])
+            total[row, lang] = value
             before = own[at - 1]
         return np.add.reduceat(total, np.concatenate([[0], np.cumsum(n)[:-1]]), axis=0), n
 
@@ -86,7 +132,7 @@ def _grams(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordB
     for batch in batches:
         words: Counter = Counter()
         for lang, text in zip(*(c.to_pylist() for c in batch.columns)):
-            words.update((lang, w) for w in WORD.findall((text or "").lower()))
+            words.update((lang, w) for w in words_of(text))
         grams: Counter = Counter()
         for (lang, w), n in words.items():
             w = f"{pad}{w} "
@@ -96,42 +142,44 @@ def _grams(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(gram, pa.string()), pa.array(list(grams.values()), pa.int64())], ["lang", "gram", "n"])
 
 
-def _smoothed(counts: pd.DataFrame, langs: list[str], order: int) -> tuple[list, list, list, list, float]:
-    """Interpolated Kneser-Ney from the counts of the highest order; a lower order counts the n-grams that end in it."""
-    chars = np.array([np.frombuffer(g.encode("utf-32-le"), np.uint32) for g in counts["gram"]], np.uint64).reshape(-1, order)
-    lang = counts["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy()
-    levels = [(chars, lang, counts["n"].to_numpy(np.float64))]
-    for k in range(order - 1, 0, -1):
-        upper, who, _ = levels[0]
-        rows, n = np.unique(np.column_stack([who.astype(np.uint64), upper[:, 1:]]), axis=0, return_counts=True)
-        levels.insert(0, (rows[:, 1:], rows[:, 0].astype(np.int64), n.astype(np.float64)))
-    uniform = 1 / (len(np.unique(chars)) + 1)
-    out: tuple[list, list, list, list] = ([], [], [], [])
-    lower_codes, lower_p = None, None
-    for k, (rows, who, n) in enumerate(levels, 1):
-        code = lambda part: _codes(part.ravel(), part.shape[1])[part.shape[1] - 1 :: part.shape[1]] if part.shape[1] else np.zeros(len(part), np.uint64)
-        codes = code(rows)
-        grams, first = np.unique(codes, return_index=True)
-        at = np.searchsorted(grams, codes)
-        own = code(rows[first][:, :-1])
-        contexts, x = np.unique(own, return_inverse=True)
-        if lower_codes is None:
-            below = np.full((len(grams), len(langs)), uniform)
-        else:
-            below = lower_p[np.searchsorted(lower_codes, code(rows[first][:, 1:]))]
-        p, weight = np.empty((len(grams), len(langs))), np.ones((len(contexts), len(langs)))
-        for i in range(len(langs)):
-            c = np.bincount(at[who == i], n[who == i], len(grams))
-            once, twice = (c == 1).sum(), (c == 2).sum()
-            d = once / (once + 2 * twice) if once and twice else 0.5
-            total, types = np.bincount(x, c, len(contexts)), np.bincount(x, c > 0, len(contexts))
-            some = total > 0
-            weight[some, i] = d * types[some] / total[some]
-            p[:, i] = np.where(some[x], np.maximum(c - d, 0) / np.where(some[x], total[x], 1), 0) + weight[x, i] * below[:, i]
-        for to, value in zip(out, (grams, np.log2(p).astype(np.float32), contexts, np.log2(weight).astype(np.float32))):
-            to.append(value)
-        lower_codes, lower_p = grams, p
-    return (*out, float(np.log2(uniform)))
+def _smoothed_one(grams: list[str], counts: np.ndarray, order: int, uniform: float) -> list[tuple[np.ndarray, ...]]:
+    """Interpolated Kneser-Ney of one language, from the counts of the highest order; a lower order counts the n-grams that end in it.
+
+    Per order: hashes of the n-grams, their log2 probabilities, hashes of the contexts, log2 back-off weights.
+    """
+    levels = [(_letters(grams, order), counts.astype(np.float64))]
+    for _ in range(order - 1):
+        rows, n = np.unique(levels[0][0][:, 1:], axis=0, return_counts=True)
+        levels.insert(0, (rows, n.astype(np.float64)))
+    code = lambda part: _codes(part.ravel(), part.shape[1])[part.shape[1] - 1 :: part.shape[1]] if part.shape[1] else np.zeros(len(part), np.uint64)
+    out, lower_codes, lower_p = [], None, None
+    for rows, n in levels:
+        codes, at = np.unique(code(rows), return_inverse=True)
+        c = np.bincount(at, n)
+        rows = rows[np.unique(at, return_index=True)[1]]
+        contexts, x = np.unique(code(rows[:, :-1]), return_inverse=True)
+        below = np.full(len(codes), uniform) if lower_codes is None else lower_p[np.searchsorted(lower_codes, code(rows[:, 1:]))]
+        once, twice = (c == 1).sum(), (c == 2).sum()
+        d = once / (once + 2 * twice) if once and twice else 0.5
+        total, types = np.bincount(x, c), np.bincount(x)
+        weight = d * types / total
+        p = (c - d) / total[x] + weight[x] * below
+        out.append((codes, np.log2(p), contexts, np.log2(weight)))
+        lower_codes, lower_p = codes, p
+    return out
+
+
+def _letters(grams: list[str], order: int) -> np.ndarray:
+    return np.frombuffer("".join(grams).encode("utf-32-le"), np.uint32).astype(np.uint64).reshape(-1, order)
+
+
+def _smoothed(counts: pd.DataFrame, langs: list[str], order: int) -> tuple[list[_Table], list[_Table], float]:
+    uniform = 1 / (len(np.unique(_letters(counts["gram"].tolist(), order))) + 1)
+    own = dict(iter(counts.groupby("lang")))
+    each = [_smoothed_one(own[x]["gram"].tolist(), own[x]["n"].to_numpy(), order, uniform) for x in langs]
+    grams = [_Table.of([m[k][0] for m in each], [m[k][1] for m in each]) for k in range(order)]
+    contexts = [_Table.of([m[k][2] for m in each], [m[k][3] for m in each]) for k in range(order)]
+    return grams, contexts, float(np.log2(uniform))
 
 
 def _scores(batches: Iterator[pa.RecordBatch], sent: Broadcast) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -142,13 +190,14 @@ def _scores(batches: Iterator[pa.RecordBatch], sent: Broadcast) -> Iterator[tupl
     for whole in batches:
         for first in range(0, whole.num_rows, 500):
             batch = whole.slice(first, 500)
-            part = [WORD.findall((t or "").lower()) for t in batch.column(1).to_pylist()]
+            part = [words_of(t) for t in batch.column(1).to_pylist()]
             new = list({w for words in part for w in words if w not in index})
-            if len(index) + len(new) > CACHED_WORDS:
+            if (len(index) + len(new)) * len(model.langs) > CACHED_SCORES:
                 index, known, size = {}, known[:0], size[:0]
                 new = list({w for words in part for w in words})
-            for at in range(0, len(new), 50_000):
-                scores, n = model.word_scores(new[at : at + 50_000])
+            step = max(1000, SCORES_AT_ONCE // (8 * len(model.langs)))
+            for at in range(0, len(new), step):
+                scores, n = model.word_scores(new[at : at + step])
                 known, size = np.concatenate([known, scores]), np.concatenate([size, n])
             index.update(zip(new, range(len(index), len(index) + len(new))))
             lengths = np.array([len(words) for words in part])
@@ -165,18 +214,18 @@ def _calibration(batches: Iterator[pa.RecordBatch], sent: Broadcast) -> Iterator
         yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(n), pa.array(entropy[np.arange(len(own)), own])], ["lang", "n", "entropy"])
 
 
-def fit(training: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 3000, order: int = 4, reject_quantile: float = 0.999, max_langs: int = 4096) -> LanguageModel | None:
+def fit(training: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 3000, order: int = 4, reject_quantile: float = 0.999) -> LanguageModel | None:
     """Character models of all non-null languages in ``training``; None where there is none.
 
     The fit is on a bounded sample: the documents whose id hashes lowest, ``docs_per_lang`` of each
-    language in expectation; so the model's size is bounded by that parameter, not by the table. The ``max_langs`` most
-    frequent languages are learned; their counts are broadcast.
+    language in expectation; so the model's size is bounded by that parameter and the number of
+    languages, not by the table. It is broadcast, as is the number of rows of each language.
     N-grams are counted in Spark and only counts of distinct ones reach the driver. Rejection is
     calibrated on the sample: by how much, at the ``reject_quantile``, a text's cross-entropy in its
     own language exceeds the mean, overall and in units of 1 / sqrt(characters).
     """
     rows = bounded_batches(training).select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).filter("lang is not null")
-    counts = rows.groupBy("lang").agg(F.count("*").alias("all")).orderBy(F.desc("all"), "lang").limit(max_langs)
+    counts = rows.groupBy("lang").agg(F.count("*").alias("all"))
     draw = F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(7)), F.lit(1 << 40)) / (1 << 40)
     sample = cut(rows.join(F.broadcast(counts), "lang").filter(draw * F.col("all") < docs_per_lang).select("lang", "text"), "sample")
     grams = sample.mapInArrow(partial(_grams, order=order), "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
