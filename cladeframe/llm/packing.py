@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 import os
 import re
@@ -25,10 +26,24 @@ PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-įı-ſ]+)([!-&(-/:-@\[-^`{-~]*)")
 JOINING = re.compile(r"[İ\u0250-\U0010FFFF]")
 
 
+def _splits_words(tokenizer) -> bool:
+    """Whether a tokenizer lower-cases, splits at white space before all else, and marks the end of each word.
+
+    Its own settings say so, and words tried alone and together must give the same ids.
+    """
+    said = json.loads(tokenizer.to_str())
+    normal, model = said.get("normalizer") or {}, said.get("model") or {}
+    steps = [x.get("type") for x in normal.get("normalizers", [normal])]
+    if model.get("type") != "BPE" or model.get("end_of_word_suffix") != "</w>" or not {"Lowercase", "Replace"} <= set(steps):
+        return False
+    ids = lambda t: tokenizer.encode(t, add_special_tokens=False).ids
+    return all(ids(f"{a} {b}") == ids(f" {a}\n\t{b} ") == ids(a) + ids(b) for a, b in (("The", "end."), ("Éa", "x-1"), ("don't", "GO"), ("é,", "(b)")))
+
+
 class _Encoder:
     """The ids of texts as little-endian 32-bit integers.
 
-    The tokenizer splits at white space before it does anything that looks further, so the ids of a
+    A tokenizer of another kind than `_splits_words` says encodes whole texts. This kind splits at white space before it does anything that looks further, so the ids of a
     text are those of its space-separated parts, one after the other, and each distinct part is
     encoded once. A plain word with marks behind it is in turn the ids of the word in lower case,
     which the tokenizer takes as well, and those of the marks; new plain words are encoded together, told apart by their end tokens.
@@ -39,7 +54,8 @@ class _Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = True  # the strings of special tokens in a text are ordinary text
+        self.by_words = _splits_words(self.tokenizer)
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
@@ -78,6 +94,9 @@ class _Encoder:
         self.parts.update(zip(odd, self._apart(odd)))
 
     def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
+        if not self.by_words:
+            yield from self._apart([t or "" for t in texts])
+            return
         split = []
         for t in texts:
             t = t or ""
@@ -124,7 +143,9 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end
     """Each document's token ids and one ``end_id``, cut into pieces of ``capacity`` only where longer.
 
     Returns ``doc_id, piece, start, length, ids_crc32`` and, if asked for, ``ids`` (little-endian
-    unsigned 32-bit). A null text counts as empty: one piece that holds the end id.
+    unsigned 32-bit). A null text counts as empty: one piece that holds the end id. Any tokenizer
+    file of the tokenizers library will do. Strings of its special tokens that stand in a text are
+    encoded as ordinary text, as the tokenizers' own notes have it.
     """
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())] + [T.StructField("ids", T.BinaryType())] * with_ids)
     return bounded_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(partial(_pieces, path=tokenizer_path, capacity=capacity, end_id=end_id, with_ids=with_ids), schema)
@@ -200,7 +221,7 @@ def pack(pieces: DataFrame, capacity: int = 2048, part_size: int = 20_000, max_r
 
     ``pieces`` has ``doc_id, piece, length`` with lengths from 1 to capacity, and any further columns,
     which are kept (``part``, ``sequence_id``, ``offset``, ``settled``, ``gap`` are replaced). Pieces
-    are dealt at random to parts of about ``part_size``; each part is packed best-fit decreasing and
+    are dealt by a hash of their row number, so that repeated and null ids spread, to parts of about ``part_size``; each part is packed best-fit decreasing and
     its bin count held against dual-feasible lower bounds. A part at its bound is certified and
     gives up its emptiest bins alone, a part above gives up the bins of its gap as well; what they
     give up is dealt anew, to fewer parts, and packed again, until one part holds all that is left.
@@ -214,7 +235,7 @@ def pack(pieces: DataFrame, capacity: int = 2048, part_size: int = 20_000, max_r
     while n or not done:
         parts = max(1, math.ceil(n / part_size))
         last = parts == 1 or number + 1 == max_rounds
-        dealt = rest.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", F.lit(number)), F.lit(parts)))
+        dealt = rest.withColumn("part", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(number)), F.lit(parts)))
         schema = T.StructType([*rest.schema.fields, *(T.StructField(k, T.BooleanType() if k == "settled" else T.LongType()) for k in ("sequence_id", "offset", "settled", "gap"))])
         found = cut(dealt.groupBy("part").applyInArrow(_packer(capacity, number, last), schema), "packed")
         done.append(found.filter("settled").drop("settled"))
