@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from cladeframe.llm import simhash_dedup as S
 from cladeframe.llm.components import connected_components
 from cladeframe.llm.exact_dedup import chunk_ends, exact_dedup
-from cladeframe.llm.warc import read_index, read_records, write_archive
+from cladeframe.llm.warc import HTTP, read_index, read_records, write_archive
 
 DOCS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("recipe", T.StringType()), T.StructField("fp", T.StringType())])
 
@@ -125,6 +125,17 @@ def test_empty_tables(spark):
     assert S.simhash_dedup(docs(spark, [])).count() == 0
 
 
+def test_warc_odd_fields(spark, tmp_path):
+    """Urls that look like other fields' values, and rows that repeat an id."""
+    urls = ["http://a/?q=<b>c", "sha1:abc", "<urn:page:5>", "", "http://x\r\nWARC-Type: revisit", "WARC-Type: x"]
+    rows = [(i, u, f"text {i}") for i, u in enumerate(urls)] + [(3, "again", "x" * 1000), (3, "again", "x" * 1000), (2, "less", "x" * 1000)]
+    archive = write_archive(spark.createDataFrame(rows, "page_id long, url string, html string"), str(tmp_path / "c"))
+    got = sorted((r.page_id, r.url, r.record_type, r.refers_to) for r in read_index(spark, archive).collect() if r.payload_bytes < 1000)
+    assert got == [(i, re.sub(r"[\r\n]", "", u), "response", None) for i, u in enumerate(urls)]
+    big = sorted((r.page_id, r.record_type, r.refers_to) for r in read_index(spark, archive).collect() if r.payload_bytes == 1000)
+    assert big == [(2, "revisit", 3), (3, "response", None), (3, "response", None)]
+
+
 def test_warc_round_trip(spark, tmp_path):
     big, hot = "é" * 600, "<p>x</p>" * 200
     rows = [(1, "http://a", big), (2, "http://b", big), (3, None, "small"), (4, "http://c", "small"), (5, "u", None), (6, "u\r\nv", ""), (None, "n", hot), (7, "n", hot), (8, "long", "y" * 500_000)]
@@ -139,6 +150,10 @@ def test_warc_round_trip(spark, tmp_path):
     for r in read_records(spark, archive).collect():
         head, _, rest = bytes(r.record).partition(b"\r\n\r\n")
         n = int(re.search(rb"Content-Length: (\d+)", head)[1])
-        assert head.decode() + "\r\n\r\n" == r.header and rest[n:] == b"\r\n\r\n" and rest[:n] == (bytes(r.payload) if b"response" in head else b"")
+        body = HTTP.encode() + (bytes(r.payload) if b"WARC-Type: response" in head else b"")
+        assert head.decode() + "\r\n\r\n" + HTTP == r.header and rest[:n] == body and rest[n:] == b"\r\n\r\n"
+        named = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
+        assert {"WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length", "Content-Type"} <= set(named)
+        assert re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", named["WARC-Date"])
     empty = write_archive(pages.limit(0), str(tmp_path / "b"))
     assert read_index(spark, empty).count() == 0 and read_records(spark, empty).count() == 0
