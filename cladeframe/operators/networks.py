@@ -2,37 +2,59 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .lineage import cut
-from .trees import canonical_codes, leaves, levels, with_height
+from .trees import canonical_codes, leaves
+
+
+def live_nodes(nodes: DataFrame, max_height: int | None = None) -> DataFrame:
+    """The nodes that folding meets: ``tree_id, lo, hi, depth, parent_lo, is_leaf, label, code, first, k, d``.
+
+    From the root down the first copy of like subtrees stays and the others go with all below. The
+    first of all nodes with a code is never below another copy, so a node is met just if no node
+    above it is a later copy: intervals nest, so that is a running maximum over the tree. ``first``
+    is the first copy of a node's kind, ``k`` how many of it are met, ``d`` under how many parents.
+    The result is a written table.
+    """
+    tree, kind = W.partitionBy("tree_id"), W.partitionBy("tree_id", "code")
+    coded = nodes.select("tree_id", "lo", "hi", "depth", "parent_lo", "is_leaf", "label").join(canonical_codes(nodes, max_height).select("tree_id", "lo", "code"), ["tree_id", "lo"])
+    marked = coded.withColumn("first", F.min("lo").over(kind))
+    gone = F.max(F.when(F.col("lo") != F.col("first"), F.col("hi"))).over(tree.orderBy("lo").rowsBetween(W.unboundedPreceding, -1))
+    met = marked.withColumn("gone", gone).filter("gone is null or gone < lo").drop("gone")
+    return cut(met.withColumns({"k": F.count("*").over(kind), "d": F.size(F.collect_set("parent_lo").over(kind))}), "live")
 
 
 def fold(nodes: DataFrame, max_height: int | None = None) -> DataFrame:
-    """Reticulations of each tree: groups of two or more like subtrees, found from the root down.
+    """Reticulations of each tree: groups of two or more like subtrees among `live_nodes`.
 
-    At each height live nodes with one canonical code are a group; its first copy stays and the
-    others go with all below. Returns ``tree_id, ret_id`` (the first copy's number), ``last``, ``k``
-    copies, ``d`` distinct parents, and the events: ``auto = k - d``, ``allo = d - 1``, and whether
-    the group counts as one allopolyploid group. Every third round is written out, so the plan
-    doesn't grow with the height.
+    Returns ``tree_id, ret_id`` (the first copy's number), ``last``, ``k`` copies, ``d`` distinct
+    parents, ``height``, and the events: ``auto = k - d``, ``allo = d - 1``, and whether the group
+    counts as one allopolyploid group.
     """
-    max_height = levels(nodes, max_height)
-    live = with_height(nodes).join(canonical_codes(nodes, max_height).select("tree_id", "lo", "code"), ["tree_id", "lo"])
-    live = cut(live.select("tree_id", "lo", "hi", "parent_lo", "height", "code"), "live")
-    found = None
-    for height in range(max_height, -1, -1):
-        group = W.partitionBy("tree_id", "code")
-        here = live.filter(f"height = {height}").withColumns({"k": F.count("*").over(group), "ret_id": F.min("lo").over(group)}).filter("k > 1")
-        rets = here.groupBy("tree_id", "ret_id").agg(F.max(F.when(F.col("lo") == F.col("ret_id"), F.col("hi"))).alias("last"), F.count("*").alias("k"), F.count_distinct("parent_lo").alias("d")).withColumn("height", F.lit(height))
-        found = rets if found is None else found.unionByName(rets)
-        gone = here.filter("lo <> ret_id").select("tree_id", F.col("lo").alias("a"), F.col("hi").alias("b"))
-        live = live.filter(f"height < {height}").join(gone, (live.tree_id == gone.tree_id) & live.lo.between(F.col("a"), F.col("b")), "left_anti")
-        if height % 3 == 0 and height:
-            live = cut(live, "live")
-    return found.withColumns({"auto_events": F.col("k") - F.col("d"), "allo_events": F.col("d") - 1, "allo_group": (F.col("d") > 1).cast("int")})
+    return reticulations(nodes, live_nodes(nodes, max_height))
+
+
+def reticulations(nodes: DataFrame, live: DataFrame) -> DataFrame:
+    """`fold` from live nodes at hand."""
+    rets = live.filter("k > 1 and lo = first").select("tree_id", F.col("lo").alias("ret_id"), F.col("hi").alias("last"), "k", F.col("d").cast("long").alias("d"), "depth")
+    tips = leaves(nodes).select("tree_id", "leaf", F.col("depth").alias("tip"))
+    tall = rets.join(tips, "tree_id").filter("leaf between ret_id and last").groupBy("tree_id", "ret_id").agg((F.max("tip") - F.max("depth")).cast("int").alias("height"))
+    return rets.drop("depth").join(tall, ["tree_id", "ret_id"]).withColumns({"auto_events": F.col("k") - F.col("d"), "allo_events": F.col("d") - 1, "allo_group": (F.col("d") > 1).cast("int")})
+
+
+def sister_sets(nodes: DataFrame, live: DataFrame) -> DataFrame:
+    """Species beside each reticulation, one row per distinct parent: ``tree_id, ret_id, side`` (the parent), ``sisters`` (sorted; empty where the parent has no other child)."""
+    sides = live.filter("k > 1").select("tree_id", F.col("first").alias("ret_id"), F.col("parent_lo").alias("side")).distinct()
+    beside = live.select("tree_id", F.col("parent_lo").alias("side"), F.col("lo").alias("from"), F.col("hi").alias("to"), F.col("first").alias("kind"))
+    own = sides.join(beside, ["tree_id", "side"]).filter("kind <> ret_id")
+    met = own.join(leaves(nodes).select("tree_id", "leaf", "species"), "tree_id").filter("leaf between from and to")
+    found = met.groupBy("tree_id", "ret_id", "side").agg(F.sort_array(F.collect_set("species")).alias("sisters"))
+    return sides.join(found, ["tree_id", "ret_id", "side"], "left").withColumn("sisters", F.coalesce("sisters", F.array().cast("array<string>")))
 
 
 def network_stats(nodes: DataFrame, reticulations: DataFrame) -> DataFrame:
@@ -113,74 +135,172 @@ def identical(distances: DataFrame, columns: list[str]) -> DataFrame:
     return distances.select("tree_id", same.alias("identical"))
 
 
-def match_reticulations(left: DataFrame, right: DataFrame) -> DataFrame:
+TREE = ("tree_id",)
+
+
+def match_reticulations(left: DataFrame, right: DataFrame, keys: Sequence[str] = TREE) -> DataFrame:
     """One-to-one pairs of reticulations of the same tree by the Jaccard similarity of their leaf sets.
 
-    ``left`` and ``right`` are ``tree_id, ret_id, species``. Pairs that share a species are scored from
-    counts; in each round the pairs that are each other's best (ties by ids) are matched and both
-    sides leave, until no pair is left. Returns ``tree_id, a, b, shared, n_a, n_b``.
+    ``left`` and ``right`` are ``tree_id`` (or other ``keys``), ``ret_id, species``. Pairs that share a
+    species are scored from counts; in each round the pairs that are each other's best (ties by ids)
+    are matched and both sides leave, until no pair is left. Returns the keys, ``a, b, shared, n_a, n_b``.
     """
-    size = lambda d, name: d.groupBy("tree_id", "ret_id").agg(F.count("*").alias(f"n_{name}")).withColumnRenamed("ret_id", name)
-    shared = left.withColumnRenamed("ret_id", "a").join(right.withColumnRenamed("ret_id", "b"), ["tree_id", "species"]).groupBy("tree_id", "a", "b").agg(F.count("*").alias("shared"))
-    pairs = shared.join(size(left, "a"), ["tree_id", "a"]).join(size(right, "b"), ["tree_id", "b"])
+    keys = list(keys)
+    size = lambda d, name: d.groupBy(*keys, "ret_id").agg(F.count("*").alias(f"n_{name}")).withColumnRenamed("ret_id", name)
+    shared = left.withColumnRenamed("ret_id", "a").join(right.withColumnRenamed("ret_id", "b"), [*keys, "species"]).groupBy(*keys, "a", "b").agg(F.count("*").alias("shared"))
+    pairs = shared.join(size(left, "a"), [*keys, "a"]).join(size(right, "b"), [*keys, "b"])
     pairs = cut(pairs.withColumn("score", F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))), "pairs")
     out = None
     while True:
-        best = lambda key: F.row_number().over(W.partitionBy("tree_id", key).orderBy(F.desc("score"), "a", "b"))
+        best = lambda key: F.row_number().over(W.partitionBy(*keys, key).orderBy(F.desc("score"), "a", "b"))
         met = cut(pairs.withColumns({"ra": best("a"), "rb": best("b")}).filter("ra = 1 and rb = 1").drop("ra", "rb"), "matched")
         out = met if out is None else out.unionByName(met)
-        pairs = cut(pairs.join(met.select("tree_id", "a"), ["tree_id", "a"], "left_anti").join(met.select("tree_id", "b"), ["tree_id", "b"], "left_anti"), "pairs")
+        pairs = cut(pairs.join(met.select(*keys, "a"), [*keys, "a"], "left_anti").join(met.select(*keys, "b"), [*keys, "b"], "left_anti"), "pairs")
         if pairs.isEmpty():
             break
-    return out.select("tree_id", "a", "b", "shared", "n_a", "n_b")
+    return out.select(*keys, "a", "b", "shared", "n_a", "n_b")
 
 
-def leaf_set_distance(matches: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-    """Distance, false positives and negatives of matched reticulations, unmatched ones counting 1, over the larger count; trees with none on one side have distance 1."""
-    count = lambda d, name: d.groupBy("tree_id").agg(F.count_distinct("ret_id").alias(name))
+def all_matched(matches: DataFrame, left: DataFrame, right: DataFrame, keys: Sequence[str] = TREE) -> DataFrame:
+    """Adds to the matches pairs of what is left on both sides, in order of ids: they share nothing.
+
+    ``left`` and ``right`` are the keys, ``ret_id`` and its size ``n``.
+    """
+    keys = list(keys)
+
+    def rest(side: DataFrame, name: str) -> DataFrame:
+        free = side.withColumnRenamed("ret_id", name).join(matches.select(*keys, name), [*keys, name], "left_anti")
+        return free.select(*keys, name, F.col("n").alias(f"n_{name}"), F.row_number().over(W.partitionBy(*keys).orderBy(name)).alias("rank"))
+
+    more = rest(left, "a").join(rest(right, "b"), [*keys, "rank"]).withColumn("shared", F.lit(0).cast("long"))
+    return matches.unionByName(more.select(matches.columns))
+
+
+def _normalised(per: DataFrame, left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Sums over matched pairs (``dist, fp, fn``) to the penalised and the matched form.
+
+    Penalised: what has no partner counts 1, over the larger count; a side without any has distance
+    1, false positives or negatives alone. Matched (``*_matched``): over the pairs alone.
+    """
+    count = lambda d, name: d.groupBy(*keys).agg(F.count("*").alias(name))
+    both = count(left, "l").join(count(right, "r"), list(keys), "full").join(per, list(keys), "left").na.fill(0)
+    l, r = F.col("l"), F.col("r")  # noqa: E741
+    most, least = F.greatest(l, r), F.least(l, r)
+    none = lambda ends, x: F.when(l == 0, ends[0]).when(r == 0, ends[1]).otherwise(x)
+    full = {"dist": none((1.0, 1.0), (F.col("dist") + most - least) / most), "fp": none((1.0, 0.0), (F.col("fp") + most - l) / most), "fn": none((0.0, 1.0), (F.col("fn") + most - r) / most)}
+    found = {f"{c}_matched": none(ends, F.col(c) / least) for c, ends in (("dist", (1.0, 1.0)), ("fp", (1.0, 0.0)), ("fn", (0.0, 1.0)))}
+    every = {**full, "tp": none((0.0, 0.0), 1 - full["dist"]), **found, "tp_matched": none((0.0, 0.0), 1 - found["dist_matched"])}
+    return both.select(*keys, *(x.alias(c) for c, x in every.items()))
+
+
+def _pair_sums(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
     s, a, b = F.col("shared"), F.col("n_a"), F.col("n_b")
-    per = matches.groupBy("tree_id").agg(F.count("*").alias("m"), F.sum(1 - s / (a + b - s)).alias("dist"), F.sum((b - s) / b).alias("fp"), F.sum((a - s) / a).alias("fn"))
-    both = count(left, "l").join(count(right, "r"), "tree_id", "full").join(per, "tree_id", "left").na.fill(0)
-    most = F.greatest("l", "r")
-    return both.select("tree_id", ((F.col("dist") + most - F.col("m")) / most).alias("dist"), ((F.col("fp") + most - F.col("l")) / most).alias("fp"), ((F.col("fn") + most - F.col("r")) / most).alias("fn"))
+    ratio = lambda x, n: F.coalesce(F.try_divide(x, n), F.lit(0.0))
+    return pairs.groupBy(*keys).agg(F.sum(ratio(a + b - 2 * s, a + b - s)).alias("dist"), F.sum(ratio(b - s, b)).alias("fp"), F.sum(ratio(a - s, a)).alias("fn"))
+
 
+def leaf_set_distance(matches: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """Distance, false and true positives and false negatives of reticulations by their leaf sets, in the penalised and the matched form (``*_matched``).
 
-def network_edges(nodes: DataFrame, max_height: int | None = None) -> DataFrame:
-    """Distinct edges of the folded networks, ``tree_id, parent, child``: every node stands for the first of its like."""
-    codes = canonical_codes(nodes, max_height)
-    first = codes.groupBy("tree_id", "code").agg(F.min("lo").alias("node"))
-    named = codes.join(first, ["tree_id", "code"]).select("tree_id", "lo", "parent_lo", "node")
-    up = named.select("tree_id", F.col("lo").alias("parent_lo"), F.col("node").alias("parent"))
-    return named.join(up, ["tree_id", "parent_lo"]).select("tree_id", "parent", F.col("node").alias("child")).distinct()
+    Of the trees with a reticulation on either side; see `_normalised` for those without on one.
+    """
+    size = lambda d: d.groupBy("tree_id", "ret_id").agg(F.count("*").alias("n"))
+    l, r = size(left), size(right)  # noqa: E741
+    return _normalised(_pair_sums(all_matched(matches, l, r), TREE), l, r, TREE)
 
 
-def mu_vectors(nodes: DataFrame, max_height: int | None = None) -> DataFrame:
-    """Path-count vector of every network node: ``tree_id, node, in_degree, vector`` (sorted ``species:paths``).
+def sister_set_distance(matches: DataFrame, left: DataFrame, right: DataFrame, left_sisters: DataFrame, right_sisters: DataFrame) -> DataFrame:
+    """As `leaf_set_distance`, with the distance of a pair of reticulations that of their sister sets (`sister_sets`), matched in turn.
 
-    Nodes with one way in and one way out are passed over first, by joining their ends; then counts
-    flow from the leaves up, one round per height: the vector of a node adds up its children's.
+    Two parents without another child are alike.
     """
-    max_height = levels(nodes, max_height)
-    edges = cut(network_edges(nodes, max_height), "edges")
-    for _ in range(max_height):
-        degree = edges.groupBy(F.col("child").alias("node"), "tree_id").agg(F.count("*").alias("ins")).join(edges.groupBy(F.col("parent").alias("node"), "tree_id").agg(F.count("*").alias("outs")), ["tree_id", "node"])
-        idle = degree.filter("ins = 1 and outs = 1").select("tree_id", "node")
-        top = idle.join(edges.select("tree_id", F.col("parent"), F.col("child").alias("node")), ["tree_id", "node"])
-        top = top.join(idle.select("tree_id", F.col("node").alias("parent")), ["tree_id", "parent"], "left_anti")
-        low = edges.select("tree_id", F.col("parent").alias("node"), "child")
-        bridges = top.join(low, ["tree_id", "node"])
+    size = lambda d: d.groupBy("tree_id", "ret_id").agg(F.count("*").alias("n"))
+    l, r = size(left), size(right)  # noqa: E741
+    pairs = cut(all_matched(matches, l, r).select("tree_id", F.col("a").alias("ret_a"), F.col("b").alias("ret_b")), "ret_pairs")
+    keys = ["tree_id", "ret_a", "ret_b"]
+
+    def sides(sets: DataFrame, name: str) -> DataFrame:
+        return pairs.join(sets.withColumnRenamed("ret_id", name), ["tree_id", name]).select(*keys, F.col("side").alias("ret_id"), "sisters")
+
+    def members(d: DataFrame) -> DataFrame:
+        return d.select(*keys, "ret_id", F.explode(F.when(F.size("sisters") > 0, F.col("sisters")).otherwise(F.array(F.lit("")))).alias("species"))
+
+    x, y = cut(sides(left_sisters, "ret_a"), "sides"), cut(sides(right_sisters, "ret_b"), "sides")
+    counted = lambda d: d.select(*keys, "ret_id", F.size("sisters").cast("long").alias("n"))
+    inner = _normalised(_pair_sums(all_matched(match_reticulations(members(x), members(y), keys), counted(x), counted(y), keys), keys), counted(x), counted(y), keys)
+    return _normalised(inner.groupBy("tree_id").agg(*(F.sum(c).alias(c) for c in ("dist", "fp", "fn"))), l, r, TREE)
+
+
+def network_edges(live: DataFrame) -> DataFrame:
+    """Distinct edges of the folded networks, ``tree_id, parent, child``.
+
+    A node is named by its number; the reticulation above the copies of node n is -n - 1.
+    """
+    ret = -F.col("first") - 1
+    down = live.filter("parent_lo is not null").select("tree_id", F.col("parent_lo").alias("parent"), F.when(F.col("k") > 1, ret).otherwise(F.col("lo")).alias("child"))
+    return down.unionByName(live.filter("k > 1").select("tree_id", ret.alias("parent"), F.col("first").alias("child"))).distinct()
+
+
+def suppressed(edges: DataFrame) -> DataFrame:
+    """Edges after nodes with one way in and one way out have been passed over, until there is none; parallel edges become one."""
+    edges = cut(edges, "edges")
+    while True:
+        ins = edges.groupBy("tree_id", F.col("child").alias("node")).agg(F.count("*").alias("ins"))
+        outs = edges.groupBy("tree_id", F.col("parent").alias("node")).agg(F.count("*").alias("outs"))
+        idle = cut(ins.filter("ins = 1").join(outs.filter("outs = 1"), ["tree_id", "node"]).select("tree_id", "node"), "idle")
+        if idle.isEmpty():
+            return edges
+        top = edges.select("tree_id", "parent", F.col("child").alias("node")).join(idle, ["tree_id", "node"], "left_semi")
+        top = top.join(idle.withColumnRenamed("node", "parent"), ["tree_id", "parent"], "left_anti")
+        bridges = top.join(edges.select("tree_id", F.col("parent").alias("node"), "child"), ["tree_id", "node"])
         gone = bridges.select("tree_id", "node")
         kept = edges.join(gone.withColumnRenamed("node", "parent"), ["tree_id", "parent"], "left_anti").join(gone.withColumnRenamed("node", "child"), ["tree_id", "child"], "left_anti")
         edges = cut(kept.select("tree_id", "parent", "child").unionByName(bridges.select("tree_id", "parent", "child")).distinct(), "edges")
-    names = canonical_codes(nodes, max_height).join(nodes.filter("is_leaf").select("tree_id", "lo", "label"), ["tree_id", "lo"])
-    done = names.groupBy("tree_id", "code").agg(F.min("lo").alias("node"), F.min("label").alias("species")).select("tree_id", "node", "species", F.lit(1).cast("long").alias("paths"))
-    for _ in range(max_height):
-        flowed = edges.join(done.select("tree_id", F.col("node").alias("child"), "species", "paths"), ["tree_id", "child"]).groupBy("tree_id", F.col("parent").alias("node"), "species").agg(F.sum("paths").alias("paths"))
-        leaf = done.join(edges.select("tree_id", F.col("parent").alias("node")).distinct(), ["tree_id", "node"], "left_anti")
-        done = cut(leaf.unionByName(flowed), "paths")
+
+
+def network_class(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Whether path-count vectors tell networks apart: ``tree_id, stacked, offending, taxa, in_class``.
+
+    ``stacked``: reticulations right below one; ``offending``: nodes whose degrees are not those of a
+    leaf (one way in), a reticulation (one out) or a tree node (two out). ``edges`` are suppressed.
+    """
+    ins = edges.groupBy("tree_id", F.col("child").alias("node")).agg(F.count("*").alias("ins"))
+    outs = edges.groupBy("tree_id", F.col("parent").alias("node")).agg(F.count("*").alias("outs"))
+    degrees = ins.join(outs, ["tree_id", "node"], "full").na.fill(0)
+    odd = F.when(F.col("outs") == 0, F.col("ins") != 1).when(F.col("ins") > 1, F.col("outs") != 1).otherwise(F.col("outs") != 2)
+    bad = degrees.groupBy("tree_id").agg(F.count(F.when(odd, 1)).alias("offending"))
+    many = ins.filter("ins > 1").select("tree_id", "node")
+    stacked = edges.join(many.withColumnRenamed("node", "parent"), ["tree_id", "parent"], "left_semi").join(many.withColumnRenamed("node", "child"), ["tree_id", "child"], "left_semi").groupBy("tree_id").agg(F.count("*").alias("stacked"))
+    taxa = leaves(nodes).groupBy("tree_id").agg(F.sort_array(F.collect_set("species")).alias("taxa"))
+    every = taxa.join(bad, "tree_id", "left").join(stacked, "tree_id", "left").withColumns({"offending": F.coalesce("offending", F.lit(1)), "stacked": F.coalesce("stacked", F.lit(0))})
+    return every.select("tree_id", "stacked", "offending", "taxa", ((F.col("stacked") == 0) & (F.col("offending") == 0)).alias("in_class"))
+
+
+def mu_vectors(nodes: DataFrame, max_height: int | None = None) -> DataFrame:
+    """Path-count vector of every network node: ``tree_id, node, in_degree, vector`` (sorted ``species:paths``), reticulations included."""
+    live = live_nodes(nodes, max_height)
+    return path_vectors(nodes, suppressed(network_edges(live)))
+
+
+def path_vectors(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """`mu_vectors` over suppressed edges at hand.
+
+    Walks of length 2^i are joined with themselves, and those to leaves of less than 2^i steps with
+    them, so a network of depth n takes log2(n) rounds.
+    """
+    step = cut(edges.select("tree_id", F.col("parent").alias("x"), F.col("child").alias("y"), F.lit(1).cast("long").alias("w")), "walks")
+    lone = leaves(nodes).select("tree_id", F.col("leaf").alias("node"), "species")
+    in_network = edges.select("tree_id", F.explode(F.array("parent", "child")).alias("node")).distinct()
+    alone = lone.join(edges.select("tree_id").distinct(), "tree_id", "left_anti")
+    done = cut(lone.join(in_network, ["tree_id", "node"], "left_semi").unionByName(alone).withColumn("paths", F.lit(1).cast("long")), "paths")
+    while not step.isEmpty():
+        on = step.join(done.withColumnRenamed("node", "y"), ["tree_id", "y"]).select("tree_id", F.col("x").alias("node"), "species", (F.col("w") * F.col("paths")).alias("paths"))
+        done, last = cut(done.unionByName(on).groupBy("tree_id", "node", "species").agg(F.sum("paths").alias("paths")), "paths"), step
+        twice = last.join(last.select("tree_id", F.col("x").alias("y"), F.col("y").alias("z"), F.col("w").alias("v")), ["tree_id", "y"])
+        step = cut(twice.groupBy("tree_id", "x", F.col("z").alias("y")).agg(F.sum(F.col("w") * F.col("v")).alias("w")), "walks")
     ins = edges.groupBy("tree_id", F.col("child").alias("node")).agg(F.count("*").alias("in_degree"))
     vectors = done.groupBy("tree_id", "node").agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "species", F.col("paths").cast("string")))), ",").alias("vector"))
-    return vectors.join(ins, ["tree_id", "node"], "left").select("tree_id", "node", F.coalesce("in_degree", F.lit(0)).alias("in_degree"), "vector")
+    return cut(vectors.join(ins, ["tree_id", "node"], "left").select("tree_id", "node", F.coalesce("in_degree", F.lit(0)).alias("in_degree"), "vector"), "vectors")
 
 
 def mu_distance(truth: DataFrame, inferred: DataFrame) -> DataFrame:
@@ -190,3 +310,82 @@ def mu_distance(truth: DataFrame, inferred: DataFrame) -> DataFrame:
     both = truth.select(key).unionByName(inferred.select(key)).groupBy("tree_id").agg(F.count("*").alias("total"))
     off = alone(truth, inferred).unionByName(alone(inferred, truth)).groupBy("tree_id").agg(F.sum("alone").alias("alone"))
     return both.join(off, "tree_id", "left").select("tree_id", (F.coalesce("alone", F.lit(0)) / F.col("total")).alias("distance"))
+
+
+def scored_mu_distance(distance: DataFrame, truth: DataFrame, inferred: DataFrame) -> DataFrame:
+    """`mu_distance` where it is defined: ``tree_id, mu_distance, mu_scored``; null and 0 where a network is out of its class or the taxa differ.
+
+    ``truth`` and ``inferred`` are `network_class` of either side.
+    """
+    a, b = (d.select("tree_id", F.col("in_class").alias(f"ok_{x}"), F.col("taxa").alias(f"taxa_{x}")) for d, x in ((truth, "a"), (inferred, "b")))
+    ok = F.col("ok_a") & F.col("ok_b") & (F.col("taxa_a") == F.col("taxa_b"))
+    return a.join(b, "tree_id").join(distance, "tree_id", "left").select("tree_id", F.when(ok, F.col("distance")).alias("mu_distance"), ok.cast("double").alias("mu_scored"))
+
+
+#: Methods that infer one reticulation by design: what they did not look for is no error of theirs.
+SINGLE_RETICULATION = ("grampa",)
+PAIR = ("network", "config", "method", "replicate")
+
+
+def compare_networks(truth: DataFrame, inferred: DataFrame, pairs: DataFrame) -> DataFrame:
+    """All measures of each pair of networks, one row a measure: ``network, config, method, replicate, metric, value, jaccard_mode, status``.
+
+    ``truth`` and ``inferred`` are node tables of multi-labelled trees. ``pairs`` names the trees of a
+    run: the four keys, ``truth_id`` and ``inferred_id``. Trees are folded once each, however many
+    pairs they are in. A pair without nodes on a side is one row FAILED with a null value.
+    Methods in `SINGLE_RETICULATION` have their set distances over matched pairs alone (``partial``).
+    """
+    named = cut(pairs.select(F.struct(*PAIR).alias("pair"), "truth_id", "inferred_id"), "pairs_of_trees")
+    t, i = _folded(truth), _folded(inferred)
+    ok = named.join(t["trees"].withColumnRenamed("tree_id", "truth_id"), "truth_id", "left_semi").join(i["trees"].withColumnRenamed("tree_id", "inferred_id"), "inferred_id", "left_semi")
+    ok = cut(ok.select("pair", "truth_id", "inferred_id"), "comparable")
+
+    def at(side: str, d: DataFrame) -> DataFrame:
+        return d.withColumnRenamed("tree_id", side).join(ok.select("pair", side), side).drop(side).withColumnRenamed("pair", "tree_id")
+
+    a = {k: at("truth_id", d) for k, d in t.items()}
+    b = {k: at("inferred_id", d) for k, d in i.items()}
+    every = ok.select(F.col("pair").alias("tree_id"))
+    number = lambda d, c: d.groupBy("tree_id").agg(F.sum(F.col("auto_events") + F.col("allo_events")).alias(c))
+    counted = every.join(number(a["rets"], "t"), "tree_id", "left").join(number(b["rets"], "i"), "tree_id", "left").na.fill(0, ["t", "i"])
+    matches = cut(match_reticulations(a["leaves"], b["leaves"]), "matches")
+    by_leaf = leaf_set_distance(matches, a["leaves"], b["leaves"])
+    by_sister = sister_set_distance(matches, a["leaves"], b["leaves"], a["sisters"], b["sisters"])
+    partial_ = F.col("tree_id.method").isin(*SINGLE_RETICULATION)
+
+    def long(d: DataFrame, values: dict[str, Column]) -> DataFrame:
+        return d.select("tree_id", F.explode(F.array(*(F.struct(F.lit(k).alias("metric"), v.cast("double").alias("value")) for k, v in values.items()))).alias("m")).select("tree_id", "m.*")
+
+    def sets(d: DataFrame, name: str) -> DataFrame:
+        full = every.join(d, "tree_id", "left").na.fill(0.0)
+        c = F.col
+        own = {f"{name}.{k}": F.when(partial_, c(f"{low}_matched")).otherwise(c(low)) for k, low in (("dist", "dist"), ("FP", "fp"), ("FN", "fn"), ("TP", "tp"))}
+        return long(full, own | {f"{name}_matched.{k}": c(f"{low}_matched") for k, low in (("dist", "dist"), ("FP", "fp"), ("FN", "fn"), ("TP", "tp"))})
+
+    mu = scored_mu_distance(mu_distance(a["vectors"], b["vectors"]), a["class"], b["class"])
+    c = F.col
+    rows = long(counted, {"num_rets_diff": F.abs(c("i") - c("t")), "num_rets_bias": c("i") - c("t")})
+    rows = rows.unionByName(long(ploidy_difference(a["counts"], b["counts"]), {"ploidy_diff.dist": c("dist"), "ploidy_diff.FP": c("fp"), "ploidy_diff.FN": c("fn"), "ploidy_diff.TP": c("tp")}))
+    rows = rows.unionByName(long(polyploid_jaccard(a["counts"], b["counts"]), {"polyploid_species_jaccard": c("dist")}))
+    rows = rows.unionByName(sets(by_leaf, "ret_leaf_jaccard")).unionByName(sets(by_sister, "ret_sisters_jaccard"))
+    rows = rows.unionByName(long(mu, {"mu_distance": c("mu_distance"), "mu_scored": c("mu_scored")}))
+    good = rows.select("tree_id.*", "metric", "value", F.when(partial_, "partial").otherwise("standard").alias("jaccard_mode"), F.lit("SUCCESS").alias("status"))
+    failed = named.join(ok.select("pair"), "pair", "left_anti").select("pair.*", F.lit("FAILED").alias("metric"), F.lit(None).cast("double").alias("value"), F.lit(None).cast("string").alias("jaccard_mode"), F.lit("FAILED").alias("status"))
+    return good.unionByName(failed)
+
+
+def _folded(nodes: DataFrame) -> dict[str, DataFrame]:
+    """All that comparisons need of each tree: reticulations, their leaves and sisters, copies, vectors and class."""
+    nodes = cut(nodes.select("tree_id", "lo", "hi", "depth", "parent_lo", "is_leaf", "label", "dist"), "nodes")
+    live = live_nodes(nodes)
+    rets = cut(reticulations(nodes, live), "rets")
+    edges = suppressed(network_edges(live))
+    return {
+        "trees": nodes.select("tree_id").distinct(),
+        "rets": rets,
+        "leaves": cut(reticulation_leaves(nodes, rets), "ret_leaves"),
+        "sisters": cut(sister_sets(nodes, live), "sisters"),
+        "counts": leaf_counts(nodes),
+        "vectors": path_vectors(nodes, edges),
+        "class": network_class(nodes, edges),
+    }

@@ -37,10 +37,17 @@ def rank_methods(aggregated: DataFrame) -> DataFrame:
     return ranked.groupBy("config", "metric", "method").agg(F.avg("mean").alias("mean_value"), F.avg("rank").alias("mean_rank"), F.sum((F.col("rank") == 1).cast("long")).alias("times_best"), F.sum((F.col("rank") == F.col("last")).cast("long")).alias("times_worst"))
 
 
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson correlation; null where either side does not vary."""
+    a, b = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    varies = (F.min(a) < F.max(a)) & (F.min(b) < F.max(b))
+    return F.when(varies, F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)))
+
+
 def property_correlations(aggregated: DataFrame, stats: DataFrame, properties: Sequence[str], keys: Sequence[str] = ("config", "metric", "method"), least: int = 3) -> DataFrame:
     """Pearson correlation of network properties with mean error over networks, where at least ``least`` networks have both."""
     long = stats.unpivot("network", list(properties), "property", "x").filter("x is not null")
-    return aggregated.filter("mean is not null").join(F.broadcast(long), "network").groupBy(*keys, "property").agg(F.count("*").alias("n"), F.corr(F.col("x").cast("double"), "mean").alias("r")).filter(F.col("n") >= least)
+    return aggregated.filter("mean is not null").join(F.broadcast(long), "network").groupBy(*keys, "property").agg(F.count("*").alias("n"), correlation(F.col("x").cast("double"), F.col("mean")).alias("r")).filter(F.col("n") >= least)
 
 
 def with_p_values(correlations: DataFrame, level: float = 0.05) -> DataFrame:
@@ -142,7 +149,7 @@ def correlation_matrix(df: DataFrame, stats: DataFrame, properties: Sequence[str
     """Correlation of each property with each metric over network means, overall or per key."""
     per = df.filter(SUCCESS).groupBy("network", *keys, "metric").agg(F.avg("value").alias("mean"))
     long = stats.unpivot("network", list(properties), "property", "x")
-    return per.join(F.broadcast(long), "network").groupBy(*keys, "property", "metric").agg(F.corr(F.col("x").cast("double"), "mean").alias("r"), F.count("*").alias("n"))
+    return per.join(F.broadcast(long), "network").groupBy(*keys, "property", "metric").agg(correlation(F.col("x").cast("double"), F.col("mean")).alias("r"), F.count("*").alias("n"))
 
 
 def method_performance(df: DataFrame, inventory: DataFrame, error, bias) -> DataFrame:

@@ -153,8 +153,10 @@ def canonical_codes(nodes: DataFrame, max_height: int | None = None) -> DataFram
     """A code per node, equal exactly for subtrees that are alike up to the order of children.
 
     From the leaves up, one aggregate per level of depth: the code of a node hashes its children's
-    sorted codes. Every third level is written out, so the plan doesn't double with the depth.
+    sorted codes. The nodes are written out first, as each level reads them, and then every third
+    level, so the plan doesn't double with the depth.
     """
+    nodes = cut(nodes.select("tree_id", "lo", "parent_lo", "depth", "is_leaf", "label"), "nodes")
     max_height = levels(nodes, max_height)
     tips = nodes.filter("is_leaf").select("tree_id", "lo", "parent_lo", "depth", F.sha2(F.col("label"), 256).alias("code"))
     done, level = tips, None

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import networks as N
 from ..registry import query
+from .deep_queries import ROUNDED, greedy, leaf_distance
 from .summary_queries import r, rounded
 
 
@@ -85,21 +86,15 @@ def matched(v):
     return N.match_reticulations(left, right), left, right
 
 
-def _rounds(n: int) -> str:
-    size = lambda q, x: f"SELECT tree_id, ret_id AS {x}, count(*) AS n_{x} FROM ({q}) z GROUP BY tree_id, ret_id"
-    out = [f"p0 AS (SELECT s.*, n_a, n_b, shared / (n_a + n_b - shared) AS score FROM (SELECT x.tree_id, x.ret_id AS a, y.ret_id AS b, count(*) AS shared FROM ({LEFT}) x JOIN ({RIGHT}) y ON x.tree_id = y.tree_id AND x.species = y.species GROUP BY ALL) s JOIN ({size(LEFT, 'a')}) u ON u.tree_id = s.tree_id AND u.a = s.a JOIN ({size(RIGHT, 'b')}) w ON w.tree_id = s.tree_id AND w.b = s.b)"]
-    for i in range(n):
-        out.append(f"m{i} AS (SELECT tree_id, a, b, shared, n_a, n_b FROM (SELECT *, row_number() OVER (PARTITION BY tree_id, a ORDER BY score DESC, a, b) AS ra, row_number() OVER (PARTITION BY tree_id, b ORDER BY score DESC, a, b) AS rb FROM p{i}) q WHERE ra = 1 AND rb = 1)")
-        out.append(f"p{i + 1} AS (SELECT * FROM p{i} p WHERE NOT EXISTS (SELECT 1 FROM m{i} m WHERE m.tree_id = p.tree_id AND (m.a = p.a OR m.b = p.b)))")
-    return f"WITH {', '.join(out)}, m AS ({' UNION ALL '.join(f'SELECT * FROM m{i}' for i in range(n))})"
+SETS = f"lset AS MATERIALIZED ({LEFT}), rset AS MATERIALIZED ({RIGHT})"
 
 
-@query("c4_reticulation_matches", f"{_rounds(4)} SELECT * FROM m")
+@query("c4_reticulation_matches", f"WITH RECURSIVE {SETS}, {greedy('lm', 'lset', 'rset')} SELECT * FROM lm_m")
 def _(v):
     return matched(v)[0]
 
 
-@query("c4_leaf_set_distance", f"{_rounds(4)}, c AS (SELECT coalesce(x.tree_id, y.tree_id) AS tree_id, coalesce(l, 0) AS l, coalesce(r, 0) AS r FROM (SELECT tree_id, count(DISTINCT ret_id) AS l FROM ({LEFT}) z GROUP BY tree_id) x FULL JOIN (SELECT tree_id, count(DISTINCT ret_id) AS r FROM ({RIGHT}) z GROUP BY tree_id) y ON x.tree_id = y.tree_id), t AS (SELECT tree_id, count(*) AS k, sum(1 - shared / (n_a + n_b - shared)) AS dist, sum((n_b - shared) / n_b) AS fp, sum((n_a - shared) / n_a) AS fn FROM m GROUP BY tree_id) SELECT c.tree_id, {r('(coalesce(dist, 0) + greatest(l, r) - coalesce(k, 0)) / greatest(l, r)', 'dist')}, {r('(coalesce(fp, 0) + greatest(l, r) - l) / greatest(l, r)', 'fp')}, {r('(coalesce(fn, 0) + greatest(l, r) - r) / greatest(l, r)', 'fn')} FROM c LEFT JOIN t ON c.tree_id = t.tree_id")
+@query("c4_leaf_set_distance", f"WITH RECURSIVE {SETS}, {leaf_distance('lset', 'rset')} SELECT tree_id, {ROUNDED} FROM leaf_dist")
 def _(v):
     return rounded(N.leaf_set_distance(*matched(v)))
 
@@ -118,17 +113,3 @@ def _(v):
 def _(v):
     both = N.ploidy_difference(v.v_truth_copies, v.v_inferred_copies).join(N.polyploid_jaccard(v.v_truth_copies, v.v_inferred_copies).withColumnRenamed("dist", "other"), "tree_id")
     return N.identical(both, ["dist", "other"])
-
-
-@query("n6_mu_vectors")
-def _(v):
-    return N.mu_vectors(mul_nodes(v))
-
-
-@query("n8_mu_distance")
-def _(v):
-    """Each tree against the one with its pairs formed from the odd leaves last."""
-    nodes = mul_nodes(v)
-    other = v.v_mul.select("tree_id", "lo", F.col("species").alias("clade"))
-    shifted = v.v_nodes.join(other.withColumn("lo", F.col("lo") - 3).filter("lo >= 2"), ["tree_id", "lo"], "left").withColumn("label", F.coalesce("clade", F.when(F.col("is_leaf"), F.lit("none")))).drop("clade")
-    return rounded(N.mu_distance(N.mu_vectors(nodes), N.mu_vectors(shifted)))

@@ -11,6 +11,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "labels")
 
+#: Trees of any depth over ``LEAVES``: two of three halve the leaves again and again, the third splits off one leaf at a time.
+DEEP = """
+        WITH l AS (SELECT tree_id, sample_id, clade, dist, pos, count(*) OVER (PARTITION BY tree_id) AS n FROM LEAVES),
+             p AS (SELECT * FROM (VALUES (1, 2), (2, 4), (3, 8), (4, 16), (5, 32), (6, 64)) t(j, wide)),
+             s AS (SELECT tree_id, sample_id, pos * 64 + 63 AS lo, pos * 64 + 63 AS hi, TRUE AS is_leaf, clade AS label, CAST(dist AS DOUBLE) AS dist FROM l
+                   UNION ALL
+                   SELECT tree_id, sample_id, pos * 64 + 6 - j, (least(n, pos + wide) - 1) * 64 + 63, FALSE, NULL, 1.0 FROM l JOIN p ON pos % wide = 0 AND pos + wide / 2 < n WHERE tree_id % 3 <> 0
+                   UNION ALL
+                   SELECT tree_id, sample_id, -1, (n - 1) * 64 + 63, FALSE, NULL, 1.0 FROM l WHERE tree_id % 3 <> 0 AND n > 64 AND pos = 0
+                   UNION ALL
+                   SELECT tree_id, sample_id, pos * 64, (n - 1) * 64 + 63, FALSE, NULL, 1.0 FROM l WHERE tree_id % 3 = 0 AND pos < n - 1)
+        SELECT s.tree_id, s.sample_id, s.lo, s.hi, CAST(count(u.lo) AS INT) AS depth, max(u.lo) AS parent_lo, s.is_leaf, s.label, s.dist
+        FROM s LEFT JOIN s u ON u.tree_id = s.tree_id AND NOT u.is_leaf AND u.lo < s.lo AND u.hi >= s.hi
+        GROUP BY s.tree_id, s.sample_id, s.lo, s.hi, s.is_leaf, s.label, s.dist"""
+
 VIEWS = {
     "v_leaves": """
         SELECT l_orderkey AS tree_id, o_custkey % 21 AS sample_id, n_name AS species, r_name AS clade, l_quantity AS dist,
@@ -35,6 +50,13 @@ VIEWS = {
             SELECT tree_id, sample_id, CAST(floor(pos / 2.0) AS BIGINT) AS k, concat('(', string_agg(concat(species, ':', CAST(CAST(dist AS INT) AS STRING)), ',' ORDER BY pos), '):1') AS pair
             FROM {v_leaves} GROUP BY tree_id, sample_id, CAST(floor(pos / 2.0) AS BIGINT)) p
         GROUP BY tree_id, sample_id""",
+    "v_priced": """
+        SELECT l_orderkey AS tree_id, o_custkey % 21 AS sample_id, r_name AS clade, l_quantity AS dist,
+               row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice, l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount, l_tax, l_shipdate) - 1 AS pos
+        FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {supplier} ON l_suppkey = s_suppkey
+             JOIN {nation} ON s_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey""",
+    "v_deep": DEEP.replace("LEAVES", "{v_leaves}"),
+    "v_deep_priced": DEEP.replace("LEAVES", "{v_priced}"),
     "v_truth_events": """
         SELECT c_custkey AS event_ix, c_custkey % 21 AS sample_id, CASE WHEN c_acctbal < 0 THEN 'auto' ELSE 'allo' END AS event_type, n_name AS target, r_name AS target_clade, c_mktsegment = 'BUILDING' AS whole_clade, (c_nationkey + 1) % 25 AS partner_key
         FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey""",
@@ -95,4 +117,6 @@ def with_views(sql: str) -> str:
         return sql
     parts = ",\n".join(f"{x} AS ({re.sub(r'{(\w+)}', r'\1', VIEWS[x])})" for x in needed)
     body = sql.strip()
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {parts},\n{body[15:]}"
     return f"WITH {parts},\n{body[5:]}" if body[:5].upper() == "WITH " else f"WITH {parts}\n{body}"
