@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache, partial
 
@@ -222,10 +223,23 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[::2], edges[1::2] - edges[::2]
 
 
-def _by_suffix_array(group: pa.Table, length: int) -> pa.Table:
-    h, d1, d2 = (group.column(c).to_numpy() for c in ("h", "d1", "d2"))
-    out: list[tuple[int, int, int, int, int]] = []
-    for i, flags in enumerate(repeated_windows(group.column("data").to_pylist(), group.column("n").to_pylist(), length)):
+def _by_suffix_array(part: pa.Table, length: int) -> pa.Table:
+    """The repeated windows of the runs of a part, as places in their groups.
+
+    Of a pair whose bytes are equal one run is enough: all windows of its group are repeated, and it
+    is sorted only if its anchor has other runs that it may meet.
+    """
+    h, d1, d2, n, data = (part.column(c).to_pylist() for c in ("h", "d1", "d2", "n", "data"))
+    out, kept, own = [], [], {}
+    for i, group in enumerate(zip(h, d1, d2)):
+        at = own.setdefault(group, i)
+        if at < i and data[at] == data[i]:
+            out.append((*group, 0, n[i]))
+        else:
+            kept.append(i)
+    runs = Counter(h[i] for i in kept)
+    kept = [i for i in kept if runs[h[i]] > 1]
+    for i, flags in zip(kept, repeated_windows([data[i] for i in kept], [n[i] for i in kept], length)):
         out += [(h[i], d1[i], d2[i], a, m) for a, m in zip(*_runs(flags))]
     return pa.Table.from_batches([_record(out, (("h", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("at", pa.int32()), ("n", pa.int32())))])
 
@@ -278,11 +292,12 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
        the least hash in them. Equal windows have equal anchors, so runs whose anchor is met once
        are done: counts by hash, aggregated before they are shuffled, leave few candidates.
     2. Runs with one anchor and one 128-bit digest are a group. One run of a group of one is cut out
-       of its text, of others a pair. Two-stage suffix sorting of all these of the same anchors with
-       adjacent common prefixes finds the windows that are repeated (see `repeated_windows`), those
-       of a pair included; they hold for every run of the group. Parts hold about ``part_bytes``.
+       of its text, of others a pair, whose bytes are compared: if they are equal, all windows of the
+       group are repeated. Two-stage suffix sorting of all distinct runs of the same anchors with
+       adjacent common prefixes finds the other windows that are repeated (see `repeated_windows`).
+       Parts hold about ``part_bytes``.
     3. An anchor with more bytes than a part is split by further bytes: each window becomes a run
-       with its own digest as the anchor. Those met once are done, of others a pair is sorted, too.
+       with its own digest as the anchor. Those met once are done, of others a pair is compared.
 
     Texts are read again to cut runs out and to remove the spans; they are joined by a 128-bit hash
     of id and text. Joins on anchors, groups and windows deal frequent keys over many tasks.
