@@ -148,6 +148,18 @@ def propagate(members: DataFrame, values: DataFrame) -> DataFrame:
     return members.join(F.broadcast(values), "species").groupBy("tree_id", "lo").agg(F.avg("value").alias("value"))
 
 
+def edge_vectors(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The features of an edge's parent, of its child and its own in one array: ``sample_id, edge, vector``.
+
+    ``edges`` is ``sample_id, edge, parent, child, features`` and ``nodes`` ``sample_id, node, features``, all
+    of one width; a node without features counts as zeros of the width of the other end.
+    """
+    of = lambda end: nodes.select("sample_id", F.col("node").alias(end), F.col("features").alias(f"{end}_features"))
+    rows = edges.join(of("parent"), ["sample_id", "parent"], "left").join(of("child"), ["sample_id", "child"], "left")
+    zeros = lambda end, other: F.coalesce(f"{end}_features", F.transform(f"{other}_features", lambda x: x * 0))
+    return rows.select("sample_id", "edge", F.concat(zeros("parent", "child"), zeros("child", "parent"), "features").alias("vector"))
+
+
 def partner_ranks(matrix: DataFrame, truth: DataFrame, k: int = 3) -> DataFrame:
     """How often a species' true partner is among its first 1 to k candidates by share (ties by name): ``sample_id, n, top1 .. topk``."""
     rank = F.row_number().over(W.partitionBy("sample_id", "species").orderBy(F.desc("share"), "partner"))
