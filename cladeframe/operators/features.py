@@ -148,6 +148,11 @@ def propagate(members: DataFrame, values: DataFrame) -> DataFrame:
     return members.join(F.broadcast(values), "species").groupBy("tree_id", "lo").agg(F.avg("value").alias("value"))
 
 
+def copies_from_alignments(sequences: DataFrame) -> DataFrame:
+    """Copies of each taxon per gene, from sequence names ``taxon_number`` (``gene, seq_id``; a name without a number is the taxon): ``gene, taxon, n``."""
+    return sequences.groupBy("gene", F.regexp_replace("seq_id", r"_\d+$", "").alias("taxon")).agg(F.count("*").alias("n"))
+
+
 def edge_vectors(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """The features of an edge's parent, of its child and its own in one array: ``sample_id, edge, vector``.
 

@@ -113,9 +113,16 @@ def _(v):
     return L.select_edges(candidates(v), "detect_only", 0.5)
 
 
-for _strategy in ("cap", "bound_driven", "detect"):
+#: Edges by falling score; a species may be in one taken edge, as the bound is two copies. ``ok`` says which edges may be taken.
+SCAN = """WITH RECURSIVE e AS (SELECT tree_id, CAST(floor(pos / 2.0) AS BIGINT) AS edge_ix, sum(dist) / 100 AS prob, list_distinct(list(species)) AS s FROM v_leaves GROUP BY 1, 2),
+o AS (SELECT tree_id, list(edge_ix ORDER BY prob DESC, edge_ix) AS edges, list(s ORDER BY prob DESC, edge_ix) AS sets, list(prob >= 0.5 ORDER BY prob DESC, edge_ix) AS sure FROM e GROUP BY tree_id),
+g AS (SELECT *, 0 AS i, CAST([] AS VARCHAR[]) AS used, CAST([] AS BIGINT[]) AS taken FROM o UNION ALL SELECT tree_id, edges, sets, sure, i + 1, CASE WHEN list_has_any(used, sets[i + 1]) OR NOT (OK) THEN used ELSE list_concat(used, sets[i + 1]) END, CASE WHEN list_has_any(used, sets[i + 1]) OR NOT (OK) THEN taken ELSE list_append(taken, edges[i + 1]) END FROM g WHERE i < len(edges))
+SELECT e.tree_id AS sample_id, e.edge_ix FROM e JOIN g ON g.tree_id = e.tree_id AND g.i = len(g.edges) WHERE list_contains(g.taken, e.edge_ix) MORE"""
+STRATEGIES = {"cap": SCAN.replace("OK", "sure[i + 1]").replace("MORE", ""), "bound_driven": SCAN.replace("OK", "TRUE").replace("MORE", ""), "detect": SCAN.replace("OK", "TRUE").replace("MORE", "OR e.prob >= 0.5")}
 
-    @query(f"m8_{_strategy}")
+for _strategy in STRATEGIES:
+
+    @query(f"m8_{_strategy}", STRATEGIES[_strategy])
     def _(v, strategy=_strategy):
         return L.select_edges(candidates(v), strategy, 0.5)
 

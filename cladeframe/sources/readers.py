@@ -25,13 +25,16 @@ def read_newick(spark: SparkSession, path: str, most: int | None = None) -> Data
     return split_newick(whole_files(spark, path), most)
 
 
-def read_nexus(spark: SparkSession, path: str) -> DataFrame:
+def parse_nexus(files: DataFrame) -> DataFrame:
     """The tree text of NEXUS files (after ``=`` on a tree line), or of plain Newick files: ``path, newick``."""
-    files = whole_files(spark, path)
     tree = F.regexp_extract("value", r"(?im)^\s*u?tree\b[^=]*=\s*(?:\[[^\]]*\]\s*)*([^;]*)", 1)
     return files.select("path", F.when(F.col("value").rlike(r"(?i)^\s*#nexus"), tree).otherwise(F.regexp_extract("value", r"\s*([^;]*)", 1)).alias("newick"))
 
 
+def read_nexus(spark: SparkSession, path: str) -> DataFrame:
+    return parse_nexus(whole_files(spark, path))
+
+
 def parse_phylip(files: DataFrame) -> DataFrame:
     """Rows after the header, ``path, seq_id, sequence``."""
     lines = files.select("path", F.posexplode(F.split("value", r"\r?\n")).alias("at", "line")).filter("at > 0 and trim(line) <> ''")
@@ -85,8 +88,43 @@ def read_metrics(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).csv(path, header=True).withColumn("config", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2))
 
 
-def read_metadata(spark: SparkSession, path: str) -> DataFrame:
+METADATA = "n_species int, n_events_requested int, n_events_applied int, events array<struct<event_type string, target_clade array<string>, partner_clade array<string>>>, polyploid_species map<string, int>"
+
+
+def parse_metadata(files: DataFrame) -> DataFrame:
     """Events of sample metadata in JSON: ``path, n_species, n_events_requested, n_events_applied, event_ix, event_type, target_clade, partner_clade``."""
-    schema = "n_species int, n_events_requested int, n_events_applied int, events array<struct<event_type string, target_clade array<string>, partner_clade array<string>>>, polyploid_species map<string, int>"
-    rows = spark.read.schema(schema).json(path, multiLine=True).withColumn("path", F.col("_metadata.file_path"))
-    return rows.select("path", "n_species", "n_events_requested", "n_events_applied", F.posexplode_outer("events").alias("event_ix", "event")).select("*", "event.*").drop("event")
+    rows = files.select("path", F.from_json("value", METADATA).alias("m")).select("path", "m.n_species", "m.n_events_requested", "m.n_events_applied", F.posexplode_outer("m.events").alias("event_ix", "event"))
+    return rows.select("*", "event.*").drop("event")
+
+
+def read_metadata(spark: SparkSession, path: str) -> DataFrame:
+    return parse_metadata(whole_files(spark, path))
+
+
+#: Rates and base frequencies as reports of a model fit name them.
+RATES, BASES = ("A-C", "A-G", "A-T", "C-G", "C-T", "G-T"), "ACGT"
+
+
+def parse_model_report(files: DataFrame) -> DataFrame:
+    """Fields of reports of a model fit: sequences, sites and their shares, six rates ``ac .. gt``, ``pi_a .. pi_t``, ``alpha``.
+
+    Rates, frequencies and alpha are null where a rate or a frequency is missing.
+    """
+    number = lambda pattern, kind="double": F.nullif(F.regexp_extract("value", pattern, 1), F.lit("")).try_cast(kind)
+    real = r"([0-9.eE+-]+)"
+    rates = {x.replace("-", "").lower(): number(rf"(?m)^\s*{x}:\s*{real}") for x in RATES}
+    bases = {f"pi_{x.lower()}": number(rf"pi\({x}\)\s*=\s*{real}") for x in BASES}
+    counts = {"n_sequences": number(r"Input data:\s+(\d+)\s+sequences?", "int"), "alignment_length": number(r"sequences?\s+with\s+(\d+)\s+nucleotide sites", "int"), "constant_sites": number(r"Number of constant sites:\s+(\d+)", "int"), "informative_sites": number(r"Number of parsimony informative sites:\s+(\d+)", "int")}
+    read = files.select("path", *(c.alias(k) for k, c in {**counts, **rates, **bases, "alpha": number(rf"Gamma shape alpha:\s*{real}")}.items()))
+    whole = F.lit(True)
+    for c in (*rates, *bases):
+        whole = whole & F.col(c).isNotNull()
+    share = lambda c: F.try_divide(F.col(c) * F.lit(100.0), F.col("alignment_length"))
+    model = [F.when(whole, F.col(c)).alias(c) for c in (*rates, *bases, "alpha")]
+    return read.select("path", *counts, share("constant_sites").alias("constant_percentage"), share("informative_sites").alias("informative_percentage"), *model)
+
+
+def task_keys(tasks: DataFrame, networks: DataFrame, replicates: int) -> DataFrame:
+    """Adds network and replicate to numbered tasks, ``task_id``: replicates of the first network, then of the next (``networks``: position, network)."""
+    at = tasks.withColumns({"position": F.floor(F.col("task_id") / replicates), "replicate": F.col("task_id") % replicates + 1})
+    return at.join(networks, "position").drop("position")
