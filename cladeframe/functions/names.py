@@ -19,9 +19,9 @@ def species_of(label: str | Column, mode: str = "full") -> Column:
     return F.when(at > 0, part).otherwise(label)
 
 
-def strip_after_underscore(newick: str | Column) -> Column:
-    """Tree text with every taxon cut at its first ``_``."""
-    return F.regexp_replace(newick, r"_[^(),:;]*", "")
+def strip_after_underscore(newick: str | Column, sections: str = "sect_nov_") -> Column:
+    """Tree text with every taxon cut at its first ``_``; names of unnamed ``sections`` keep the field behind that."""
+    return F.regexp_replace(newick, rf"(?<![^(),:;\s])({sections}[^_(),:;]*)(_[^(),:;]*)?|_[^(),:;]*", "$1")
 
 
 def gene_tip(label: str) -> tuple[Column, Column]:
@@ -35,6 +35,13 @@ def strip_internal_labels(newick: str | Column) -> Column:
     return F.regexp_replace(F.regexp_replace(newick, r"\)[^(),:;]+", ")"), r"[*+]|<\d+>", "")
 
 
+def repair_tree(newick: str | Column) -> Column:
+    """Tree text without control characters and without a length of the root that is 0 or in scientific notation, ending in ``;``."""
+    text = F.regexp_replace(newick, r"[\x00-\x09\x0B-\x1F\x7F]", "")
+    text = F.regexp_replace(F.regexp_replace(text, r"\)(\d*):0;", ")$1;"), r"\)(\d*):[\d.]+e[-+]\d+;", ")$1;")
+    return F.when(F.trim(text) == "", "").when(F.rtrim(text).endswith(";"), text).otherwise(F.concat(F.trim(text), F.lit(";")))
+
+
 def balanced(newick: str) -> Column:
     """Whether a tree text has as many closing as opening brackets."""
     return F.length(F.translate(newick, "(", "")) == F.length(F.translate(newick, ")", ""))
@@ -118,9 +125,26 @@ def gene_species(genes: DataFrame, species: DataFrame) -> DataFrame:
     return hit.groupBy("gene").agg(F.max_by("species", F.length("species")).alias("species"))
 
 
-def harmonise(names: DataFrame, canonical: DataFrame) -> DataFrame:
-    """Maps names of a method to canonical ones: the same without regard to case, ``_`` and up to four digits at the end (exact first)."""
-    key = lambda c: F.lower(F.regexp_replace(c, "_", ""))
-    tries = names.select("name", F.explode(F.array(F.struct(F.lit(0).alias("rank"), key("name").alias("key")), F.struct(F.lit(1).alias("rank"), key(F.regexp_replace("name", r"\d{1,4}$", "")).alias("key")))).alias("t")).select("name", "t.*")
-    met = tries.join(F.broadcast(canonical.select(F.col("name").alias("canonical"), key("name").alias("key"))), "key")
-    return met.groupBy("name").agg(F.min(F.struct("rank", "canonical"))["canonical"].alias("canonical"))
+def harmonise(names: DataFrame, canonical: DataFrame, most: int = 4) -> DataFrame:
+    """Maps names of a method to canonical ones, ``name, canonical``; the first rule that holds decides.
+
+    The name itself; without 1 to ``most`` digits at its end, one more at a time: as it is, without
+    ``_``, and without regard to case; the whole name without ``_`` and without regard to case; the
+    only canonical name that starts with it, or with it less one or two digits; less one digit.
+    """
+    bare = lambda c: F.regexp_replace(c, "_", "")
+    c = canonical.select(F.col("name").alias("canonical")).distinct()
+    less = lambda n: F.regexp_extract("name", rf"^(.+)\d{{{n}}}$", 1)
+    ways, rank = [("exact", 0, F.col("name"))], 1
+    for n in range(1, most + 1):
+        ways += [("exact", rank, less(n)), ("exact", rank + 1, bare(less(n))), ("folded", rank + 2, F.lower(bare(less(n))))]
+        rank += 3
+    ways += [("exact", rank, bare("name")), ("folded", rank + 1, F.lower(bare("name"))), ("prefix", rank + 2, bare("name")), ("prefix", rank + 3, bare(less(1))), ("prefix", rank + 4, bare(less(2)))]
+    tries = names.select("name").distinct().select("name", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(i).alias("rank"), x.alias("key")) for k, i, x in ways))).alias("t")).select("name", "t.*").filter("key <> ''")
+    starts = c.select("canonical", F.explode(F.transform(F.sequence(F.lit(1), F.length("canonical")), lambda i: F.substring("canonical", F.lit(1), i))).alias("key"))
+    only = starts.groupBy("key").agg(F.count("*").alias("n"), F.min("canonical").alias("canonical")).filter("n = 1")
+    folded = c.groupBy(F.lower(bare("canonical")).alias("key")).agg(F.min("canonical").alias("canonical"))
+    known = c.select(F.lit("exact").alias("kind"), F.col("canonical").alias("key"), "canonical").unionByName(folded.select(F.lit("folded").alias("kind"), "key", "canonical")).unionByName(only.select(F.lit("prefix").alias("kind"), "key", "canonical"))
+    met = tries.join(known, ["kind", "key"]).groupBy("name").agg(F.min_by("canonical", "rank").alias("canonical"))
+    last = names.select("name").distinct().join(met, "name", "left_anti").select("name", less(1).alias("canonical")).filter("canonical <> ''")
+    return met.unionByName(last)

@@ -41,6 +41,12 @@ def representative_copies(distribution: DataFrame, width: int = 2) -> DataFrame:
     return smooth.groupBy("sample_id", "species").agg(F.min_by("n", F.struct(-weight, "n")).alias("copies"))
 
 
+def representative_copies_with_absences(copies: DataFrame, width: int = 2) -> DataFrame:
+    """`representative_copies` with the trees that lack a species counted as 0 copies; 1 at least."""
+    found = representative_copies(with_absences(copy_distribution(copies), copies), width)
+    return found.withColumn("copies", F.greatest("copies", F.lit(1)))
+
+
 def consensus_bound(copies: DataFrame, floor: int = 1) -> DataFrame:
     """The largest k such that at least half of the sample's trees hold k copies or more, ``floor`` at least."""
     trees = copies.groupBy("sample_id").agg(F.count_distinct("tree_id").alias("trees"))
@@ -125,6 +131,74 @@ def duplication_synchrony(copies: DataFrame) -> DataFrame:
     return pairs.select("sample_id", "species", "partner", F.when(spread > 0, (t * F.coalesce("both", F.lit(0)) - s * s2) / spread).alias("r"))
 
 
+def detection_features(nodes: DataFrame, clades: DataFrame) -> DataFrame:
+    """What tells a whole clade's duplication from that of single genes, per sample and clade.
+
+    ``sample_id, clade, synchrony, mirrored, divergence, divergence_cv, duplicated``: the mean correlation
+    of whether two of its species are duplicated, over trees that hold the clade; the share of trees
+    with two like sisters of its species alone; mean and variation of the least distance between two
+    copies over the tree's mean height; the mean share of its present species that are duplicated.
+    ``nodes`` also has ``sample_id``; ``clades`` is ``clade, species``. 0 where there is nothing to tell.
+    """
+    from .trees import copy_distances, mirrored_nodes, species_sets, tree_heights
+
+    trees = nodes.select("sample_id", "tree_id").distinct()
+    total = trees.groupBy("sample_id").agg(F.count("*").alias("trees"))
+    copies = nodes.filter("is_leaf").groupBy("sample_id", "tree_id", F.col("label").alias("species")).agg(F.count("*").alias("n"))
+    held = copies.join(clades, "species").withColumn("dup", (F.col("n") > 1).cast("long"))
+    per = held.groupBy("sample_id", "tree_id", "clade").agg(F.avg("dup").alias("share"))
+    duplicated = per.groupBy("sample_id", "clade").agg(F.avg("share").alias("duplicated"), F.count("*").alias("t"))
+    t, s1, s2 = F.col("t"), F.col("s1"), F.col("s2")
+    doubled = held.filter("dup = 1").select("sample_id", "tree_id", "clade", "species")
+    ones = doubled.groupBy("sample_id", "clade", "species").agg(F.count("*").alias("s1")).join(duplicated.select("sample_id", "clade", "t"), ["sample_id", "clade"]).filter("s1 < t")
+    both = doubled.join(doubled.withColumnRenamed("species", "other"), ["sample_id", "tree_id", "clade"]).filter("species < other").groupBy("sample_id", "clade", "species", "other").agg(F.count("*").alias("both"))
+    pairs = ones.join(ones.select("sample_id", "clade", F.col("species").alias("other"), F.col("s1").alias("s2")), ["sample_id", "clade"]).filter("species < other").join(both, ["sample_id", "clade", "species", "other"], "left")
+    r = (t * F.coalesce("both", F.lit(0)) - s1 * s2) / F.sqrt(((t * s1 - s1 * s1) * (t * s2 - s2 * s2)).cast("double"))
+    synchrony = pairs.groupBy("sample_id", "clade").agg(F.avg(r).alias("synchrony"))
+    sets = mirrored_nodes(nodes).join(species_sets(nodes).select("tree_id", "lo", "set"), ["tree_id", "lo"])
+    inside = sets.select("tree_id", "lo", F.size("set").alias("size"), F.explode("set").alias("species")).join(clades, "species").groupBy("tree_id", "lo", "size", "clade").agg(F.count("*").alias("k")).filter("k = size")
+    mirrored = inside.select("tree_id", "clade").distinct().join(trees, "tree_id").groupBy("sample_id", "clade").agg(F.count("*").alias("m")).join(total, "sample_id").select("sample_id", "clade", (F.col("m") / F.col("trees")).alias("mirrored"))
+    tall = tree_heights(nodes).select("tree_id", "mean_height")
+    apart = copy_distances(nodes).join(tall, "tree_id").join(trees, "tree_id").join(clades, "species").select("sample_id", "clade", F.try_divide("distance", "mean_height").alias("d"))
+    age = apart.groupBy("sample_id", "clade").agg(F.avg("d").alias("divergence"), F.try_divide(F.stddev_pop("d"), F.avg("d")).alias("divergence_cv"))
+    every = total.select("sample_id").join(clades.select("clade").distinct())
+    out = every.join(synchrony, ["sample_id", "clade"], "left").join(mirrored, ["sample_id", "clade"], "left").join(age, ["sample_id", "clade"], "left").join(duplicated.drop("t"), ["sample_id", "clade"], "left")
+    return out.na.fill(0.0)
+
+
+def core_clusters(nodes: DataFrame, bounds: DataFrame) -> DataFrame:
+    """Clusters of species with copies over a sample's trees: ``sample_id, multiset, core, n_copies, support``.
+
+    ``nodes`` also has ``sample_id``; ``bounds`` is ``sample_id, species, bound``. A node with its parent's
+    cluster is left out, copies are capped at the bounds, and clusters of one leaf or as many as all
+    bounds are ignored. A cluster with a species of one copy is core and counts once a tree; others
+    count by how often a tree has them.
+    """
+    from .trees import species_multisets
+
+    trees = nodes.select("tree_id", "sample_id").distinct()
+    sets = species_multisets(nodes)
+    up = nodes.select("tree_id", "lo", "parent_lo").join(sets.select("tree_id", F.col("lo").alias("parent_lo"), F.col("multiset").alias("above")), ["tree_id", "parent_lo"], "left").select("tree_id", "lo", "above")
+    own = sets.join(up, ["tree_id", "lo"]).filter("above is null or above <> multiset").join(trees, "tree_id")
+    size = bounds.groupBy("sample_id").agg(F.sum("bound").alias("taxa"))
+    members = own.select("sample_id", "tree_id", "lo", F.explode("multiset").alias("m")).select("sample_id", "tree_id", "lo", "m.species", "m.n").join(bounds, ["sample_id", "species"], "left")
+    n = F.coalesce(F.least("n", "bound"), F.col("n"))
+    capped = members.groupBy("sample_id", "tree_id", "lo").agg(F.sort_array(F.collect_list(F.struct("species", n.cast("long").alias("n")))).alias("multiset"), F.sum(n).alias("size"), F.max((F.col("bound") == 1).cast("int")).alias("core"))
+    kept = capped.join(size, "sample_id").filter((F.col("size") > 1) & (F.col("size") != F.col("taxa")))
+    per = kept.groupBy("sample_id", "tree_id", "multiset").agg(F.max("core").alias("core"), F.count("*").alias("k"))
+    core = F.coalesce(F.col("core") == 1, F.lit(False))
+    return per.groupBy("sample_id", "multiset", core.alias("core"), F.when(core, 1).otherwise(F.col("k")).alias("n_copies")).agg(F.count("*").alias("support"))
+
+
+def copy_contrast(leaves: DataFrame) -> DataFrame:
+    """How much more often two species are direct sisters where the first is duplicated than where it is single: ``sample_id, species, partner, share``."""
+    kind = copies_per_tree(leaves).select("sample_id", "tree_id", "species", (F.col("n") > 1).alias("doubled"))
+    total = kind.groupBy("sample_id", "species").agg(F.count(F.when(F.col("doubled"), 1)).alias("many"), F.count(F.when(~F.col("doubled"), 1)).alias("one"))
+    met = sister_pairs(leaves).join(kind, ["sample_id", "tree_id", "species"]).groupBy("sample_id", "species", "partner").agg(F.count(F.when(F.col("doubled"), 1)).alias("a"), F.count(F.when(~F.col("doubled"), 1)).alias("b"))
+    part = lambda x, n: F.coalesce(F.try_divide(x, n), F.lit(0.0))
+    return met.join(total, ["sample_id", "species"]).select("sample_id", "species", "partner", (part("a", "many") - part("b", "one")).alias("share"))
+
+
 def cluster_support(multisets: DataFrame) -> DataFrame:
     """Clusters of species with copies and in how many nodes of the sample they are met; clusters of one species are left out."""
     return multisets.filter(F.size("multiset") > 1).groupBy("sample_id", "multiset").agg(F.count("*").alias("support"))

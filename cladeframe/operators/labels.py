@@ -154,19 +154,57 @@ def select_edges(candidates: DataFrame, strategy: str, threshold: float) -> Data
     return ordered.mapInPandas(batched, candidates.select("sample_id", "edge_ix").schema)
 
 
-def false_positive_relations(edges: DataFrame) -> DataFrame:
-    """How each false positive lies to the true edges of its sample: parent, child, sibling, else scattered.
+RELATIONS = ("parent", "child", "sibling", "ancestor", "descendant", "scattered")
 
-    ``edges`` is ``sample_id, edge, parent, hit, target``. The first relation that holds counts.
+
+def false_positive_relations(edges: DataFrame, members: DataFrame | None = None) -> DataFrame:
+    """How each false positive lies to the true edges of its sample; the first relation of `RELATIONS` that holds counts.
+
+    ``edges`` is ``sample_id, edge, parent, hit, target``. ``members`` (``edge, species``) tells which
+    edges hold others; without it there are no ancestors and descendants.
     """
     fp = edges.filter("hit and target = 0").select("sample_id", "edge", "parent")
     true = edges.filter("target = 1").select("sample_id", F.col("edge").alias("t"), F.col("parent").alias("tp")).filter("t is not null")
-    rank = F.when(F.col("tp") == F.col("edge"), 0).when(F.col("parent") == F.col("t"), 1).when(F.col("parent") == F.col("tp"), 2).otherwise(3)
-    least = fp.join(true, "sample_id").groupBy("sample_id", "edge").agg(F.min(rank).alias("rank"))
-    names = F.element_at(F.array(*map(F.lit, ("parent", "child", "sibling", "scattered"))), F.col("rank") + 1)
+    pairs = fp.join(true, "sample_id")
+    inside = F.lit(5)
+    if members is not None:
+        sized = members.withColumn("n", F.count("*").over(W.partitionBy("edge")))
+        other = sized.select(F.col("edge").alias("t"), "species", F.col("n").alias("m"))
+        shared = sized.join(other, "species").groupBy("edge", "t").agg(F.count("*").alias("k"), F.max("n").alias("n"), F.max("m").alias("m"))
+        nested = shared.filter("n <> m and (k = n or k = m)").select("edge", "t", F.when(F.col("n") > F.col("m"), 3).otherwise(4).alias("nested"))
+        pairs, inside = pairs.join(nested, ["edge", "t"], "left"), F.coalesce("nested", F.lit(5))
+    rank = F.when(F.col("tp") == F.col("edge"), 0).when(F.col("parent") == F.col("t"), 1).when(F.col("parent") == F.col("tp"), 2).otherwise(inside)
+    least = pairs.groupBy("sample_id", "edge").agg(F.min(rank).alias("rank"))
+    names = F.element_at(F.array(*map(F.lit, RELATIONS)), F.col("rank") + 1)
     return fp.join(least, ["sample_id", "edge"], "left").select("sample_id", "edge", F.when(F.col("rank").isNull(), "no true edge").otherwise(names).alias("relation"))
 
 
+def partner_accuracy(predictions: DataFrame) -> DataFrame:
+    """Share of right partners of auto events (partner is the edge) and of others, per config: ``config, auto, auto_accuracy, allo, allo_accuracy`` (0 where there is none)."""
+    auto, right = F.col("partner") == F.col("edge"), F.col("predicted") == F.col("partner")
+    n = lambda c: F.count(F.when(c, 1))
+    rate = lambda c: F.coalesce(F.try_divide(n(c & right), n(c)), F.lit(0.0))
+    return predictions.groupBy("config").agg(n(auto).alias("auto"), rate(auto).alias("auto_accuracy"), n(~auto).alias("allo"), rate(~auto).alias("allo_accuracy"))
+
+
+def partner_summary(predictions: DataFrame, tips: DataFrame) -> DataFrame:
+    """Per sample: predictions, the share whose partner is a tip (``tips``: edge), and pairs of edges that point at each other."""
+    back = predictions.select("sample_id", F.col("edge").alias("predicted"), F.col("predicted").alias("returned"))
+    rows = predictions.join(tips.select(F.col("edge").alias("predicted"), F.lit(1).alias("tip")), "predicted", "left").join(back, ["sample_id", "predicted"], "left")
+    pair = (F.col("returned") == F.col("edge")) & (F.col("edge") <= F.col("predicted"))
+    return rows.groupBy("sample_id").agg(F.count("*").alias("n"), (F.count("tip") / F.count("*")).alias("tip_share"), F.count(F.when(pair, 1)).alias("reciprocal"))
+
+
+def scores_by_tag(samples: DataFrame) -> DataFrame:
+    """Scores of samples with a tag and without: ``tag, n, mean, median, gap`` (the mean with it less that without; null where all have it).
+
+    ``samples`` is ``sample_id, score, tags`` (an array).
+    """
+    whole = samples.agg(F.sum("score").alias("every"), F.count("score").alias("all"))
+    per = samples.select("score", F.explode("tags").alias("tag")).groupBy("tag").agg(F.count("score").alias("n"), F.avg("score").alias("mean"), F.median("score").alias("median"), F.sum("score").alias("own"))
+    return per.join(F.broadcast(whole)).select("tag", "n", "mean", "median", (F.col("mean") - F.try_divide(F.col("every") - F.col("own"), F.col("all") - F.col("n"))).alias("gap"))
+
+
 def edge_classifiers(rows: DataFrame, seed: int = 1) -> DataFrame:
     """Precision, recall and F1 of balanced logistic regression, random forest and boosted trees on held-out rows: ``model, precision, recall, f1``.
 

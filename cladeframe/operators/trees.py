@@ -100,21 +100,27 @@ def sister_species(nodes: DataFrame) -> DataFrame:
     return a.join(b, ["tree_id", "parent_lo"]).filter("a < b").select("tree_id", "a", "b").distinct()
 
 
-def copy_distances(nodes: DataFrame) -> DataFrame:
-    """Least path distance between two copies of a species in a tree.
+def copy_pairs(nodes: DataFrame) -> DataFrame:
+    """Path distance between each two copies of a species in a tree: ``tree_id, species, x, y, distance``.
 
-    Pairs are made within a tree's species only; their last common ancestor is the deepest node
-    whose interval holds both.
+    Pairs are made within a tree's species only. Their last common ancestor is the deepest node over
+    both: of the first copy's ancestors, which are at hand by leaf, the last that reaches the second.
     """
-    tips = tip_distances(nodes)
-    a = tips.select("tree_id", "species", F.col("leaf").alias("x"), F.col("distance").alias("dx"))
-    b = tips.select("tree_id", "species", F.col("leaf").alias("y"), F.col("distance").alias("dy"))
-    pairs = a.join(b, ["tree_id", "species"]).filter("x < y")
-    inner = nodes.filter("not is_leaf").select("tree_id", "lo", "hi")
-    depth = inner.join(nodes.select("tree_id", F.col("lo").alias("up"), F.col("hi").alias("up_hi"), F.coalesce("dist", F.lit(0.0)).alias("step")), "tree_id").filter("lo between up and up_hi").groupBy("tree_id", "lo", "hi").agg(F.sum("step").alias("dl"))
-    met = pairs.join(depth, "tree_id").filter("x between lo and hi and y between lo and hi")
-    lca = met.groupBy("tree_id", "species", "x", "y", "dx", "dy").agg(F.max_by("dl", "lo").alias("dl"))
-    return lca.groupBy("tree_id", "species").agg(F.min(F.col("dx") + F.col("dy") - 2 * F.col("dl")).alias("distance"))
+    above = nodes.select("tree_id", "lo", "hi", F.coalesce("dist", F.lit(0.0)).alias("step"))
+    tips = leaves(nodes).select("tree_id", "leaf", "species")
+    many = tips.withColumn("n", F.count("*").over(W.partitionBy("tree_id", "species"))).filter("n > 1").drop("n")
+    over = many.join(above, "tree_id").filter("leaf between lo and hi")
+    far = F.sum("step").over(W.partitionBy("tree_id", "leaf").orderBy("lo"))
+    over = over.withColumn("far", far)  # distance of the ancestor from the root
+    own = over.filter("lo = leaf").select("tree_id", "species", F.col("leaf").alias("y"), F.col("far").alias("dy"))
+    met = over.select("tree_id", "species", F.col("leaf").alias("x"), "hi", "lo", "far").join(own, ["tree_id", "species"]).filter("x < y and (hi >= y or lo = x)")
+    lca = met.groupBy("tree_id", "species", "x", "y").agg(F.max("dy").alias("dy"), F.max(F.when(F.col("lo") == F.col("x"), F.col("far"))).alias("dx"), F.max_by("far", F.when(F.col("hi") >= F.col("y"), F.col("lo"))).alias("dl"))
+    return lca.select("tree_id", "species", "x", "y", (F.col("dx") + F.col("dy") - 2 * F.col("dl")).alias("distance"))
+
+
+def copy_distances(nodes: DataFrame) -> DataFrame:
+    """Least path distance between two copies of a species in a tree."""
+    return copy_pairs(nodes).groupBy("tree_id", "species").agg(F.min("distance").alias("distance"))
 
 
 def mirrored_nodes(nodes: DataFrame) -> DataFrame:
@@ -198,13 +204,49 @@ def prune(nodes: DataFrame, kept: DataFrame) -> DataFrame:
 
     Nodes of one tree that hold the same leaves are one run: its top stays, with the lengths added.
     """
-    left = leaves(nodes).join(F.broadcast(kept), "species", "left_semi")
+    return prune_to(nodes, leaves(nodes).join(kept.select("species").distinct(), "species", "left_semi"))
+
+
+def prune_to(nodes: DataFrame, left: DataFrame) -> DataFrame:
+    """`prune` to the leaf rows at hand (``tree_id, leaf``)."""
+    left = left.select("tree_id", "leaf")
     inner = below(nodes, left).groupBy("tree_id", "lo").agg(F.min("leaf").alias("first"), F.max("leaf").alias("last"), F.count("*").alias("n"))
     own = left.select("tree_id", F.col("leaf").alias("lo"), F.col("leaf").alias("first"), F.col("leaf").alias("last"), F.lit(1).cast("long").alias("n"))
     held = inner.unionByName(own).join(nodes.select("tree_id", "lo", "label", "dist"), ["tree_id", "lo"])
     return held.groupBy("tree_id", "first", "last", "n").agg(F.min("lo").alias("lo"), F.max_by("label", "lo").alias("label"), F.sum("dist").alias("dist"))
 
 
+def backbone(nodes: DataFrame) -> DataFrame:
+    """The tree of the first copy of each species."""
+    first = leaves(nodes).groupBy("tree_id", "species").agg(F.min("leaf").alias("leaf"))
+    return prune_to(nodes, first)
+
+
+def edge_table(nodes: DataFrame) -> DataFrame:
+    """Edges in preorder: ``tree_id, edge_ix, lo, branch_length, clade_size`` (leaves below), ``depth``."""
+    size = below(nodes, leaves(nodes).select("tree_id", "leaf")).groupBy("tree_id", "lo").agg(F.count("*").alias("size"))
+    ix = F.row_number().over(W.partitionBy("tree_id").orderBy("lo")) - 1
+    rows = nodes.filter("parent_lo is not null").join(size, ["tree_id", "lo"], "left")
+    return rows.select("tree_id", ix.alias("edge_ix"), "lo", F.coalesce("dist", F.lit(0.0)).alias("branch_length"), F.coalesce("size", F.lit(1)).alias("clade_size"), "depth")
+
+
+def scale_lengths(nodes: DataFrame, factor: float) -> DataFrame:
+    return nodes.withColumn("dist", F.col("dist") * factor)
+
+
+def repeated_in_polytomies(nodes: DataFrame) -> DataFrame:
+    """Inner nodes but the root whose children hold one species each, one of them twice or more: ``tree_id, lo, species, children, kept`` (the first child of the species).
+
+    Nodes of one species are left to `single_species_clades`.
+    """
+    sets = species_sets(nodes).select("tree_id", "lo", "parent_lo", F.size("set").alias("kinds"), F.element_at("set", 1).alias("species"))
+    children = sets.filter("parent_lo is not null").groupBy("tree_id", "parent_lo", "species").agg(F.count("*").alias("children"), F.min("lo").alias("kept"), F.max("kinds").alias("kinds"))
+    whole = children.groupBy("tree_id", "parent_lo").agg(F.max("kinds").alias("widest"), F.max("children").alias("most"), F.count("*").alias("n")).filter("widest = 1 and most > 1 and n > 1")
+    inner = nodes.filter("parent_lo is not null").select("tree_id", F.col("lo").alias("parent_lo"))
+    at = whole.join(inner, ["tree_id", "parent_lo"], "left_semi").select("tree_id", "parent_lo")
+    return children.join(at, ["tree_id", "parent_lo"]).select("tree_id", F.col("parent_lo").alias("lo"), "species", "children", "kept")
+
+
 def bipartitions(nodes: DataFrame) -> DataFrame:
     """Unrooted splits of trees with one leaf per species: ``tree_id, side`` (the smaller side, then the one that sorts first)."""
     single = leaves(nodes).groupBy("tree_id").agg(F.sort_array(F.collect_list("species")).alias("all"), F.count_distinct("species").alias("kinds")).filter(F.size("all") == F.col("kinds"))
@@ -242,6 +284,24 @@ def concordance(nodes: DataFrame, clades: DataFrame) -> DataFrame:
     return asked.groupBy("clade").agg(F.count("*").alias("informative")).join(met, "clade", "left").select("clade", "informative", (F.coalesce("met", F.lit(0)) / F.col("informative")).alias("concordance"))
 
 
-def diverse_leaves(nodes: DataFrame) -> DataFrame:
-    """The one leaf of each species farthest from the root of its tree (the first on ties)."""
-    return tip_distances(nodes).groupBy("tree_id", "species").agg(F.min_by("leaf", F.struct(-F.col("distance"), "leaf")).alias("leaf"))
+def diverse_leaves(nodes: DataFrame, k: int = 1) -> DataFrame:
+    """The k most diverse leaves of each species in a tree: ``tree_id, species, leaf``.
+
+    One: that farthest from the root. More: the two most distant, then in turn that whose least
+    distance to those taken is greatest; the first in order on ties. All, where there are no more than k.
+    """
+    if k == 1:
+        return tip_distances(nodes).groupBy("tree_id", "species").agg(F.min_by("leaf", F.struct(-F.col("distance"), "leaf")).alias("leaf"))
+    tips = leaves(nodes).select("tree_id", "species", "leaf").withColumn("n", F.count("*").over(W.partitionBy("tree_id", "species")))
+    pairs = cut(copy_pairs(nodes), "copy_pairs")
+    far = pairs.groupBy("tree_id", "species").agg(F.min_by(F.array("x", "y"), F.struct(-F.col("distance"), "x", "y")).alias("two"))
+    taken = cut(far.select("tree_id", "species", F.explode("two").alias("leaf")), "taken")
+    both = pairs.unionByName(pairs.select("tree_id", "species", F.col("y").alias("x"), F.col("x").alias("y"), "distance"))
+    for _ in range(k - 2):
+        rest = both.join(taken.withColumnRenamed("leaf", "x"), ["tree_id", "species", "x"], "left_anti").join(taken.withColumnRenamed("leaf", "y"), ["tree_id", "species", "y"], "left_semi")
+        near = rest.groupBy("tree_id", "species", "x").agg(F.min("distance").alias("near"))
+        more = near.groupBy("tree_id", "species").agg(F.min_by("x", F.struct(-F.col("near"), "x")).alias("leaf"))
+        taken = cut(taken.unionByName(more), "taken")
+    few = tips.filter(F.col("n") <= k).select("tree_id", "species", "leaf")
+    many = tips.filter(F.col("n") > k).select("tree_id", "species").distinct()
+    return few.unionByName(taken.join(many, ["tree_id", "species"], "left_semi"))
