@@ -156,14 +156,14 @@ def repeated_windows(texts: list[bytes], windows: list[int], length: int) -> lis
     words = np.zeros(len(data), np.uint64)
     for j in range(8):
         words[: len(data) - j] |= data[j:].astype(np.uint64) << np.uint64(56 - 8 * j)
-    sizes = np.array([len(t) for t in texts])
-    first = np.concatenate([[0], np.cumsum(sizes + len(pad))[:-1]])
+    sizes = np.array([len(t) for t in texts], np.int64)
+    first = (np.cumsum(sizes + len(pad)) - sizes - len(pad)).astype(np.int64)
     up = np.zeros(len(data), bool)  # type B
     differs = np.flatnonzero(data[:-1] != data[1:])
     if len(differs):  # a byte is as the last one of its run of equal bytes
         rises = data[differs] < data[differs + 1]
         up[: differs[-1] + 1] = np.repeat(rises, np.diff(differs, prepend=-1))
-    windows = np.array(windows)
+    windows = np.array(windows, np.int64)
     stops = np.flatnonzero(up)  # the next type B suffix, or the end
     last = first + windows - 1
     n = np.minimum(np.append(stops, len(data))[np.searchsorted(stops, last)], first + sizes - 1) - first + 1
