@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from .common import bounded_batches, cut, table, utf8
 
 
-def line_chunks(data: bytes, window: int = 2, mean: int = 4, most: int = 256) -> list[tuple[int, int, int]]:
+def line_chunks(data: bytes, window: int = 1, mean: int = 2, most: int = 256) -> list[tuple[int, int, int]]:
     """Chunks of whole lines as ``(start, end, lines)`` in bytes.
 
     A rolling hash over the hashes of the last ``window`` lines ends a chunk where it is 0 modulo
@@ -86,7 +86,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     everywhere is a count and a minimum; a document's list of removed chunks is as long as the
     document at most.
     """
-    rows = bounded_batches(docs).select(F.col(id_col).alias("doc_id"), utf8(text_col).alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
+    rows = bounded_batches(docs).select(F.col(id_col).alias("doc_id"), utf8(text_col).alias("text")).withColumn("key", F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary"), F.lit(b"\0"), "text"))))
     key = 0
     while True:
         pairs = rows.select("text").mapInArrow(partial(_pairs, size=digest_bytes, key=key), "digest binary, chunk binary").distinct()
@@ -94,7 +94,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             break
         key, digest_bytes = key + 1, min(64, 2 * digest_bytes)
     id_field = T.StructField("doc_id", docs.schema[id_col].dataType)
-    schema = T.StructType([id_field, T.StructField("key", T.LongType()), T.StructField("at", T.IntegerType()), T.StructField("digest", T.BinaryType())])
+    schema = T.StructType([id_field, T.StructField("key", T.BinaryType()), T.StructField("at", T.IntegerType()), T.StructField("digest", T.BinaryType())])
     met = cut(rows.select("doc_id", "key", "text").mapInArrow(partial(_occurrences, size=digest_bytes, key=key), schema), "chunks")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key", "at")
     again = met.groupBy("digest").agg(F.count("*").alias("times"), F.min(place).alias("first")).filter("times > 1")
