@@ -252,7 +252,8 @@ def ppm_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col:
 
     No model is gathered in one place. Documents are dealt by a hash to slices of some 16 MB; each
     slice sends its distinct n-grams and words, with their counts, to buckets: n-grams by the last two
-    bytes of their context, so a bucket holds whole branches of the trie, words by a hash. A bucket
+    bytes of their context, so a bucket holds whole branches of the trie, words by a hash. There are
+    as many buckets as slices, ``buckets`` at least, so both stay of one size. A bucket
     adds up the slices' counts, computes the probabilities, and answers each slice with those it
     asked for. So a frequent word or n-gram moves once per slice, however often it occurs. Only
     bigram counts (65,536 at most), N and V pass through the driver.
@@ -268,6 +269,7 @@ def ppm_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col:
         bigrams[int.from_bytes(r.key, "big")] = r.n
     sent = spark.sparkContext.broadcast(bigrams)
     slices = max(1, math.ceil((size or 0) / SLICE_BYTES))
+    buckets = max(buckets, slices)
     dealt = rows.withColumn("slice", F.pmod(F.xxhash64("doc_id", "text"), F.lit(slices)))
 
     def wanted(group: pa.Table) -> pa.Table:
