@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table, utf8
+from .common import new_folder, table, utf8
 
 CRLF = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -105,7 +104,7 @@ def read_records(spark: SparkSession, archive: WarcArchive) -> DataFrame:
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    archive = write_archive(table(spark, sf_dir, "pages"), f"{shared_dir(spark)}/cladeframe-warc-{uuid.uuid4().hex}")
+    archive = write_archive(table(spark, sf_dir, "pages"), new_folder(spark, "warc"))
     return read_index(spark, archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
