@@ -59,20 +59,29 @@ def substring_taxa(taxa: DataFrame) -> DataFrame:
     """Taxa that are part of other taxa: ``taxon, longer`` (sorted). The list of taxa of a study is small; both sides are distinct."""
     names = taxa.select("taxon").distinct()
     long = names.withColumnRenamed("taxon", "other")
-    return names.join(F.broadcast(long), F.col("other").contains(F.col("taxon")) & (F.col("other") != F.col("taxon"))).groupBy("taxon").agg(F.sort_array(F.collect_list("other")).alias("longer"))
+    return names.join(long, F.col("other").contains(F.col("taxon")) & (F.col("other") != F.col("taxon"))).groupBy("taxon").agg(F.sort_array(F.collect_list("other")).alias("longer"))
 
 
-def safe_names(problems: DataFrame, taxa: DataFrame, most: int = 20) -> DataFrame:
-    """A new name for each taxon, the first of ``<taxon>X, <taxon>X1, ...`` that no taxon contains."""
-    tries = problems.select("taxon", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(most)), lambda i: F.concat(F.col("taxon"), F.lit("X"), F.when(i > 0, i.cast("string")).otherwise("")))).alias("rank", "name"))
-    used = F.broadcast(taxa.select(F.col("taxon").alias("other")).distinct())
-    free = tries.join(used, F.col("other").contains(F.col("name")), "left_anti")
-    return free.groupBy("taxon").agg(F.min_by("name", "rank").alias("name"))
+def safe_names(problems: DataFrame, taxa: DataFrame) -> DataFrame:
+    """A new name for each taxon, the first of ``<taxon>X, <taxon>X1, ...`` that no taxon contains.
+
+    A taxon that contains ``<taxon>X`` and digits behind it rules out one name per digit, so as many
+    numbers as are ruled out, and one more, are enough to find a free one.
+    """
+    base = F.concat("taxon", F.lit("X"))
+    met = problems.select("taxon").distinct().join(taxa.select(F.col("taxon").alias("other")).distinct(), F.col("other").contains(base))
+    behind = met.select("taxon", F.explode(F.slice(F.split("other", F.concat(F.lit("\\Q"), base, F.lit("\\E"))), 2, 1 << 20)).alias("rest"))
+    digits = behind.select("taxon", F.regexp_extract("rest", r"^\d*", 0).alias("d"))
+    out = digits.select("taxon", F.explode(F.transform(F.sequence(F.lit(0), F.length("d")), lambda i: F.substring("d", F.lit(1), i))).alias("number"))
+    ruled = out.filter("number = '' or number not like '0%'").groupBy("taxon").agg(F.collect_set("number").alias("ruled"))
+    every = problems.select("taxon").distinct().join(ruled, "taxon", "left").withColumn("ruled", F.coalesce("ruled", F.array().cast("array<string>")))
+    numbers = F.transform(F.sequence(F.lit(0), F.size("ruled")), lambda i: F.when(i > 0, i.cast("string")).otherwise(""))
+    return every.select("taxon", F.concat(base, F.array_except(numbers, "ruled")[0]).alias("name"))
 
 
 def rename(df: DataFrame, column: str, names: DataFrame) -> DataFrame:
     """Applies ``names(taxon, name)`` to a column; other values stay."""
-    return df.join(F.broadcast(names), df[column] == names["taxon"], "left").withColumn(column, F.coalesce("name", column)).drop("taxon", "name")
+    return df.join(names, df[column] == names["taxon"], "left").withColumn(column, F.coalesce("name", column)).drop("taxon", "name")
 
 
 def number_copies(leaves: DataFrame) -> DataFrame:
@@ -88,7 +97,7 @@ def taxon_map(copies: DataFrame) -> DataFrame:
 
 def validate_trees(nodes: DataFrame, known: DataFrame) -> DataFrame:
     """The first failing check of each tree, or ``ok``: tips, label form, known species, polytomies, root; with its zero-length branches."""
-    marked = nodes.join(F.broadcast(known.select(F.col("species").alias("label"), F.lit(1).alias("known"))), "label", "left")
+    marked = nodes.join(known.select(F.col("species").alias("label"), F.lit(1).alias("known")), "label", "left")
     children = nodes.filter("parent_lo is not null").groupBy("tree_id", "parent_lo").agg(F.count("*").alias("n"))
     shape = children.groupBy("tree_id").agg(F.max("n").alias("widest"), F.max(F.when(F.col("parent_lo") == 0, F.col("n"))).alias("root"))
     leaf = F.col("is_leaf")
@@ -121,8 +130,11 @@ def substitution_model(df: DataFrame, rates: Sequence[str], freqs: Sequence[str]
 
 def gene_species(genes: DataFrame, species: DataFrame) -> DataFrame:
     """The species whose name, with ``_`` behind it, is the longest prefix of a gene's name (null where none is)."""
-    hit = genes.join(F.broadcast(species.select("species").distinct()), F.col("gene").startswith(F.concat("species", F.lit("_"))), "left")
-    return hit.groupBy("gene").agg(F.max_by("species", F.length("species")).alias("species"))
+    parts = F.split("gene", "_")
+    heads = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "_"))
+    tries = genes.select("gene").distinct().select("gene", F.explode(F.when(F.size(parts) > 1, heads).otherwise(F.array().cast("array<string>"))).alias("species"))
+    hit = tries.join(species.select("species").distinct(), "species").groupBy("gene").agg(F.max_by("species", F.length("species")).alias("species"))
+    return genes.select("gene").distinct().join(hit, "gene", "left")
 
 
 def harmonise(names: DataFrame, canonical: DataFrame, most: int = 4) -> DataFrame:

@@ -23,7 +23,7 @@ def with_absences(distribution: DataFrame, copies: DataFrame) -> DataFrame:
     """Adds n = 0 for the trees of the sample that lack the species."""
     trees = copies.groupBy("sample_id").agg(F.count_distinct("tree_id").alias("trees"))
     some = distribution.groupBy("sample_id", "species").agg(F.sum("freq").alias("some"))
-    none = some.join(F.broadcast(trees), "sample_id").select("sample_id", "species", F.lit(0).cast("long").alias("n"), (F.col("trees") - F.col("some")).alias("freq")).filter("freq > 0")
+    none = some.join(trees, "sample_id").select("sample_id", "species", F.lit(0).cast("long").alias("n"), (F.col("trees") - F.col("some")).alias("freq")).filter("freq > 0")
     return distribution.unionByName(none)
 
 
@@ -51,7 +51,7 @@ def consensus_bound(copies: DataFrame, floor: int = 1) -> DataFrame:
     """The largest k such that at least half of the sample's trees hold k copies or more, ``floor`` at least."""
     trees = copies.groupBy("sample_id").agg(F.count_distinct("tree_id").alias("trees"))
     reach = F.sum("freq").over(W.partitionBy("sample_id", "species").orderBy(F.desc("n")))
-    held = copy_distribution(copies).withColumn("reach", reach).join(F.broadcast(trees), "sample_id")
+    held = copy_distribution(copies).withColumn("reach", reach).join(trees, "sample_id")
     return held.groupBy("sample_id", "species").agg(F.greatest(F.coalesce(F.max(F.when(2 * F.col("reach") >= F.col("trees"), F.col("n"))), F.lit(0)), F.lit(floor)).alias("bound"))
 
 
@@ -79,7 +79,7 @@ def coclustering(leaves: DataFrame, conditional: bool = False) -> DataFrame:
         total = doubled.groupBy("sample_id", "species").agg(F.count("*").alias("total"))
         return pairs.join(doubled, ["sample_id", "tree_id", "species"], "left_semi").groupBy("sample_id", "species", "partner").agg(F.count("*").alias("k")).join(total, ["sample_id", "species"]).select("sample_id", "species", "partner", (F.col("k") / F.col("total")).alias("share"))
     trees = leaves.groupBy("sample_id").agg(F.count_distinct("tree_id").alias("total"))
-    return pairs.groupBy("sample_id", "species", "partner").agg(F.count("*").alias("k")).join(F.broadcast(trees), "sample_id").select("sample_id", "species", "partner", (F.col("k") / F.col("total")).alias("share"))
+    return pairs.groupBy("sample_id", "species", "partner").agg(F.count("*").alias("k")).join(trees, "sample_id").select("sample_id", "species", "partner", (F.col("k") / F.col("total")).alias("share"))
 
 
 def profile_summary(matrix: DataFrame, species: DataFrame) -> DataFrame:
@@ -98,10 +98,10 @@ def effective_partners(matrix: DataFrame) -> DataFrame:
 def clade_coclustering(matrix: DataFrame, clades: DataFrame) -> DataFrame:
     """Mean and greatest share between the species of two clades (``clades``: clade, species)."""
     size = clades.groupBy("clade").agg(F.count("*").alias("size"))
-    rows = matrix.join(F.broadcast(clades), "species").join(F.broadcast(clades.select(F.col("species").alias("partner"), F.col("clade").alias("other"))), "partner")
+    rows = matrix.join(clades, "species").join(clades.select(F.col("species").alias("partner"), F.col("clade").alias("other")), "partner")
     found = rows.groupBy("sample_id", "clade", "other").agg(F.sum("share").alias("total"), F.max("share").alias("max"))
     other = size.select(F.col("clade").alias("other"), F.col("size").alias("other_size"))
-    return found.join(F.broadcast(size), "clade").join(F.broadcast(other), "other").select("sample_id", "clade", "other", (F.col("total") / (F.col("size") * F.col("other_size"))).alias("mean"), "max")
+    return found.join(size, "clade").join(other, "other").select("sample_id", "clade", "other", (F.col("total") / (F.col("size") * F.col("other_size"))).alias("mean"), "max")
 
 
 def clade_summaries(leaves: DataFrame, clades: DataFrame) -> DataFrame:
@@ -110,7 +110,7 @@ def clade_summaries(leaves: DataFrame, clades: DataFrame) -> DataFrame:
     A tree's clade is duplicated if a species of it has two copies or more; coherence is the share
     of the clade's present species that do.
     """
-    copies = copies_per_tree(leaves).join(F.broadcast(clades), "species")
+    copies = copies_per_tree(leaves).join(clades, "species")
     per = copies.groupBy("sample_id", "tree_id", "clade").agg(F.count("*").alias("kinds"), F.sum("n").alias("inside"), F.sum((F.col("n") >= 2).cast("long")).alias("doubled"))
     tree = W.partitionBy("sample_id", "tree_id")
     out = (F.sum("inside").over(tree) - F.col("inside")) / F.nullif(F.sum("kinds").over(tree) - F.col("kinds"), F.lit(0))
@@ -125,7 +125,7 @@ def duplication_synchrony(copies: DataFrame) -> DataFrame:
     ones = flags.groupBy("sample_id", "species").agg(F.sum("d").alias("s"))
     doubled = flags.filter("d = 1").select("sample_id", "tree_id", "species")
     both = doubled.join(doubled.withColumnRenamed("species", "partner"), ["sample_id", "tree_id"]).filter("species < partner").groupBy("sample_id", "species", "partner").agg(F.count("*").alias("both"))
-    pairs = ones.join(ones.select("sample_id", F.col("species").alias("partner"), F.col("s").alias("s2")), "sample_id").filter("species < partner").join(both, ["sample_id", "species", "partner"], "left").join(F.broadcast(trees), "sample_id")
+    pairs = ones.join(ones.select("sample_id", F.col("species").alias("partner"), F.col("s").alias("s2")), "sample_id").filter("species < partner").join(both, ["sample_id", "species", "partner"], "left").join(trees, "sample_id")
     t, s, s2 = F.col("t"), F.col("s"), F.col("s2")
     spread = F.sqrt((t * s - s * s) * (t * s2 - s2 * s2))
     return pairs.select("sample_id", "species", "partner", F.when(spread > 0, (t * F.coalesce("both", F.lit(0)) - s * s2) / spread).alias("r"))
@@ -209,7 +209,7 @@ def filter_clusters(clusters: DataFrame, rule: str, value: float) -> DataFrame:
     s = F.col("support")
     threshold: dict[str, Column] = {"constant": F.lit(float(value)), "percentile": F.percentile(s, value), "median": F.median(s) * value, "mean_std": F.avg(s) - value * F.stddev_pop(s)}
     bound = clusters.groupBy("sample_id").agg(F.count("*"), threshold[rule].alias("threshold")).select("sample_id", "threshold")
-    return clusters.join(F.broadcast(bound), "sample_id").filter(s >= F.col("threshold"))
+    return clusters.join(bound, "sample_id").filter(s >= F.col("threshold"))
 
 
 def polyploid_multiset(representative: DataFrame) -> DataFrame:
@@ -219,7 +219,7 @@ def polyploid_multiset(representative: DataFrame) -> DataFrame:
 
 def propagate(members: DataFrame, values: DataFrame) -> DataFrame:
     """Mean of the leaf values below every inner node: ``members`` is ``tree_id, lo, species``, ``values`` ``species, value``."""
-    return members.join(F.broadcast(values), "species").groupBy("tree_id", "lo").agg(F.avg("value").alias("value"))
+    return members.join(values, "species").groupBy("tree_id", "lo").agg(F.avg("value").alias("value"))
 
 
 def copies_from_alignments(sequences: DataFrame) -> DataFrame:

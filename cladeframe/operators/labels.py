@@ -25,12 +25,12 @@ def map_to_edges(clades: DataFrame, edges: DataFrame, least: float = 0.5) -> Dat
     """The edge whose species are most like a clade's by Jaccard similarity (the lowest edge on ties): ``clade_id, edge, jaccard, mappable``.
 
     ``clades`` is ``clade_id, species`` and ``edges`` ``edge, species``. Overlaps come from counts of
-    shared species; the edges of a species tree are few and broadcast.
+    shared species.
     """
     a = clades.groupBy("clade_id").agg(F.count("*").alias("na"))
     b = edges.groupBy("edge").agg(F.count("*").alias("nb"))
-    shared = clades.join(F.broadcast(edges), "species").groupBy("clade_id", "edge").agg(F.count("*").alias("k"))
-    scored = shared.join(a, "clade_id").join(F.broadcast(b), "edge").withColumn("jaccard", F.col("k") / (F.col("na") + F.col("nb") - F.col("k")))
+    shared = clades.join(edges, "species").groupBy("clade_id", "edge").agg(F.count("*").alias("k"))
+    scored = shared.join(a, "clade_id").join(b, "edge").withColumn("jaccard", F.col("k") / (F.col("na") + F.col("nb") - F.col("k")))
     best = scored.groupBy("clade_id").agg(F.min_by(F.struct("edge", "jaccard"), F.struct(-F.col("jaccard"), "edge")).alias("m"))
     return best.select("clade_id", "m.edge", "m.jaccard", (F.col("m.jaccard") >= least).alias("mappable"))
 
@@ -39,8 +39,8 @@ def home_edges(clades: DataFrame, edges: DataFrame) -> DataFrame:
     """The smallest edge that strictly holds a clade (the lowest on ties): ``clade_id, home``."""
     a = clades.groupBy("clade_id").agg(F.count("*").alias("na"))
     b = edges.groupBy("edge").agg(F.count("*").alias("nb"))
-    shared = clades.join(F.broadcast(edges), "species").groupBy("clade_id", "edge").agg(F.count("*").alias("k"))
-    held = shared.join(a, "clade_id").join(F.broadcast(b), "edge").filter("k = na and nb > na")
+    shared = clades.join(edges, "species").groupBy("clade_id", "edge").agg(F.count("*").alias("k"))
+    held = shared.join(a, "clade_id").join(b, "edge").filter("k = na and nb > na")
     return held.groupBy("clade_id").agg(F.min_by("edge", F.struct("nb", "edge")).alias("home"))
 
 

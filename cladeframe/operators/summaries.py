@@ -47,7 +47,7 @@ def correlation(x: Column, y: Column) -> Column:
 def property_correlations(aggregated: DataFrame, stats: DataFrame, properties: Sequence[str], keys: Sequence[str] = ("config", "metric", "method"), least: int = 3) -> DataFrame:
     """Pearson correlation of network properties with mean error over networks, where at least ``least`` networks have both."""
     long = stats.unpivot("network", list(properties), "property", "x").filter("x is not null")
-    return aggregated.filter("mean is not null").join(F.broadcast(long), "network").groupBy(*keys, "property").agg(F.count("*").alias("n"), correlation(F.col("x").cast("double"), F.col("mean")).alias("r")).filter(F.col("n") >= least)
+    return aggregated.filter("mean is not null").join(long, "network").groupBy(*keys, "property").agg(F.count("*").alias("n"), correlation(F.col("x").cast("double"), F.col("mean")).alias("r")).filter(F.col("n") >= least)
 
 
 def with_p_values(correlations: DataFrame, level: float = 0.05) -> DataFrame:
@@ -95,7 +95,7 @@ def collapse_threshold_comparisons(df: DataFrame, thresholds: Sequence[str], lab
 def bias_to_percent(df: DataFrame, stats: DataFrame, metric, truth: str = "total_wgd") -> DataFrame:
     """Values of one metric as percent of the true events; unchanged where the truth is 0 or unknown."""
     t = F.col(truth)
-    return df.join(F.broadcast(stats.select("network", truth)), "network", "left").withColumn("value", F.when((F.col("metric") == metric) & (t > 0), F.col("value") / t * 100).otherwise(F.col("value"))).drop(truth)
+    return df.join(stats.select("network", truth), "network", "left").withColumn("value", F.when((F.col("metric") == metric) & (t > 0), F.col("value") / t * 100).otherwise(F.col("value"))).drop(truth)
 
 
 def completion(inventory: DataFrame, configs: Sequence, keys: Sequence[str] = ("method",)) -> DataFrame:
@@ -121,19 +121,19 @@ def error_by_complexity(df: DataFrame, stats: DataFrame, prop: str) -> DataFrame
     """Networks split at the median of a property; mean error per level."""
     middle = stats.agg(F.percentile(prop, 0.5).alias("middle"))
     level = stats.crossJoin(F.broadcast(middle)).select("network", F.when(F.col(prop) <= F.col("middle"), "low").otherwise("high").alias("level"))
-    return df.filter(SUCCESS).join(F.broadcast(level), "network").groupBy("method", "metric", "level").agg(F.avg("value").alias("mean"), F.count("value").alias("n"))
+    return df.filter(SUCCESS).join(level, "network").groupBy("method", "metric", "level").agg(F.avg("value").alias("mean"), F.count("value").alias("n"))
 
 
 def completion_by_property(inventory: DataFrame, stats: DataFrame, prop: str) -> DataFrame:
     """Completion per network, then mean and standard error (population) per property value and method."""
     per = inventory.groupBy("network", "method").agg(F.avg(F.col("inferred_exists").cast("double")).alias("rate"))
-    return per.join(F.broadcast(stats.select("network", prop)), "network").groupBy("method", prop).agg(F.avg("rate").alias("mean"), (F.stddev_pop("rate") / F.sqrt(F.count("*"))).alias("se"))
+    return per.join(stats.select("network", prop), "network").groupBy("method", prop).agg(F.avg("rate").alias("mean"), (F.stddev_pop("rate") / F.sqrt(F.count("*"))).alias("se"))
 
 
 def error_by_property(df: DataFrame, stats: DataFrame, prop: str) -> DataFrame:
     """Error per network, then mean and standard error (sample) per property value, method and metric."""
     per = df.filter(SUCCESS).groupBy("network", "method", "metric").agg(F.avg("value").alias("error"))
-    return per.join(F.broadcast(stats.select("network", prop)), "network").groupBy("method", "metric", prop).agg(F.avg("error").alias("mean"), (F.stddev_samp("error") / F.sqrt(F.count("*"))).alias("se"))
+    return per.join(stats.select("network", prop), "network").groupBy("method", "metric", prop).agg(F.avg("error").alias("mean"), (F.stddev_samp("error") / F.sqrt(F.count("*"))).alias("se"))
 
 
 def detection_scores(aggregated: DataFrame, tp, fp, fn, keys: Sequence[str] = ("config", "method")) -> DataFrame:
@@ -149,7 +149,7 @@ def correlation_matrix(df: DataFrame, stats: DataFrame, properties: Sequence[str
     """Correlation of each property with each metric over network means, overall or per key."""
     per = df.filter(SUCCESS).groupBy("network", *keys, "metric").agg(F.avg("value").alias("mean"))
     long = stats.unpivot("network", list(properties), "property", "x")
-    return per.join(F.broadcast(long), "network").groupBy(*keys, "property", "metric").agg(correlation(F.col("x").cast("double"), F.col("mean")).alias("r"), F.count("*").alias("n"))
+    return per.join(long, "network").groupBy(*keys, "property", "metric").agg(correlation(F.col("x").cast("double"), F.col("mean")).alias("r"), F.count("*").alias("n"))
 
 
 def method_performance(df: DataFrame, inventory: DataFrame, error, bias) -> DataFrame:
@@ -172,7 +172,7 @@ def network_table(df: DataFrame, inventory: DataFrame, methods: Sequence[str], m
 
 def master_frame(df: DataFrame, stats: DataFrame, levels: DataFrame) -> DataFrame:
     """Comparisons with network statistics, the config's level (Unknown if it has none) and a success flag."""
-    return df.join(F.broadcast(stats), "network", "left").join(F.broadcast(levels), "config", "left").withColumns({"level": F.coalesce("level", F.lit("Unknown")), "success": F.expr(SUCCESS)})
+    return df.join(stats, "network", "left").join(levels, "config", "left").withColumns({"level": F.coalesce("level", F.lit("Unknown")), "success": F.expr(SUCCESS)})
 
 
 def master_summary(master: DataFrame) -> DataFrame:
@@ -277,12 +277,12 @@ def extremes(df: DataFrame, k: int = 5) -> DataFrame:
 
 def degradation(df: DataFrame, levels: DataFrame) -> DataFrame:
     """Mean, median and standard error per method and level of the config."""
-    return df.filter(SUCCESS).join(F.broadcast(levels), "config", "left").withColumn("level", F.coalesce("level", F.lit("Unknown"))).groupBy("method", "metric", "level").agg(F.avg("value").alias("mean"), F.median("value").alias("median"), (F.stddev_samp("value") / F.sqrt(F.count("value"))).alias("sem"))
+    return df.filter(SUCCESS).join(levels, "config", "left").withColumn("level", F.coalesce("level", F.lit("Unknown"))).groupBy("method", "metric", "level").agg(F.avg("value").alias("mean"), F.median("value").alias("median"), (F.stddev_samp("value") / F.sqrt(F.count("value"))).alias("sem"))
 
 
 def subset_study(df: DataFrame, networks: DataFrame, methods: Sequence[str]) -> DataFrame:
     """Mean, median, std and count per metric on chosen networks and methods."""
-    return df.filter(F.expr(SUCCESS) & F.col("method").isin(*methods)).join(F.broadcast(networks), "network", "left_semi").groupBy("method", "metric").agg(F.avg("value").alias("mean"), F.median("value").alias("median"), F.stddev_samp("value").alias("std"), F.count("value").alias("n"))
+    return df.filter(F.expr(SUCCESS) & F.col("method").isin(*methods)).join(networks, "network", "left_semi").groupBy("method", "metric").agg(F.avg("value").alias("mean"), F.median("value").alias("median"), F.stddev_samp("value").alias("std"), F.count("value").alias("n"))
 
 
 def describe_scores(df: DataFrame, columns: Sequence[str]) -> DataFrame:

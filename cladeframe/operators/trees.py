@@ -33,7 +33,7 @@ def parse_newick(corpus: DataFrame) -> DataFrame:
     tokens = tokens.withColumn("lo", started - 1)
     level = W.partitionBy("tree_id", "level").orderBy("at")
     brackets = tokens.filter(open_ | close)
-    number = lambda c: F.substring(c, 2, 40).cast("double")
+    number = lambda c: F.col(c).substr(F.lit(2), F.length(c)).cast("double")
     name = F.when(~length("next") & ~F.col("next").isin("(", ")", ","), F.col("next"))
     dist = F.when(length("next"), number("next")).when(name.isNotNull() & length("next2"), number("next2"))
     ends = brackets.withColumns({"label": name, "dist": dist})
@@ -272,11 +272,12 @@ def concordance(nodes: DataFrame, clades: DataFrame) -> DataFrame:
     """Share of informative trees in which a clade of a species tree is found as a clade or as the rest of one.
 
     ``clades`` is ``clade, species``. A tree is informative if two or more of the clade's species and
-    one other are in it. Clades are broadcast; trees are matched by hashed species sets.
+    one other are in it. Trees meet the clades of their species and are matched by hashed species sets.
     """
-    own = leaves(nodes).groupBy("tree_id").agg(F.sort_array(F.collect_set("species")).alias("all"))
-    wanted = clades.groupBy("clade").agg(F.sort_array(F.collect_set("species")).alias("want"))
-    asked = own.crossJoin(F.broadcast(wanted)).select("tree_id", "clade", F.array_intersect("all", "want").alias("inside"), F.array_except("all", "want").alias("outside")).filter((F.size("inside") > 1) & (F.size("outside") > 0))
+    species = leaves(nodes).select("tree_id", "species").distinct()
+    own = species.groupBy("tree_id").agg(F.sort_array(F.collect_set("species")).alias("all"))
+    met = species.join(clades.select("clade", "species").distinct(), "species").groupBy("tree_id", "clade").agg(F.sort_array(F.collect_set("species")).alias("inside")).filter(F.size("inside") > 1)
+    asked = met.join(own, "tree_id").select("tree_id", "clade", "inside", F.array_except("all", "inside").alias("outside")).filter(F.size("outside") > 0)
     key = lambda c: F.xxhash64(F.array_join(c, ","))
     have = species_sets(nodes).select("tree_id", key("set").alias("key")).distinct()
     tries = asked.select("tree_id", "clade", F.explode(F.array(key("inside"), key("outside"))).alias("key"))

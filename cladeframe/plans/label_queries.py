@@ -175,9 +175,9 @@ def _(v):
     return rounded(Q.outliers(alignments(v), "sequences", 8))
 
 
-@query("s5_fasta_records", "SELECT doc_id, CAST(length(text) AS BIGINT) AS residues FROM (SELECT doc_id, regexp_replace(text, '\\s', '', 'g') AS text FROM documents WHERE text NOT LIKE '%>%') d")
+@query("s5_fasta_records", "SELECT doc_id, CAST(length(text) AS BIGINT) AS residues FROM (SELECT doc_id, regexp_replace(replace(text, '>', ''), '\\s', '', 'g') AS text FROM documents) d")
 def _(v):
-    files = v.documents.filter("text not like '%>%'").select(F.col("doc_id").cast("string").alias("path"), F.concat(F.lit(">s1 some words\n"), "text").alias("value"))
+    files = v.documents.select(F.col("doc_id").cast("string").alias("path"), F.concat(F.lit(">s1 some words\n"), F.translate("text", ">", "")).alias("value"))
     return R.parse_fasta(files).select(F.col("path").cast("long").alias("doc_id"), F.length("sequence").cast("long").alias("residues"))
 
 

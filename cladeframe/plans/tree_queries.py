@@ -29,11 +29,18 @@ SELECT sample_id, species, n AS copies FROM (SELECT *, row_number() OVER (PARTIT
 
 @query("s1_newick_corpus", "SELECT tree_id, sample_id, newick FROM v_newick")
 def _(v):
-    from ..sources.readers import split_newick
-
-    whole = v.v_newick.groupBy("sample_id").agg(F.concat_ws("\n", F.sort_array(F.collect_list(F.concat(F.col("tree_id").cast("string"), F.lit("\t"), "newick")))).alias("value"))
-    rows = split_newick(whole.select(F.col("sample_id").alias("path"), "value"))
-    return rows.select(F.split("newick", "\t")[0].cast("long").alias("tree_id"), F.col("path").alias("sample_id"), F.concat(F.split("newick", "\t")[1], F.lit(";")).alias("newick"))
+    """Written as files of up to 1,000 trees, a folder per sample, and read back."""
+    import uuid
+
+    from ..operators.lineage import shared_dir
+    from ..sources.readers import read_newick
+
+    path = f"{shared_dir(v.spark)}/cladeframe-newick-{uuid.uuid4().hex}"
+    lines = v.v_newick.select("sample_id", F.concat(F.col("tree_id").cast("string"), F.lit("\t"), "newick").alias("value"))
+    lines.write.partitionBy("sample_id").option("maxRecordsPerFile", 1000).text(path)
+    rows, cells = read_newick(v.spark, f"{path}/*"), F.split("newick", "\t")
+    sample = F.regexp_extract("path", r"sample_id=(\d+)/", 1).cast("long")
+    return rows.select(cells[0].cast("long").alias("tree_id"), sample.alias("sample_id"), F.concat(cells[1], F.lit(";")).alias("newick"))
 
 
 @query("s2_parse_newick", "SELECT tree_id, lo, hi, depth, parent_lo, is_leaf, label, CASE WHEN depth = 0 THEN NULL ELSE dist END AS dist FROM v_nodes")
