@@ -65,3 +65,19 @@ def test_window_simhash_is_the_majority_of_bits():
     for at, fp in enumerate(D._window_simhashes(s, 9).tolist()):
         h = s[at : at + 9].tolist()
         assert fp == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > 9)
+
+
+def test_index_finds_all_within_the_radius_and_selects():
+    rng = np.random.default_rng(4)
+    own = rng.integers(0, 2**64, 100, dtype=np.uint64)
+    bits = lambda n: np.bitwise_or.reduce(np.uint64(1) << rng.choice(64, n, replace=False).astype(np.uint64))
+    near = np.array([x ^ bits(n) for x in own for n in (1, 5, 10, 15, 18, 19, 20, 24)])
+    windows = np.concatenate([own, near, rng.integers(0, 2**64, 2000, dtype=np.uint64)])
+    index = D._Blocks(own, 19)
+    far = np.bitwise_count(windows[:, None] ^ own)
+    for first, last in ((0, 100), (13, 14), (5, 77)):
+        w, i, d = index.within(windows, first, last)
+        want = {(a, b + first) for a, b in zip(*np.nonzero(far[:, first:last] <= 19))}
+        assert set(zip(w.tolist(), i.tolist())) == want and (d == far[w, i]).all()
+    w, i = index.candidates(windows[-2000:], 0, 100)
+    assert 0.1 < len(w) / 200_000 < 0.2  # unrelated pairs met: a seventh

@@ -91,3 +91,17 @@ def test_paths_of_a_printed_tree():
      Predict: 1.0
 """
     assert Q._paths(printed, ["a", "b"]) == {(("a", "<=", 0.5),), (("a", "<=", 0.5), ("b", "<=", 2.0)), (("a", "<=", 0.5), ("b", ">", 2.0)), (("a", ">", 0.5),)}
+
+
+def test_only_letters_make_words():
+    assert L.words_of("½ ² ① 7 _ -") == [] and L.words_of(None) == []
+    assert L.words_of("Abc1def été हिन्दी") == ["abc", "def", "été", "हिन्दी"]
+
+
+def test_rejection_takes_other_languages_and_junk(spark):
+    rng = random.Random(4)
+    model = L.fit(spark.createDataFrame([(i, text(rng, lang, 60), lang) for i, lang in enumerate(["aa", "bb"] * 100)], "doc_id long, text string, lang string"))
+    known = [(i, text(rng, lang, 60)) for i, lang in enumerate(["aa", "bb"] * 50)]
+    other = [(1000 + i, text(rng, "cc", 60)) for i in range(20)] + [(2000 + i, " ".join("".join(rng.choices("qxzjkvw", k=7)) for _ in range(40))) for i in range(20)]
+    got = {r.doc_id: r.rejected for r in L.identify(spark.createDataFrame(known + other, "doc_id long, text string"), model).collect()}
+    assert not any(got[i] for i, _ in known) and all(got[i] for i, _ in other)

@@ -67,3 +67,22 @@ def test_bounds_are_valid_and_tight():
 
 def test_empty_table(spark):
     assert pack_documents(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def test_other_tokenizers_encode_whole_texts(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok = tokenizers.Tokenizer.from_file(path)
+    tok.encode_special_tokens = True
+    texts = ["It's  a Test,\n\tnaïve <|endoftext|> 123", "", None, "Plain sentence with words."]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in pack_documents(df, path, with_ids=True).collect()}
+    assert got == {i: tok.encode(t or "", add_special_tokens=False).ids + [0] for i, t in enumerate(texts)}
+
+
+def test_rows_without_ids_spread_over_parts(spark):
+    df = spark.createDataFrame([(None, 0, 40)] * 3000, "doc_id long, piece int, length long")
+    got = pack(df, capacity=100, part_size=500).collect()
+    by = defaultdict(int)
+    for r in got:
+        by[r.sequence_id] += 1
+    assert len(got) == 3000 and max(by.values()) == 2 and len(by) == 1500
