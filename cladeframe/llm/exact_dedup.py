@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, cut, table, utf8
+from .common import bounded_batches, cut, spread_join, table, utf8
 
 SPACE = re.compile(rb"[\x20\x09-\x0D]+")
 _GEAR = np.random.default_rng(8).integers(0, 2**32, 256, dtype=np.uint32)
@@ -102,11 +102,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     never the smallest unless all are null. Other columns of ``docs`` are not read.
 
     Groups are aggregated before the join that brings their smallest id back, so a group of any
-    size is a count and a minimum; only recipes, not texts, are joined.
+    size is a count and a minimum, and large groups are dealt over many tasks; only recipes, not
+    texts, are joined.
     """
     recipes = cut(chunk_recipes(docs, id_col, text_col, digest_bytes), "recipes")
-    groups = recipes.groupBy("recipe").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    return recipes.join(groups, "recipe").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "n_bytes")
+    groups = recipes.groupBy("recipe").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"), F.count("*").alias("times"))
+    return spread_join(recipes, cut(groups, "groups"), ["recipe"], "times").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "n_bytes")
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
