@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, cut, table, utf8
+from .common import bounded_batches, cut, spread_join, table, utf8
 from .components import connected_components
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -153,10 +153,11 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     fps = cut(fingerprints(docs, id_col, text_col, words_per_shingle, seed), "fingerprints")
     nodes = cut(connected_components(fingerprint_links(fps)), "components")
-    own = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    classed = own.join(nodes, own.fp == nodes.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    own = fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("times"))
+    classed = own.join(nodes, own.fp == nodes.node, "left").select("fp", "least", "times", F.coalesce("component", "fp").alias("component"))
     least = classed.groupBy("component").agg(F.min("least").alias("component_id"))
-    return fps.join(classed.join(least, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    classes = cut(classed.join(least, "component").select("fp", "times", "component_id"), "classes")
+    return spread_join(fps, classes, ["fp"], "times").select("doc_id", "fp", "component_id")
 
 
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
