@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, cut, table, utf8
+from .common import bounded_batches, cut, spread_join, table, utf8
 
 
 def line_chunks(data: bytes, window: int = 1, mean: int = 2, most: int = 256) -> list[tuple[int, int, int]]:
@@ -98,7 +98,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     met = cut(rows.select("doc_id", "key", "text").mapInArrow(partial(_occurrences, size=digest_bytes, key=key), schema), "chunks")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key", "at")
     again = met.groupBy("digest").agg(F.count("*").alias("times"), F.min(place).alias("first")).filter("times > 1")
-    gone = met.join(again.select("digest", F.col("first.key").alias("first_key"), F.col("first.at").alias("first_at")), "digest").filter("key <> first_key or at <> first_at")
+    again = cut(again.select("digest", "times", F.col("first.key").alias("first_key"), F.col("first.at").alias("first_at")), "again")
+    gone = spread_join(met, again, ["digest"], "times").filter("key <> first_key or at <> first_at")
     lists = gone.groupBy("key").agg(F.collect_set("at").alias("gone"))
     out = T.StructType([id_field, *(T.StructField(c, T.LongType()) for c in ("n_lines", "n_removed_lines", "n_removed_chunks")), T.StructField("kept_sha256", T.StringType()), T.StructField("kept_text", T.StringType())])
     return rows.join(lists, "key", "left").select("doc_id", "text", "gone").mapInArrow(_kept, out)
