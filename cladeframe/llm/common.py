@@ -62,7 +62,10 @@ def utf8(column: str | Column) -> Column:
 
 
 def bounded_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
-    """Lowers the session's Arrow batches to ``rows`` rows at most: texts may be long, and a Python worker holds a batch at once."""
+    """Lowers the session's Arrow batches to ``rows`` rows at most: texts may be long, and a Python worker holds a batch at once.
+
+    Plans are lazy, so the setting stays for what follows in the session; a lower one is left alone.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(df.sparkSession.conf.get(key))
     if now <= 0 or now > rows:

@@ -227,7 +227,8 @@ def pack(pieces: DataFrame, capacity: int = 2048, part_size: int = 20_000, max_r
     give up is dealt anew, to fewer parts, and packed again, until one part holds all that is left.
     ``gap`` is the number of bins over the bound of the part that settled the row. A part is of
     bounded size in every round; after ``max_rounds`` what is left is settled as it lies. An empty
-    table gives an empty table; rows that repeat are packed each.
+    table gives an empty table; rows that repeat are packed each. Of pieces of one length the first
+    in the part goes first, and of bins with the same room the one that got it last.
     """
     pieces = pieces.drop("part", "sequence_id", "offset", "settled", "gap")
     rest, done, number = cut(pieces, "pieces"), [], 0

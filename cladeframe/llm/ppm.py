@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, table, utf8
+from .common import bounded_batches, cut, table, utf8
 from .language_id import held_out
 
 #: White-space bytes other than the space occur in no word, so two of them mark a text's start and end.
@@ -259,7 +259,7 @@ def ppm_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col:
     bigram counts (65,536 at most), N and V pass through the driver.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(train, F.lit(False)).alias("train"), utf8(text_col).alias("text"))
+    rows = bounded_batches(docs).select(F.col(id_col).alias("doc_id"), F.coalesce(train, F.lit(False)).alias("train"), utf8(text_col).alias("text"))
     counted = cut(rows.select("train", "text").mapInArrow(_counted, "kind string, key binary, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
     word = F.col("kind") == "word"
     total, distinct, size = counted.agg(F.sum(F.when(word, F.col("n"))), F.count(F.when(word & (F.col("n") > 0), 1)), F.sum(F.when(F.col("kind") == "bytes", F.col("n")))).first()

@@ -108,7 +108,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def score(docs: DataFrame, model: RuleModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, score`` for each row, from the text alone, by column expressions."""
+    """``doc_id, score`` for each row, from the text alone, by column expressions.
+
+    Null counts as the empty text; rows that repeat are scored each, and equal texts alike. Other
+    columns are not read.
+    """
     stats = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).select("doc_id", *(c.cast("double").alias(k) for k, c in statistics("text").items()))
     return stats.select("doc_id", model.column().alias("score"))
 

@@ -93,6 +93,14 @@ def test_paths_of_a_printed_tree():
     assert Q._paths(printed, ["a", "b"]) == {(("a", "<=", 0.5),), (("a", "<=", 0.5), ("b", "<=", 2.0)), (("a", "<=", 0.5), ("b", ">", 2.0)), (("a", ">", 0.5),)}
 
 
+def test_fit_ignores_other_columns(spark):
+    rng = random.Random(6)
+    rows = [(i, text(rng, lang), lang) for i, lang in enumerate(["aa", "bb"] * 20)]
+    plain = L.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    clash = L.fit(spark.createDataFrame([(*r, "x", 1, "g", 2) for r in rows], "doc_id long, text string, lang string, id string, all int, gram string, n int"))
+    assert plain.langs == clash.langs and (plain.grams[3].value == clash.grams[3].value).all()
+
+
 def test_only_letters_make_words():
     assert L.words_of("½ ² ① 7 _ -") == [] and L.words_of(None) == []
     assert L.words_of("Abc1def été हिन्दी") == ["abc", "def", "été", "हिन्दी"]
