@@ -2,24 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import names as P
 from ..operators import features as X
-from ..operators import lineage
+from ..operators.lineage import new_folder
 from ..registry import query
 from ..sources import readers as R
 from ..sources import writers as W
 from .summary_queries import r, rounded
 
 
-def folder(v, name: str) -> str:
-    """A new folder below the shared one."""
-    return f"{lineage.shared_dir(v.spark)}/cladeframe-{name}-{uuid.uuid4().hex}"
-
-
 @query("s3_nexus_trees", "SELECT tree_id, replace(newick, ';', '') AS newick FROM v_newick")
 def _(v):
     """Each tree as a NEXUS file, or as plain Newick."""
@@ -68,7 +61,7 @@ def _(v):
 @query("s10_metric_files", f"SELECT concat('config=', config) AS config, CAST(network AS VARCHAR) AS network, method, CAST(replicate AS INT) AS replicate, CAST(metric AS VARCHAR) AS metric, {r('value', 'value')}, status FROM v_comparisons")
 def _(v):
     """Metric tables written as CSV, a folder per config, and read back with the config of each."""
-    path = folder(v, "metrics")
+    path = new_folder(v.spark, "metrics")
     v.v_comparisons.select("network", "method", "replicate", "metric", "value", "status", "config").write.partitionBy("config").csv(path, header=True)
     return rounded(R.read_metrics(v.spark, f"{path}/*/*.csv"))
 
@@ -104,14 +97,14 @@ def _(v):
 
 @query("k1_summary_csv", f"SELECT CAST(network AS VARCHAR) AS network, CAST(count(*) AS INT) AS n, {r('avg(value)', 'mean')} FROM v_comparisons WHERE status = 'SUCCESS' GROUP BY network")
 def _(v):
-    path = folder(v, "summary")
+    path = new_folder(v.spark, "summary")
     W.write_summary(v.v_comparisons.filter("status = 'SUCCESS'").groupBy("network").agg(F.count("*").alias("n"), F.avg("value").alias("mean")), path)
     return rounded(v.spark.read.schema("network string, n int, mean double").csv(path, header=True))
 
 
 @query("k3_taxon_map", "SELECT n_name AS taxon, concat(n_name, 'X') AS name FROM nation")
 def _(v):
-    path = folder(v, "taxa")
+    path = new_folder(v.spark, "taxa")
     W.write_taxon_map(v.nation.select(F.col("n_name").alias("taxon"), F.concat("n_name", F.lit("X")).alias("name")), path)
     return v.spark.read.schema("taxon string, name string").csv(path, sep="\t")
 

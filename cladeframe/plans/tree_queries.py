@@ -30,12 +30,10 @@ SELECT sample_id, species, n AS copies FROM (SELECT *, row_number() OVER (PARTIT
 @query("s1_newick_corpus", "SELECT tree_id, sample_id, newick FROM v_newick")
 def _(v):
     """Written as files of up to 1,000 trees, a folder per sample, and read back."""
-    import uuid
-
-    from ..operators.lineage import shared_dir
+    from ..operators.lineage import new_folder
     from ..sources.readers import read_newick
 
-    path = f"{shared_dir(v.spark)}/cladeframe-newick-{uuid.uuid4().hex}"
+    path = new_folder(v.spark, "newick")
     lines = v.v_newick.select("sample_id", F.concat(F.col("tree_id").cast("string"), F.lit("\t"), "newick").alias("value"))
     lines.write.partitionBy("sample_id").option("maxRecordsPerFile", 1000).text(path)
     rows, cells = read_newick(v.spark, f"{path}/*"), F.split("newick", "\t")
