@@ -186,3 +186,20 @@ def test_written_tables_are_removed(spark, tmp_path):
     import os
 
     assert not [f for f in os.listdir(common.shared_dir(spark)) if f.startswith("cladeframe-removed")]
+
+
+def test_token_counts(spark, sf):
+    tokenizers, public_tokenizers = pytest.importorskip("tokenizers"), pytest.importorskip("public_tokenizers")
+    tok = tokenizers.Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    got = {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in rows(spark, sf, 11)}
+    assert got == {i: (len((t or "").encode()), n := len(tok.encode(t or "", add_special_tokens=False).ids), n > 2048) for i, t, *_ in sf[1]}
+
+
+def test_spelling(spark, sf):
+    got = {r.word: r for r in rows(spark, sf, 12)}
+    assert got and all(len(w) >= 6 and r.n >= 5 and (r.form is None) == (r.form_n is None) and (r.form is not None or r.root == w) for w, r in got.items())
+
+
+def test_runs(spark, sf):
+    got = {r.doc_id: r for r in rows(spark, sf, 13)}
+    assert len(got) == len(sf[1]) and all((r.n_runs == 0) == (r.start is None) and len(r.collapsed_sha256) == 64 for r in got.values())
