@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .lineage import cut
+from .preorder import copy_pairs, tip_distances, ultrametric_lengths, walked, with_height  # noqa: F401  part of this module's operators
 
 TOKEN = r"[(),]|:[^(),:;]+|[^(),:;\s][^(),:;]*"
 
@@ -63,24 +64,12 @@ def clade_members(nodes: DataFrame) -> DataFrame:
     return below(nodes, leaves(nodes)).select("tree_id", "lo", "species").distinct()
 
 
-def with_height(nodes: DataFrame) -> DataFrame:
-    """Adds each node's height: how much deeper the deepest leaf below lies; 0 for leaves."""
-    deep = below(nodes, leaves(nodes)).groupBy("tree_id", "lo").agg(F.max(F.col("depth") - F.col("node_depth")).alias("height"))
-    return nodes.join(deep, ["tree_id", "lo"], "left").withColumn("height", F.coalesce("height", F.lit(0)))
-
-
 def species_multisets(nodes: DataFrame) -> DataFrame:
     """Sorted ``(species, n)`` array of every inner node."""
     counts = below(nodes, leaves(nodes)).groupBy("tree_id", "lo", "species").agg(F.count("*").alias("n"))
     return counts.groupBy("tree_id", "lo").agg(F.sort_array(F.collect_list(F.struct("species", "n"))).alias("multiset"))
 
 
-def tip_distances(nodes: DataFrame) -> DataFrame:
-    """Distance of each leaf from the root: the branch lengths of all nodes whose interval holds it."""
-    above = nodes.select("tree_id", "lo", "hi", F.coalesce("dist", F.lit(0.0)).alias("step"))
-    return above.join(leaves(nodes).drop("dist"), "tree_id").filter("leaf between lo and hi").groupBy("tree_id", "leaf", "species").agg(F.sum("step").alias("distance"))
-
-
 def tree_heights(nodes: DataFrame, tolerance: float = 1.0) -> DataFrame:
     """Mean and greatest tip distance per tree, and whether all tips are as far within ``tolerance``."""
     d = F.col("distance")
@@ -100,24 +89,6 @@ def sister_species(nodes: DataFrame) -> DataFrame:
     return a.join(b, ["tree_id", "parent_lo"]).filter("a < b").select("tree_id", "a", "b").distinct()
 
 
-def copy_pairs(nodes: DataFrame) -> DataFrame:
-    """Path distance between each two copies of a species in a tree: ``tree_id, species, x, y, distance``.
-
-    Pairs are made within a tree's species only. Their last common ancestor is the deepest node over
-    both: of the first copy's ancestors, which are at hand by leaf, the last that reaches the second.
-    """
-    above = nodes.select("tree_id", "lo", "hi", F.coalesce("dist", F.lit(0.0)).alias("step"))
-    tips = leaves(nodes).select("tree_id", "leaf", "species")
-    many = tips.withColumn("n", F.count("*").over(W.partitionBy("tree_id", "species"))).filter("n > 1").drop("n")
-    over = many.join(above, "tree_id").filter("leaf between lo and hi")
-    far = F.sum("step").over(W.partitionBy("tree_id", "leaf").orderBy("lo"))
-    over = over.withColumn("far", far)  # distance of the ancestor from the root
-    own = over.filter("lo = leaf").select("tree_id", "species", F.col("leaf").alias("y"), F.col("far").alias("dy"))
-    met = over.select("tree_id", "species", F.col("leaf").alias("x"), "hi", "lo", "far").join(own, ["tree_id", "species"]).filter("x < y and (hi >= y or lo = x)")
-    lca = met.groupBy("tree_id", "species", "x", "y").agg(F.max("dy").alias("dy"), F.max(F.when(F.col("lo") == F.col("x"), F.col("far"))).alias("dx"), F.max_by("far", F.when(F.col("hi") >= F.col("y"), F.col("lo"))).alias("dl"))
-    return lca.select("tree_id", "species", "x", "y", (F.col("dx") + F.col("dy") - 2 * F.col("dl")).alias("distance"))
-
-
 def copy_distances(nodes: DataFrame) -> DataFrame:
     """Least path distance between two copies of a species in a tree."""
     return copy_pairs(nodes).groupBy("tree_id", "species").agg(F.min("distance").alias("distance"))
@@ -224,10 +195,9 @@ def backbone(nodes: DataFrame) -> DataFrame:
 
 def edge_table(nodes: DataFrame) -> DataFrame:
     """Edges in preorder: ``tree_id, edge_ix, lo, branch_length, clade_size`` (leaves below), ``depth``."""
-    size = below(nodes, leaves(nodes).select("tree_id", "leaf")).groupBy("tree_id", "lo").agg(F.count("*").alias("size"))
     ix = F.row_number().over(W.partitionBy("tree_id").orderBy("lo")) - 1
-    rows = nodes.filter("parent_lo is not null").join(size, ["tree_id", "lo"], "left")
-    return rows.select("tree_id", ix.alias("edge_ix"), "lo", F.coalesce("dist", F.lit(0.0)).alias("branch_length"), F.coalesce("size", F.lit(1)).alias("clade_size"), "depth")
+    rows = walked(nodes).filter("parent_lo is not null")
+    return rows.select("tree_id", ix.alias("edge_ix"), "lo", F.coalesce("dist", F.lit(0.0)).alias("branch_length"), (F.col("last") - F.col("first") + 1).alias("clade_size"), "depth")
 
 
 def scale_lengths(nodes: DataFrame, factor: float) -> DataFrame:
