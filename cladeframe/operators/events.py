@@ -172,17 +172,3 @@ def placement_accuracy(truth: DataFrame, inferred: DataFrame, least: float = 0.5
     both = F.size(F.array_intersect("set", "own"))
     best = rows.groupBy("tree_id", "species").agg(F.max(both / F.size(F.array_union("set", "own"))).alias("best"))
     return best.withColumn("hit", F.col("best") >= least)
-
-
-def backbone_buckets(scores: DataFrame) -> DataFrame:
-    """Score gaps by how wrong the backbone is: ``bucket, n, mean_gap, median_gap`` for Robinson-Foulds distances 0, up to 2, and over; and all with the correlation ``r``.
-
-    ``scores`` is ``rf, gap``. r is null in the buckets and where either does not vary.
-    """
-    from .summaries import correlation
-
-    bucket = F.when(F.col("rf") == 0, "0").when(F.col("rf") <= 2, "1-2").otherwise("> 2")
-    agg = (F.count("*").alias("n"), F.avg("gap").alias("mean_gap"), F.median("gap").alias("median_gap"))
-    per = scores.groupBy(bucket.alias("bucket")).agg(*agg).withColumn("r", F.lit(None).cast("double"))
-    whole = scores.agg(*agg, correlation(F.col("rf").cast("double"), F.col("gap")).alias("r")).select(F.lit("all").alias("bucket"), "n", "mean_gap", "median_gap", "r")
-    return per.unionByName(whole)

@@ -179,12 +179,6 @@ def _(v):
     return E.root_recovery(T.basal_splits(v.v_deep).join(samples, "tree_id"), truth, species).withColumn("side", F.array_join("side", ","))
 
 
-@query("l14_backbone_buckets", f"WITH g AS (SELECT tree_id % 7 AS rf, avg(CAST(dist AS DOUBLE)) - 25 AS gap FROM v_leaves GROUP BY tree_id), s AS (SELECT rf, gap, CASE WHEN rf = 0 THEN '0' WHEN rf <= 2 THEN '1-2' ELSE '> 2' END AS bucket FROM g) SELECT bucket, count(*) AS n, {r('avg(gap)', 'mean_gap')}, {r('median(gap)', 'median_gap')}, CAST(NULL AS DOUBLE) AS r FROM s GROUP BY bucket UNION ALL SELECT 'all', count(*), {r('avg(gap)', 'mean_gap')}, {r('median(gap)', 'median_gap')}, round(corr(rf, gap), 6) FROM s")
-def _(v):
-    scores = v.v_leaves.groupBy("tree_id").agg((F.avg(F.col("dist").cast("double")) - 25).alias("gap")).withColumn("rf", F.col("tree_id") % 7)
-    return rounded(E.backbone_buckets(scores))
-
-
 F15 = f"""WITH c AS (SELECT sample_id, species, [sum(n * freq) / sum(freq), sum(n * n * freq) / sum(freq) - (sum(n * freq) / sum(freq)) * (sum(n * freq) / sum(freq)), arg_min(n, freq * -1000 + n), sum(CASE WHEN n = 0 THEN freq ELSE 0 END) / sum(freq), sum(CASE WHEN n = 1 THEN freq ELSE 0 END) / sum(freq), sum(CASE WHEN n = 2 THEN freq ELSE 0 END) / sum(freq), sum(CASE WHEN n >= 3 THEN freq ELSE 0 END) / sum(freq), max(n)] AS a FROM ({FULL}) f GROUP BY sample_id, species),
 sp AS (SELECT DISTINCT sample_id, species FROM v_leaves), g AS (SELECT a.sample_id, a.species, coalesce(m.share, 0) AS s FROM sp a JOIN sp b ON a.sample_id = b.sample_id AND a.species <> b.species LEFT JOIN ({MATRIX}) m ON m.sample_id = a.sample_id AND m.species = a.species AND m.partner = b.species),
 p AS (SELECT sample_id, species, [avg(s), stddev_pop(s), max(s), min(s), quantile_cont(s, 0.5)] AS b FROM g GROUP BY sample_id, species),

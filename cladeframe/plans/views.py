@@ -55,6 +55,20 @@ VIEWS = {
                row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice, l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount, l_tax, l_shipdate) - 1 AS pos
         FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {supplier} ON l_suppkey = s_suppkey
              JOIN {nation} ON s_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey""",
+    "v_named": "SELECT tree_id, sample_id, species AS clade, dist, pos FROM {v_leaves}",
+    "v_named_priced": """
+        SELECT l_orderkey AS tree_id, o_custkey % 21 AS sample_id, n_name AS clade, l_quantity AS dist,
+               row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice, l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount, l_tax, l_shipdate) - 1 AS pos
+        FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {supplier} ON l_suppkey = s_suppkey JOIN {nation} ON s_nationkey = n_nationkey""",
+    "v_deep_named": DEEP.replace("LEAVES", "{v_named}"),
+    "v_deep_named_priced": DEEP.replace("LEAVES", "{v_named_priced}"),
+    "v_polyploids": "SELECT n_name AS species FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey GROUP BY n_name HAVING avg(s_acctbal) < 4500",
+    "v_allo_events": """
+        SELECT event_ix, sample_id, species, partner FROM (
+            SELECT c_custkey AS event_ix, c_custkey % 21 AS sample_id, r_name AS species, clade AS partner, row_number() OVER (PARTITION BY c_custkey ORDER BY count(*) DESC, clade) AS k
+            FROM {v_leaves} JOIN {orders} ON tree_id = o_orderkey JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey
+            WHERE clade <> r_name GROUP BY c_custkey, r_name, clade) e
+        WHERE k = 1""",
     "v_deep": DEEP.replace("LEAVES", "{v_leaves}"),
     "v_deep_priced": DEEP.replace("LEAVES", "{v_priced}"),
     "v_truth_events": """
