@@ -55,11 +55,33 @@ def strip_patterns(name: str | Column, patterns: Sequence[str] = (r"_[A-Z]{1,2}_
     return out
 
 
+#: Letters of the pieces by which names are found in others.
+PIECE = 3
+
+
+def containing(short: DataFrame, names: DataFrame) -> DataFrame:
+    """The names that contain a text: ``part`` (of ``short``) with ``other`` (of ``names``).
+
+    An inverted index of the names' pieces of one to `PIECE` letters. A text is looked up by its rarest
+    piece of the full size (itself, if it is shorter), and what that gives is verified; so a piece that
+    most names share is only met where a text has no other. Empty texts are found nowhere.
+    """
+    texts = short.select("part").distinct().filter("part <> ''")
+    every = names.select("other").distinct()
+    at = lambda c, k: F.transform(F.sequence(F.lit(1), F.length(c) - k + 1), lambda i: F.substring(c, i, F.lit(k)))
+    sized = [F.when(F.length("other") >= k, at("other", k)).otherwise(F.array().cast("array<string>")) for k in range(1, PIECE + 1)]
+    index = every.select("other", F.explode(F.array_distinct(F.concat(*sized))).alias("piece"))
+    times = index.groupBy("piece").agg(F.count("*").alias("times"))
+    asked = texts.select("part", F.explode(F.when(F.length("part") >= PIECE, F.array_distinct(at("part", PIECE))).otherwise(F.array("part"))).alias("piece"))
+    # a piece that no name has rules its text out, so the look-up stops there
+    rare = asked.join(times, "piece", "left").groupBy("part").agg(F.min_by("piece", F.struct(F.coalesce("times", F.lit(0).cast("long")), "piece")).alias("piece"))
+    return rare.join(index, "piece").filter(F.col("other").contains(F.col("part"))).select("part", "other")
+
+
 def substring_taxa(taxa: DataFrame) -> DataFrame:
-    """Taxa that are part of other taxa: ``taxon, longer`` (sorted). The list of taxa of a study is small; both sides are distinct."""
-    names = taxa.select("taxon").distinct()
-    long = names.withColumnRenamed("taxon", "other")
-    return names.join(long, F.col("other").contains(F.col("taxon")) & (F.col("other") != F.col("taxon"))).groupBy("taxon").agg(F.sort_array(F.collect_list("other")).alias("longer"))
+    """Taxa that are part of other taxa: ``taxon, longer`` (sorted)."""
+    met = containing(taxa.select(F.col("taxon").alias("part")), taxa.select(F.col("taxon").alias("other"))).filter("part <> other")
+    return met.groupBy(F.col("part").alias("taxon")).agg(F.sort_array(F.collect_list("other")).alias("longer"))
 
 
 def safe_names(problems: DataFrame, taxa: DataFrame) -> DataFrame:
@@ -69,7 +91,8 @@ def safe_names(problems: DataFrame, taxa: DataFrame) -> DataFrame:
     numbers as are ruled out, and one more, are enough to find a free one.
     """
     base = F.concat("taxon", F.lit("X"))
-    met = problems.select("taxon").distinct().join(taxa.select(F.col("taxon").alias("other")).distinct(), F.col("other").contains(base))
+    parts = problems.select("taxon").distinct().withColumn("part", base)
+    met = parts.join(containing(parts, taxa.select(F.col("taxon").alias("other"))), "part")
     behind = met.select("taxon", F.explode(F.slice(F.split("other", F.concat(F.lit("\\Q"), base, F.lit("\\E"))), 2, 1 << 20)).alias("rest"))
     digits = behind.select("taxon", F.regexp_extract("rest", r"^\d*", 0).alias("d"))
     out = digits.select("taxon", F.explode(F.transform(F.sequence(F.lit(0), F.length("d")), lambda i: F.substring("d", F.lit(1), i))).alias("number"))
@@ -81,7 +104,13 @@ def safe_names(problems: DataFrame, taxa: DataFrame) -> DataFrame:
 
 def rename(df: DataFrame, column: str, names: DataFrame) -> DataFrame:
     """Applies ``names(taxon, name)`` to a column; other values stay."""
-    return df.join(names, df[column] == names["taxon"], "left").withColumn(column, F.coalesce("name", column)).drop("taxon", "name")
+    other = names.select(F.col("taxon").alias("__taxon"), F.col("name").alias("__name"))
+    return df.join(other, df[column] == F.col("__taxon"), "left").withColumn(column, F.coalesce("__name", column)).drop("__taxon", "__name")
+
+
+def merge_counts(counts: DataFrame, names: DataFrame) -> DataFrame:
+    """Counts ``taxon, n`` under their new names; those of taxa that meet under one name are added: ``taxon, n``."""
+    return rename(counts.select("taxon", "n"), "taxon", names.select("taxon", "name").distinct()).groupBy("taxon").agg(F.sum("n").alias("n"))
 
 
 def number_copies(leaves: DataFrame) -> DataFrame:
@@ -137,12 +166,33 @@ def gene_species(genes: DataFrame, species: DataFrame) -> DataFrame:
     return genes.select("gene").distinct().join(hit, "gene", "left")
 
 
+def genus_prefixes(names: DataFrame, canonical: DataFrame, least: int = 3, share: float = 0.5) -> DataFrame:
+    """The prefix that a method's names have and canonical ones lack: ``method, prefix, names, support, matches``.
+
+    ``names`` is ``method, name``, ``canonical`` ``name``. All prefixes of ``least`` letters or more are counted
+    as in a trie: ``support`` names have one, and of ``matches`` what follows is canonical. Of those whose matches are at least the
+    share ``share`` of the method's names the longest is taken (then the first in order). A method
+    with a canonical name among its own, or with a single name, has none.
+    """
+    own = names.select("method", "name").distinct()
+    known = canonical.select(F.col("name").alias("rest")).distinct()
+    plain = own.join(known, own["name"] == known["rest"], "left_semi").select("method").distinct()
+    size = own.groupBy("method").agg(F.count("*").alias("names")).filter("names > 1").join(plain, "method", "left_anti")
+    cuts = F.when(F.length("name") > least, F.sequence(F.lit(least), F.length("name") - 1)).otherwise(F.array().cast("array<int>"))
+    nodes = own.select("method", "name", F.explode(cuts).alias("k")).select("method", F.substring("name", F.lit(1), F.col("k")).alias("prefix"), F.substring("name", F.col("k") + 1, F.length("name")).alias("rest"))
+    met = nodes.join(known.withColumn("hit", F.lit(1)), "rest", "left").groupBy("method", "prefix").agg(F.count("*").alias("support"), F.count("hit").alias("matches"))
+    good = met.join(size, "method").filter(F.col("matches") >= share * F.col("names"))
+    best = good.groupBy("method").agg(F.min_by(F.struct("prefix", "names", "support", "matches"), F.struct(-F.length("prefix"), "prefix")).alias("b"))
+    return best.select("method", "b.*")
+
+
 def harmonise(names: DataFrame, canonical: DataFrame, most: int = 4) -> DataFrame:
     """Maps names of a method to canonical ones, ``name, canonical``; the first rule that holds decides.
 
     The name itself; without 1 to ``most`` digits at its end, one more at a time: as it is, without
     ``_``, and without regard to case; the whole name without ``_`` and without regard to case; the
-    only canonical name that starts with it, or with it less one or two digits; less one digit.
+    name without the prefix that the names share (`genus_prefixes`); the only canonical name that
+    starts with it, or with it less one or two digits; less one digit.
     """
     bare = lambda c: F.regexp_replace(c, "_", "")
     c = canonical.select(F.col("name").alias("canonical")).distinct()
@@ -151,8 +201,11 @@ def harmonise(names: DataFrame, canonical: DataFrame, most: int = 4) -> DataFram
     for n in range(1, most + 1):
         ways += [("exact", rank, less(n)), ("exact", rank + 1, bare(less(n))), ("folded", rank + 2, F.lower(bare(less(n))))]
         rank += 3
-    ways += [("exact", rank, bare("name")), ("folded", rank + 1, F.lower(bare("name"))), ("prefix", rank + 2, bare("name")), ("prefix", rank + 3, bare(less(1))), ("prefix", rank + 4, bare(less(2)))]
-    tries = names.select("name").distinct().select("name", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(i).alias("rank"), x.alias("key")) for k, i, x in ways))).alias("t")).select("name", "t.*").filter("key <> ''")
+    ways += [("exact", rank, bare("name")), ("folded", rank + 1, F.lower(bare("name"))), ("exact", rank + 2, F.col("bare_of_genus")), ("prefix", rank + 3, bare("name")), ("prefix", rank + 4, bare(less(1))), ("prefix", rank + 5, bare(less(2)))]
+    genus = genus_prefixes(names.select(F.lit(1).alias("method"), "name"), canonical).agg(F.first("prefix").alias("genus"))
+    rest = F.when(F.col("name").startswith(F.col("genus")), F.substring("name", F.length("genus") + 1, F.length("name")))
+    every = names.select("name").distinct().crossJoin(F.broadcast(genus)).withColumn("bare_of_genus", rest)  # one row
+    tries = every.select("name", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(i).alias("rank"), x.alias("key")) for k, i, x in ways))).alias("t")).select("name", "t.*").filter("key <> ''")
     starts = c.select("canonical", F.explode(F.transform(F.sequence(F.lit(1), F.length("canonical")), lambda i: F.substring("canonical", F.lit(1), i))).alias("key"))
     only = starts.groupBy("key").agg(F.count("*").alias("n"), F.min("canonical").alias("canonical")).filter("n = 1")
     folded = c.groupBy(F.lower(bare("canonical")).alias("key")).agg(F.min("canonical").alias("canonical"))

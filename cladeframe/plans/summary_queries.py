@@ -58,11 +58,6 @@ def _(v):
     return S.property_correlations(S.aggregate_replicates(v.v_comparisons), v.v_network_stats, PROPERTIES).withColumn("r", F.round("r", 5))
 
 
-@query("r4_correlation_p_values")
-def _(v):
-    return rounded(S.with_p_values(S.property_correlations(S.aggregate_replicates(v.v_comparisons), v.v_network_stats, PROPERTIES)))
-
-
 RANK_T = f"CASE method {' '.join(f'''WHEN '{m}' THEN {i}''' for i, m in enumerate(THRESHOLDS))} END"
 IN_T = f"method IN {THRESHOLDS}"
 

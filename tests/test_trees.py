@@ -91,9 +91,13 @@ def test_edge_selection_keeps_bounds(spark):
         L.select_edges(df, "other", 0.5)
 
 
-def test_p_value_of_a_correlation():
-    assert S._beta_tail(0.5, 12) == pytest.approx(0.0979, abs=1e-3) and S._beta_tail(0.0, 9) == pytest.approx(1.0)
-    assert S._beta_tail(1.0, 9) == pytest.approx(0.0, abs=1e-9) and math.isclose(S._beta_tail(0.3, 4), 0.7, abs_tol=1e-6)
+def test_p_value_of_a_correlation(spark):
+    rows = [(0.5, 12), (0.0, 9), (1.0, 9), (0.3, 4), (-0.3, 4), (0.2, 3), (None, 8), (0.4, 2), (0.9, 40), (0.01, 50_000)]
+    got = [(r.p, r.significant) for r in S.with_p_values(spark.createDataFrame(rows, "r double, n long")).collect()]
+    want = [0.09785, 1.0, 0.0, 0.7, 0.7, 1 - 2 / math.pi * math.asin(0.2), None, None]
+    assert [p for p, _ in got[:8]] == [w if w is None else pytest.approx(w, abs=1e-5) for w in want]
+    assert got[8][0] == pytest.approx(2.5e-15, rel=0.3) and got[9][0] == pytest.approx(math.erfc(0.01 * math.sqrt(49_998) / math.sqrt(1 - 1e-4) / math.sqrt(2)), rel=1e-3)
+
 
 
 def test_readers(spark, tmp_path):
