@@ -241,21 +241,39 @@ def network_edges(live: DataFrame) -> DataFrame:
     return down.unionByName(live.filter("k > 1").select("tree_id", ret.alias("parent"), F.col("first").alias("child"))).distinct()
 
 
-def suppressed(edges: DataFrame) -> DataFrame:
-    """Edges after nodes with one way in and one way out have been passed over, until there is none; parallel edges become one."""
-    edges = cut(edges, "edges")
+def _idle(edges: DataFrame) -> DataFrame:
+    """Edges with whether each end has one way in and one way out."""
+    ins = edges.groupBy("tree_id", F.col("child").alias("node")).agg(F.count("*").alias("n")).filter("n = 1").select("tree_id", "node")
+    outs = edges.groupBy("tree_id", F.col("parent").alias("node")).agg(F.count("*").alias("n")).filter("n = 1").select("tree_id", "node")
+    idle = ins.join(outs, ["tree_id", "node"]).withColumn("idle", F.lit(True))
+    of = lambda end: idle.select("tree_id", F.col("node").alias(end), F.col("idle").alias(f"{end}_idle"))
+    found = edges.join(of("parent"), ["tree_id", "parent"], "left").join(of("child"), ["tree_id", "child"], "left")
+    return found.select("tree_id", "parent", "child", F.coalesce("parent_idle", F.lit(False)).alias("parent_idle"), F.coalesce("child_idle", F.lit(False)).alias("child_idle"))
+
+
+def _ends(links: DataFrame) -> DataFrame:
+    """Where chains of idle nodes end: ``tree_id, node, to, open`` followed until nothing is open, by doubling, three times a write."""
     while True:
-        ins = edges.groupBy("tree_id", F.col("child").alias("node")).agg(F.count("*").alias("ins"))
-        outs = edges.groupBy("tree_id", F.col("parent").alias("node")).agg(F.count("*").alias("outs"))
-        idle = cut(ins.filter("ins = 1").join(outs.filter("outs = 1"), ["tree_id", "node"]).select("tree_id", "node"), "idle")
-        if idle.isEmpty():
-            return edges
-        top = edges.select("tree_id", "parent", F.col("child").alias("node")).join(idle, ["tree_id", "node"], "left_semi")
-        top = top.join(idle.withColumnRenamed("node", "parent"), ["tree_id", "parent"], "left_anti")
-        bridges = top.join(edges.select("tree_id", F.col("parent").alias("node"), "child"), ["tree_id", "node"])
-        gone = bridges.select("tree_id", "node")
-        kept = edges.join(gone.withColumnRenamed("node", "parent"), ["tree_id", "parent"], "left_anti").join(gone.withColumnRenamed("node", "child"), ["tree_id", "child"], "left_anti")
-        edges = cut(kept.select("tree_id", "parent", "child").unionByName(bridges.select("tree_id", "parent", "child")).distinct(), "edges")
+        for _ in range(3):
+            on = links.select("tree_id", F.col("node").alias("to"), F.col("to").alias("then"), F.col("open").alias("then_open"))
+            links = links.join(on, ["tree_id", "to"], "left").select("tree_id", "node", F.coalesce("then", "to").alias("to"), F.coalesce("then_open", F.lit(False)).alias("open"))
+        links = cut(links, "links")
+        if links.filter("open").isEmpty():
+            return links
+
+
+def suppressed(edges: DataFrame) -> DataFrame:
+    """Edges after nodes with one way in and one way out have been passed over, until there is none; parallel edges become one.
+
+    All chains are passed over at once, each in as many rounds as its length has binary digits over
+    three; what edges become one may leave new idle nodes, so this is repeated until there is none.
+    """
+    edges = cut(_idle(edges), "edges")
+    while not edges.filter("child_idle").isEmpty():
+        ends = _ends(edges.filter("parent_idle").select("tree_id", F.col("parent").alias("node"), F.col("child").alias("to"), F.col("child_idle").alias("open")))
+        met = edges.filter("not parent_idle").join(ends.select("tree_id", F.col("node").alias("child"), "to"), ["tree_id", "child"], "left")
+        edges = cut(_idle(cut(met.select("tree_id", "parent", F.coalesce("to", "child").alias("child")).distinct(), "bridged")), "edges")
+    return edges.select("tree_id", "parent", "child")
 
 
 def network_class(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -286,18 +304,25 @@ def path_vectors(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """`mu_vectors` over suppressed edges at hand.
 
     Walks of length 2^i are joined with themselves, and those to leaves of less than 2^i steps with
-    them, so a network of depth n takes log2(n) rounds.
+    them, so a network of depth n takes log2(n) rounds, of one written table each.
     """
-    step = cut(edges.select("tree_id", F.col("parent").alias("x"), F.col("child").alias("y"), F.lit(1).cast("long").alias("w")), "walks")
     lone = leaves(nodes).select("tree_id", F.col("leaf").alias("node"), "species")
     in_network = edges.select("tree_id", F.explode(F.array("parent", "child")).alias("node")).distinct()
     alone = lone.join(edges.select("tree_id").distinct(), "tree_id", "left_anti")
-    done = cut(lone.join(in_network, ["tree_id", "node"], "left_semi").unionByName(alone).withColumn("paths", F.lit(1).cast("long")), "paths")
-    while not step.isEmpty():
+    done = lone.join(in_network, ["tree_id", "node"], "left_semi").unionByName(alone).withColumn("paths", F.lit(1).cast("long"))
+    step = edges.select("tree_id", F.col("parent").alias("x"), F.col("child").alias("y"), F.lit(1).cast("long").alias("w"))
+    while True:
+        # walks (y is set) and paths (species is set) in one table
+        walks = step.select("tree_id", "x", "y", F.lit(None).cast("string").alias("species"), F.col("w").alias("n"))
+        state = cut(walks.unionByName(done.select("tree_id", F.col("node").alias("x"), F.lit(None).cast("long").alias("y"), "species", F.col("paths").alias("n"))), "walks")
+        step = state.filter("y is not null").select("tree_id", "x", "y", F.col("n").alias("w"))
+        done = state.filter("y is null").select("tree_id", F.col("x").alias("node"), "species", F.col("n").alias("paths"))
+        if step.isEmpty():
+            break
         on = step.join(done.withColumnRenamed("node", "y"), ["tree_id", "y"]).select("tree_id", F.col("x").alias("node"), "species", (F.col("w") * F.col("paths")).alias("paths"))
-        done, last = cut(done.unionByName(on).groupBy("tree_id", "node", "species").agg(F.sum("paths").alias("paths")), "paths"), step
-        twice = last.join(last.select("tree_id", F.col("x").alias("y"), F.col("y").alias("z"), F.col("w").alias("v")), ["tree_id", "y"])
-        step = cut(twice.groupBy("tree_id", "x", F.col("z").alias("y")).agg(F.sum(F.col("w") * F.col("v")).alias("w")), "walks")
+        twice = step.join(step.select("tree_id", F.col("x").alias("y"), F.col("y").alias("z"), F.col("w").alias("v")), ["tree_id", "y"])
+        done = done.unionByName(on).groupBy("tree_id", "node", "species").agg(F.sum("paths").alias("paths"))
+        step = twice.groupBy("tree_id", "x", F.col("z").alias("y")).agg(F.sum(F.col("w") * F.col("v")).alias("w"))
     ins = edges.groupBy("tree_id", F.col("child").alias("node")).agg(F.count("*").alias("in_degree"))
     vectors = done.groupBy("tree_id", "node").agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "species", F.col("paths").cast("string")))), ",").alias("vector"))
     return cut(vectors.join(ins, ["tree_id", "node"], "left").select("tree_id", "node", F.coalesce("in_degree", F.lit(0)).alias("in_degree"), "vector"), "vectors")
@@ -322,6 +347,25 @@ def scored_mu_distance(distance: DataFrame, truth: DataFrame, inferred: DataFram
     return a.join(b, "tree_id").join(distance, "tree_id", "left").select("tree_id", F.when(ok, F.col("distance")).alias("mu_distance"), ok.cast("double").alias("mu_scored"))
 
 
+def _sided(truth: DataFrame, inferred: DataFrame) -> DataFrame:
+    """The nodes of both sides in one table, so that each step runs once: tree ids become (side, id). Ids of both sides have one type."""
+    columns = ("lo", "hi", "depth", "parent_lo", "is_leaf", "label", "dist")
+    one, two = (d.select(F.struct(F.lit(side).alias("side"), F.col("tree_id").alias("id")).alias("tree_id"), *columns) for side, d in enumerate((truth, inferred)))
+    return one.unionByName(two)
+
+
+def _of_side(d: DataFrame, side: int) -> DataFrame:
+    return d.filter(F.col("tree_id.side") == side).withColumn("tree_id", F.col("tree_id.id"))
+
+
+def mu_distances(truth: DataFrame, inferred: DataFrame) -> DataFrame:
+    """`scored_mu_distance` of trees with equal ids, from nodes: ``tree_id, mu_distance, mu_scored``."""
+    nodes = cut(_sided(truth, inferred), "nodes")
+    edges = suppressed(network_edges(live_nodes(nodes)))
+    vectors, classes = path_vectors(nodes, edges), network_class(nodes, edges)
+    return scored_mu_distance(mu_distance(_of_side(vectors, 0), _of_side(vectors, 1)), _of_side(classes, 0), _of_side(classes, 1))
+
+
 #: Methods that infer one reticulation by design: what they did not look for is no error of theirs.
 SINGLE_RETICULATION = ("grampa",)
 PAIR = ("network", "config", "method", "replicate")
@@ -336,7 +380,8 @@ def compare_networks(truth: DataFrame, inferred: DataFrame, pairs: DataFrame) ->
     Methods in `SINGLE_RETICULATION` have their set distances over matched pairs alone (``partial``).
     """
     named = cut(pairs.select(F.struct(*PAIR).alias("pair"), "truth_id", "inferred_id"), "pairs_of_trees")
-    t, i = _folded(truth), _folded(inferred)
+    both = _folded(_sided(truth, inferred))
+    t, i = ({k: _of_side(d, side) for k, d in both.items()} for side in (0, 1))
     ok = named.join(t["trees"].withColumnRenamed("tree_id", "truth_id"), "truth_id", "left_semi").join(i["trees"].withColumnRenamed("tree_id", "inferred_id"), "inferred_id", "left_semi")
     ok = cut(ok.select("pair", "truth_id", "inferred_id"), "comparable")
 
@@ -376,7 +421,7 @@ def compare_networks(truth: DataFrame, inferred: DataFrame, pairs: DataFrame) ->
 
 def _folded(nodes: DataFrame) -> dict[str, DataFrame]:
     """All that comparisons need of each tree: reticulations, their leaves and sisters, copies, vectors and class."""
-    nodes = cut(nodes.select("tree_id", "lo", "hi", "depth", "parent_lo", "is_leaf", "label", "dist"), "nodes")
+    nodes = cut(nodes, "nodes")
     live = live_nodes(nodes)
     rets = cut(reticulations(nodes, live), "rets")
     edges = suppressed(network_edges(live))

@@ -158,9 +158,7 @@ mu_dist AS MATERIALIZED (SELECT a.tree_id, CASE WHEN ok THEN alone / total END A
 
 @query("n8_mu_distance", f"WITH RECURSIVE {SIDES}, {MU} SELECT tree_id, {r('mu_distance', 'mu_distance')}, CAST(mu_scored AS DOUBLE) AS mu_scored FROM mu_dist")
 def _(v):
-    sides = [(d, N.suppressed(N.network_edges(N.live_nodes(d)))) for d in (v.v_deep, v.v_deep_priced)]
-    vectors, classes = [N.path_vectors(*s) for s in sides], [N.network_class(*s) for s in sides]
-    return rounded(N.scored_mu_distance(N.mu_distance(*vectors), *classes))
+    return rounded(N.mu_distances(v.v_deep, v.v_deep_priced))
 
 
 @query("n9_duplicated_siblings_deep", f"WITH {_codes('v_deep')}, g AS (SELECT tree_id, parent_lo, code, count(*) AS k FROM codes WHERE parent_lo IS NOT NULL GROUP BY ALL HAVING count(*) > 1), m AS (SELECT n.tree_id, n.lo, n.hi FROM g JOIN codes c ON c.tree_id = g.tree_id AND c.parent_lo = g.parent_lo AND c.code = g.code JOIN n ON n.tree_id = c.tree_id AND n.lo = c.lo) SELECT tree_id, count(*) AS groups, CAST(sum(k - 1) AS BIGINT) AS events FROM g WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.tree_id = g.tree_id AND g.parent_lo BETWEEN m.lo AND m.hi) GROUP BY tree_id")

@@ -123,6 +123,14 @@ def test_networks_against_the_definition(spark):
     assert by(N.network_class(nodes, edges), "stacked", "offending") == [[w[3]] for w in want]
 
 
+def test_chains_of_idle_nodes(spark):
+    """A chain of 200 nodes between two parallel ways, which become one, and then the node above them."""
+    chain = [(1, i, i + 1) for i in range(1, 201)]
+    edges = spark.createDataFrame([(1, 0, 1), *chain, (1, 0, 900), (1, 201, 300), (1, 201, 301), (1, 301, 310), (1, 301, 311), (1, 310, 312), (1, 311, 312), (1, 312, 313), (2, 5, 6)], "tree_id long, parent long, child long")
+    got = sorted((r.tree_id, r.parent, r.child) for r in N.suppressed(edges).collect())
+    assert got == [(1, 0, 201), (1, 0, 900), (1, 201, 300), (1, 201, 313), (2, 5, 6)]
+
+
 def test_constant_columns_have_no_correlation(spark):
     from cladeframe.operators import summaries as S
 
