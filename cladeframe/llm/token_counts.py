@@ -20,12 +20,17 @@ from .packing import default_tokenizer
 
 #: A pre-token is frequent if it makes more than one in so many of all, so there are fewer of these; longer ones never count as frequent.
 FREQUENT, FREQUENT_CHARS = 1 << 19, 48
-#: Distinct pre-tokens that a worker counts, and parts of texts that it keeps split, before it lets go of them.
-HELD = 200_000
+#: Distinct parts of texts that a worker counts or keeps split before it lets go of them.
+HELD = 300_000
 #: Pre-tokens of a tokenizer whose pattern never crosses white space: contractions, letters, single digits, anything else.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: ASCII parts that this pattern splits into marks, letters, marks.
-PLAIN = re.compile(r"([!-&(-/:-@\[-`{-~]*)([A-Za-z]*)([!-/:-@\[-`{-~]*)")
+#: Parts of characters on which this pattern is the one below: printable ASCII, and letters that are one code point in every normal form and case.
+SIMPLE = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+SIMPLE_PATTERN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+#: Such a letter in the alphabet of byte-level tokenizers: bytes that are no printable character of Latin-1 count on from 256.
+PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTES = dict(zip([*PRINTABLE, *(b for b in range(256) if b not in PRINTABLE)], map(chr, [*PRINTABLE, *range(256, 512)])))
+LETTERS = {c: "".join(BYTES[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
 
 
 class PreTokens:
@@ -56,7 +61,6 @@ class PreTokens:
         own = [s.get("type") for s in steps] == ["NFC", "Replace", "Lowercase"] and steps[1].get("pattern") == {"Regex": r"\s+"} and steps[1].get("content") == " "
         after = [{k: s.get(k) for k in ("type", "add_prefix_space", "use_regex")} for s in splits[1:]]
         self.by_parts = own and splits[:1] == [plain] and after == [{"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}] and not any(re.search(r"\s", c) for c in contents)
-        self.parts: dict[str, tuple[int, tuple[str, ...]]] = {}
 
     def pieces(self, pre_token: str) -> int:
         return len(self.tokenizer.model.tokenize(pre_token))
@@ -71,28 +75,24 @@ class PreTokens:
             out += (w for w, _ in t.pre_tokenizer.pre_tokenize_str(s)) if t.pre_tokenizer else [s] * bool(s)
         return len(segments) - 1, out
 
+    def part(self, part: str) -> tuple[int, tuple[str, ...]]:
+        """`_split` of a part of a text without blanks."""
+        if SIMPLE.fullmatch(part) and not (self.added and self.added.search(part)):
+            split = SIMPLE_PATTERN.findall(part.lower())
+            return 0, tuple(split if part.isascii() else [w if w.isascii() else w.translate(LETTERS) for w in split])
+        return self._part(part)
+
     def _part(self, part: str) -> tuple[int, tuple[str, ...]]:
-        m = PLAIN.fullmatch(part)
-        if m and not (self.added and self.added.search(part)):
-            return 0, tuple(x for x in (m[1], m[2].lower(), m[3]) if x)
-        added, found = self._split(part)
-        return added, tuple(found)
-
-    def counted(self, text: str) -> Iterator[tuple[int, tuple[str, ...], int]]:
-        """Parts of the text: added tokens in it, its pre-tokens, and how often it occurs."""
-        if not self.by_parts:
-            added, found = self._split(text)
-            yield added, (), 1
-            for w, n in Counter(found).items():
-                yield 0, (w,), n
-            return
-        if len(self.parts) > HELD:
-            self.parts.clear()
-        for part, n in Counter(text.replace("\n", " ").replace("\t", " ").split(" ")).items():
-            found = self.parts.get(part)
-            if found is None:
-                found = self.parts[part] = self._part(part)
-            yield *found, n
+        added, split = self._split(part)
+        return added, tuple(split)
+
+    def cut(self, text: str) -> list[str]:
+        """The parts of the text; for other tokenizers, the text."""
+        return text.replace("\n", " ").replace("\t", " ").split(" ") if self.by_parts else [text]
+
+    def of(self, part: str) -> tuple[int, tuple[str, ...]]:
+        """Added tokens and pre-tokens of what `cut` has found."""
+        return self.part(part) if self.by_parts else self._part(part)
 
 
 @lru_cache(1)
@@ -104,14 +104,16 @@ def _vocabulary(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Rec
     split, held = _pre_tokens(path), Counter()
 
     def handed() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["pre_token", "n"])
+        found: Counter[str] = Counter()
+        for part, n in held.items():
+            for w in split.of(part)[1]:
+                found[w] += n
+        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["pre_token", "n"])
 
     for batch in batches:
         for text in batch.column(0):
-            for _, found, n in split.counted(text.as_py() or ""):
-                for w in found:
-                    held[w] += n
-            if len(held) > HELD:
+            held.update(split.cut(text.as_py() or ""))
+            if len(held) > HELD or not split.by_parts:
                 yield handed()
                 held.clear()
     yield handed()
@@ -129,21 +131,30 @@ _FOUND = ("row", "doc_id", "n_bytes", "key", "n")
 def _frequencies(batches: Iterator[pa.RecordBatch], path: str, sent: Broadcast) -> Iterator[pa.RecordBatch]:
     """Per document a row with the tokens of its frequent pre-tokens, and one for each other pre-token."""
     split, known = _pre_tokens(path), sent.value
+    kept: dict[str, tuple[int, tuple[str, ...]]] = {}
+
+    def looked_up(part: str) -> tuple[int, tuple[str, ...]]:
+        """Added tokens and pieces of frequent pre-tokens in a part, and its other pre-tokens."""
+        added, found = split.of(part)
+        out = added + sum(known.get(w, 0) for w in found), tuple(w for w in found if w not in known)
+        if split.by_parts:
+            if len(kept) > HELD:
+                kept.clear()
+            kept[part] = out
+        return out
+
     for batch in batches:
         texts = batch.column(3)
         for first in range(0, len(texts), 100):
             row, doc, size, key, n = [], [], [], [], []
             some = batch.slice(first, 100)
             for i, (at, text) in enumerate(zip(some.column(0).to_pylist(), texts.slice(first, 100))):
-                tokens, rest = 0, Counter()
-                for added, found, times in split.counted(text.as_py() or ""):
-                    tokens += added * times
-                    for w in found:
-                        pieces = known.get(w)
-                        if pieces is None:
-                            rest[w] += times
-                        else:
-                            tokens += pieces * times
+                tokens, rest = 0, {}
+                for part, times in Counter(split.cut(text.as_py() or "")).items():
+                    pieces, others = kept.get(part) or looked_up(part)
+                    tokens += pieces * times
+                    for w in others:
+                        rest[w] = rest.get(w, 0) + times
                 k = 1 + len(rest)
                 row += [at] * k
                 doc += [i, *[None] * (k - 1)]

@@ -39,11 +39,22 @@ def test_parts_are_split_as_whole_texts():
     assert split.by_parts and not C.PreTokens(public_tokenizers.path("byte_bpe_50k.json")).by_parts
     for t in texts(2, 200):
         added, whole = split._split(t)
-        parts = list(split.counted(t))
+        parts = [(*split.of(p), n) for p, n in C.Counter(split.cut(t)).items()]
         assert added == sum(a * n for a, _, n in parts)
         assert sorted(whole) == sorted(w for _, found, n in parts for w in found * n)
 
 
+def test_simple_parts_as_the_library_splits_them():
+    split = C.PreTokens(public_tokenizers.path("word_bpe_49k.json"))
+    rng = random.Random(3)
+    letters = [chr(c) for c in (*range(0x21, 0x7F), *range(0xC0, 0x100)) if c not in (0xD7, 0xF7)]
+    for c in letters:
+        assert split.part(c) == (0, tuple(split._split(c)[1]))
+    for _ in range(3000):
+        part = "".join(rng.choices(letters, k=rng.randint(1, 8))) if rng.random() < 0.5 else "".join(rng.choices("'sStTrReEvVmMlLdD1éÉ.", k=rng.randint(1, 8)))
+        assert C.SIMPLE.fullmatch(part) and split.part(part) == (0, tuple(split._split(part)[1]))
+
+
 def test_empty_table(spark):
     table = spark.createDataFrame([], "doc_id long, text string")
     assert C.count_tokens(table, public_tokenizers.path("word_bpe_49k.json")).collect() == []
