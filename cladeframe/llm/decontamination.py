@@ -18,6 +18,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import bounded_batches, table, utf8
 
+#: Windows of a text that are looked up at once.
+WINDOWS = 2048
 #: Hamming blocks of a fingerprint; the bits by which two of 16 bits may differ are a quarter of the radius.
 BLOCKS = 4
 #: Bytes of item texts that are sent to the tasks at once.
@@ -157,11 +159,12 @@ class _Index:
             starts = hits[k][wide:] - hits[k][:-wide] >= least * wide
             runs = np.flatnonzero(np.diff(np.concatenate([[False], starts, [False]]).astype(np.int8)))
             for first, last in zip(runs[::2].tolist(), runs[1::2].tolist()):
-                fp = _window_simhashes(s[first : last + wide - 1], wide)
-                for x, y, d in zip(*(v.tolist() for v in self.blocks.within(fp, *own))):
-                    sim = similarity(Counter(s[first + x : first + x + wide].tolist()), self.items[y][3])
-                    if sim >= least and sim > best.get(y, (0,))[0]:
-                        best[y] = (sim, d, first + x)
+                for at in range(first, last, WINDOWS):  # a text may be as long as many items together
+                    fp = _window_simhashes(s[at : min(at + WINDOWS, last) + wide - 1], wide)
+                    for x, y, d in zip(*(v.tolist() for v in self.blocks.within(fp, *own))):
+                        sim = similarity(Counter(s[at + x : at + x + wide].tolist()), self.items[y][3])
+                        if sim >= least and sim > best.get(y, (0,))[0]:
+                            best[y] = (sim, d, at + x)
         for item, (sim, d, at) in sorted(best.items()):
             name, n, _, _ = self.items[item]
             yield name, sim, d, at, min(n, len(words))

@@ -217,7 +217,7 @@ def _calibration(batches: Iterator[pa.RecordBatch], sent: Broadcast) -> Iterator
 def fit(training: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 3000, order: int = 4, reject_quantile: float = 0.999) -> LanguageModel | None:
     """Character models of all non-null languages in ``training``; None where there is none.
 
-    The fit is on a bounded sample: the documents whose id hashes lowest, ``docs_per_lang`` of each
+    The fit is on a bounded sample: the documents whose id and text hash lowest, ``docs_per_lang`` of each
     language in expectation; so the model's size is bounded by that parameter and the number of
     languages, not by the table. It is broadcast, as is the number of rows of each language.
     N-grams are counted in Spark and only counts of distinct ones reach the driver. Rejection is
@@ -226,7 +226,7 @@ def fit(training: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     """
     rows = bounded_batches(training).select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).filter("lang is not null")
     counts = rows.groupBy("lang").agg(F.count("*").alias("all"))
-    draw = F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(7)), F.lit(1 << 40)) / (1 << 40)
+    draw = F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), F.col("text"), F.lit(7)), F.lit(1 << 40)) / (1 << 40)
     sample = cut(rows.join(F.broadcast(counts), "lang").filter(draw * F.col("all") < docs_per_lang).select("lang", "text"), "sample")
     grams = sample.mapInArrow(partial(_grams, order=order), "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     if grams.empty:

@@ -81,3 +81,18 @@ def test_index_finds_all_within_the_radius_and_selects():
         assert set(zip(w.tolist(), i.tolist())) == want and (d == far[w, i]).all()
     w, i = index.candidates(windows[-2000:], 0, 100)
     assert 0.1 < len(w) / 200_000 < 0.2  # unrelated pairs met: a seventh
+
+
+def test_a_text_made_of_many_items_takes_bounded_memory():
+    """2,048 items, and a text of 100,000 words that repeats them: arrays stay far below windows times items."""
+    import tracemalloc
+
+    rng = random.Random(3)
+    items = [(i, " ".join(f"w{rng.randrange(50_000)}" for _ in range(30)).encode()) for i in range(2048)]
+    text = b" ".join(items[i % 2048][1] for i in range(3334))
+    index = D._Index(items, 5, 19)
+    tracemalloc.start()
+    found = {m[0]: m for m in index.matches(text, 0.8)}
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == 2048 and all(found[i][1] == 1.0 and found[i][3] == 30 * i for i in range(2048)) and peak < 300e6

@@ -113,3 +113,15 @@ def test_rejection_takes_other_languages_and_junk(spark):
     other = [(1000 + i, text(rng, "cc", 60)) for i in range(20)] + [(2000 + i, " ".join("".join(rng.choices("qxzjkvw", k=7)) for _ in range(40))) for i in range(20)]
     got = {r.doc_id: r.rejected for r in L.identify(spark.createDataFrame(known + other, "doc_id long, text string"), model).collect()}
     assert not any(got[i] for i, _ in known) and all(got[i] for i, _ in other)
+
+
+def test_language_models_where_all_rows_have_one_id_or_none(spark):
+    rng = random.Random(5)
+    words = {"aa": "th ing er on and be to".split(), "bb": "der sch ung ein ge zu".split()}
+    text = lambda lang: " ".join("".join(rng.choices(words[lang], k=3)) for _ in range(40))
+    for same in (7, None):
+        docs = spark.createDataFrame([(same, text(lang), lang) for lang in ("aa", "bb") for _ in range(300)], "doc_id long, text string, lang string")
+        model = L.fit(docs, docs_per_lang=100)
+        assert model is not None and model.langs == ["aa", "bb"]
+        got = L.identify(docs, model).groupBy("lang_pred").count().collect()
+        assert {r.lang_pred: r["count"] for r in got} == {"aa": 300, "bb": 300} and L.accepted(docs, model).count() > 580
