@@ -124,6 +124,32 @@ def taxon_map(copies: DataFrame) -> DataFrame:
     return copies.groupBy("species").agg(F.max("n").cast("int").alias("most")).select("species", F.transform(F.sequence(F.lit(1), "most"), lambda i: F.concat("species", F.lit("_"), i.cast("string"))).alias("names"))
 
 
+def root_names(names: DataFrame) -> DataFrame:
+    """Names grouped by what stands before ``_`` and digits at their end: ``root, names`` (sorted by number, then name); a name without is its own root."""
+    root, number = F.regexp_extract("name", r"^(.+)_(\d+)$", 1), F.regexp_extract("name", r"^(.+)_(\d+)$", 2)
+    rows = names.select("name").distinct().select(F.when(root != "", root).otherwise(F.col("name")).alias("root"), F.struct(F.when(root != "", number.cast("decimal(38,0)")).alias("k"), "name").alias("x"))
+    return rows.groupBy("root").agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["name"]).alias("names"))
+
+
+def keep_listed(rows: DataFrame, listed: DataFrame, column: str = "species", drop: bool = False) -> DataFrame:
+    """Rows of leaves or sequences whose taxon is listed, or with ``drop`` those whose is not: ``listed`` has ``taxon``; rows without a taxon are never listed."""
+    known = listed.select(F.col("taxon").alias("__taxon")).distinct()
+    return rows.join(known, rows[column] == F.col("__taxon"), "left_anti" if drop else "left_semi")
+
+
+def level_of(config: str | Column) -> Column:
+    """The level in the name of a configuration: low, medium, high, or Unknown."""
+    name = F.lower(F.col(config) if isinstance(config, str) else config)
+    return F.when(name.contains("low"), "low").when(name.contains("medium"), "medium").when(name.contains("high"), "high").otherwise("Unknown")
+
+
+def tag_configs(df: DataFrame, tags: DataFrame, column: str = "config") -> DataFrame:
+    """Adds the ``family`` and ``level`` of each row's configuration: those of ``tags`` (``config, family, level``), else from its name; a family that is not known is Unknown."""
+    named = tags.select(F.col("config").alias(column), F.col("family").alias("__family"), F.col("level").alias("__level"))
+    found = df.join(named, column, "left")
+    return found.select(*df.columns, F.coalesce("__family", F.lit("Unknown")).alias("family"), F.coalesce("__level", level_of(column)).alias("level"))
+
+
 def validate_trees(nodes: DataFrame, known: DataFrame) -> DataFrame:
     """The first failing check of each tree, or ``ok``: tips, label form, known species, polytomies, root; with its zero-length branches."""
     marked = nodes.join(known.select(F.col("species").alias("label"), F.lit(1).alias("known")), "label", "left")

@@ -73,20 +73,32 @@ def sister_pairs(leaves: DataFrame) -> DataFrame:
 
 def coclustering(leaves: DataFrame, conditional: bool = False) -> DataFrame:
     """Share of trees in which two species are direct sisters: of all trees of the sample, or of those where the first is duplicated."""
+    return sister_counts(leaves, conditional).select("sample_id", "species", "partner", (F.col("k") / F.col("total")).alias("share"))
+
+
+def sister_counts(leaves: DataFrame, conditional: bool = False) -> DataFrame:
+    """The counts behind `coclustering`: ``sample_id, species, partner, k, total``."""
     pairs = sister_pairs(leaves)
     if conditional:
         doubled = copies_per_tree(leaves).filter("n >= 2").select("sample_id", "tree_id", "species")
         total = doubled.groupBy("sample_id", "species").agg(F.count("*").alias("total"))
-        return pairs.join(doubled, ["sample_id", "tree_id", "species"], "left_semi").groupBy("sample_id", "species", "partner").agg(F.count("*").alias("k")).join(total, ["sample_id", "species"]).select("sample_id", "species", "partner", (F.col("k") / F.col("total")).alias("share"))
+        return pairs.join(doubled, ["sample_id", "tree_id", "species"], "left_semi").groupBy("sample_id", "species", "partner").agg(F.count("*").alias("k")).join(total, ["sample_id", "species"]).select("sample_id", "species", "partner", "k", "total")
     trees = leaves.groupBy("sample_id").agg(F.count_distinct("tree_id").alias("total"))
-    return pairs.groupBy("sample_id", "species", "partner").agg(F.count("*").alias("k")).join(trees, "sample_id").select("sample_id", "species", "partner", (F.col("k") / F.col("total")).alias("share"))
+    return pairs.groupBy("sample_id", "species", "partner").agg(F.count("*").alias("k")).join(trees, "sample_id").select("sample_id", "species", "partner", "k", "total")
+
 
+def profile_summary(counts: DataFrame, species: DataFrame) -> DataFrame:
+    """Mean, population std, max, min and median of a species' shares over all other species of the sample, absent pairs as 0.
 
-def profile_summary(matrix: DataFrame, species: DataFrame) -> DataFrame:
-    """Mean, population std, max, min and median of a species' shares over all other species of the sample, absent pairs as 0."""
+    ``counts`` is `sister_counts` of all trees. A sample's shares have one total, so mean and std come
+    from whole numbers and are divided once: the order of addition changes nothing.
+    """
     grid = species.join(species.withColumnRenamed("species", "partner"), "sample_id").filter("species <> partner")
-    s = F.coalesce("share", F.lit(0.0))
-    return grid.join(matrix, ["sample_id", "species", "partner"], "left").groupBy("sample_id", "species").agg(F.avg(s).alias("mean"), F.stddev_pop(s).alias("std"), F.max(s).alias("max"), F.min(s).alias("min"), F.percentile(s, 0.5).alias("median"))
+    k, n = F.coalesce("k", F.lit(0)), F.count("*")
+    total = F.coalesce(F.max("total"), F.lit(1))
+    per = grid.join(counts, ["sample_id", "species", "partner"], "left").groupBy("sample_id", "species").agg(n.alias("n"), total.alias("total"), F.sum(k).alias("s"), F.sum(k * k).alias("q"), F.max(k).alias("most"), F.min(k).alias("least"), F.percentile(k, 0.5).alias("middle"))
+    c = F.col
+    return per.select("sample_id", "species", (c("s") / (c("n") * c("total"))).alias("mean"), (F.sqrt((c("n") * c("q") - c("s") * c("s")).cast("double")) / (c("n") * c("total"))).alias("std"), (c("most") / c("total")).alias("max"), (c("least") / c("total")).alias("min"), (c("middle") / c("total")).alias("median"))
 
 
 def effective_partners(matrix: DataFrame) -> DataFrame:
@@ -105,17 +117,21 @@ def clade_coclustering(matrix: DataFrame, clades: DataFrame) -> DataFrame:
 
 
 def clade_summaries(leaves: DataFrame, clades: DataFrame) -> DataFrame:
-    """Per sample and clade over the trees that hold it: duplication frequency, mean extra copies, copies a species, coherence, and copies in to out.
+    """Per sample and clade over the trees that hold it: duplication frequency, mean extra copies, copies a species, coherence, copies in to out, and variation.
 
     A tree's clade is duplicated if a species of it has two copies or more; coherence is the share
-    of the clade's present species that do.
+    of the clade's present species that do. ``variation`` is the sample std of the copies of all its
+    species, absent ones as 0, over their mean; null for clades of one species.
     """
     copies = copies_per_tree(leaves).join(clades, "species")
-    per = copies.groupBy("sample_id", "tree_id", "clade").agg(F.count("*").alias("kinds"), F.sum("n").alias("inside"), F.sum((F.col("n") >= 2).cast("long")).alias("doubled"))
+    size = clades.groupBy("clade").agg(F.count("*").alias("size"))
+    per = copies.groupBy("sample_id", "tree_id", "clade").agg(F.sum(F.col("n") * F.col("n")).alias("squares"), F.count("*").alias("kinds"), F.sum("n").alias("inside"), F.sum((F.col("n") >= 2).cast("long")).alias("doubled"))
     tree = W.partitionBy("sample_id", "tree_id")
     out = (F.sum("inside").over(tree) - F.col("inside")) / F.nullif(F.sum("kinds").over(tree) - F.col("kinds"), F.lit(0))
-    per = per.withColumns({"out": out, "in": F.col("inside") / F.col("kinds")})
-    return per.groupBy("sample_id", "clade").agg(F.avg((F.col("doubled") > 0).cast("double")).alias("duplication"), F.avg(F.col("inside") - F.col("kinds")).alias("extra"), F.avg(F.col("in")).alias("per_species"), F.avg(F.col("doubled") / F.col("kinds")).alias("coherence"), F.avg(F.col("in") / F.col("out")).alias("in_out"))
+    c = F.col
+    spread = F.when(c("size") > 1, F.sqrt((c("size") * c("squares") - c("inside") * c("inside")) / (c("size") * (c("size") - 1))) * c("size") / c("inside"))
+    per = per.withColumns({"out": out, "in": F.col("inside") / F.col("kinds")}).join(size, "clade").withColumn("variation", spread)
+    return per.groupBy("sample_id", "clade").agg(F.avg((F.col("doubled") > 0).cast("double")).alias("duplication"), F.avg(F.col("inside") - F.col("kinds")).alias("extra"), F.avg(F.col("in")).alias("per_species"), F.avg(F.col("doubled") / F.col("kinds")).alias("coherence"), F.avg(F.col("in") / F.col("out")).alias("in_out"), F.avg("variation").alias("variation"))
 
 
 def duplication_synchrony(copies: DataFrame) -> DataFrame:
@@ -204,11 +220,12 @@ def cluster_support(multisets: DataFrame) -> DataFrame:
     return multisets.filter(F.size("multiset") > 1).groupBy("sample_id", "multiset").agg(F.count("*").alias("support"))
 
 
-def filter_clusters(clusters: DataFrame, rule: str, value: float) -> DataFrame:
-    """Clusters at least as frequent as a threshold of their sample: constant, percentile, scaled median, or mean minus value std (population)."""
+def filter_clusters(clusters: DataFrame, rule: str, value: float, floor: float | None = None) -> DataFrame:
+    """Clusters at least as frequent as a threshold of their sample: constant, percentile, scaled median, or mean or median minus value std (population); no threshold is under ``floor``."""
     s = F.col("support")
-    threshold: dict[str, Column] = {"constant": F.lit(float(value)), "percentile": F.percentile(s, value), "median": F.median(s) * value, "mean_std": F.avg(s) - value * F.stddev_pop(s)}
-    bound = clusters.groupBy("sample_id").agg(F.count("*"), threshold[rule].alias("threshold")).select("sample_id", "threshold")
+    threshold: dict[str, Column] = {"constant": F.lit(float(value)), "percentile": F.percentile(s, value), "median": F.median(s) * value, "mean_std": F.avg(s) - value * F.stddev_pop(s), "median_std": F.median(s) - value * F.stddev_pop(s)}
+    least = threshold[rule] if floor is None else F.greatest(threshold[rule], F.lit(float(floor)))
+    bound = clusters.groupBy("sample_id").agg(F.count("*"), least.alias("threshold")).select("sample_id", "threshold")
     return clusters.join(bound, "sample_id").filter(s >= F.col("threshold"))
 
 

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from itertools import groupby, islice
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
@@ -120,38 +118,35 @@ def select_edges(candidates: DataFrame, strategy: str, threshold: float) -> Data
     edge's clade. ``detect_only`` takes what is at least as probable as the threshold. The others take
     edges by falling probability (ties by number) unless a species would pass its bound of copies:
     ``cap`` among those over the threshold, ``bound_driven`` among all, ``detect`` all and then any
-    other over the threshold. The greedy scan meets each sample's edges in order, sorted by Spark; what
-    it holds is one sample's counts.
+    other over the threshold.
+
+    The greedy choice is made in rounds. An edge's turn comes after those before it that share a
+    species: it is taken once the taken and the undecided ones before it leave room for each of its
+    species, and goes once the taken ones alone leave none for one. Each round decides at least the
+    first edge of every sample, and in practice nearly all: few edges wait for many others in turn.
     """
     if strategy == "detect_only":
         return candidates.filter(F.col("prob") >= threshold).select("sample_id", "edge_ix").distinct()
     if strategy not in ("cap", "bound_driven", "detect"):
         raise ValueError(f"unknown strategy {strategy!r}")
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
-        rows = (r for b in batches for r in b.itertuples(index=False))
-        held: dict[str, int] = {}
-        last = None
-        for (sample, edge), own in groupby(rows, key=lambda r: (r.sample_id, r.edge_ix)):
-            if sample != last:
-                held, last = {}, sample
-            own = list(own)
-            fits = all(held.get(r.species, 1) + 1 <= r.bound for r in own)
-            sure = own[0].prob >= threshold
-            if fits and (strategy != "cap" or sure):
-                for r in own:
-                    held[r.species] = held.get(r.species, 1) + 1
-                yield sample, edge
-            elif strategy == "detect" and sure:
-                yield sample, edge
-
-    def batched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found = scan(batches)
-        while part := list(islice(found, 10_000)):
-            yield pd.DataFrame(part, columns=["sample_id", "edge_ix"])
-
-    ordered = candidates.select("sample_id", "edge_ix", "prob", "species", "bound").repartition("sample_id").sortWithinPartitions("sample_id", F.desc("prob"), "edge_ix")
-    return ordered.mapInPandas(batched, candidates.select("sample_id", "edge_ix").schema)
+    sure = F.col("prob") >= threshold
+    rows = candidates.filter(sure) if strategy == "cap" else candidates
+    before = W.partitionBy("sample_id", "species").orderBy(F.desc("prob"), "edge_ix").rowsBetween(W.unboundedPreceding, -1)
+    edge = W.partitionBy("sample_id", "edge_ix")
+    n = lambda c: F.coalesce(F.sum(F.when(c, 1)).over(before), F.lit(0))
+    rows = cut(rows.select("sample_id", "edge_ix", "prob", "species", (F.col("bound") - 1).alias("room"), F.lit(False).alias("taken")), "edges")
+    while True:
+        counted = rows.withColumns({"have": n(F.col("taken")), "wait": n(~F.col("taken"))})
+        fits = F.min(F.col("have") + F.col("wait") < F.col("room")).over(edge)
+        full = F.max(F.col("have") >= F.col("room")).over(edge)
+        decided = counted.withColumns({"fits": fits, "full": full}).filter("taken or not full")
+        rows = cut(decided.select("sample_id", "edge_ix", "prob", "species", "room", (F.col("taken") | F.col("fits")).alias("taken")), "edges")
+        if rows.filter("not taken").isEmpty():
+            break
+    chosen = rows.select("sample_id", "edge_ix")
+    if strategy == "detect":
+        chosen = chosen.unionByName(candidates.filter(sure).select("sample_id", "edge_ix"))
+    return chosen.distinct()
 
 
 RELATIONS = ("parent", "child", "sibling", "ancestor", "descendant", "scattered")
@@ -271,7 +266,37 @@ def detection_by_outcome(scores: DataFrame) -> DataFrame:
 
 
 def partner_errors(predictions: DataFrame) -> DataFrame:
-    """Wrong partners by kind: self, reciprocal, near (same clade) or far, per sample: ``sample_id, edge, partner, predicted, clade, predicted_clade``."""
+    """Wrong partners by kind, per sample: self, reciprocal, near (the clades of the true and the predicted partner share a species) or far.
+
+    ``predictions`` is ``sample_id, edge, partner, predicted`` and the arrays ``clade, predicted_clade``, an edge a row in its sample.
+    """
     back = predictions.select("sample_id", F.col("edge").alias("predicted"), F.col("predicted").alias("returned"))
-    kind = F.when(F.col("predicted") == F.col("edge"), "self").when(F.col("returned") == F.col("edge"), "reciprocal").when(F.col("clade") == F.col("predicted_clade"), "near").otherwise("far")
+    near = F.coalesce(F.arrays_overlap("clade", "predicted_clade"), F.lit(False))
+    kind = F.when(F.col("predicted") == F.col("edge"), "self").when(F.col("returned") == F.col("edge"), "reciprocal").when(near, "near").otherwise("far")
     return predictions.filter("predicted <> partner").join(back, ["sample_id", "predicted"], "left").groupBy("sample_id", kind.alias("kind")).agg(F.count("*").alias("n"))
+
+
+def histogram(df: DataFrame, column: str, bounds: Sequence[float] | None = None) -> DataFrame:
+    """How many rows fall in each bin of a column, and their share: ``measure, bin, n, share``.
+
+    A bin holds what is over the bound before and no more than its own, and the last what is over all; without bounds each
+    value is one. Nulls are not counted.
+    """
+    x = F.col(column)
+    label = x.cast("string")
+    if bounds is not None:
+        label = F.lit(f"> {bounds[-1]:g}")
+        for bound in reversed(bounds):
+            label = F.when(x <= bound, f"<= {bound:g}").otherwise(label)
+    rows = df.filter(x.isNotNull())
+    total = rows.agg(F.count("*").alias("total"))
+    return rows.groupBy(label.alias("bin")).agg(F.count("*").alias("n")).crossJoin(F.broadcast(total)).select(F.lit(column).alias("measure"), "bin", "n", (F.col("n") / F.col("total")).alias("share"))
+
+
+def corpus_totals(samples: DataFrame, measures: Sequence[str] = ("n_species", "n_leaves")) -> DataFrame:
+    """One row on a training corpus: samples, those without an applied event, events requested and applied, the share applied (null without requests), and least, greatest and mean of each measure."""
+    none = F.count(F.when(F.coalesce("applied", F.lit(0)) == 0, 1)).alias("without_events")
+    shape = [f(m).alias(f"{m}_{k}") for m in measures for k, f in (("min", F.min), ("max", F.max), ("mean", F.avg))]
+    found = samples.agg(F.count("*").alias("samples"), none, F.sum("requested").alias("requested"), F.sum("applied").alias("applied"), *shape)
+    return found.withColumn("success", F.try_divide("applied", "requested"))
+

@@ -19,8 +19,12 @@ def substitution_rates(genes: DataFrame, species: DataFrame) -> DataFrame:
     return genes.join(F.broadcast(species), "dataset").filter(generations > 0).select("dataset", "gene", (F.col("height") / generations).alias("rate"))
 
 
-def quality_check(alignments: DataFrame, least_length: int | None = None, least_sequences: int | None = None, most_gaps: float | None = None) -> DataFrame:
-    """Each alignment with the reasons why it fails, by the limits that are given."""
+def quality_check(alignments: DataFrame, least_length: int | None = None, least_sequences: int | None = None, most_gaps: float | None = None, least_informative: float | None = None, most_constant: float | None = None) -> DataFrame:
+    """Each alignment with the reasons why it fails, by the limits that are given.
+
+    The last two need ``informative_percentage`` and ``constant_percentage``, from the reports of a model fit
+    (`readers.parse_model_report`); an alignment without a report passes them.
+    """
     tests = []
     if least_length is not None:
         tests.append(F.when(F.col("length") < least_length, "short"))
@@ -28,6 +32,10 @@ def quality_check(alignments: DataFrame, least_length: int | None = None, least_
         tests.append(F.when(F.col("sequences") < least_sequences, "few sequences"))
     if most_gaps is not None:
         tests.append(F.when(F.col("gaps") > most_gaps, "gaps"))
+    if least_informative is not None:
+        tests.append(F.when(F.col("informative_percentage") < least_informative, "few informative sites"))
+    if most_constant is not None:
+        tests.append(F.when(F.col("constant_percentage") > most_constant, "constant"))
     reasons = F.filter(F.array(*tests), lambda r: r.isNotNull()) if tests else F.array().cast("array<string>")
     return alignments.withColumn("reasons", reasons)
 

@@ -134,6 +134,24 @@ def average_ranks(summary: DataFrame, groups: Sequence[str] = ("config", "metric
     return summary.withColumn("rank", F.rank().over(w) + (peers - 1) / 2).groupBy("method").agg(F.avg("rank").alias("mean_rank"), F.count("*").alias("n"))
 
 
+def ranks_with_completion(df: DataFrame, inventory: DataFrame) -> DataFrame:
+    """Mean rank of each method over all metrics and completion: ``method, mean_rank, completion_rank, measures``.
+
+    A metric ranks the methods by their mean over all successful runs, completion by the percent of completed
+    runs, the most first. Ties share the average of their ranks; a method without a value is last.
+    Means are compared at 9 places.
+    """
+    name = F.col("metric").cast("string").alias("metric")
+    means = df.filter(SUCCESS).groupBy("method", name).agg(F.round(F.avg("value"), 9).alias("value")).filter("value is not null")
+    done = inventory.groupBy("method").agg((F.avg(F.col("inferred_exists").cast("double")) * -100).alias("value")).select("method", F.lit("completion").alias("metric"), F.round("value", 9).alias("value"))
+    found = means.unionByName(done)
+    grid = found.select("method").distinct().crossJoin(found.select("metric").distinct())  # methods by metrics
+    w = W.partitionBy("metric").orderBy(F.col("value").asc_nulls_last())
+    peers = F.count("*").over(W.partitionBy("metric", "value"))
+    ranked = grid.join(found, ["method", "metric"], "left").withColumn("rank", F.rank().over(w) + (peers - 1) / 2)
+    return ranked.groupBy("method").agg(F.avg("rank").alias("mean_rank"), F.max(F.when(F.col("metric") == "completion", F.col("rank"))).alias("completion_rank"), F.count("*").alias("measures"))
+
+
 def error_by_complexity(df: DataFrame, stats: DataFrame, prop: str) -> DataFrame:
     """Networks split at the median of a property; mean error per level."""
     middle = stats.agg(F.percentile(prop, 0.5).alias("middle"))
@@ -220,6 +238,31 @@ def like_for_like(df: DataFrame, reference: str, keys: Sequence[str] = ("network
     return found.crossJoin(F.broadcast(total)).select("method", "metric", "mean", "runs", (F.col("runs") / F.col("total") * 100).alias("coverage"))
 
 
+def matched_copies(runs: DataFrame, reference: str, keys: Sequence[str] = ("network", "replicate")) -> DataFrame:
+    """All methods on the runs where the reference method has the right copies: ``method, n, coverage, mean, copies_ok`` (percent).
+
+    ``runs`` is the keys, ``method, value, copies_match``, the last as in `networks.copy_difference`.
+    """
+    held = runs.filter((F.col("method") == reference) & F.col("copies_match")).select(*keys).distinct()
+    total = held.agg(F.count("*").alias("total"))
+    found = runs.join(held, list(keys), "left_semi").groupBy("method").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), (F.avg(F.col("copies_match").cast("double")) * 100).alias("copies_ok"))
+    return found.crossJoin(F.broadcast(total)).select("method", "n", (F.col("n") / F.col("total") * 100).alias("coverage"), "mean", "copies_ok")
+
+
+def pairs_wide(pairs: DataFrame, methods: Sequence[str]) -> DataFrame:
+    """Mean distance per network and metric, a column ``<a>_vs_<b>`` per pair of methods."""
+    columns = [f"{a}_vs_{b}" for i, a in enumerate(methods) for b in methods[i + 1 :]]
+    named = pairs.withColumn("pair", F.concat_ws("_vs_", "method1", "method2"))
+    return named.groupBy("network", "metric").pivot("pair", columns).agg(F.avg("value"))
+
+
+def best_per_network(df: DataFrame) -> DataFrame:
+    """The method with the least mean error on each network and metric (the first by name on ties): ``network, metric, method, mean, margin`` (to the next one; null where there is none)."""
+    means = df.filter(SUCCESS).groupBy("network", "metric", "method").agg(F.avg("value").alias("mean")).filter("mean is not null")
+    by = W.partitionBy("network", "metric").orderBy(F.round("mean", 9), "method")
+    return means.withColumns({"k": F.row_number().over(by), "margin": F.lead("mean").over(by) - F.col("mean")}).filter("k = 1").drop("k")
+
+
 def head_to_head(wide_scores: DataFrame, metrics: dict[str, str], method: str, rivals: DataFrame) -> DataFrame:
     """One long table from a wide score table (melted, metrics renamed) and a long one, replicates averaged, then ``<method>_<metric>`` columns by network."""
     names = F.create_map(*(F.lit(x) for kv in metrics.items() for x in kv))

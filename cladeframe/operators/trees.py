@@ -118,6 +118,28 @@ def consensus_split(splits: DataFrame) -> DataFrame:
     return splits.groupBy("side").agg(F.count("*").alias("trees")).orderBy(F.desc("trees"), "side").limit(1)
 
 
+def basal_frequencies(splits: DataFrame, species: DataFrame) -> DataFrame:
+    """How often each species lies on the smaller side of the root: ``sample_id, species, basal, trees, frequency``.
+
+    ``splits`` is ``sample_id, tree_id, side`` (see `basal_splits`), ``species`` ``sample_id, species``: those that are never basal have 0.
+    """
+    trees = splits.groupBy("sample_id").agg(F.count("*").alias("trees"))
+    met = splits.select("sample_id", F.explode("side").alias("species")).groupBy("sample_id", "species").agg(F.count("*").alias("basal"))
+    every = species.select("sample_id", "species").distinct().join(trees, "sample_id").join(met, ["sample_id", "species"], "left").na.fill(0, ["basal"])
+    return every.select("sample_id", "species", "basal", "trees", (F.col("basal") / F.col("trees")).alias("frequency"))
+
+
+def basal_clades(frequencies: DataFrame, clades: DataFrame) -> DataFrame:
+    """The clade of each sample whose species are basal most often above the mean of all (the first by name on ties): ``sample_id, clade, excess``.
+
+    ``clades`` is ``clade, species``; clades that hold all of a sample's species are left out. Excesses are compared at 9 places.
+    """
+    whole = frequencies.groupBy("sample_id").agg(F.avg("frequency").alias("overall"), F.count("*").alias("all"))
+    inside = frequencies.join(clades.select("clade", "species").distinct(), "species").groupBy("sample_id", "clade").agg(F.avg("frequency").alias("inside"), F.count("*").alias("n"))
+    over = inside.join(whole, "sample_id").filter(F.col("n") < F.col("all")).withColumn("excess", F.round(F.col("inside") - F.col("overall"), 9))
+    return over.groupBy("sample_id").agg(F.min_by(F.struct("clade", "excess"), F.struct(-F.col("excess"), "clade")).alias("b")).select("sample_id", "b.*")
+
+
 def levels(nodes: DataFrame, max_height: int | None = None) -> int:
     """Levels of inner nodes: ``max_height``, which no node may lie below, or the greatest depth."""
     deepest = nodes.agg(F.max("depth")).first()[0] or 0

@@ -361,12 +361,3 @@ def _(v):
 def _(v):
     scores = v.v_edge_scores.select("sample_id", (F.col("edge_ix") % 50).alias("species"), F.col("prob").cast("double").alias("prob"), (F.col("target") == 1).alias("polyploid"), (F.col("prob") >= 0.3).alias("predicted"))
     return rounded(L.detection_by_outcome(scores))
-
-
-PREDICTED = "SELECT sample_id, event_ix AS edge, CAST(partner_key AS BIGINT) AS partner, event_ix + event_ix % 3 * 21 - 21 * CAST(event_ix % 2 = 0 AS INT) AS predicted, event_ix % 2 AS clade, event_ix % 5 % 2 AS predicted_clade FROM v_truth_events"
-
-
-@query("m7_partner_errors", f"WITH p AS ({PREDICTED}) SELECT p.sample_id, CASE WHEN p.predicted = p.edge THEN 'self' WHEN b.predicted = p.edge THEN 'reciprocal' WHEN p.clade = p.predicted_clade THEN 'near' ELSE 'far' END AS kind, count(*) AS n FROM p LEFT JOIN p b ON b.sample_id = p.sample_id AND b.edge = p.predicted WHERE p.predicted <> p.partner GROUP BY ALL")
-def _(v):
-    e = F.col("event_ix")
-    return L.partner_errors(v.v_truth_events.select("sample_id", e.alias("edge"), F.col("partner_key").cast("long").alias("partner"), (e + e % 3 * 21 - 21 * (e % 2 == 0).cast("int")).alias("predicted"), (e % 2).alias("clade"), (e % 5 % 2).alias("predicted_clade")))

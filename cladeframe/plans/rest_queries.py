@@ -31,9 +31,7 @@ def _(v):
 S6 = "SELECT o_orderkey AS k, o_custkey % 40 + 4 AS ns, o_custkey % 900 + 100 AS len, o_custkey % 90 AS cs, o_custkey % 61 AS inf, o_orderkey % 8 AS miss, CAST(o_custkey % 50 + 1 AS INT) AS x FROM orders"
 
 
-@query("s6_model_reports", f"""SELECT k, CAST(ns AS INT) AS n_sequences, CAST(len AS INT) AS alignment_length, CAST(cs AS INT) AS constant_sites, CAST(inf AS INT) AS informative_sites, {r('cs / len * 100', 'constant_percentage')}, {r('inf / len * 100', 'informative_percentage')},
-{', '.join(f"CASE WHEN miss > 1 THEN round(x * {i} / 8.0, 6) END AS {c}" for i, c in enumerate(('ac', 'ag', 'at', 'cg', 'ct', 'gt'), 1))}, {', '.join(f"CASE WHEN miss > 1 THEN round({i} / 10.0, 6) END AS {c}" for i, c in enumerate(('pi_a', 'pi_c', 'pi_g', 'pi_t'), 1))}, CASE WHEN miss > 2 THEN round(x / 4.0, 6) END AS alpha FROM ({S6}) q""")
-def _(v):
+def model_reports(v):
     """Reports of a model fit; some lack a rate, the frequencies or the shape."""
     o = v.orders
     key, cust = F.col("o_orderkey"), F.col("o_custkey")
@@ -44,8 +42,13 @@ def _(v):
     rates = F.concat_ws("\n", F.lit("Rate parameter R:"), *(F.when((miss != 0) | F.lit(i > 1), F.concat(F.lit(f"  {a}: "), number(x * i / 8))) for i, a in enumerate(("A-C", "A-G", "A-T", "C-G", "C-T", "G-T"), 1)))
     freqs = F.when(miss != 1, F.concat(F.lit("State frequencies: (empirical counts from alignment)\n"), *(F.lit(f"  pi({a}) = {i / 10}\n") for i, a in enumerate("ACGT", 1))))
     alpha = F.when(miss > 2, F.concat(F.lit("Gamma shape alpha: "), number(x / 4)))
-    files = o.select(text(key).alias("path"), F.concat_ws("\n", head, rates, freqs, alpha).alias("value"))
-    return rounded(R.parse_model_report(files).withColumn("k", F.col("path").cast("long")).drop("path"))
+    return o.select(text(key).alias("path"), F.concat_ws("\n", head, rates, freqs, alpha).alias("value"))
+
+
+@query("s6_model_reports", f"""SELECT k, CAST(ns AS INT) AS n_sequences, CAST(len AS INT) AS alignment_length, CAST(cs AS INT) AS constant_sites, CAST(inf AS INT) AS informative_sites, {r('cs / len * 100', 'constant_percentage')}, {r('inf / len * 100', 'informative_percentage')},
+{', '.join(f"CASE WHEN miss > 1 THEN round(x * {i} / 8.0, 6) END AS {c}" for i, c in enumerate(('ac', 'ag', 'at', 'cg', 'ct', 'gt'), 1))}, {', '.join(f"CASE WHEN miss > 1 THEN round({i} / 10.0, 6) END AS {c}" for i, c in enumerate(('pi_a', 'pi_c', 'pi_g', 'pi_t'), 1))}, CASE WHEN miss > 2 THEN round(x / 4.0, 6) END AS alpha FROM ({S6}) q""")
+def _(v):
+    return rounded(R.parse_model_report(model_reports(v)).withColumn("k", F.col("path").cast("long")).drop("path"))
 
 
 @query("s9_metadata_events", "SELECT sample_id AS path, 25 AS n_species, CAST(count(*) OVER (PARTITION BY sample_id) AS INT) AS n_events_requested, CAST(row_number() OVER (PARTITION BY sample_id ORDER BY event_ix) - 1 AS INT) AS event_ix, event_type, target AS target_clade, CASE WHEN event_type = 'allo' THEN n_name ELSE '' END AS partner_clade FROM v_truth_events JOIN nation ON n_nationkey = partner_key")

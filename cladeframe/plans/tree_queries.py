@@ -170,10 +170,10 @@ def _(v):
     return rounded(X.coclustering(leaves(v), True))
 
 
-@query("f6_profile_summary", f"WITH sp AS (SELECT DISTINCT sample_id, species FROM v_leaves), g AS (SELECT a.sample_id, a.species, coalesce(m.share, 0) AS s FROM sp a JOIN sp b ON a.sample_id = b.sample_id AND a.species <> b.species LEFT JOIN ({MATRIX}) m ON m.sample_id = a.sample_id AND m.species = a.species AND m.partner = b.species) SELECT sample_id, species, {r('avg(s)', 'mean')}, {r('stddev_pop(s)', 'std')}, {r('max(s)', 'max')}, {r('min(s)', 'min')}, {r('quantile_cont(s, 0.5)', 'median')} FROM g GROUP BY sample_id, species")
+@query("f6_profile_summary", f"WITH sp AS (SELECT DISTINCT sample_id, species FROM v_leaves), m AS (SELECT sample_id, species, partner, count(*) AS k FROM ({SISTERS}) s GROUP BY sample_id, species, partner), g AS (SELECT a.sample_id, a.species, coalesce(m.k, 0) AS k, max(CASE WHEN m.k IS NULL THEN 1 ELSE t.trees END) OVER (PARTITION BY a.sample_id, a.species) AS t FROM sp a JOIN sp b ON a.sample_id = b.sample_id AND a.species <> b.species JOIN ({TREES}) t ON t.sample_id = a.sample_id LEFT JOIN m ON m.sample_id = a.sample_id AND m.species = a.species AND m.partner = b.species) SELECT sample_id, species, {r('sum(k) / (count(*) * max(t))', 'mean')}, {r('sqrt(CAST(count(*) * sum(k * k) - sum(k) * sum(k) AS DOUBLE)) / (count(*) * max(t))', 'std')}, {r('max(k) / max(t)', 'max')}, {r('min(k) / max(t)', 'min')}, {r('quantile_cont(k, 0.5) / max(t)', 'median')} FROM g GROUP BY sample_id, species")
 def _(v):
     own = leaves(v)
-    return rounded(X.profile_summary(X.coclustering(own), own.select("sample_id", "species").distinct()))
+    return rounded(X.profile_summary(X.sister_counts(own), own.select("sample_id", "species").distinct()))
 
 
 @query("f8_effective_partners", f"SELECT sample_id, species, round(sum(share) * sum(share) / sum(share * share), 5) AS n_eff FROM ({MATRIX}) m GROUP BY sample_id, species")
@@ -198,7 +198,7 @@ def _(v):
     return rounded(X.duplication_synchrony(X.copies_per_tree(leaves(v))))
 
 
-@query("f12_clade_summaries", f"WITH p AS (SELECT c.sample_id, c.tree_id, k.clade, count(*) AS kinds, sum(n) AS inside, count(CASE WHEN n >= 2 THEN 1 END) AS doubled FROM ({COPIES}) c JOIN ({CLADES}) k USING (species) GROUP BY ALL), w AS (SELECT *, (sum(inside) OVER (PARTITION BY tree_id) - inside) / nullif(sum(kinds) OVER (PARTITION BY tree_id) - kinds, 0) AS outer_ FROM p) SELECT sample_id, clade, {r('avg(CASE WHEN doubled > 0 THEN 1.0 ELSE 0.0 END)', 'duplication')}, {r('avg(inside - kinds)', 'extra')}, {r('avg(inside / kinds)', 'per_species')}, {r('avg(doubled / kinds)', 'coherence')}, {r('avg(inside / kinds / outer_)', 'in_out')} FROM w GROUP BY sample_id, clade")
+@query("f12_clade_summaries", f"WITH p AS (SELECT c.sample_id, c.tree_id, k.clade, count(*) AS kinds, sum(n) AS inside, count(CASE WHEN n >= 2 THEN 1 END) AS doubled, sum(n * n) AS squares FROM ({COPIES}) c JOIN ({CLADES}) k USING (species) GROUP BY ALL), w AS (SELECT *, (sum(inside) OVER (PARTITION BY tree_id) - inside) / nullif(sum(kinds) OVER (PARTITION BY tree_id) - kinds, 0) AS outer_ FROM p) SELECT sample_id, clade, {r('avg(CASE WHEN doubled > 0 THEN 1.0 ELSE 0.0 END)', 'duplication')}, {r('avg(inside - kinds)', 'extra')}, {r('avg(inside / kinds)', 'per_species')}, {r('avg(doubled / kinds)', 'coherence')}, {r('avg(inside / kinds / outer_)', 'in_out')}, {r('avg(CASE WHEN size > 1 THEN sqrt((size * squares - inside * inside) / (size * (size - 1))) * size / inside END)', 'variation')} FROM w JOIN (SELECT clade AS z, count(*) AS size FROM ({CLADES}) y GROUP BY clade) zz ON z = clade GROUP BY sample_id, clade")
 def _(v):
     return rounded(X.clade_summaries(leaves(v).drop("clade"), clades(v)))
 

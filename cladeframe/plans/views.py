@@ -69,6 +69,20 @@ VIEWS = {
             FROM {v_leaves} JOIN {orders} ON tree_id = o_orderkey JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey
             WHERE clade <> r_name GROUP BY c_custkey, r_name, clade) e
         WHERE k = 1""",
+    "v_partner_calls": """
+        SELECT sample_id, edge, partner, predicted FROM (
+            SELECT e.*, row_number() OVER (PARTITION BY sample_id, edge ORDER BY c_custkey) AS k FROM (
+                SELECT c_custkey, sample_id, edge, max(CASE WHEN by_lines = 1 THEN other END) AS partner, max(CASE WHEN by_price = 1 THEN other END) AS predicted FROM (
+                    SELECT c_custkey, c_custkey % 21 AS sample_id, c_nationkey AS edge, s_nationkey AS other,
+                           row_number() OVER (PARTITION BY c_custkey ORDER BY count(*) DESC, s_nationkey) AS by_lines,
+                           row_number() OVER (PARTITION BY c_custkey ORDER BY max(l_extendedprice) DESC, s_nationkey) AS by_price
+                    FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey JOIN {supplier} ON l_suppkey = s_suppkey
+                    GROUP BY c_custkey, c_nationkey, s_nationkey) g
+                GROUP BY c_custkey, sample_id, edge) e) f
+        WHERE k = 1""",
+    "v_training": """
+        SELECT o_custkey AS sample, count(DISTINCT species) AS n_species, count(*) AS n_leaves, count(DISTINCT tree_id) AS requested, count(DISTINCT CASE WHEN o_orderstatus = 'F' THEN tree_id END) AS applied
+        FROM {v_leaves} JOIN {orders} ON tree_id = o_orderkey GROUP BY o_custkey""",
     "v_deep": DEEP.replace("LEAVES", "{v_leaves}"),
     "v_deep_priced": DEEP.replace("LEAVES", "{v_priced}"),
     "v_truth_events": """

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .plans.views import Views, with_views
 
 FLAGSHIP = "f3_representative_copies"
-MODULES = ("summary_queries", "tree_queries", "network_queries", "label_queries", "deep_queries", "event_queries", "rest_queries", "shape_queries", "partner_queries", "name_queries")
+MODULES = ("summary_queries", "tree_queries", "network_queries", "label_queries", "deep_queries", "event_queries", "rest_queries", "shape_queries", "partner_queries", "name_queries", "study_queries")
 
 _QUERIES: dict[str, Callable[[Views], DataFrame]] = {}
 _SQL: dict[str, str] = {}

@@ -128,3 +128,22 @@ def task_keys(tasks: DataFrame, networks: DataFrame, replicates: int) -> DataFra
     """Adds network and replicate to numbered tasks, ``task_id``: replicates of the first network, then of the next (``networks``: position, network)."""
     at = tasks.withColumns({"position": F.floor(F.col("task_id") / replicates), "replicate": F.col("task_id") % replicates + 1})
     return at.join(networks, "position").drop("position")
+
+
+RETENTION = "events array<struct<species: array<string>, q: double>>, copy_numbers map<string, map<string, bigint>>, removal map<string, struct<eligible: bigint, reduced: bigint>>"
+
+
+def parse_retention(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Retention summaries ``network, replicate, value`` (one JSON text a replicate) as the tables behind them.
+
+    Copies of polyploids, the species that an event names, ``network, replicate, species, n, genes`` (in how many genes a species
+    has n copies); genes that could lose a copy and those that did, ``network, replicate, species, eligible, reduced``; and retention rates, ``network, replicate, q``, a row
+    an event. A text that is no JSON, or lacks a part, has no rows of it.
+    """
+    rows = files.select("network", "replicate", F.from_json("value", RETENTION).alias("m"))
+    events = rows.select("network", "replicate", F.explode("m.events").alias("e"))
+    named = events.select("network", "replicate", F.explode("e.species").alias("species")).distinct()
+    counted = rows.select("network", "replicate", F.explode("m.copy_numbers").alias("species", "of")).select("network", "replicate", "species", F.explode("of").alias("n", "genes"))
+    copies = counted.select("network", "replicate", "species", F.col("n").cast("int").alias("n"), "genes").join(named, ["network", "replicate", "species"], "left_semi")
+    removal = rows.select("network", "replicate", F.explode("m.removal").alias("species", "r")).select("network", "replicate", "species", F.coalesce("r.eligible", F.lit(0).cast("long")).alias("eligible"), F.coalesce("r.reduced", F.lit(0).cast("long")).alias("reduced"))
+    return copies, removal, events.select("network", "replicate", "e.q")
