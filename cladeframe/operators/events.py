@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .greedy import greedy
 from .lineage import cut
-from .trees import leaves, mirrored_nodes, species_sets
+from .trees import leaves, mirrored_sets, species_sets
 
 NAMES = "array<string>"
 
@@ -16,22 +17,15 @@ def decompose_events(nodes: DataFrame) -> DataFrame:
     """Events that explain the copies of a tree: ``tree_id, kind, clade, partner, at``.
 
     Auto: binary nodes whose children hold the same species, children before parents, unless a
-    species is explained already; in each round those go that come first for all of their species.
+    species is explained already (see `greedy`).
     Allo: each further copy of the other species, with the species beside it as partner (itself, if
     none). The copy that stays is the one whose neighbours are most like those of the backbone, the
     tree of first copies (the first on ties). ``at`` is the node or the copy.
     """
-    held = mirrored_nodes(nodes).join(species_sets(nodes).select("tree_id", "lo", "set"), ["tree_id", "lo"]).join(nodes.select("tree_id", "lo", "hi"), ["tree_id", "lo"])
-    order = F.struct("hi", (-F.col("lo")).alias("lo"))
-    left = cut(held.select("tree_id", "lo", "set", F.explode("set").alias("species"), order.alias("order")), "mirrored")
-    auto = left.select("tree_id", "lo", "set").limit(0)
-    while not left.isEmpty():
-        first = F.min("order").over(W.partitionBy("tree_id", "species")) == F.col("order")
-        ready = left.withColumn("first", first).groupBy("tree_id", "lo").agg(F.min(F.col("first").cast("int")).alias("all")).filter("all = 1").select("tree_id", "lo")
-        taken = cut(left.join(ready, ["tree_id", "lo"]).select("tree_id", "lo", "set", "species"), "taken")
-        auto = auto.unionByName(taken.select("tree_id", "lo", "set").distinct())
-        met = left.join(taken.select("tree_id", "species"), ["tree_id", "species"], "left_semi").select("tree_id", "lo").distinct()
-        left = cut(left.join(met, ["tree_id", "lo"], "left_anti"), "mirrored")
+    sets = cut(species_sets(nodes).select("tree_id", "lo", "parent_lo", "set"), "sets")
+    held = mirrored_sets(sets).join(sets.select("tree_id", "lo", "set"), ["tree_id", "lo"]).join(nodes.select("tree_id", "lo", "hi"), ["tree_id", "lo"])
+    needed = held.select("tree_id", "lo", "hi", "set", F.explode("set").alias("species"))
+    auto = cut(greedy(needed, ["tree_id", "lo"], ["tree_id", "species"], [F.col("hi"), F.desc("lo")], F.lit(1)).select("tree_id", "lo", "set").distinct(), "auto")
     explained = auto.select("tree_id", F.explode("set").alias("species"))
     tips = cut(leaves(nodes).select("tree_id", "leaf", "species", "parent_lo"), "tips")
     doubled = tips.groupBy("tree_id", "species").agg(F.count("*").alias("n"), F.min("leaf").alias("first")).filter("n > 1").join(explained, ["tree_id", "species"], "left_anti")

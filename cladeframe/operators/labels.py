@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .greedy import greedy
 from .lineage import cut
 
 
@@ -118,12 +119,7 @@ def select_edges(candidates: DataFrame, strategy: str, threshold: float) -> Data
     edge's clade. ``detect_only`` takes what is at least as probable as the threshold. The others take
     edges by falling probability (ties by number) unless a species would pass its bound of copies:
     ``cap`` among those over the threshold, ``bound_driven`` among all, ``detect`` all and then any
-    other over the threshold.
-
-    The greedy choice is made in rounds. An edge's turn comes after those before it that share a
-    species: it is taken once the taken and the undecided ones before it leave room for each of its
-    species, and goes once the taken ones alone leave none for one. Each round decides at least the
-    first edge of every sample, and in practice nearly all: few edges wait for many others in turn.
+    other over the threshold. The greedy choice is made in rounds (see `greedy`).
     """
     if strategy == "detect_only":
         return candidates.filter(F.col("prob") >= threshold).select("sample_id", "edge_ix").distinct()
@@ -131,19 +127,7 @@ def select_edges(candidates: DataFrame, strategy: str, threshold: float) -> Data
         raise ValueError(f"unknown strategy {strategy!r}")
     sure = F.col("prob") >= threshold
     rows = candidates.filter(sure) if strategy == "cap" else candidates
-    before = W.partitionBy("sample_id", "species").orderBy(F.desc("prob"), "edge_ix").rowsBetween(W.unboundedPreceding, -1)
-    edge = W.partitionBy("sample_id", "edge_ix")
-    n = lambda c: F.coalesce(F.sum(F.when(c, 1)).over(before), F.lit(0))
-    rows = cut(rows.select("sample_id", "edge_ix", "prob", "species", (F.col("bound") - 1).alias("room"), F.lit(False).alias("taken")), "edges")
-    while True:
-        counted = rows.withColumns({"have": n(F.col("taken")), "wait": n(~F.col("taken"))})
-        fits = F.min(F.col("have") + F.col("wait") < F.col("room")).over(edge)
-        full = F.max(F.col("have") >= F.col("room")).over(edge)
-        decided = counted.withColumns({"fits": fits, "full": full}).filter("taken or not full")
-        rows = cut(decided.select("sample_id", "edge_ix", "prob", "species", "room", (F.col("taken") | F.col("fits")).alias("taken")), "edges")
-        if rows.filter("not taken").isEmpty():
-            break
-    chosen = rows.select("sample_id", "edge_ix")
+    chosen = greedy(rows, ["sample_id", "edge_ix"], ["sample_id", "species"], [F.desc("prob"), F.col("edge_ix")], F.col("bound") - 1).select("sample_id", "edge_ix")
     if strategy == "detect":
         chosen = chosen.unionByName(candidates.filter(sure).select("sample_id", "edge_ix"))
     return chosen.distinct()

@@ -96,7 +96,11 @@ def copy_distances(nodes: DataFrame) -> DataFrame:
 
 def mirrored_nodes(nodes: DataFrame) -> DataFrame:
     """Binary nodes whose children hold the same set of species: ``tree_id, lo``."""
-    sets = species_sets(nodes)
+    return mirrored_sets(species_sets(nodes))
+
+
+def mirrored_sets(sets: DataFrame) -> DataFrame:
+    """`mirrored_nodes` from `species_sets` at hand."""
     return sets.filter("parent_lo is not null").groupBy("tree_id", "parent_lo").agg(F.count("*").alias("children"), F.min("set").alias("a"), F.max("set").alias("b")).filter("children = 2 and a = b").select("tree_id", F.col("parent_lo").alias("lo"))
 
 
