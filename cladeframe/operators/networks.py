@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .greedy import greedy
 from .lineage import cut
 from .trees import canonical_codes, leaves
 
@@ -142,23 +143,18 @@ def match_reticulations(left: DataFrame, right: DataFrame, keys: Sequence[str] =
     """One-to-one pairs of reticulations of the same tree by the Jaccard similarity of their leaf sets.
 
     ``left`` and ``right`` are ``tree_id`` (or other ``keys``), ``ret_id, species``. Pairs that share a
-    species are scored from counts; in each round the pairs that are each other's best (ties by ids)
-    are matched and both sides leave, until no pair is left. Returns the keys, ``a, b, shared, n_a, n_b``.
+    species are scored from counts and taken from the best on (ties by ids), each end once: in a round
+    of `greedy` those that are each other's best. Returns the keys, ``a, b, shared, n_a, n_b``.
     """
     keys = list(keys)
     size = lambda d, name: d.groupBy(*keys, "ret_id").agg(F.count("*").alias(f"n_{name}")).withColumnRenamed("ret_id", name)
     shared = left.withColumnRenamed("ret_id", "a").join(right.withColumnRenamed("ret_id", "b"), [*keys, "species"]).groupBy(*keys, "a", "b").agg(F.count("*").alias("shared"))
     pairs = shared.join(size(left, "a"), [*keys, "a"]).join(size(right, "b"), [*keys, "b"])
-    pairs = cut(pairs.withColumn("score", F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))), "pairs")
-    out = None
-    while True:
-        best = lambda key: F.row_number().over(W.partitionBy(*keys, key).orderBy(F.desc("score"), "a", "b"))
-        met = cut(pairs.withColumns({"ra": best("a"), "rb": best("b")}).filter("ra = 1 and rb = 1").drop("ra", "rb"), "matched")
-        out = met if out is None else out.unionByName(met)
-        pairs = cut(pairs.join(met.select(*keys, "a"), [*keys, "a"], "left_anti").join(met.select(*keys, "b"), [*keys, "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            break
-    return out.select(*keys, "a", "b", "shared", "n_a", "n_b")
+    pairs = pairs.withColumn("score", F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared")))
+    ends = F.array(F.struct(F.lit("a").alias("end"), F.col("a").alias("of")), F.struct(F.lit("b").alias("end"), F.col("b").alias("of")))
+    rows = pairs.select("*", F.explode(ends).alias("p")).select(*pairs.columns, "p.end", "p.of")
+    met = greedy(rows, [*keys, "a", "b"], [*keys, "end", "of"], [F.desc("score"), F.col("a"), F.col("b")], F.lit(1))
+    return met.filter("end = 'a'").select(*keys, "a", "b", "shared", "n_a", "n_b")
 
 
 def all_matched(matches: DataFrame, left: DataFrame, right: DataFrame, keys: Sequence[str] = TREE) -> DataFrame:
@@ -242,17 +238,16 @@ def network_edges(live: DataFrame) -> DataFrame:
 
 
 def _idle(edges: DataFrame) -> DataFrame:
-    """Edges with whether each end has one way in and one way out."""
-    ins = edges.groupBy("tree_id", F.col("child").alias("node")).agg(F.count("*").alias("n")).filter("n = 1").select("tree_id", "node")
-    outs = edges.groupBy("tree_id", F.col("parent").alias("node")).agg(F.count("*").alias("n")).filter("n = 1").select("tree_id", "node")
-    idle = ins.join(outs, ["tree_id", "node"]).withColumn("idle", F.lit(True))
-    of = lambda end: idle.select("tree_id", F.col("node").alias(end), F.col("idle").alias(f"{end}_idle"))
-    found = edges.join(of("parent"), ["tree_id", "parent"], "left").join(of("child"), ["tree_id", "child"], "left")
-    return found.select("tree_id", "parent", "child", F.coalesce("parent_idle", F.lit(False)).alias("parent_idle"), F.coalesce("child_idle", F.lit(False)).alias("child_idle"))
+    """Nodes with one way in and one way out, as links to what follows: ``tree_id, node, to``."""
+    down = edges.select("tree_id", F.col("parent").alias("node"), F.col("child").alias("to"), F.lit(0).alias("ins"))
+    up = edges.select("tree_id", F.col("child").alias("node"), F.lit(None).alias("to"), F.lit(1).alias("ins"))
+    per = down.unionByName(up).groupBy("tree_id", "node").agg(F.sum("ins").alias("ins"), F.count("to").alias("outs"), F.max("to").alias("to"))
+    return per.filter("ins = 1 and outs = 1").select("tree_id", "node", "to")
 
 
 def _ends(links: DataFrame) -> DataFrame:
-    """Where chains of idle nodes end: ``tree_id, node, to, open`` followed until nothing is open, by doubling, three times a write."""
+    """Where chains of idle nodes end, by doubling, three times a write: ``tree_id, node, to, open``."""
+    links = links.withColumn("open", F.lit(True))
     while True:
         for _ in range(3):
             on = links.select("tree_id", F.col("node").alias("to"), F.col("to").alias("then"), F.col("open").alias("then_open"))
@@ -268,12 +263,14 @@ def suppressed(edges: DataFrame) -> DataFrame:
     All chains are passed over at once, each in as many rounds as its length has binary digits over
     three; what edges become one may leave new idle nodes, so this is repeated until there is none.
     """
-    edges = cut(_idle(edges), "edges")
-    while not edges.filter("child_idle").isEmpty():
-        ends = _ends(edges.filter("parent_idle").select("tree_id", F.col("parent").alias("node"), F.col("child").alias("to"), F.col("child_idle").alias("open")))
-        met = edges.filter("not parent_idle").join(ends.select("tree_id", F.col("node").alias("child"), "to"), ["tree_id", "child"], "left")
-        edges = cut(_idle(cut(met.select("tree_id", "parent", F.coalesce("to", "child").alias("child")).distinct(), "bridged")), "edges")
-    return edges.select("tree_id", "parent", "child")
+    edges = cut(edges, "edges")
+    while True:
+        ends = _ends(_idle(edges))
+        if ends.isEmpty():
+            return edges
+        left = edges.join(ends.select("tree_id", F.col("node").alias("parent")), ["tree_id", "parent"], "left_anti")
+        met = left.join(ends.select("tree_id", F.col("node").alias("child"), "to"), ["tree_id", "child"], "left")
+        edges = cut(met.select("tree_id", "parent", F.coalesce("to", "child").alias("child")).distinct(), "edges")
 
 
 def network_class(nodes: DataFrame, edges: DataFrame) -> DataFrame:

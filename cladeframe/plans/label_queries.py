@@ -136,6 +136,11 @@ def _(v):
     return L.edge_classifiers(embedded(v))
 
 
+@query("m1_feature_importances")
+def _(v):
+    return L.feature_importances(embedded(v))
+
+
 @query("m4_permutation_importance")
 def _(v):
     return L.permutation_importance(embedded(v))

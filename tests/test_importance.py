@@ -20,3 +20,13 @@ def test_importance_of_every_feature(spark):
 def test_query_scores_all_dimensions(spark):
     got = registry.queries()["m4_permutation_importance"](spark, "/root/testdata/sf0.001").collect()
     assert sorted(int(r.feature) for r in got) == list(range(64))
+
+
+def test_feature_importances(spark):
+    rng = random.Random(1)
+    rows = [([float(y) + rng.gauss(0, 0.3), rng.gauss(0, 5), 1.0], y) for y in (0, 1) for _ in range(200)]
+    found = {}
+    for r in L.feature_importances(spark.createDataFrame(rows, "features array<double>, label int")).collect():
+        found.setdefault(r.model, {})[r.feature] = r.importance
+    assert set(found) == {"logistic", "forest", "boosted"}
+    assert all(x[0] > 0.8 and x[2] == 0 and abs(sum(x.values()) - 1) < 1e-9 for x in found.values())
