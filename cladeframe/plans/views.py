@@ -7,7 +7,9 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "labels")
 
@@ -112,6 +114,41 @@ VIEWS = {
         GROUP BY 1, 2, 3, 4""",
 }
 
+#: Views of trees of any depth and the leaves they stand on. `deep_trees` makes their rows, their text is for DuckDB.
+DEEP_VIEWS = {"v_deep": "v_leaves", "v_deep_priced": "v_priced", "v_deep_named": "v_named", "v_deep_named_priced": "v_named_priced"}
+
+
+def deep_trees(leaves: DataFrame) -> DataFrame:
+    """The rows of ``DEEP`` over ``leaves`` (``tree_id, sample_id, clade, dist, pos``) in one pass.
+
+    Each leaf brings the inner nodes that start at its place. Which nodes lie above follows from its
+    place and the tree's number of leaves, so nodes are not joined with each other.
+    """
+    pos, n, long = F.col("pos").cast("long"), F.col("n"), "long"
+    halved = F.col("tree_id") % 3 != 0
+    wide = {j: 1 << j for j in range(1, 7)}
+    start = {j: pos - pos % wide[j] for j in wide}
+    stands = {j: start[j] + wide[j] // 2 < n for j in wide}
+    whole = n > 64
+
+    def above(j: int) -> tuple[Column, Column]:
+        """Depth and parent of what lies at this place below the halves wider than 2**j."""
+        over = [k for k in wide if k > j]
+        depth = sum((stands[k].cast("int") for k in over), whole.cast("int"))
+        return depth, F.coalesce(*(F.when(stands[k], start[k] * 64 + 6 - k) for k in over), F.when(whole, F.lit(-1).cast(long)))
+
+    def node(lo: Column, hi: Column, depth: Column, parent: Column, leaf: bool) -> Column:
+        label, dist = (F.col("clade"), F.col("dist").cast("double")) if leaf else (F.lit(None).cast("string"), F.lit(1.0))
+        return F.struct(lo.cast(long).alias("lo"), hi.cast(long).alias("hi"), depth.cast("int").alias("depth"), parent.cast(long).alias("parent_lo"), F.lit(leaf).alias("is_leaf"), label.alias("label"), dist.alias("dist"))
+
+    tip, end, last = pos * 64 + 63, (n - 1) * 64 + 63, F.least(pos, n - 2)
+    depth, parent = above(0)
+    nodes = [node(tip, tip, F.when(halved, depth).otherwise(last + 1), F.when(halved, parent).when(n > 1, last * 64), True)]
+    nodes += [F.when(halved & (pos % wide[j] == 0) & stands[j], node(pos * 64 + 6 - j, (F.least(n, pos + wide[j]) - 1) * 64 + 63, *above(j), False)) for j in wide]
+    nodes += [F.when(halved & whole & (pos == 0), node(F.lit(-1), end, F.lit(0), F.lit(None), False)), F.when(~halved & (pos < n - 1), node(pos * 64, end, pos, F.when(pos > 0, (pos - 1) * 64), False))]
+    counted = leaves.select("tree_id", "sample_id", "clade", "dist", "pos", F.count("*").over(W.partitionBy("tree_id")).alias("n"))
+    return counted.select("tree_id", "sample_id", F.inline(F.array_compact(F.array(*nodes))))
+
 
 class Views:
     """Tables and views of one folder as DataFrames: ``Views(spark, sf_dir).v_leaves``."""
@@ -123,6 +160,8 @@ class Views:
         if name not in self._known:
             if name in TABLES:
                 self._known[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            elif name in DEEP_VIEWS:
+                self._known[name] = deep_trees(getattr(self, DEEP_VIEWS[name]))
             elif name in VIEWS:
                 self._known[name] = self.spark.sql(re.sub(r"string_agg\((.*?) ORDER BY (\w+)\)", r"string_agg(\1) WITHIN GROUP (ORDER BY \2)", VIEWS[name]), **{x: getattr(self, x) for x in set(re.findall(r"\{(\w+)\}", VIEWS[name]))})
             else:
