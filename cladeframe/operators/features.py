@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 
 def copies_per_tree(leaves: DataFrame) -> DataFrame:
     return leaves.groupBy("sample_id", "tree_id", "species").agg(F.count("*").alias("n"))
@@ -147,6 +149,14 @@ def duplication_synchrony(copies: DataFrame) -> DataFrame:
     return pairs.select("sample_id", "species", "partner", F.when(spread > 0, (t * F.coalesce("both", F.lit(0)) - s * s2) / spread).alias("r"))
 
 
+def flag_correlation(t: Column, s1: Column, s2: Column, both: Column) -> Column:
+    """Pearson correlation of two flags over ``t`` trees that ``s1``, ``s2`` and ``both`` of them have; neither may be all or none.
+
+    The product of the spreads grows with the fourth power of ``t`` and passes a long from about 100,000 trees on.
+    """
+    return (t * both - s1 * s2) / F.sqrt((t * s1 - s1 * s1).cast("double") * (t * s2 - s2 * s2))
+
+
 def detection_features(nodes: DataFrame, clades: DataFrame) -> DataFrame:
     """What tells a whole clade's duplication from that of single genes, per sample and clade.
 
@@ -156,22 +166,23 @@ def detection_features(nodes: DataFrame, clades: DataFrame) -> DataFrame:
     copies over the tree's mean height; the mean share of its present species that are duplicated.
     ``nodes`` also has ``sample_id``; ``clades`` is ``clade, species``. 0 where there is nothing to tell.
     """
-    from .trees import copy_distances, mirrored_nodes, species_sets, tree_heights
+    from .trees import copy_distances, mirrored_sets, species_sets, tree_heights
 
+    nodes = cut(nodes, "nodes")
     trees = nodes.select("sample_id", "tree_id").distinct()
     total = trees.groupBy("sample_id").agg(F.count("*").alias("trees"))
     copies = nodes.filter("is_leaf").groupBy("sample_id", "tree_id", F.col("label").alias("species")).agg(F.count("*").alias("n"))
     held = copies.join(clades, "species").withColumn("dup", (F.col("n") > 1).cast("long"))
     per = held.groupBy("sample_id", "tree_id", "clade").agg(F.avg("dup").alias("share"))
     duplicated = per.groupBy("sample_id", "clade").agg(F.avg("share").alias("duplicated"), F.count("*").alias("t"))
-    t, s1, s2 = F.col("t"), F.col("s1"), F.col("s2")
     doubled = held.filter("dup = 1").select("sample_id", "tree_id", "clade", "species")
     ones = doubled.groupBy("sample_id", "clade", "species").agg(F.count("*").alias("s1")).join(duplicated.select("sample_id", "clade", "t"), ["sample_id", "clade"]).filter("s1 < t")
     both = doubled.join(doubled.withColumnRenamed("species", "other"), ["sample_id", "tree_id", "clade"]).filter("species < other").groupBy("sample_id", "clade", "species", "other").agg(F.count("*").alias("both"))
     pairs = ones.join(ones.select("sample_id", "clade", F.col("species").alias("other"), F.col("s1").alias("s2")), ["sample_id", "clade"]).filter("species < other").join(both, ["sample_id", "clade", "species", "other"], "left")
-    r = (t * F.coalesce("both", F.lit(0)) - s1 * s2) / F.sqrt(((t * s1 - s1 * s1) * (t * s2 - s2 * s2)).cast("double"))
+    r = flag_correlation(F.col("t"), F.col("s1"), F.col("s2"), F.coalesce("both", F.lit(0)))
     synchrony = pairs.groupBy("sample_id", "clade").agg(F.avg(r).alias("synchrony"))
-    sets = mirrored_nodes(nodes).join(species_sets(nodes).select("tree_id", "lo", "set"), ["tree_id", "lo"])
+    every_set = cut(species_sets(nodes), "sets")
+    sets = mirrored_sets(every_set).join(every_set.select("tree_id", "lo", "set"), ["tree_id", "lo"])
     inside = sets.select("tree_id", "lo", F.size("set").alias("size"), F.explode("set").alias("species")).join(clades, "species").groupBy("tree_id", "lo", "size", "clade").agg(F.count("*").alias("k")).filter("k = size")
     mirrored = inside.select("tree_id", "clade").distinct().join(trees, "tree_id").groupBy("sample_id", "clade").agg(F.count("*").alias("m")).join(total, "sample_id").select("sample_id", "clade", (F.col("m") / F.col("trees")).alias("mirrored"))
     tall = tree_heights(nodes).select("tree_id", "mean_height")
