@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .greedy import greedy
 from .lineage import cut
-from .trees import canonical_codes, leaves
+from .trees import canonical_codes, coded, leaves
 
 
 def live_nodes(nodes: DataFrame, max_height: int | None = None) -> DataFrame:
@@ -22,9 +23,8 @@ def live_nodes(nodes: DataFrame, max_height: int | None = None) -> DataFrame:
     is the first copy of a node's kind, ``k`` how many of it are met, ``d`` under how many parents.
     The result is a written table.
     """
-    tree, kind = W.partitionBy("tree_id"), W.partitionBy("tree_id", "code")
-    coded = nodes.select("tree_id", "lo", "hi", "depth", "parent_lo", "is_leaf", "label").join(canonical_codes(nodes, max_height).select("tree_id", "lo", "code"), ["tree_id", "lo"])
-    marked = coded.withColumn("first", F.min("lo").over(kind))
+    tree, kind = W.partitionBy("tree_id"), W.partitionBy("tree_id", "first")
+    marked = coded(nodes, max_height).select("tree_id", "lo", "hi", "depth", "parent_lo", "is_leaf", "label", "code").withColumn("first", F.min("lo").over(W.partitionBy("tree_id", "code")))
     gone = F.max(F.when(F.col("lo") != F.col("first"), F.col("hi"))).over(tree.orderBy("lo").rowsBetween(W.unboundedPreceding, -1))
     met = marked.withColumn("gone", gone).filter("gone is null or gone < lo").drop("gone")
     return cut(met.withColumns({"k": F.count("*").over(kind), "d": F.size(F.collect_set("parent_lo").over(kind))}), "live")
@@ -153,7 +153,7 @@ def match_reticulations(left: DataFrame, right: DataFrame, keys: Sequence[str] =
     pairs = pairs.withColumn("score", F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared")))
     ends = F.array(F.struct(F.lit("a").alias("end"), F.col("a").alias("of")), F.struct(F.lit("b").alias("end"), F.col("b").alias("of")))
     rows = pairs.select("*", F.explode(ends).alias("p")).select(*pairs.columns, "p.end", "p.of")
-    met = greedy(rows, [*keys, "a", "b"], [*keys, "end", "of"], [F.desc("score"), F.col("a"), F.col("b")], F.lit(1))
+    met = greedy(rows, [*keys, "a", "b"], [*keys, "end", "of"], [F.desc("score"), F.col("a"), F.col("b")], F.lit(1), keys)
     return met.filter("end = 'a'").select(*keys, "a", "b", "shared", "n_a", "n_b")
 
 
@@ -263,14 +263,18 @@ def suppressed(edges: DataFrame) -> DataFrame:
     All chains are passed over at once, each in as many rounds as its length has binary digits over
     three; what edges become one may leave new idle nodes, so this is repeated until there is none.
     """
-    edges = cut(edges, "edges")
+    edges, done = cut(edges, "edges"), []
     while True:
         ends = _ends(_idle(edges))
         if ends.isEmpty():
-            return edges
-        left = edges.join(ends.select("tree_id", F.col("node").alias("parent")), ["tree_id", "parent"], "left_anti")
+            break
+        # only trees that had an idle node can have one in the next round
+        trees = ends.select("tree_id").distinct()
+        done.append(edges.join(trees, "tree_id", "left_anti"))
+        left = edges.join(trees, "tree_id", "left_semi").join(ends.select("tree_id", F.col("node").alias("parent")), ["tree_id", "parent"], "left_anti")
         met = left.join(ends.select("tree_id", F.col("node").alias("child"), "to"), ["tree_id", "child"], "left")
         edges = cut(met.select("tree_id", "parent", F.coalesce("to", "child").alias("child")).distinct(), "edges")
+    return cut(reduce(DataFrame.unionByName, done, edges), "edges") if done else edges
 
 
 def network_class(nodes: DataFrame, edges: DataFrame) -> DataFrame:

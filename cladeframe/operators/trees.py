@@ -153,26 +153,36 @@ def levels(nodes: DataFrame, max_height: int | None = None) -> int:
 
 
 def canonical_codes(nodes: DataFrame, max_height: int | None = None) -> DataFrame:
-    """A code per node, equal exactly for subtrees that are alike up to the order of children.
+    """A code per node, equal exactly for subtrees that are alike up to the order of children: ``tree_id, lo, parent_lo, depth, code``."""
+    return coded(nodes, max_height).select("tree_id", "lo", "parent_lo", "depth", "code")
 
-    From the leaves up, one aggregate per level of depth: the code of a node hashes its children's
-    sorted codes. The nodes are written out first, as each level reads them, and then every third
-    level, so the plan doesn't double with the depth.
+
+def coded(nodes: DataFrame, max_height: int | None = None) -> DataFrame:
+    """`canonical_codes` with the nodes' ``hi, is_leaf, label`` kept.
+
+    A tree's nodes are met in postorder, each once all below it have been: what is open then and lies
+    deeper are its children, whose sorted codes are hashed to its own. So the depth of trees costs no
+    rounds, and nodes are shuffled once, by tree; a tree is one array meanwhile.
     """
-    nodes = cut(nodes.select("tree_id", "lo", "parent_lo", "depth", "is_leaf", "label"), "nodes")
-    max_height = levels(nodes, max_height)
-    tips = nodes.filter("is_leaf").select("tree_id", "lo", "parent_lo", "depth", F.sha2(F.col("label"), 256).alias("code"))
-    done, level = tips, None
-    for depth in range(max_height - 1, -1, -1):
-        up = nodes.filter(f"not is_leaf and depth = {depth}").select("tree_id", "lo", "parent_lo", "depth")
-        children = tips.filter(f"depth = {depth + 1}")
-        children = children if level is None else children.unionByName(level)
-        codes = children.groupBy("tree_id", F.col("parent_lo").alias("lo")).agg(F.sha2(F.concat_ws(",", F.sort_array(F.collect_list("code"))), 256).alias("code"))
-        level = up.join(codes, ["tree_id", "lo"])
-        if (max_height - depth) % 3 == 0:
-            level = cut(level, "codes")
-        done = done.unionByName(level)
-    return done
+    if max_height is not None:
+        levels(nodes, max_height)
+    columns = ("depth", "parent_lo", "is_leaf", "label")
+    at = F.struct("hi", (-F.col("lo")).alias("back"), "lo", *columns)
+    trees = nodes.groupBy("tree_id").agg(F.sort_array(F.collect_list(at)).alias("nodes"))
+    none = lambda of: F.array().cast(f"array<struct<{of}>>")
+    depth, lo = nodes.schema["depth"].dataType.simpleString(), nodes.schema["lo"].dataType.simpleString()
+
+    def step(state, node):
+        children = F.transform(F.filter(state["open"], lambda x: x["depth"] > node["depth"]), lambda x: x["code"])
+        code = F.when(node["is_leaf"], F.sha2(node["label"], 256)).otherwise(F.sha2(F.concat_ws(",", F.sort_array(children)), 256))
+        rest = F.filter(state["open"], lambda x: x["depth"] <= node["depth"])
+        open_ = F.concat(rest, F.array(F.struct(node["depth"].alias("depth"), code.alias("code"))))
+        return F.struct(open_.alias("open"), F.concat(state["codes"], F.array(F.struct(node["lo"].alias("lo"), code.alias("code")))).alias("codes"))
+
+    first = F.struct(none(f"depth:{depth},code:string").alias("open"), none(f"lo:{lo},code:string").alias("codes"))
+    codes = F.aggregate("nodes", first, step, lambda s: s["codes"])
+    row = F.explode(F.arrays_zip(F.col("nodes"), F.col("codes"))).alias("r")
+    return trees.select("tree_id", "nodes", codes.alias("codes")).select("tree_id", row).select("tree_id", "r.nodes.lo", "r.nodes.hi", *(f"r.nodes.{c}" for c in columns), "r.codes.code")
 
 
 def collapse_identical(nodes: DataFrame, max_height: int | None = None) -> DataFrame:

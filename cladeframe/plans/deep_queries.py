@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import networks as N
 from ..operators import trees as T
+from ..operators.lineage import cut
 from ..registry import query
 from .summary_queries import r, rounded
 
@@ -120,7 +121,7 @@ def _(v):
 @query("t6_canonical_classes", f"WITH {_codes('v_deep')} SELECT tree_id, lo, first_value(tree_id * 100000 + lo) OVER (PARTITION BY code ORDER BY tree_id, lo) AS kind FROM codes")
 def _(v):
     """Every node with the first node of the whole table that it is alike to."""
-    codes = T.canonical_codes(v.v_deep)
+    codes = cut(T.canonical_codes(v.v_deep).select("tree_id", "lo", "code"), "codes")
     first = codes.groupBy("code").agg(F.min(F.struct("tree_id", "lo")).alias("f")).select("code", (F.col("f.tree_id") * 100000 + F.col("f.lo")).alias("kind"))
     return codes.join(first, "code").select("tree_id", "lo", "kind")
 
@@ -132,22 +133,24 @@ def _(v):
 
 @query("n1_fold_deep", f"WITH {_live('v_deep')} SELECT tree_id, ret_id, last, k, d, height, k - d AS auto_events, d - 1 AS allo_events, CASE WHEN d > 1 THEN 1 ELSE 0 END AS allo_group FROM rets")
 def _(v):
-    return N.fold(v.v_deep)
+    return N.fold(cut(v.v_deep, "nodes"))
 
 
 @query("n4_sister_sets", f"WITH {_live('v_deep')}, {_sets()} SELECT s.tree_id, s.ret_id, s.side, coalesce(string_agg(z.species, ',' ORDER BY z.species), '') AS sisters FROM sides s LEFT JOIN sis z ON z.tree_id = s.tree_id AND z.ret_id = s.ret_id AND z.side = s.side GROUP BY s.tree_id, s.ret_id, s.side")
 def _(v):
-    return N.sister_sets(v.v_deep, N.live_nodes(v.v_deep)).withColumn("sisters", F.array_join("sisters", ","))
+    nodes = cut(v.v_deep, "nodes")
+    return N.sister_sets(nodes, N.live_nodes(nodes)).withColumn("sisters", F.array_join("sisters", ","))
 
 
 @query("n6_mu_vectors", f"WITH RECURSIVE {_live('v_deep')}, {_network()} SELECT tree_id, node, in_degree, vector FROM mu")
 def _(v):
-    return N.mu_vectors(v.v_deep)
+    return N.mu_vectors(cut(v.v_deep, "nodes"))
 
 
 @query("n7_network_class", f"WITH RECURSIVE {_live('v_deep')}, {_network()} SELECT tree_id, stacked, offending, stacked = 0 AND offending = 0 AS in_class FROM class")
 def _(v):
-    return N.network_class(v.v_deep, N.suppressed(N.network_edges(N.live_nodes(v.v_deep)))).drop("taxa")
+    nodes = cut(v.v_deep, "nodes")
+    return N.network_class(nodes, N.suppressed(N.network_edges(N.live_nodes(nodes)))).drop("taxa")
 
 
 SIDES = f"{_live('v_deep', 't')}, {_sets('t')}, {_network('t')}, {_live('v_deep_priced', 'q')}, {_sets('q')}, {_network('q')}"
@@ -168,9 +171,9 @@ def _(v):
 
 def _reticulated(v):
     out = []
-    for d in (v.v_deep, v.v_deep_priced):
+    for d in (cut(v.v_deep, "nodes"), cut(v.v_deep_priced, "nodes")):
         live = N.live_nodes(d)
-        out.append((N.reticulation_leaves(d, N.reticulations(d, live)), N.sister_sets(d, live)))
+        out.append((cut(N.reticulation_leaves(d, N.reticulations(d, live)), "ret_leaves"), N.sister_sets(d, live)))
     return out
 
 
