@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .greedy import greedy
 from .lineage import cut
-from .trees import canonical_codes, coded, leaves
+from .trees import coded, leaves
 
 
 def live_nodes(nodes: DataFrame, max_height: int | None = None) -> DataFrame:
@@ -76,10 +76,10 @@ def reticulation_leaves(nodes: DataFrame, reticulations: DataFrame) -> DataFrame
 
 def duplicated_siblings(nodes: DataFrame, max_height: int | None = None) -> DataFrame:
     """Per tree: groups of like sibling clades that lie in no other such group, and the copies beyond the first."""
-    codes = canonical_codes(nodes, max_height).filter("parent_lo is not null")
-    groups = codes.groupBy("tree_id", "parent_lo", "code").agg(F.count("*").alias("k"), F.collect_list("lo").alias("members")).filter("k > 1")
-    members = groups.select("tree_id", F.explode("members").alias("a")).join(nodes.select("tree_id", F.col("lo").alias("a"), F.col("hi").alias("b")), ["tree_id", "a"])
-    top = groups.join(members, (groups.tree_id == members.tree_id) & groups.parent_lo.between(members.a, members.b), "left_anti")
+    codes = coded(nodes, max_height).filter("parent_lo is not null")
+    groups = cut(codes.groupBy("tree_id", "parent_lo", "code").agg(F.count("*").alias("k"), F.collect_list(F.struct(F.col("lo").alias("a"), F.col("hi").alias("b"))).alias("members")).filter("k > 1"), "groups")
+    members = groups.select(F.col("tree_id").alias("t"), F.explode("members").alias("m")).select("t", "m.a", "m.b")
+    top = groups.join(members, (F.col("tree_id") == F.col("t")) & F.col("parent_lo").between(F.col("a"), F.col("b")), "left_anti")
     return top.groupBy("tree_id").agg(F.count("*").alias("groups"), F.sum(F.col("k") - 1).alias("events"))
 
 
