@@ -89,18 +89,19 @@ def sister_counts(leaves: DataFrame, conditional: bool = False) -> DataFrame:
     return pairs.groupBy("sample_id", "species", "partner").agg(F.count("*").alias("k")).join(trees, "sample_id").select("sample_id", "species", "partner", "k", "total")
 
 
-def profile_summary(counts: DataFrame, species: DataFrame) -> DataFrame:
+def profile_summary(counts: DataFrame, species: DataFrame, whole: bool = True) -> DataFrame:
     """Mean, population std, max, min and median of a species' shares over all other species of the sample, absent pairs as 0.
 
     ``counts`` is `sister_counts` of all trees. A sample's shares have one total, so mean and std come
-    from whole numbers and are divided once: the order of addition changes nothing.
+    from whole numbers and are divided once: the order of addition changes nothing. Without ``whole``
+    the mean is the average of the shares as doubles, as SQL's avg has it, which may lie a last digit beside.
     """
     grid = species.join(species.withColumnRenamed("species", "partner"), "sample_id").filter("species <> partner")
     k, n = F.coalesce("k", F.lit(0)), F.count("*")
     total = F.coalesce(F.max("total"), F.lit(1))
-    per = grid.join(counts, ["sample_id", "species", "partner"], "left").groupBy("sample_id", "species").agg(n.alias("n"), total.alias("total"), F.sum(k).alias("s"), F.sum(k * k).alias("q"), F.max(k).alias("most"), F.min(k).alias("least"), F.percentile(k, 0.5).alias("middle"))
+    per = grid.join(counts, ["sample_id", "species", "partner"], "left").groupBy("sample_id", "species").agg(n.alias("n"), total.alias("total"), F.sum(k).alias("s"), F.sum(k * k).alias("q"), F.max(k).alias("most"), F.min(k).alias("least"), F.percentile(k, 0.5).alias("middle"), F.avg(F.coalesce(F.col("k") / F.col("total"), F.lit(0.0))).alias("average"))
     c = F.col
-    return per.select("sample_id", "species", (c("s") / (c("n") * c("total"))).alias("mean"), (F.sqrt((c("n") * c("q") - c("s") * c("s")).cast("double")) / (c("n") * c("total"))).alias("std"), (c("most") / c("total")).alias("max"), (c("least") / c("total")).alias("min"), (c("middle") / c("total")).alias("median"))
+    return per.select("sample_id", "species", (c("s") / (c("n") * c("total")) if whole else c("average")).alias("mean"), (F.sqrt((c("n") * c("q") - c("s") * c("s")).cast("double")) / (c("n") * c("total"))).alias("std"), (c("most") / c("total")).alias("max"), (c("least") / c("total")).alias("min"), (c("middle") / c("total")).alias("median"))
 
 
 def effective_partners(matrix: DataFrame) -> DataFrame:

@@ -192,7 +192,7 @@ SELECT sample_id, edge, position, {r('value', 'value')} FROM v"""
 def _(v):
     """Edges from regions to nations; a region has the mean of its nations."""
     own = leaves(v)
-    found = X.copy_features(X.copies_per_tree(own)).join(X.profile_summary(X.sister_counts(own), own.select("sample_id", "species").distinct()).toDF("sample_id", "species", "s1", "s2", "s3", "s4", "s5"), ["sample_id", "species"])
+    found = X.copy_features(X.copies_per_tree(own)).join(X.profile_summary(X.sister_counts(own), own.select("sample_id", "species").distinct(), whole=False).toDF("sample_id", "species", "s1", "s2", "s3", "s4", "s5"), ["sample_id", "species"])
     columns = [c for c in found.columns if c not in ("sample_id", "species")]
     nations = found.join(v.nation, F.col("species") == F.col("n_name"))
     child = nations.select("sample_id", (F.col("n_nationkey") + 5).alias("node"), F.array(*(F.col(c).cast("double") for c in columns)).alias("features"))

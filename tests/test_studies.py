@@ -145,6 +145,13 @@ def test_profiles_and_thresholds(spark):
     assert kept("percentile", 0.25, 3.0) == [3, 10] and kept("percentile", 0.25) == [2, 3, 10] and kept("median_std", 0.5) == [1, 2, 3, 10] and kept("median_std", 0.2) == [2, 3, 10]
 
 
+def test_mean_share_at_a_tie_of_rounding(spark):
+    counts = spark.createDataFrame([(1, "a", f"p{i}", 1, 240) for i in range(9)], "sample_id int, species string, partner string, k long, total long")
+    species = spark.createDataFrame([(1, x) for x in ("a", *(f"p{i}" for i in range(24)))], "sample_id int, species string")
+    mean = lambda **how: {r.species: r.mean for r in X.profile_summary(counts, species, **how).collect()}["a"]
+    assert mean() == 0.0015625 and mean(whole=False) == sum([1 / 240] * 9) / 24 < 0.0015625
+
+
 def test_basal_frequencies(spark):
     splits = spark.createDataFrame([(1, 1, ["a"]), (1, 2, ["a", "b"]), (1, 3, ["b"])], "sample_id int, tree_id int, side array<string>")
     species = spark.createDataFrame([(1, x) for x in "abcd"], "sample_id int, species string")
