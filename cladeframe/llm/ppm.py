@@ -22,6 +22,8 @@ START, END = b"\n", b"\x0b"
 #: Bytes that can follow: all but the white space, the space between words, and the end.
 ALPHABET = 256 - 6 + 2
 SLICE_BYTES = 16 << 20
+#: Texts whose codes are made at once: each byte takes some 100 bytes meanwhile.
+BLOCK_BYTES = 1 << 19
 GRAMS, WORDS = 0, 1
 
 
@@ -30,7 +32,7 @@ def _streams(texts: list[bytes], order: int) -> Iterator[tuple[int, int, list[li
     pad, first = START * order, 0
     while first < len(texts):
         last, size = first, 0
-        while last < len(texts) and (last == first or size + len(texts[last]) < 2 << 20):
+        while last < len(texts) and (last == first or size + len(texts[last]) < BLOCK_BYTES):
             size += len(texts[last])
             last += 1
         words = [t.lower().split() for t in texts[first:last]]
@@ -83,11 +85,11 @@ def _wanted(group: pa.Table, order: int, buckets: int) -> pa.Table:
         both, n = np.unique(code << np.uint64(1) | train[first:last][doc].astype(np.uint64), return_counts=True)
         code, n = both >> np.uint64(1), np.where(both & np.uint64(1), n, 0)
         codes.append(code)
-        counts.append(n)
-        if len(codes) == 8:
-            code, n = _summed(codes, counts)
-            codes, counts = [code], [n]
+        counts.append(n.astype(np.uint32))
+        while len(codes) > 1 and len(codes[-1]) * 2 > len(codes[-2]):
+            codes[-2:], counts[-2:] = ([x] for x in _summed(codes[-2:], counts[-2:]))
     code, n = _summed(codes, counts)
+    del codes, counts
     bucket = _context_bucket(code, buckets)
     sort = np.argsort(bucket, kind="stable")
     edges = np.searchsorted(bucket[sort], np.arange(buckets + 1))
@@ -107,8 +109,16 @@ def _word_bucket(word: bytes, buckets: int) -> int:
 
 
 def _summed(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    code, at = np.unique(np.concatenate(codes), return_inverse=True)
-    return code, np.bincount(at, np.concatenate(counts), len(code)).astype(np.int64)
+    """The distinct codes of sorted arrays, in order, and the sum of the counts of each."""
+    if len(codes) == 1:
+        return codes[0], counts[0]
+    code, n = np.concatenate(codes), np.concatenate(counts)
+    order = np.argsort(code, kind="stable")  # runs in order are merged, not sorted anew
+    code, n = code[order], n[order]
+    del order
+    first = np.ones(len(code), bool)
+    first[1:] = code[1:] != code[:-1]
+    return code[first], np.add.reduceat(n, np.flatnonzero(first)) if len(code) else n
 
 
 class _Level:
@@ -172,7 +182,7 @@ def _answered(group: pa.Table, order: int, sent: Broadcast) -> pa.Table:
     grams = [i for i, k in enumerate(kinds) if k == GRAMS]
     if grams:
         each = [np.frombuffer(keys[i], np.uint64) for i in grams]
-        code, n = _summed(each, [np.frombuffer(counts[i], "<u4") for i in grams])
+        code, n = _summed(each, [np.frombuffer(counts[i], "<u4").astype(np.int64) for i in grams])
         logp = log_probabilities(code, n, low, order)
         out += [(slices[i], GRAMS, keys[i], logp[np.searchsorted(code, own)].tobytes()) for i, own in zip(grams, each)]
     total: Counter = Counter()

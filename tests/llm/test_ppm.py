@@ -1,8 +1,11 @@
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,3 +72,17 @@ def test_probabilities_sum_to_one_and_no_training(spark):
     got = {r.doc_id: r for r in ppm.ppm_scores(df, F.col("learn")).collect()}
     assert got[1].score == pytest.approx(-3 * math.log10(ppm.ALPHABET)) and got[1].train_tokens == 0 and got[2].base_score == 0
     assert ppm.ppm_scores(df.limit(0), F.col("learn")).count() == 0
+
+
+def test_a_slice_is_counted_in_bounded_memory():
+    rng = random.Random(3)
+    vocabulary = ["".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 9))) for _ in range(20000)]
+    texts = [" ".join(rng.choices(vocabulary, k=300)).encode() for _ in range(4000)]
+    group = pa.table({"slice": pa.array([0] * len(texts)), "train": pa.array([True] * len(texts)), "text": pa.array(texts, pa.binary())})
+    tracemalloc.start()
+    found = ppm._wanted(group, 5, 64)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    counts = [np.frombuffer(c, "<u4").sum() for k, c in zip(found["kind"].to_pylist(), found["counts"].to_pylist()) if k == ppm.GRAMS]
+    assert sum(counts) == sum(map(len, texts)) + len(texts)  # every byte and an end
+    assert peak < 20 * sum(map(len, texts))
