@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+import operator
 import os
 import re
 import zlib
@@ -76,21 +77,26 @@ class _Encoder:
         return [raw[4 * a : 4 * b] for a, b in zip([0, *ends], ends)]
 
     def _learn(self, parts: list[str]) -> None:
-        plain, odd = [], []
-        for w in parts:
-            m = PLAIN.fullmatch(w)
-            plain.append((w, m[1].lower(), m[2])) if m else odd.append(w)
+        names, firsts, marks, odd = [], [], [], []
+        for w, m in zip(parts, map(PLAIN.fullmatch, parts)):
+            if m:
+                names.append(w)
+                firsts.append(m[1].lower())
+                marks.append(m[2])
+            else:
+                odd.append(w)
         if len(self.words) > CACHED_WORDS:
             self.words, self.older_words = {"": b""}, self.words
-        new = {x for _, x, _ in plain}.difference(self.words)
-        again = new.intersection(self.older_words)
-        self.words.update((x, self.older_words[x]) for x in again)
-        new = list(new - again)
+        new = set(firsts).difference(self.words)
+        again = [w for w in new if w in self.older_words]
+        self.words.update(zip(again, map(self.older_words.__getitem__, again)))
+        new = list(new.difference(again))
         for at in range(0, len(new), 5000):
             self.words.update(zip(new[at : at + 5000], self._together(new[at : at + 5000])))
-        marks = list({y for _, _, y in plain}.difference(self.words))
-        self.words.update(zip(marks, self._apart(marks)))
-        self.parts.update((w, self.words[x] + self.words[y]) for w, x, y in plain)
+        unmet = list(set(marks).difference(self.words))
+        self.words.update(zip(unmet, self._apart(unmet)))
+        of = self.words.__getitem__
+        self.parts.update(zip(names, map(operator.add, map(of, firsts), map(of, marks))))
         self.parts.update(zip(odd, self._apart(odd)))
 
     def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
@@ -106,9 +112,9 @@ class _Encoder:
         new = found.difference(self.parts)
         if len(self.parts) + len(new) > CACHED_PARTS:
             self.parts, self.older_parts, new = {}, self.parts, found
-        again = new.intersection(self.older_parts)
-        self.parts.update((w, self.older_parts[w]) for w in again)
-        self._learn(list(new - again))
+        again = [w for w in new if w in self.older_parts]  # set.intersection would go through the whole dict
+        self.parts.update(zip(again, map(self.older_parts.__getitem__, again)))
+        self._learn(list(new.difference(again)))
         for p in split:
             yield b"".join(map(self.parts.__getitem__, p))
 

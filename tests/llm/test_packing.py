@@ -5,6 +5,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
+from cladeframe.llm import packing
 from cladeframe.llm.packing import best_fit_decreasing, dual_feasible_bound, pack, pack_documents
 
 tokenizers = pytest.importorskip("tokenizers")
@@ -86,3 +87,16 @@ def test_rows_without_ids_spread_over_parts(spark):
     for r in got:
         by[r.sequence_id] += 1
     assert len(got) == 3000 and max(by.values()) == 2 and len(by) == 1500
+
+
+def test_older_words_are_looked_up_and_not_gone_through():
+    class Looked(dict):
+        def __iter__(self):
+            raise AssertionError("the whole generation is read")
+
+    encoder = packing._Encoder(PATH)
+    texts = ["The old words, and (newer) ones: Éa x-1 don't", "the OLD words again"]
+    want = list(encoder(texts))
+    encoder.parts, encoder.older_parts = {}, Looked(encoder.parts)
+    encoder.words, encoder.older_words = {"": b""}, Looked(encoder.words)
+    assert list(encoder([*texts, "The New old words,"]))[:2] == want
