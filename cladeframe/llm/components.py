@@ -39,3 +39,20 @@ def connected_components(edges: DataFrame) -> DataFrame:
         seen = mark
         edges = cut(_small_star(_large_star(edges)), "edges")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+def joined_away(*classes: DataFrame) -> DataFrame:
+    """Ids that are not the smallest of their class once all classes that share a member are one: ``doc_id``.
+
+    Each of ``classes`` is ``doc_id, component_id`` with distinct ids, in the same type. Ids stand for
+    each other by 64-bit hashes while components are sought. No class is gathered in one task: members
+    are told from the smallest by an anti-join on ids.
+    """
+    links = classes[0].select("doc_id", "component_id")
+    for more in classes[1:]:
+        links = links.unionByName(more.select("doc_id", "component_id"))
+    links = cut(links.filter("doc_id <> component_id"), "links")
+    nodes = cut(connected_components(links.select(F.xxhash64("doc_id").alias("a"), F.xxhash64("component_id").alias("b"))), "joined")
+    ids = links.select(F.explode(F.array("doc_id", "component_id")).alias("doc_id")).distinct()
+    least = ids.withColumn("node", F.xxhash64("doc_id")).join(nodes, "node").groupBy("component").agg(F.min("doc_id").alias("doc_id"))
+    return ids.join(least.select("doc_id"), "doc_id", "left_anti")

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from cladeframe.llm import decontamination, language_id
 from cladeframe.llm.common import cut, table
+from cladeframe.llm.components import joined_away
 from cladeframe.llm.exact_dedup import exact_dedup
 from cladeframe.llm.jaccard_dedup import jaccard_dedup
 from cladeframe.llm.packing import default_tokenizer, pack_documents
+from cladeframe.llm.simhash_dedup import simhash_dedup
 
 #: Sorts after every doc_id, for rows that have none.
 LAST = 2**63 - 1
@@ -38,13 +40,23 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return _one_of_each(docs, lambda d: exact_dedup(d, id_col="__key"), "keep_id")
 
 
+def _near_classes(docs: DataFrame) -> DataFrame:
+    """Of each class of near copies the smallest key, named by itself.
+
+    Classes by SimHash and by sets are one where they share a document.
+    """
+    away = joined_away(simhash_dedup(docs, id_col="__key"), jaccard_dedup(docs, id_col="__key"))
+    return docs.select(F.col("__key").alias("doc_id")).join(away, "doc_id", "left_anti").withColumn("component_id", F.col("doc_id"))
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates the document with the smallest id: 0.8 or more of shingles of five words in common.
+    """Of each class of near-duplicates the document with the smallest id.
 
-    SimHashes of such texts differ in some ten of 64 bits, and a ball of that size cannot be spelled
-    out, so the operator's way for sets stands in for its fingerprints here.
+    Documents are linked whose SimHashes differ in 3 or fewer bits (`simhash_dedup`, ball hashing), and
+    those with 0.8 or more of shingles of five words in common: their SimHashes differ in some ten of
+    64 bits, and a ball of that size cannot be spelled out.
     """
-    return _one_of_each(docs, lambda d: jaccard_dedup(d, id_col="__key"), "component_id")
+    return _one_of_each(docs, _near_classes, "component_id")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

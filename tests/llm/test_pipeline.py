@@ -88,6 +88,26 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert max(held.values()) <= 2048 and len(held) <= -(-sum(held.values()) // 2048) + 1
 
 
+def test_near_copies_by_simhash_and_by_sets(spark):
+    """A pair only SimHash links (3 bits, sets less than 0.8 alike), one only the sets link, and the two joined at one text."""
+    from cladeframe.llm.simhash_dedup import simhash
+
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(3000)]
+    apart = lambda x, y: (simhash(x.encode()) ^ simhash(y.encode())).bit_count()
+    # one passage many times: it decides the fingerprint, while the sets are mostly of the ends
+    core, ends = " ".join(rng.choices(vocabulary, k=60)), [" ".join(rng.choices(vocabulary, k=30)) for _ in range(40)]
+    texts = [" ".join([core] * 40 + [e]) for e in ends]
+    one, two = next((x, y) for x in texts for y in texts if x != y and apart(x, y) <= 3)
+    assert not alike(grams(one), grams(two))
+    base = rng.choices(vocabulary, k=300)
+    three, four = next((" ".join(base), y) for at in range(20, 280) for y in [" ".join([*base[:at], "zz", "yy", *base[at + 2 :]])] if apart(" ".join(base), y) > 3)
+    assert alike(grams(three), grams(four))
+    lone = " ".join(rng.choices(vocabulary, k=200))
+    docs = spark.createDataFrame([(5, one), (2, two), (7, three), (9, four), (3, lone), (8, one + " zz")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()) == [2, 3, 7]
+
+
 def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
