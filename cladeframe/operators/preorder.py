@@ -70,62 +70,78 @@ def with_height(nodes: DataFrame) -> DataFrame:
     return met.select(*nodes.columns, (deepest - F.col("depth")).alias("height"))
 
 
+def _met(nodes: DataFrame) -> DataFrame:
+    """The nodes in the order of a walk, with ``far`` as in `walked` and for leaves their ``rank`` from 0 on.
+
+    Only the ends of inner nodes are rows beside the nodes, and nothing is joined or grouped.
+    """
+    own = (F.lit(0).alias("turn"), F.col("lo").alias("at"), F.when(F.col("is_leaf"), 0 * _step()).otherwise(_step()).alias("add"))
+    end = (F.lit(1).alias("turn"), F.col("hi").alias("at"), (-_step()).alias("add"))
+    turns = F.when(F.col("is_leaf"), F.array(F.struct(*own))).otherwise(F.array(F.struct(*own), F.struct(*end)))
+    rows = nodes.select("tree_id", "depth", "is_leaf", "label", "dist", F.explode(turns).alias("t")).select("tree_id", "depth", "is_leaf", "label", "dist", "t.at", "t.turn", "t.add")
+    before = W.partitionBy("tree_id").orderBy("at", "turn").rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumns({"far": F.sum("add").over(before), "rank": F.sum(F.col("is_leaf").cast("long")).over(before) - 1}).filter("turn = 0")
+    return rows.withColumn("far", F.when(F.col("is_leaf"), F.col("far") + _step()).otherwise(F.col("far"))).drop("turn", "add")
+
+
 def leaf_index(nodes: DataFrame) -> DataFrame:
-    """An index of last common ancestors: per leaf ``tree_id, species, leaf, rank, far, over``.
+    """An index of last common ancestors: per leaf ``tree_id, species, leaf, rank, far, over, under``.
 
     The last common ancestor of neighbouring leaves is the parent of the node that follows the first
     one in preorder. That of any two is the highest of those between them, so ``over`` keeps the
-    highest among 2**k of them from each leaf on, as (depth, far).
+    highest among 2**k of them from each leaf on, and ``under`` among 2**k up to it, as (depth, far).
     """
-    rows = walked(nodes)
-    by = W.partitionBy("tree_id").orderBy("lo")
+    levels = int(nodes.filter("is_leaf").groupBy("tree_id").count().agg(F.max("count")).first()[0] or 0).bit_length() + 1
+    by = W.partitionBy("tree_id").orderBy("at")
     gap = F.struct((F.lead("depth").over(by) - 1).alias("depth"), (F.lead("far").over(by) - F.lead(_step()).over(by)).alias("far"))
-    tips = rows.withColumn("__gap", gap).filter("is_leaf")
-    tips = tips.select("tree_id", F.col("label").alias("species"), F.col("lo").alias("leaf"), F.col("first").alias("rank"), "far", F.when(F.col("__gap.depth").isNotNull(), F.col("__gap")).alias("__gap"))
-    return _doubled(tips, F.col("__gap"), F.least, _levels(tips, "rank"), "over").drop("__gap")
+    tips = _met(nodes).withColumn("__gap", gap).filter("is_leaf")
+    rows = tips.withColumn("__0", F.when(F.col("__gap.depth").isNotNull(), F.col("__gap")))
+    for k in range(1, levels):
+        rows = rows.withColumn(f"__{k}", F.least(f"__{k - 1}", F.lead(f"__{k - 1}", 1 << (k - 1)).over(by)))
+    over = F.array(*(F.col(f"__{k}") for k in range(levels)))
+    under = F.array(*(F.lag(f"__{k}", 1 << k).over(by) for k in range(levels)))
+    return rows.select("tree_id", F.col("label").alias("species"), F.col("at").alias("leaf"), "rank", "far", over.alias("over"), under.alias("under"))
 
 
-def pair_distances(pairs: DataFrame, index: DataFrame) -> DataFrame:
-    """Adds the path ``distance`` (double) of two leaves of a tree.
+def _leaf() -> Column:
+    return F.struct("rank", "leaf", "species", "far", "over", "under")
 
-    ``pairs`` has ``tree_id`` and columns ``x, y`` that hold the leaves' rows of `leaf_index` as
-    structs (``rank, far, over``), x before y; ``over`` of y is not needed.
-    """
-    level = _level(F.col("y.rank") - F.col("x.rank"))
-    asked = pairs.withColumn("__level", level).withColumn("__then", F.col("y.rank") - F.pow(F.lit(2), F.col("__level")).cast("long"))
-    table = index.select("tree_id", F.col("rank").alias("__then"), F.col("over").alias("__over"))
-    top = F.least(F.get("x.over", F.col("__level")), F.get("__over", F.col("__level")))
-    distance = (F.col("x.far") + F.col("y.far") - 2 * top["far"]).cast("double")
-    return asked.join(table, ["tree_id", "__then"]).withColumn("distance", distance).drop("__level", "__then", "__over")
+
+def pair_distance(x: Column, y: Column) -> Column:
+    """The path distance (double) of two leaves of a tree, x before y: structs with ``rank, far, over, under`` of `leaf_index`."""
+    level = _level(y["rank"] - x["rank"])
+    return (x["far"] + y["far"] - 2 * F.least(F.get(x["over"], level), F.get(y["under"], level))["far"]).cast("double")
 
 
 def tip_distances(nodes: DataFrame) -> DataFrame:
     """Distance of each leaf from the root, the root's own length included: ``tree_id, leaf, species, distance``."""
-    return walked(nodes).filter("is_leaf").select("tree_id", F.col("lo").alias("leaf"), F.col("label").alias("species"), F.col("far").cast("double").alias("distance"))
+    return _met(nodes).filter("is_leaf").select("tree_id", F.col("at").alias("leaf"), F.col("label").alias("species"), F.col("far").cast("double").alias("distance"))
 
 
 def copy_pairs(nodes: DataFrame) -> DataFrame:
-    """Path distance between each two copies of a species in a tree: ``tree_id, species, x, y, distance``."""
-    index = leaf_index(nodes)
-    x = index.select("tree_id", "species", F.struct("leaf", "rank", "far", "over").alias("x"))
-    y = index.select("tree_id", "species", F.struct("leaf", "rank", "far").alias("y"))
-    met = pair_distances(x.join(y, ["tree_id", "species"]).filter("x.rank < y.rank"), index)
-    return met.select("tree_id", "species", F.col("x.leaf").alias("x"), F.col("y.leaf").alias("y"), "distance")
+    """Path distance between each two copies of a species in a tree: ``tree_id, species, x, y, distance``.
+
+    The copies of a species in a tree are one array meanwhile; each meets those behind it.
+    """
+    copies = leaf_index(nodes).groupBy("tree_id", "species").agg(F.sort_array(F.collect_list(_leaf())).alias("all")).filter(F.size("all") > 1)
+    one = copies.select("tree_id", "species", "all", F.posexplode("all").alias("at", "x")).select("tree_id", "species", "x", F.slice("all", F.col("at") + 2, F.size("all")).alias("rest"))
+    two = one.select("tree_id", "species", "x", F.explode("rest").alias("y"))
+    return two.select("tree_id", "species", F.col("x.leaf").alias("x"), F.col("y.leaf").alias("y"), pair_distance(F.col("x"), F.col("y")).alias("distance"))
 
 
 def nearest_species(nodes: DataFrame, asked: DataFrame) -> DataFrame:
     """Distance from the copies of a species to the nearest leaf of every other one, per tree: ``tree_id, species, other, distance``.
 
     ``asked`` is ``tree_id, species``: the species whose copies are looked at. Each copy meets the
-    leaves of its tree once and finds the last common ancestor by two look-ups; the least distance per
-    pair of species is left.
+    leaves of its tree once, which are one array meanwhile; the least distance per pair of species is left.
     """
-    index = leaf_index(nodes)
-    own = index.join(asked.select("tree_id", "species").distinct(), ["tree_id", "species"], "left_semi").select("tree_id", "species", F.struct("rank", "far", "over").alias("a"))
-    leaf = index.select("tree_id", F.col("species").alias("other"), F.struct("rank", "far", "over").alias("b"))
-    first = F.col("a.rank") < F.col("b.rank")
-    met = own.join(leaf, "tree_id").filter("species <> other").select("tree_id", "species", "other", F.when(first, F.col("a")).otherwise(F.col("b")).alias("x"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("y"))
-    return pair_distances(met, index).groupBy("tree_id", "species", "other").agg(F.min("distance").alias("distance"))
+    wanted = asked.groupBy("tree_id").agg(F.collect_set("species").alias("wanted"))
+    trees = leaf_index(nodes).groupBy("tree_id").agg(F.collect_list(_leaf()).alias("all")).join(wanted, "tree_id")
+    own = trees.select("tree_id", "all", F.explode(F.filter("all", lambda x: F.array_contains("wanted", x["species"]))).alias("a"))
+    met = own.select("tree_id", "a", F.explode("all").alias("b")).filter("a.species <> b.species")
+    a, b = F.col("a"), F.col("b")
+    far = F.when(a["rank"] < b["rank"], pair_distance(a, b)).otherwise(pair_distance(b, a))
+    return met.select("tree_id", a["species"].alias("species"), b["species"].alias("other"), far.alias("distance")).groupBy("tree_id", "species", "other").agg(F.min("distance").alias("distance"))
 
 
 def ultrametric_lengths(nodes: DataFrame, height: float = 1_000_000.0) -> DataFrame:

@@ -145,3 +145,11 @@ def test_caterpillars_cost_a_row_a_node(spark):
 def test_empty(spark):
     nodes = spark.createDataFrame([], "tree_id long, lo long, hi long, depth int, parent_lo long, is_leaf boolean, label string, dist double")
     assert O.with_height(nodes).collect() == O.copy_pairs(nodes).collect() == O.split_distances(nodes, nodes).collect() == []
+
+
+def test_pairs_of_copies_need_one_walk_and_no_join(spark):
+    nodes = T.parse_newick(spark.createDataFrame([(1, "((a,b),(a,(a,c)));")], "tree_id long, newick string")).persist()
+    pairs = O.copy_pairs(nodes)
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("InMemoryRelation") == 1
+    assert sorted(r.distance for r in pairs.collect()) == [0.0] * 3
