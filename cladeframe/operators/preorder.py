@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 
 def _step() -> Column:
     return F.coalesce(F.col("dist").cast("decimal(38,18)"), F.lit(0).cast("decimal(38,18)"))
@@ -58,7 +60,7 @@ def _level(width: Column) -> Column:
 
 def with_height(nodes: DataFrame) -> DataFrame:
     """Adds each node's height: how much deeper the deepest leaf below lies; 0 for leaves."""
-    rows = walked(nodes)
+    rows = cut(walked(nodes), "walked")
     tips = rows.filter("is_leaf").select("tree_id", F.col("first").alias("rank"), F.col("depth").alias("__depth"))
     table = _doubled(tips, F.col("__depth"), F.greatest, _levels(tips, "rank"), "deepest").select("tree_id", "rank", "deepest")
     level = _level(F.col("last") - F.col("first") + 1)
@@ -151,7 +153,7 @@ def ultrametric_lengths(nodes: DataFrame, height: float = 1_000_000.0) -> DataFr
     a branch is the difference to its parent's place. A tip's branch ends at ``height``. The root has
     no branch; a tree of one node stays as it is. Polytomies are kept.
     """
-    rows = with_height(nodes)
+    rows = cut(with_height(nodes), "heights")
     tall = rows.filter("parent_lo is null").select("tree_id", F.col("height").alias("__top"))
     place = F.when(F.col("is_leaf"), F.lit(height)).otherwise(F.lit(height) * (F.col("__top") - F.col("height")) / F.col("__top"))
     placed = rows.join(tall, "tree_id").withColumn("__place", place)
