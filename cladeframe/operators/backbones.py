@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import cut
 from .preorder import split_distances
 from .summaries import correlation
 
@@ -18,8 +19,10 @@ def backbone_errors(trees: DataFrame, reference: DataFrame, diploids: DataFrame,
     """Robinson-Foulds distances of inferred trees to the true ones, whole and pruned to diploids: ``tree_id, rf, normalised, pruned_rf, pruned_normalised``.
 
     ``trees`` and ``reference`` are nodes with equal tree ids, ``diploids`` is ``species``. Trees with fewer than ``least`` diploids, or
-    that can't be compared (see `split_distances`), are left out.
+    that can't be compared (see `split_distances`), are left out. Both are written once, as each is read several times.
     """
+    columns = ["tree_id", "lo", "hi", "is_leaf", "label"]
+    trees, reference = cut(trees.select(columns), "inferred"), cut(reference.select(columns), "reference")
     tips = reference.filter("is_leaf").select("tree_id", F.col("label").alias("species")).join(diploids.select("species").distinct(), "species", "left_semi")
     enough = tips.groupBy("tree_id").agg(F.count_distinct("species").alias("n")).filter(F.col("n") >= least).select("tree_id")
     kept = tips.join(enough, "tree_id").select("tree_id", "species")

@@ -153,3 +153,12 @@ def test_pairs_of_copies_need_one_walk_and_no_join(spark):
     plan = pairs._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and plan.count("InMemoryRelation") == 1
     assert sorted(r.distance for r in pairs.collect()) == [0.0] * 3
+
+
+def test_steps_read_several_times_are_written_once(spark):
+    from cladeframe.operators import backbones as B
+
+    nodes = T.parse_newick(spark.createDataFrame([(1, "((a,b),(c,(d,e)));")], "tree_id long, newick string")).persist()
+    diploids = spark.createDataFrame([(s,) for s in "abcd"], "species string")
+    for found in (O.ultrametric_lengths(nodes), B.backbone_errors(nodes, nodes, diploids)):
+        assert "InMemoryRelation" not in found._jdf.queryExecution().optimizedPlan().toString()  # plans end at written tables
