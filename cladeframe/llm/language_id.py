@@ -9,9 +9,9 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache, partial
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
@@ -20,9 +20,14 @@ from pyspark.sql import types as T
 
 from .common import bounded_batches, cut, table
 
+if TYPE_CHECKING:  # workers score without pandas
+    import pandas as pd
+
 ASCII_WORD = re.compile("[a-z]+")
-#: Scores (words times languages) that a worker keeps before it starts anew, and that it computes at once.
-CACHED_SCORES, SCORES_AT_ONCE = 1_000_000, 4_000_000
+#: Scores (words times languages) that a worker keeps before it starts anew, and that it computes at once (characters times languages, about).
+CACHED_SCORES, SCORES_AT_ONCE = 600_000, 400_000
+#: Texts whose words a worker holds at once.
+TEXTS_AT_ONCE = 100
 
 
 @lru_cache
@@ -188,8 +193,8 @@ def _scores(batches: Iterator[pa.RecordBatch], sent: Broadcast) -> Iterator[tupl
     index: dict[str, int] = {}
     known, size = np.zeros((0, len(model.langs)), np.float32), np.zeros(0, np.int64)
     for whole in batches:
-        for first in range(0, whole.num_rows, 500):
-            batch = whole.slice(first, 500)
+        for first in range(0, whole.num_rows, TEXTS_AT_ONCE):
+            batch = whole.slice(first, TEXTS_AT_ONCE)
             part = [words_of(t) for t in batch.column(1).to_pylist()]
             new = list({w for words in part for w in words if w not in index})
             if (len(index) + len(new)) * len(model.langs) > CACHED_SCORES:

@@ -125,3 +125,28 @@ def test_language_models_where_all_rows_have_one_id_or_none(spark):
         assert model is not None and model.langs == ["aa", "bb"]
         got = L.identify(docs, model).groupBy("lang_pred").count().collect()
         assert {r.lang_pred: r["count"] for r in got} == {"aa": 300, "bb": 300} and L.accepted(docs, model).count() > 580
+
+
+def test_scoring_holds_few_texts_at_once_and_no_pandas():
+    import subprocess
+    import sys
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pandas as pd
+    import pyarrow as pa
+
+    rng = random.Random(2)
+    letters = "abcdefghij"
+    texts = ["".join(rng.choices(letters + " ", k=2500)) for _ in range(1000)]
+    langs = list("vwxyz")
+    counts = pd.DataFrame([(lang, a + b + c, 1) for lang in langs for a in letters + " " for b in letters for c in letters + " "], columns=["lang", "gram", "n"])
+    model = L.LanguageModel(langs, 3, *L._smoothed(counts, langs, 3), *[np.zeros(5)] * 3)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["id", "text"])
+    tracemalloc.start()
+    got = [e for _, e, _ in L._scores(iter([batch]), SimpleNamespace(value=model))]
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert sum(map(len, got)) == len(texts)
+    assert peak < 100, peak
+    assert subprocess.run([sys.executable, "-c", "import sys, cladeframe.llm.language_id; sys.exit('pandas' in sys.modules)"]).returncode == 0
