@@ -245,12 +245,20 @@ def repeated_in_polytomies(nodes: DataFrame) -> DataFrame:
 
     Nodes of one species are left to `single_species_clades`.
     """
-    sets = species_sets(nodes).select("tree_id", "lo", "parent_lo", F.size("set").alias("kinds"), F.element_at("set", 1).alias("species"))
-    children = sets.filter("parent_lo is not null").groupBy("tree_id", "parent_lo", "species").agg(F.count("*").alias("children"), F.min("lo").alias("kept"), F.max("kinds").alias("kinds"))
-    whole = children.groupBy("tree_id", "parent_lo").agg(F.max("kinds").alias("widest"), F.max("children").alias("most"), F.count("*").alias("n")).filter("widest = 1 and most > 1 and n > 1")
-    inner = nodes.filter("parent_lo is not null").select("tree_id", F.col("lo").alias("parent_lo"))
-    at = whole.join(inner, ["tree_id", "parent_lo"], "left_semi").select("tree_id", "parent_lo")
-    return children.join(at, ["tree_id", "parent_lo"]).select("tree_id", F.col("parent_lo").alias("lo"), "species", "children", "kept")
+    end, tree, parent = F.when(F.col("is_leaf"), F.col("lo")).otherwise(F.col("hi")), W.partitionBy("tree_id"), W.partitionBy("tree_id", "parent_lo")
+    ordered = tree.orderBy("__end", "inner", F.desc("lo"))
+    # in postorder: the last leaf so far, and the last that another species followed; behind a node's start there is none if it holds one species
+    tip = F.when(F.col("is_leaf") & F.col("label").isNotNull(), F.struct("lo", "label"))
+    rows = nodes.select("tree_id", "lo", "parent_lo", (~F.col("is_leaf")).alias("inner"), "label", end.alias("__end"), tip.alias("__tip"), F.collect_set(F.when(F.col("parent_lo").isNull(), F.col("lo"))).over(tree).alias("roots"))
+    rows = rows.withColumns({"before": F.last("__tip", True).over(ordered.rowsBetween(W.unboundedPreceding, -1)), "now": F.last("__tip", True).over(ordered.rowsBetween(W.unboundedPreceding, 0))})
+    changed = F.max(F.when(F.col("__tip.label") != F.col("before.label"), F.col("before.lo"))).over(ordered.rowsBetween(W.unboundedPreceding, 0))
+    inner = F.col("inner")
+    rows = rows.withColumn("changed", changed).filter("parent_lo is not null and not array_contains(roots, parent_lo)")
+    kinds = F.when(inner & (F.col("changed") >= F.col("lo")), 2).otherwise(1)
+    species = F.when(~inner, F.col("label")).when(F.col("now.lo") >= F.col("lo"), F.col("now.label"))
+    children = rows.select("tree_id", "parent_lo", "lo", kinds.alias("kinds"), species.alias("species")).groupBy("tree_id", "parent_lo", "species").agg(F.count("*").alias("children"), F.min("lo").alias("kept"), F.max("kinds").alias("kinds"))
+    whole = children.withColumns({"widest": F.max("kinds").over(parent), "most": F.max("children").over(parent), "n": F.count("*").over(parent)}).filter("widest = 1 and most > 1 and n > 1")
+    return whole.select("tree_id", F.col("parent_lo").alias("lo"), "species", "children", "kept")
 
 
 def bipartitions(nodes: DataFrame) -> DataFrame:

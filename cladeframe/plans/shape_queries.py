@@ -64,11 +64,11 @@ WIDE_NODES = "w AS MATERIALIZED (SELECT tree_id, 0 AS lo, max(hi) + 1 AS hi, CAS
 @query("t9_repeated_in_polytomies", f"WITH {N}, {WIDE_NODES}, c AS (SELECT tree_id, label AS species, count(*) AS children, min(lo) AS kept FROM w WHERE parent_lo = 1 GROUP BY tree_id, label), g AS (SELECT tree_id FROM c GROUP BY tree_id HAVING max(children) > 1 AND count(*) > 1) SELECT c.tree_id, 1 AS lo, c.species, c.children, c.kept FROM c JOIN g ON g.tree_id = c.tree_id")
 def _(v):
     """All leaves of a tree below one node, and one leaf beside it."""
-    n = v.v_deep
-    end = n.groupBy("tree_id").agg(F.max("hi").alias("end"))
     null, text = F.lit(None).cast("long"), F.lit(None).cast("string")
-    row = lambda d, lo, hi, up, leaf, label: d.select("tree_id", lo.cast("long").alias("lo"), hi.cast("long").alias("hi"), up.cast("long").alias("parent_lo"), F.lit(leaf).alias("is_leaf"), label.alias("label"))
-    wide = row(end, F.lit(0), F.col("end") + 1, null, False, text).unionByName(row(end, F.lit(1), F.col("end"), F.lit(0), False, text)).unionByName(row(n.filter("is_leaf"), F.col("lo") + 1, F.col("lo") + 1, F.lit(1), True, F.col("label"))).unionByName(row(end, F.col("end") + 1, F.col("end") + 1, F.lit(0), True, F.lit("out")))
+    row = lambda lo, hi, up, leaf, label: F.struct(lo.cast("long").alias("lo"), hi.cast("long").alias("hi"), up.cast("long").alias("parent_lo"), F.lit(leaf).alias("is_leaf"), label.alias("label"))
+    root, end, lo = F.col("parent_lo").isNull(), F.col("hi"), F.col("lo")  # a root ends where its tree does
+    rows = [F.when(root, row(F.lit(0), end + 1, null, False, text)), F.when(root, row(F.lit(1), end, F.lit(0), False, text)), F.when(root, row(end + 1, end + 1, F.lit(0), True, F.lit("out"))), F.when(F.col("is_leaf"), row(lo + 1, lo + 1, F.lit(1), True, F.col("label")))]
+    wide = v.v_deep.select("tree_id", F.inline(F.array_compact(F.array(*rows))))
     return T.repeated_in_polytomies(wide.withColumns({"depth": F.lit(0), "dist": F.lit(1.0)}))
 
 
