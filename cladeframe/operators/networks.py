@@ -91,8 +91,13 @@ def _both(truth: DataFrame, inferred: DataFrame) -> DataFrame:
 
 def count_difference(truth: DataFrame, inferred: DataFrame) -> DataFrame:
     """Signed (inferred - truth) and absolute difference of reticulation counts, ``tree_id, n``."""
+    return count_differences(truth.select("tree_id", F.col("n").alias("t")).join(inferred.select("tree_id", F.col("n").alias("i")), "tree_id", "full"))
+
+
+def count_differences(both: DataFrame) -> DataFrame:
+    """`count_difference` from the true and the inferred count side by side, ``tree_id, t, i``."""
     d = F.coalesce("i", F.lit(0)) - F.coalesce("t", F.lit(0))
-    return truth.select("tree_id", F.col("n").alias("t")).join(inferred.select("tree_id", F.col("n").alias("i")), "tree_id", "full").select("tree_id", d.alias("signed"), F.abs(d).alias("abs"))
+    return both.select("tree_id", d.alias("signed"), F.abs(d).alias("abs"))
 
 
 def ploidy_difference(truth: DataFrame, inferred: DataFrame) -> DataFrame:
