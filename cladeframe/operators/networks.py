@@ -15,19 +15,24 @@ from .trees import coded, leaves
 
 
 def live_nodes(nodes: DataFrame, max_height: int | None = None) -> DataFrame:
-    """The nodes that folding meets: ``tree_id, lo, hi, depth, parent_lo, is_leaf, label, code, first, k, d``.
+    """The nodes that folding meets: ``tree_id, lo, hi, depth, parent_lo, is_leaf, label, code, tip, first, k, d``.
 
     From the root down the first copy of like subtrees stays and the others go with all below. The
     first of all nodes with a code is never below another copy, so a node is met just if no node
     above it is a later copy: intervals nest, so that is a running maximum over the tree. ``first``
-    is the first copy of a node's kind, ``k`` how many of it are met, ``d`` under how many parents.
-    The result is a written table.
+    is the first copy of a node's kind, ``k`` how many of it are met, ``d`` under how many parents,
+    ``tip`` the depth of the deepest leaf below. The result is a written table.
     """
+    return cut(_live(nodes, max_height), "live")
+
+
+def _live(nodes: DataFrame, max_height: int | None) -> DataFrame:
+    """`live_nodes`, not written: all its steps keep trees where one shuffle has put them."""
     tree, kind = W.partitionBy("tree_id"), W.partitionBy("tree_id", "first")
-    marked = coded(nodes, max_height).select("tree_id", "lo", "hi", "depth", "parent_lo", "is_leaf", "label", "code").withColumn("first", F.min("lo").over(W.partitionBy("tree_id", "code")))
+    marked = coded(nodes, max_height).select("tree_id", "lo", "hi", "depth", "parent_lo", "is_leaf", "label", "code", "tip").withColumn("first", F.min("lo").over(W.partitionBy("tree_id", "code")))
     gone = F.max(F.when(F.col("lo") != F.col("first"), F.col("hi"))).over(tree.orderBy("lo").rowsBetween(W.unboundedPreceding, -1))
     met = marked.withColumn("gone", gone).filter("gone is null or gone < lo").drop("gone")
-    return cut(met.withColumns({"k": F.count("*").over(kind), "d": F.size(F.collect_set("parent_lo").over(kind))}), "live")
+    return met.withColumns({"k": F.count("*").over(kind), "d": F.size(F.collect_set("parent_lo").over(kind))})
 
 
 def fold(nodes: DataFrame, max_height: int | None = None) -> DataFrame:
@@ -37,15 +42,13 @@ def fold(nodes: DataFrame, max_height: int | None = None) -> DataFrame:
     parents, ``height``, and the events: ``auto = k - d``, ``allo = d - 1``, and whether the group
     counts as one allopolyploid group.
     """
-    return reticulations(nodes, live_nodes(nodes, max_height))
+    return reticulations(nodes, _live(nodes, max_height))
 
 
 def reticulations(nodes: DataFrame, live: DataFrame) -> DataFrame:
-    """`fold` from live nodes at hand."""
-    rets = live.filter("k > 1 and lo = first").select("tree_id", F.col("lo").alias("ret_id"), F.col("hi").alias("last"), "k", F.col("d").cast("long").alias("d"), "depth")
-    tips = leaves(nodes).select("tree_id", "leaf", F.col("depth").alias("tip"))
-    tall = rets.join(tips, "tree_id").filter("leaf between ret_id and last").groupBy("tree_id", "ret_id").agg((F.max("tip") - F.max("depth")).cast("int").alias("height"))
-    return rets.drop("depth").join(tall, ["tree_id", "ret_id"]).withColumns({"auto_events": F.col("k") - F.col("d"), "allo_events": F.col("d") - 1, "allo_group": (F.col("d") > 1).cast("int")})
+    """`fold` from live nodes at hand, which hold all that it asks of ``nodes``."""
+    rets = live.filter("k > 1 and lo = first").select("tree_id", F.col("lo").alias("ret_id"), F.col("hi").alias("last"), "k", F.col("d").cast("long").alias("d"), (F.col("tip") - F.col("depth")).cast("int").alias("height"))
+    return rets.withColumns({"auto_events": F.col("k") - F.col("d"), "allo_events": F.col("d") - 1, "allo_group": (F.col("d") > 1).cast("int")})
 
 
 def sister_sets(nodes: DataFrame, live: DataFrame) -> DataFrame:

@@ -158,7 +158,7 @@ def canonical_codes(nodes: DataFrame, max_height: int | None = None) -> DataFram
 
 
 def coded(nodes: DataFrame, max_height: int | None = None) -> DataFrame:
-    """`canonical_codes` with the nodes' ``hi, is_leaf, label`` kept.
+    """`canonical_codes` with the nodes' ``hi, is_leaf, label`` kept, and ``tip``, the depth of the deepest leaf below.
 
     A tree's nodes are met in postorder, each once all below it have been: what is open then and lies
     deeper are its children, whose sorted codes are hashed to its own. So the depth of trees costs no
@@ -173,16 +173,17 @@ def coded(nodes: DataFrame, max_height: int | None = None) -> DataFrame:
     depth, lo = nodes.schema["depth"].dataType.simpleString(), nodes.schema["lo"].dataType.simpleString()
 
     def step(state, node):
-        children = F.transform(F.filter(state["open"], lambda x: x["depth"] > node["depth"]), lambda x: x["code"])
-        code = F.when(node["is_leaf"], F.sha2(node["label"], 256)).otherwise(F.sha2(F.concat_ws(",", F.sort_array(children)), 256))
+        children = F.filter(state["open"], lambda x: x["depth"] > node["depth"])
+        code = F.when(node["is_leaf"], F.sha2(node["label"], 256)).otherwise(F.sha2(F.concat_ws(",", F.sort_array(F.transform(children, lambda x: x["code"]))), 256))
+        tip = F.when(node["is_leaf"], node["depth"]).otherwise(F.array_max(F.transform(children, lambda x: x["tip"])))
         rest = F.filter(state["open"], lambda x: x["depth"] <= node["depth"])
-        open_ = F.concat(rest, F.array(F.struct(node["depth"].alias("depth"), code.alias("code"))))
-        return F.struct(open_.alias("open"), F.concat(state["codes"], F.array(F.struct(node["lo"].alias("lo"), code.alias("code")))).alias("codes"))
+        open_ = F.concat(rest, F.array(F.struct(node["depth"].alias("depth"), code.alias("code"), tip.alias("tip"))))
+        return F.struct(open_.alias("open"), F.concat(state["codes"], F.array(F.struct(node["lo"].alias("lo"), code.alias("code"), tip.alias("tip")))).alias("codes"))
 
-    first = F.struct(none(f"depth:{depth},code:string").alias("open"), none(f"lo:{lo},code:string").alias("codes"))
+    first = F.struct(none(f"depth:{depth},code:string,tip:{depth}").alias("open"), none(f"lo:{lo},code:string,tip:{depth}").alias("codes"))
     codes = F.aggregate("nodes", first, step, lambda s: s["codes"])
     row = F.explode(F.arrays_zip(F.col("nodes"), F.col("codes"))).alias("r")
-    return trees.select("tree_id", "nodes", codes.alias("codes")).select("tree_id", row).select("tree_id", "r.nodes.lo", "r.nodes.hi", *(f"r.nodes.{c}" for c in columns), "r.codes.code")
+    return trees.select("tree_id", "nodes", codes.alias("codes")).select("tree_id", row).select("tree_id", "r.nodes.lo", "r.nodes.hi", *(f"r.nodes.{c}" for c in columns), "r.codes.code", "r.codes.tip")
 
 
 def collapse_identical(nodes: DataFrame, max_height: int | None = None) -> DataFrame:

@@ -150,6 +150,22 @@ def deep_trees(leaves: DataFrame) -> DataFrame:
     return counted.select("tree_id", "sample_id", F.inline(F.array_compact(F.array(*nodes))))
 
 
+def pair_trees(leaves: DataFrame, label: str = "species") -> DataFrame:
+    """The rows of ``v_nodes`` over ``leaves`` (``tree_id, sample_id, dist, pos`` and ``label``) in one pass: each leaf brings the pair and the root that start at its place."""
+    pos, n, long = F.col("pos").cast("long"), F.col("n"), "long"
+    k = F.floor(pos / 2).cast(long)
+
+    def node(lo: Column, hi: Column, depth: int, parent: Column, name: Column, dist: Column) -> Column:
+        return F.struct(lo.cast(long).alias("lo"), hi.cast(long).alias("hi"), F.lit(depth).alias("depth"), parent.cast(long).alias("parent_lo"), F.lit(depth == 2).alias("is_leaf"), name.cast("string").alias("label"), dist.cast("double").alias("dist"))
+
+    none, tip = F.lit(None), 2 + k * 3 + pos % 2
+    nodes = [node(tip, tip, 2, 1 + k * 3, F.col(label), F.col("dist"))]
+    nodes += [F.when(pos % 2 == 0, node(1 + k * 3, 1 + k * 3 + F.least(n - pos, F.lit(2)), 1, F.lit(0), none, F.lit(1.0)))]
+    nodes += [F.when(pos == 0, node(F.lit(0), n + F.floor((n - 1) / 2) + 1, 0, none, none, F.lit(0.0)))]
+    counted = leaves.select("tree_id", "sample_id", label, "dist", "pos", F.count("*").over(W.partitionBy("tree_id")).alias("n"))
+    return counted.select("tree_id", "sample_id", F.inline(F.array_compact(F.array(*nodes))))
+
+
 class Views:
     """Tables and views of one folder as DataFrames: ``Views(spark, sf_dir).v_leaves``."""
 
@@ -162,6 +178,8 @@ class Views:
                 self._known[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
             elif name in DEEP_VIEWS:
                 self._known[name] = deep_trees(getattr(self, DEEP_VIEWS[name]))
+            elif name == "v_nodes":
+                self._known[name] = pair_trees(self.v_leaves)
             elif name in VIEWS:
                 self._known[name] = self.spark.sql(re.sub(r"string_agg\((.*?) ORDER BY (\w+)\)", r"string_agg(\1) WITHIN GROUP (ORDER BY \2)", VIEWS[name]), **{x: getattr(self, x) for x in set(re.findall(r"\{(\w+)\}", VIEWS[name]))})
             else:
