@@ -8,6 +8,7 @@ from ..operators import events as E
 from ..operators import features as X
 from ..operators import topology as Y
 from ..operators import trees as T
+from ..operators.lineage import cut
 from ..registry import query
 from .label_queries import EDGES, TARGETS, edges, targets
 from .summary_queries import r, rounded
@@ -75,7 +76,7 @@ dep AS (SELECT sample_id, clade, count(*) AS c, avg(depth) AS mean, stddev_samp(
 SELECT e.sample_id, e.clade, {r('coalesce(colocation, 0)', 'colocation')}, {r('coalesce(monophyly, 0)', 'monophyly')}, {r('CASE WHEN c IS NULL THEN 0 WHEN c = 1 OR mean = 0 THEN 1 ELSE 1 - least(std / mean, 1) END', 'consistency')}
 FROM (SELECT DISTINCT n.sample_id, c.clade FROM n, c) e LEFT JOIN co USING (sample_id, clade) LEFT JOIN mono USING (sample_id, clade) LEFT JOIN dep USING (sample_id, clade)""")
 def _(v):
-    return rounded(Y.topology_summaries(v.v_deep, wide_clades(v)))
+    return rounded(Y.topology_summaries(cut(v.v_deep, "nodes"), wide_clades(v)))
 
 
 T18 = """WITH tn AS MATERIALIZED (SELECT * FROM v_deep), pn AS MATERIALIZED (SELECT * FROM v_deep_priced),
