@@ -149,20 +149,28 @@ def placement_accuracy(truth: DataFrame, inferred: DataFrame, least: float = 0.5
 
     The species beside the first copy in the inferred tree are held against those beside each true
     copy by Jaccard similarity; the best counts, and is a hit from ``least`` on. Copies without
-    another species beside them are left out.
+    another species beside them are left out. A tree is one row meanwhile, and leaves are compared
+    within it, so trees are shuffled once.
     """
 
-    def beside(nodes: DataFrame) -> DataFrame:
-        tips = leaves(nodes).select("tree_id", "leaf", "species", "parent_lo")
-        up = nodes.filter("not is_leaf").select("tree_id", F.col("lo").alias("parent_lo"), "hi")
-        other = tips.select("tree_id", F.col("leaf").alias("x"), F.col("species").alias("other"))
-        met = tips.join(up, ["tree_id", "parent_lo"]).join(other, "tree_id").filter("x between parent_lo and hi and x <> leaf and other <> species")
-        return met.groupBy("tree_id", "species", "leaf").agg(F.collect_set("other").alias("set"))
-
-    many = leaves(truth).groupBy("tree_id", "species").agg(F.count("*").alias("n")).filter("n > 1").select("tree_id", "species")
-    first = leaves(inferred).groupBy("tree_id", "species").agg(F.min("leaf").alias("leaf"))
-    own = beside(inferred).join(first, ["tree_id", "species", "leaf"]).select("tree_id", "species", F.col("set").alias("own"))
-    rows = beside(truth).join(many, ["tree_id", "species"]).join(own, ["tree_id", "species"])
+    def placed(nodes: DataFrame, name: str, wanted) -> DataFrame:
+        """One row per tree: its ``wanted`` leaves with the set of species beside them."""
+        tip, node = F.struct(F.col("lo").alias("leaf"), F.col("label").alias("species"), "parent_lo"), F.struct("lo", "hi")
+        trees = nodes.groupBy("tree_id").agg(F.collect_list(F.when(F.col("is_leaf"), tip)).alias("tips"), F.collect_list(F.when(~F.col("is_leaf"), node)).alias("inner"))
+
+        def row(t):
+            up = F.get(F.filter("inner", lambda u: u["lo"] == t["parent_lo"]), F.lit(0))["hi"]
+            near = F.filter("tips", lambda x: x["leaf"].between(t["parent_lo"], up) & (x["species"] != t["species"]))
+            return F.struct(t["species"].alias("species"), F.array_distinct(F.transform(near, lambda x: x["species"])).alias("set"))
+
+        mine = F.filter("tips", lambda t: wanted(t, F.filter("tips", lambda x: x["species"] == t["species"])))
+        return trees.select("tree_id", F.filter(F.transform(mine, row), lambda r: F.size(r["set"]) > 0).alias(name))
+
+    copies = placed(truth, "copies", lambda t, like: F.size(like) > 1)
+    first = placed(inferred, "first", lambda t, like: F.array_min(F.transform(like, lambda x: x["leaf"])) == t["leaf"])
+    rows = copies.join(first, "tree_id").select("tree_id", "first", F.inline("copies"))
+    own = F.get(F.filter("first", lambda r: r["species"] == F.col("species")), F.lit(0))["set"]
+    rows = rows.select("tree_id", "species", "set", own.alias("own")).filter("own is not null")
     both = F.size(F.array_intersect("set", "own"))
     best = rows.groupBy("tree_id", "species").agg(F.max(both / F.size(F.array_union("set", "own"))).alias("best"))
     return best.withColumn("hit", F.col("best") >= least)

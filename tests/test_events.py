@@ -66,3 +66,16 @@ def test_edge_vectors(spark):
     edges = spark.createDataFrame([(1, 7, 0, 1, [9.0])], "sample_id int, edge int, parent int, child int, features array<double>")
     nodes = spark.createDataFrame([(1, 1, [1.0, 2.0])], "sample_id int, node int, features array<double>")
     assert X.edge_vectors(edges, nodes).first().vector == [0.0, 0.0, 1.0, 2.0, 9.0]
+
+
+def test_placement_compares_leaves_within_trees(spark):
+    import re
+
+    nodes = lambda text: T.parse_newick(spark.createDataFrame(text, "tree_id long, newick string"))
+    true = nodes([(1, "((a,b),(a,c),d);"), (2, "(a,a,(b,b,c));"), (3, "((x,x),y);"), (4, "(a,(a,b));")])
+    found = nodes([(1, "((a,c),(a,d),b);"), (2, "((a,b),a,(b,c));"), (3, "((x,x),y);"), (5, "(a,(a,b));")])
+    got = E.placement_accuracy(true, found)
+    # 1: beside a are {b} and {c}, the first inferred a has {c}. 2: a has {b, c} and {b, c} (all below the root), the first inferred {b}; b has {c} twice and {a}. 3: only x beside x
+    assert sorted((r.tree_id, r.species, r.best, r.hit) for r in got.collect()) == [(1, "a", 1.0, True), (2, "a", 0.5, True), (2, "b", 0.0, False)]
+    flat = [d.sparkSession.createDataFrame(d.collect(), d.schema) for d in (true, found)]
+    assert len(re.findall(r"\) \+- \w*Join|Join \[", E.placement_accuracy(*flat)._jdf.queryExecution().executedPlan().toString())) == 1
