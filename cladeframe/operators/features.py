@@ -126,14 +126,14 @@ def clade_summaries(leaves: DataFrame, clades: DataFrame) -> DataFrame:
     of the clade's present species that do. ``variation`` is the sample std of the copies of all its
     species, absent ones as 0, over their mean; null for clades of one species.
     """
-    copies = copies_per_tree(leaves).join(clades, "species")
-    size = clades.groupBy("clade").agg(F.count("*").alias("size"))
-    per = copies.groupBy("sample_id", "tree_id", "clade").agg(F.sum(F.col("n") * F.col("n")).alias("squares"), F.count("*").alias("kinds"), F.sum("n").alias("inside"), F.sum((F.col("n") >= 2).cast("long")).alias("doubled"))
+    sized = clades.withColumn("size", F.count("*").over(W.partitionBy("clade")))
+    copies = copies_per_tree(leaves).join(sized, "species")
+    per = copies.groupBy("sample_id", "tree_id", "clade").agg(F.first("size").alias("size"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.count("*").alias("kinds"), F.sum("n").alias("inside"), F.sum((F.col("n") >= 2).cast("long")).alias("doubled"))
     tree = W.partitionBy("sample_id", "tree_id")
     out = (F.sum("inside").over(tree) - F.col("inside")) / F.nullif(F.sum("kinds").over(tree) - F.col("kinds"), F.lit(0))
     c = F.col
     spread = F.when(c("size") > 1, F.sqrt((c("size") * c("squares") - c("inside") * c("inside")) / (c("size") * (c("size") - 1))) * c("size") / c("inside"))
-    per = per.withColumns({"out": out, "in": F.col("inside") / F.col("kinds")}).join(size, "clade").withColumn("variation", spread)
+    per = per.withColumns({"out": out, "in": F.col("inside") / F.col("kinds")}).withColumn("variation", spread)
     return per.groupBy("sample_id", "clade").agg(F.avg((F.col("doubled") > 0).cast("double")).alias("duplication"), F.avg(F.col("inside") - F.col("kinds")).alias("extra"), F.avg(F.col("in")).alias("per_species"), F.avg(F.col("doubled") / F.col("kinds")).alias("coherence"), F.avg(F.col("in") / F.col("out")).alias("in_out"), F.avg("variation").alias("variation"))
 
 

@@ -166,6 +166,22 @@ def pair_trees(leaves: DataFrame, label: str = "species") -> DataFrame:
     return counted.select("tree_id", "sample_id", F.inline(F.array_compact(F.array(*nodes))))
 
 
+#: Items of a table that one task sorts and groups by tree.
+ROWS_A_TASK = 250_000
+
+
+def spread(items: DataFrame, key: str) -> DataFrame:
+    """``items`` dealt by ``key`` into partitions of about `ROWS_A_TASK` rows; as they are if there are no more of these than cores.
+
+    Joins, groups and windows by the same key stay in these partitions, whose number grows with the
+    table, so the memory of one task does not. The session's number of partitions is fixed, and
+    adaptive execution merges partitions by their shuffled bytes, which are far fewer than those of
+    the sorts and hash tables over them.
+    """
+    parts = -(-items.count() // ROWS_A_TASK)
+    return items.repartition(parts, key) if parts > items.sparkSession.sparkContext.defaultParallelism else items
+
+
 class Views:
     """Tables and views of one folder as DataFrames: ``Views(spark, sf_dir).v_leaves``."""
 
@@ -180,8 +196,13 @@ class Views:
                 self._known[name] = deep_trees(getattr(self, DEEP_VIEWS[name]))
             elif name == "v_nodes":
                 self._known[name] = pair_trees(self.v_leaves)
+            elif name == "spread_lineitem":
+                self._known[name] = spread(self.lineitem, "l_orderkey")
             elif name in VIEWS:
-                self._known[name] = self.spark.sql(re.sub(r"string_agg\((.*?) ORDER BY (\w+)\)", r"string_agg(\1) WITHIN GROUP (ORDER BY \2)", VIEWS[name]), **{x: getattr(self, x) for x in set(re.findall(r"\{(\w+)\}", VIEWS[name]))})
+                text = re.sub(r"string_agg\((.*?) ORDER BY (\w+)\)", r"string_agg(\1) WITHIN GROUP (ORDER BY \2)", VIEWS[name])
+                if "PARTITION BY l_orderkey" in text:
+                    text = text.replace("{lineitem}", "{spread_lineitem}")
+                self._known[name] = self.spark.sql(text, **{x: getattr(self, x) for x in set(re.findall(r"\{(\w+)\}", text))})
             else:
                 raise AttributeError(name)
         return self._known[name]
