@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import folding
 from .greedy import greedy
 from .lineage import cut
-from .trees import coded, leaves
+from .trees import coded, leaves, levels
 
 
 def live_nodes(nodes: DataFrame, max_height: int | None = None) -> DataFrame:
@@ -305,12 +306,13 @@ def network_class(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def mu_vectors(nodes: DataFrame, max_height: int | None = None) -> DataFrame:
     """Path-count vector of every network node: ``tree_id, node, in_degree, vector`` (sorted ``species:paths``), reticulations included."""
-    live = live_nodes(nodes, max_height)
-    return path_vectors(nodes, suppressed(network_edges(live)))
+    if max_height is not None:
+        levels(nodes, max_height)
+    return folding.vectors(folding.packed(nodes))
 
 
 def path_vectors(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """`mu_vectors` over suppressed edges at hand.
+    """`mu_vectors` over suppressed edges at hand, for all trees at once.
 
     Walks of length 2^i are joined with themselves, and those to leaves of less than 2^i steps with
     them, so a network of depth n takes log2(n) rounds, of one written table each.
@@ -356,90 +358,53 @@ def scored_mu_distance(distance: DataFrame, truth: DataFrame, inferred: DataFram
     return a.join(b, "tree_id").join(distance, "tree_id", "left").select("tree_id", F.when(ok, F.col("distance")).alias("mu_distance"), ok.cast("double").alias("mu_scored"))
 
 
-def _sided(truth: DataFrame, inferred: DataFrame) -> DataFrame:
-    """The nodes of both sides in one table, so that each step runs once: tree ids become (side, id). Ids of both sides have one type."""
-    columns = ("lo", "hi", "depth", "parent_lo", "is_leaf", "label", "dist")
-    one, two = (d.select(F.struct(F.lit(side).alias("side"), F.col("tree_id").alias("id")).alias("tree_id"), *columns) for side, d in enumerate((truth, inferred)))
-    return one.unionByName(two)
-
-
-def _of_side(d: DataFrame, side: int) -> DataFrame:
-    return d.filter(F.col("tree_id.side") == side).withColumn("tree_id", F.col("tree_id.id"))
+def _texts(nodes: DataFrame, tree: str, name: str) -> DataFrame:
+    return folding.packed(nodes).select(F.col("tree_id").alias(tree), F.col("text").alias(name))
 
 
 def mu_distances(truth: DataFrame, inferred: DataFrame) -> DataFrame:
     """`scored_mu_distance` of trees with equal ids, from nodes: ``tree_id, mu_distance, mu_scored``."""
-    nodes = cut(_sided(truth, inferred), "nodes")
-    edges = suppressed(network_edges(live_nodes(nodes)))
-    vectors, classes = path_vectors(nodes, edges), network_class(nodes, edges)
-    return scored_mu_distance(mu_distance(_of_side(vectors, 0), _of_side(vectors, 1)), _of_side(classes, 0), _of_side(classes, 1))
+    pairs = _texts(truth, "tree_id", "a").join(_texts(inferred, "tree_id", "b"), "tree_id")
+    return folding.measured(pairs, folding.mu_forms).select("tree_id", F.get("values", F.lit(0)).alias("mu_distance"), F.get("values", F.lit(1)).alias("mu_scored"))
+
+
+def sister_set_distances(truth: DataFrame, inferred: DataFrame) -> DataFrame:
+    """`sister_set_distance` of trees with equal ids, from nodes; a tree on one side only is held against none."""
+    pairs = _texts(truth, "tree_id", "a").join(_texts(inferred, "tree_id", "b"), "tree_id", "full")
+    rows = folding.measured(pairs, folding.sister_forms).filter("values is not null")
+    return rows.select("tree_id", *(F.get("values", F.lit(i)).alias(c) for i, c in enumerate(FORMS)))
 
 
 #: Methods that infer one reticulation by design: what they did not look for is no error of theirs.
 SINGLE_RETICULATION = ("grampa",)
 PAIR = ("network", "config", "method", "replicate")
+#: What `folding` has for distances of sets, penalised and matched, and how measures name a form's four.
+FORMS = ("dist", "fp", "fn", "tp", "dist_matched", "fp_matched", "fn_matched", "tp_matched")
+KINDS = ("dist", "FP", "FN", "TP")
 
 
 def compare_networks(truth: DataFrame, inferred: DataFrame, pairs: DataFrame) -> DataFrame:
     """All measures of each pair of networks, one row a measure: ``network, config, method, replicate, metric, value, jaccard_mode, status``.
 
     ``truth`` and ``inferred`` are node tables of multi-labelled trees. ``pairs`` names the trees of a
-    run: the four keys, ``truth_id`` and ``inferred_id``. Trees are folded once each, however many
-    pairs they are in. A pair without nodes on a side is one row FAILED with a null value.
+    run: the four keys, ``truth_id`` and ``inferred_id``. A pair meets its trees as texts, and its
+    measures are made in one row. A pair without nodes on a side is one row FAILED with a null value.
     Methods in `SINGLE_RETICULATION` have their set distances over matched pairs alone (``partial``).
     """
-    named = cut(pairs.select(F.struct(*PAIR).alias("pair"), "truth_id", "inferred_id"), "pairs_of_trees")
-    both = _folded(_sided(truth, inferred))
-    t, i = ({k: _of_side(d, side) for k, d in both.items()} for side in (0, 1))
-    ok = named.join(t["trees"].withColumnRenamed("tree_id", "truth_id"), "truth_id", "left_semi").join(i["trees"].withColumnRenamed("tree_id", "inferred_id"), "inferred_id", "left_semi")
-    ok = cut(ok.select("pair", "truth_id", "inferred_id"), "comparable")
-
-    def at(side: str, d: DataFrame) -> DataFrame:
-        return d.withColumnRenamed("tree_id", side).join(ok.select("pair", side), side).drop(side).withColumnRenamed("pair", "tree_id")
-
-    a = {k: at("truth_id", d) for k, d in t.items()}
-    b = {k: at("inferred_id", d) for k, d in i.items()}
-    every = ok.select(F.col("pair").alias("tree_id"))
-    number = lambda d, c: d.groupBy("tree_id").agg(F.sum(F.col("auto_events") + F.col("allo_events")).alias(c))
-    counted = every.join(number(a["rets"], "t"), "tree_id", "left").join(number(b["rets"], "i"), "tree_id", "left").na.fill(0, ["t", "i"])
-    matches = cut(match_reticulations(a["leaves"], b["leaves"]), "matches")
-    by_leaf = leaf_set_distance(matches, a["leaves"], b["leaves"])
-    by_sister = sister_set_distance(matches, a["leaves"], b["leaves"], a["sisters"], b["sisters"])
-    partial_ = F.col("tree_id.method").isin(*SINGLE_RETICULATION)
-
-    def long(d: DataFrame, values: dict[str, Column]) -> DataFrame:
-        return d.select("tree_id", F.explode(F.array(*(F.struct(F.lit(k).alias("metric"), v.cast("double").alias("value")) for k, v in values.items()))).alias("m")).select("tree_id", "m.*")
-
-    def sets(d: DataFrame, name: str) -> DataFrame:
-        full = every.join(d, "tree_id", "left").na.fill(0.0)
-        c = F.col
-        own = {f"{name}.{k}": F.when(partial_, c(f"{low}_matched")).otherwise(c(low)) for k, low in (("dist", "dist"), ("FP", "fp"), ("FN", "fn"), ("TP", "tp"))}
-        return long(full, own | {f"{name}_matched.{k}": c(f"{low}_matched") for k, low in (("dist", "dist"), ("FP", "fp"), ("FN", "fn"), ("TP", "tp"))})
-
-    mu = scored_mu_distance(mu_distance(a["vectors"], b["vectors"]), a["class"], b["class"])
-    c = F.col
-    rows = long(counted, {"num_rets_diff": F.abs(c("i") - c("t")), "num_rets_bias": c("i") - c("t")})
-    rows = rows.unionByName(long(ploidy_difference(a["counts"], b["counts"]), {"ploidy_diff.dist": c("dist"), "ploidy_diff.FP": c("fp"), "ploidy_diff.FN": c("fn"), "ploidy_diff.TP": c("tp")}))
-    rows = rows.unionByName(long(polyploid_jaccard(a["counts"], b["counts"]), {"polyploid_species_jaccard": c("dist")}))
-    rows = rows.unionByName(sets(by_leaf, "ret_leaf_jaccard")).unionByName(sets(by_sister, "ret_sisters_jaccard"))
-    rows = rows.unionByName(long(mu, {"mu_distance": c("mu_distance"), "mu_scored": c("mu_scored")}))
-    good = rows.select("tree_id.*", "metric", "value", F.when(partial_, "partial").otherwise("standard").alias("jaccard_mode"), F.lit("SUCCESS").alias("status"))
-    failed = named.join(ok.select("pair"), "pair", "left_anti").select("pair.*", F.lit("FAILED").alias("metric"), F.lit(None).cast("double").alias("value"), F.lit(None).cast("string").alias("jaccard_mode"), F.lit("FAILED").alias("status"))
-    return good.unionByName(failed)
-
-
-def _folded(nodes: DataFrame) -> dict[str, DataFrame]:
-    """All that comparisons need of each tree: reticulations, their leaves and sisters, copies, vectors and class."""
-    nodes = cut(nodes, "nodes")
-    live = live_nodes(nodes)
-    rets = cut(reticulations(nodes, live), "rets")
-    edges = suppressed(network_edges(live))
-    return {
-        "trees": nodes.select("tree_id").distinct(),
-        "rets": rets,
-        "leaves": cut(reticulation_leaves(nodes, rets), "ret_leaves"),
-        "sisters": cut(sister_sets(nodes, live), "sisters"),
-        "counts": leaf_counts(nodes),
-        "vectors": path_vectors(nodes, edges),
-        "class": network_class(nodes, edges),
-    }
+    met = pairs.select(*PAIR, "truth_id", "inferred_id").join(_texts(truth, "truth_id", "a"), "truth_id", "left").join(_texts(inferred, "inferred_id", "b"), "inferred_id", "left")
+    ok = F.col("a").isNotNull() & F.col("b").isNotNull()
+    text = lambda c: F.when(ok, F.col(c)).alias(c)
+    rows = folding.measured(met.select(*PAIR, text("a"), text("b")), folding.all_forms)
+    partial_, good = F.col("method").isin(*SINGLE_RETICULATION), F.col("values").isNotNull()
+    v = lambda i: F.get("values", F.lit(i))
+    # places as in `folding.all_forms`
+    values = {"num_rets_diff": F.abs(v(1) - v(0)), "num_rets_bias": v(1) - v(0), **{f"ploidy_diff.{k}": v(2 + i) for i, k in enumerate(KINDS)}, "polyploid_species_jaccard": v(6)}
+    for name, at in (("ret_leaf_jaccard", 7), ("ret_sisters_jaccard", 15)):
+        values |= {f"{name}.{k}": F.when(partial_, v(at + 4 + i)).otherwise(v(at + i)) for i, k in enumerate(KINDS)}
+        values |= {f"{name}_matched.{k}": v(at + 4 + i) for i, k in enumerate(KINDS)}
+    values |= {"mu_distance": v(23), "mu_scored": v(24)}
+    row = lambda metric, value: F.struct(F.lit(metric).alias("metric"), value.alias("value"))
+    measures = F.when(good, F.array(*(row(k, x) for k, x in values.items()))).otherwise(F.array(row("FAILED", F.lit(None).cast("double"))))
+    mode = F.when(good, F.when(partial_, "partial").otherwise("standard")).alias("jaccard_mode")
+    status = F.when(good, "SUCCESS").otherwise("FAILED").alias("status")
+    return rows.select(*PAIR, F.explode(measures).alias("m"), mode, status).select(*PAIR, "m.metric", "m.value", "jaccard_mode", "status")
