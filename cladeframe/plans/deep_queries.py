@@ -219,5 +219,5 @@ def _(v):
     """Every order's tree against the one in order of price; each seventh has no inferred tree."""
     tree = F.col("tree_id")
     method = F.when(tree % 5 == 0, "grampa").when(tree % 5 == 1, "padre").otherwise("polyphest")
-    pairs = v.v_deep.select("tree_id").distinct().select((tree % 25).alias("network"), (tree % 3).alias("config"), method.alias("method"), tree.alias("replicate"), tree.alias("truth_id"), F.when(tree % 7 != 0, tree).alias("inferred_id"))
+    pairs = v.v_leaves.select("tree_id").distinct().select((tree % 25).alias("network"), (tree % 3).alias("config"), method.alias("method"), tree.alias("replicate"), tree.alias("truth_id"), F.when(tree % 7 != 0, tree).alias("inferred_id"))
     return rounded(N.compare_networks(v.v_deep, v.v_deep_priced, pairs))
