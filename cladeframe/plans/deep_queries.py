@@ -188,8 +188,7 @@ def _(v):
 
 @query("c5_sister_set_distance", f"WITH RECURSIVE {RETS}, {sister_distance()} SELECT tree_id, {ROUNDED} FROM sister_dist")
 def _(v):
-    (left, a), (right, b) = _reticulated(v)
-    return rounded(N.sister_set_distance(N.match_reticulations(left, right), left, right, a, b))
+    return rounded(N.sister_set_distances(v.v_deep, v.v_deep_priced))
 
 
 COUNTS = 'counts AS MATERIALIZED (SELECT coalesce(a.tree_id, b.tree_id) AS tree_id, coalesce(a.n, 0) AS t, coalesce(b.n, 0) AS i FROM (SELECT tree_id, label, count(*) AS n FROM tn WHERE is_leaf GROUP BY ALL) a FULL JOIN (SELECT tree_id, label, count(*) AS n FROM qn WHERE is_leaf GROUP BY ALL) b ON a.tree_id = b.tree_id AND a.label = b.label)'
