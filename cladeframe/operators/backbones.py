@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Iterator, Sequence
+from functools import lru_cache
+from hashlib import blake2b
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .lineage import cut
-from .preorder import split_distances
 from .summaries import correlation
 
 #: Upper bounds of normalised distances.
@@ -19,15 +21,65 @@ def backbone_errors(trees: DataFrame, reference: DataFrame, diploids: DataFrame,
     """Robinson-Foulds distances of inferred trees to the true ones, whole and pruned to diploids: ``tree_id, rf, normalised, pruned_rf, pruned_normalised``.
 
     ``trees`` and ``reference`` are nodes with equal tree ids, ``diploids`` is ``species``. Trees with fewer than ``least`` diploids, or
-    that can't be compared (see `split_distances`), are left out. Both are written once, as each is read several times.
+    that can't be compared (see `split_distances`), are left out. A tree is one row from the start, and those left out go before any
+    is compared, so nodes are shuffled by tree alone and nothing is written.
     """
-    columns = ["tree_id", "lo", "hi", "is_leaf", "label"]
-    trees, reference = cut(trees.select(columns), "inferred"), cut(reference.select(columns), "reference")
-    tips = reference.filter("is_leaf").select("tree_id", F.col("label").alias("species")).join(diploids.select("species").distinct(), "species", "left_semi")
-    enough = tips.groupBy("tree_id").agg(F.count_distinct("species").alias("n")).filter(F.col("n") >= least).select("tree_id")
-    kept = tips.join(enough, "tree_id").select("tree_id", "species")
-    pruned = split_distances(trees, reference, kept).select("tree_id", F.col("rf").alias("pruned_rf"), F.col("normalised").alias("pruned_normalised"))
-    return split_distances(trees, reference).join(enough, "tree_id").join(pruned, "tree_id")
+    named = diploids.select(F.col("species").alias("label"), F.lit(True).alias("kept")).distinct()
+
+    def single(nodes: DataFrame, name: str, enough: int) -> DataFrame:
+        """Trees with one leaf per species, and at least so many diploids, as texts."""
+        node = F.struct("lo", "depth", "is_leaf", "label", (F.col("is_leaf") & F.col("kept").isNotNull()).alias("kept"))
+        trees = nodes.join(named, "label", "left").groupBy("tree_id").agg(F.sort_array(F.collect_list(node)).alias("n"))
+        species = F.transform(F.filter("n", lambda x: x["is_leaf"]), lambda x: x["label"])
+        good = (F.size(species) == F.size(F.array_distinct(F.array_compact(species)))) & (F.size(F.filter("n", lambda x: x["kept"])) >= enough)
+        text = F.to_json(F.struct(F.col("n.depth").alias("d"), F.transform("n", lambda x: F.when(x["is_leaf"], x["label"])).alias("l"), F.col("n.kept").alias("k")))
+        return trees.filter(good).select("tree_id", text.alias(name))
+
+    pairs = single(reference, "a", least).join(single(trees, "b", 0), "tree_id")
+    rows = pairs.mapInArrow(_distances, pairs.select("tree_id", F.lit(None).cast("array<double>").alias("values")).schema).filter("values is not null")
+    v = lambda i, c: F.get("values", F.lit(i)).cast("long" if i % 2 == 0 else "double").alias(c)
+    return rows.select("tree_id", *(v(i, c) for i, c in enumerate(("rf", "normalised", "pruned_rf", "pruned_normalised"))))
+
+
+@lru_cache(4096)
+def _key(species: str) -> int:
+    """A number of 128 bits, as in `split_keys`."""
+    return int.from_bytes(blake2b(species.encode(), digest_size=16).digest())
+
+
+def _splits(depth: list[int], keys: list[int]) -> set[int]:
+    """Unrooted splits of a tree in preorder with the keys of its leaves that count (0 elsewhere); see `split_keys`."""
+    n, sums, held, path = len(depth), list(keys), [int(k != 0) for k in keys], []
+    found = []
+    for i in range(n + 1):
+        while path and (i == n or depth[path[-1]] >= depth[i]):
+            done = path.pop()
+            if path:
+                sums[path[-1]] ^= sums[done]
+                held[path[-1]] += held[done]
+            found.append(done)
+        path.append(i)
+    whole, every = sums[0], held[0]
+    return {min(sums[i], sums[i] ^ whole) for i in found if 1 < held[i] < every - 1}
+
+
+def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distances of pairs of trees ``a, b``, whole and pruned to what ``a`` keeps; null where the species differ."""
+    for batch in batches:
+        out = []
+        for a, b in zip(batch["a"].to_pylist(), batch["b"].to_pylist()):
+            a, b = json.loads(a), json.loads(b)
+            names = {x for x in a["l"] if x is not None}
+            if names != {x for x in b["l"] if x is not None}:
+                out.append(None)
+                continue
+            row = []
+            for of in (names, {x for x, k in zip(a["l"], a["k"]) if k}):
+                x, y = (_splits(t["d"], [_key(s) if s in of else 0 for s in t["l"]]) for t in (a, b))
+                rf, every = len(x ^ y), len(x) + len(y)
+                row += [rf, rf / every if every else 0.0]
+            out.append(row)
+        yield pa.RecordBatch.from_arrays([batch["tree_id"], pa.array(out, pa.list_(pa.float64()))], names=["tree_id", "values"])
 
 
 def backbone_summary(errors: DataFrame, by: Sequence[str] = ("sample_id",)) -> DataFrame:
