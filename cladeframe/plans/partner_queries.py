@@ -88,7 +88,7 @@ SUMMED = ", ".join(f"{r(f'avg({d})', f'{k}_mean')}, {r(f'median({d})', f'{k}_med
 
 @query("l14_backbone_summary", f"WITH {ERRORS} SELECT s.sample_id, count(*) AS n, {SUMMED}, {r('avg(normalised) - avg(pruned_normalised)', 'gain')} FROM err JOIN (SELECT DISTINCT tree_id, sample_id FROM t) s ON s.tree_id = err.tree_id GROUP BY s.sample_id")
 def _(v):
-    samples = v.v_deep_named.select("tree_id", "sample_id").distinct()
+    samples = v.v_named.select("tree_id", "sample_id").distinct()
     return rounded(B.backbone_summary(errors(v).join(samples, "tree_id")))
 
 
