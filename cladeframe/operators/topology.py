@@ -2,31 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .trees import leaves
 
 
-def _sized(nodes: DataFrame) -> DataFrame:
-    """Inner nodes with their number of leaves."""
-    inner = nodes.filter("not is_leaf").select("tree_id", "lo", "hi")
-    return inner.join(leaves(nodes).select("tree_id", "leaf"), "tree_id").filter("leaf between lo and hi").groupBy("tree_id", "lo", "hi").agg(F.count("*").alias("size"))
-
-
 def copy_neighbourhoods(nodes: DataFrame, most: int = 10) -> DataFrame:
     """Species around each copy of a duplicated species: ``tree_id, leaf, species, other, n``.
 
     The neighbourhood is the largest clade over the copy with at most ``most`` leaves, its parent at
-    least; the copy itself is left out.
+    least; the copy itself is left out. A tree is one row meanwhile, so nodes are shuffled by tree
+    once, and what follows by tree stays there.
     """
-    tips = leaves(nodes).select("tree_id", "leaf", "species", "parent_lo")
-    copies = tips.withColumn("n", F.count("*").over(W.partitionBy("tree_id", "species"))).filter("n > 1 and parent_lo is not null").drop("n")
-    above = copies.join(_sized(nodes), "tree_id").filter("leaf between lo and hi").filter((F.col("lo") == F.col("parent_lo")) | (F.col("size") <= most))
-    around = above.groupBy("tree_id", "leaf", "species").agg(F.min_by(F.struct("lo", "hi"), "lo").alias("at")).select("tree_id", "leaf", "species", "at.*")
-    other = tips.select("tree_id", F.col("leaf").alias("x"), F.col("species").alias("other"))
-    return around.join(other, "tree_id").filter("x between lo and hi and x <> leaf").groupBy("tree_id", "leaf", "species", "other").agg(F.count("*").alias("n"))
+    tip, node = F.struct(F.col("lo").alias("leaf"), F.col("label").alias("species"), "parent_lo"), F.struct("lo", "hi")
+    trees = nodes.groupBy("tree_id").agg(F.collect_list(F.when(F.col("is_leaf"), tip)).alias("tips"), F.sort_array(F.collect_list(F.when(~F.col("is_leaf"), node))).alias("inner"))
+    within = lambda u: F.filter("tips", lambda x: x["leaf"].between(u["lo"], u["hi"]))
+    copies = F.filter("tips", lambda t: t["parent_lo"].isNotNull() & (F.size(F.filter("tips", lambda x: x["species"] == t["species"])) > 1))
+    trees = trees.withColumn("copies", copies).filter(F.size("copies") > 0)
+    trees = trees.withColumn("inner", F.transform("inner", lambda u: F.struct(u["lo"].alias("lo"), u["hi"].alias("hi"), F.size(within(u)).alias("size"))))
+
+    def around(t: Column) -> Column:
+        over = F.filter("inner", lambda u: t["leaf"].between(u["lo"], u["hi"]) & ((u["lo"] == t["parent_lo"]) | (u["size"] <= most)))
+        # inner nodes are in order, so the first is the largest
+        near = F.flatten(F.transform(F.slice(over, 1, 1), within))
+        return F.struct(t["leaf"].alias("leaf"), t["species"].alias("species"), F.transform(F.filter(near, lambda x: x["leaf"] != t["leaf"]), lambda x: x["species"]).alias("others"))
+
+    rows = trees.select("tree_id", F.inline(F.transform("copies", around)))
+    return rows.select("tree_id", "leaf", "species", F.explode("others").alias("other")).groupBy("tree_id", "leaf", "species", "other").agg(F.count("*").alias("n"))
 
 
 def copy_cluster_support(neighbourhoods: DataFrame, clades: DataFrame, trees: DataFrame, away: float = 0.5) -> DataFrame:
@@ -36,14 +39,15 @@ def copy_cluster_support(neighbourhoods: DataFrame, clades: DataFrame, trees: Da
     ``sample_id, trees``. A copy of a species of the clade is away if under ``away`` of its
     neighbourhood is of the clade. total: the shares of the other clade in these copies'
     neighbourhoods, over the number of trees; peak: the greatest. Pairs without any are left out.
+    A copy is one row with the shares of all clades meanwhile.
     """
     copy = ["sample_id", "tree_id", "leaf", "species"]
-    whole = neighbourhoods.groupBy(copy).agg(F.sum("n").alias("size"))
-    inside = neighbourhoods.join(clades.select("clade", F.col("species").alias("other")), "other").groupBy(*copy, "clade").agg(F.sum("n").alias("k"))
-    share = inside.join(whole, copy).select(*copy, "clade", (F.col("k") / F.col("size")).alias("share"))
-    own = whole.join(clades, "species").select(*copy, "clade").join(share, [*copy, "clade"], "left")
-    gone = own.filter(F.coalesce("share", F.lit(0.0)) < away).select(*copy, "clade")
-    met = gone.join(share.select(*copy, F.col("clade").alias("other"), "share"), copy)
+    whole = neighbourhoods.groupBy(copy).agg(F.sum("n").alias("size"), F.collect_list(F.struct("other", "n")).alias("near"))
+    inside = whole.select(*copy, "size", F.inline("near")).join(clades.select("clade", F.col("species").alias("other")), "other").groupBy(*copy, "size", "clade").agg(F.sum("n").alias("k"))
+    shares = inside.groupBy(copy).agg(F.collect_list(F.struct(F.col("clade").alias("other"), (F.col("k") / F.col("size")).alias("share"))).alias("shares"))
+    own = shares.join(clades.select("clade", "species"), "species")
+    inner = F.get(F.filter("shares", lambda x: x["other"] == F.col("clade")), F.lit(0))["share"]
+    met = own.filter(F.coalesce(inner, F.lit(0.0)) < away).select("sample_id", "clade", F.inline("shares"))
     return met.groupBy("sample_id", "clade", "other").agg(F.sum("share").alias("total"), F.max("share").alias("peak")).join(trees, "sample_id").select("sample_id", "clade", "other", (F.col("total") / F.col("trees")).alias("total"), "peak")
 
 
